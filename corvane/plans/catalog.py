@@ -1,14 +1,620 @@
-"""The registered queries over the test tables, with their SQL."""
+"""The registered queries over the test tables, with their SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions import classify, embed, refine, text
+from corvane.operators import fulltext, pending, retrieval, segment, stats, store
+from corvane.plans import sqltext as q
+from corvane.sources import archive
+from corvane.sources.tables import conversation_messages, embedding_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+NOW = "2024-06-01 00:00:00"
+
+
+def query(sql: str | None) -> Callable:
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(q.DECORATED).alias("t"))
+
+
+DECORATED = f"(SELECT doc_id, {q.DECORATED} AS t FROM documents)"
+
+
+def rounded(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+# Text ------------------------------------------------------------------------
+
+
+def _text_query(name: str, expression: Callable[[Column], Column], sql: Callable[[str], str]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return decorated(spark, sf_dir).select("doc_id", expression(F.col("t")).alias("x")).select("doc_id", F.md5("x").alias("digest"), F.length("x").cast("long").alias("n"))
+
+    run.__name__ = name
+    query(f"SELECT doc_id, md5(x) AS digest, CAST(length(x) AS BIGINT) AS n FROM (SELECT doc_id, {sql('t')} AS x FROM {DECORATED})")(run)
+
+
+_text_query("normalize_documents", text.normalize, q.normalize)
+_text_query("vectorizable_documents", text.vectorizable, q.vectorizable)
+_text_query("invisible_removal", text.remove_invisible, q.remove_invisible)
+_text_query("code_tokens", text.replace_code, q.replace_code)
+_text_query("strip_separators", text.strip_separators, lambda e: q.replaced(e, text.SEPARATORS, " "))
+_text_query("strip_urls", text.replace_urls, lambda e: q.replaced(e, text.URL, "[URL]"))
+_text_query("strip_logs", text.remove_logs, lambda e: q.chained(e, text.LOG_STEPS))
+_text_query("strip_markdown", text.strip_markdown, lambda e: q.chained(e, text.MARKDOWN_STEPS))
+_text_query("injection_removal", text.remove_injections, lambda e: q.chained(e, text.INJECTION_STEPS))
+_text_query("whitespace_collapse", text.collapse, lambda e: f"regexp_replace({e}, {q.quoted(q.WHITE + '+')}, ' ', 'g')")
+
+
+@query(f"SELECT page_id, {q.html_to_markdown('html')} AS markdown FROM pages")
+def html_to_markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query(
+    f"""SELECT doc_id, CAST(len(m) AS BIGINT) AS blocks, coalesce(regexp_extract(m[1], '```(\\w+)?\\n(.*?)```', 1, 's'), '') AS language,
+    coalesce(trim(regexp_extract(m[1], '```(\\w+)?\\n(.*?)```', 2, 's'), chr(10) || ' '), '') AS code
+    FROM (SELECT doc_id, regexp_extract_all(t, '```(?:\\w+)?\\n(?:.*?)```', 0, 's') AS m FROM {DECORATED}) WHERE len(m) > 0"""
+)
+def code_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decorated(spark, sf_dir).select("doc_id", text.code_blocks(F.col("t")).alias("m")).filter(F.size("m") > 0)
+    return found.select("doc_id", F.size("m").cast("long").alias("blocks"), F.col("m")[0]["language"].alias("language"), F.col("m")[0]["code"].alias("code"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT doc_id, CAST(i AS BIGINT) AS window_no, sha256(substr(text, i * 512 + 1, 512)) AS chunk_hash FROM (SELECT doc_id, text, unnest(range((length(text) + 511) // 512)) AS i FROM documents)")
+def chunk_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunk_hashes(F.col("text"))).alias("i", "chunk_hash")).select("doc_id", F.col("i").cast("long").alias("window_no"), "chunk_hash")
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+    return hashed.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) || '_chunk' || CAST(i + 1 AS VARCHAR) AS chunk_id, CAST(doc_id AS VARCHAR) AS message_id, CAST(i + 1 AS INTEGER) AS sequence, substr(text, i * 3800 + 1, 3800) AS chunk_text
+    FROM (SELECT doc_id, text, unnest(range((length(text) + 3799) // 3800)) AS i FROM documents WHERE length(text) > 4000)"""
+)
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return store.chunk_rows(rows, NOW, "text", None).select("chunk_id", "message_id", "sequence", "chunk_text")
+
+
+@query(f"SELECT doc_id, {q.title_case('left(text, 80)')} AS title FROM documents")
+def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.title_case(F.left("text", F.lit(80))).alias("title"))
+
+
+_FLAT = q.strip(f"regexp_replace(text, {q.quoted(q.WHITE + '+')}, ' ', 'g')")
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN length(f) > 200 THEN left(f, 197) || '...' ELSE f END AS line, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS list,
+    replace(left(text, 100), chr(10), ' ') || '...' AS cell FROM (SELECT doc_id, text, {_FLAT} AS f FROM documents)"""
+)
+def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", *[text.snippet(F.col("text"), s).alias(s) for s in ("line", "list", "cell")])
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 6000 THEN left(text, 6000) || '...' ELSE text END) AS cut, md5(CASE WHEN length(text) > 1500 THEN regexp_replace(left(text, 1500), ' [^ ]*$', '') || '...' ELSE text END) AS words FROM documents")
+def truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.truncate(c, refine.REFINE_CHARS, "...")).alias("cut"), F.md5(text.truncate_words(c, 1500)).alias("words"))
+
+
+# Classification ---------------------------------------------------------------
+
+_LOW = q.strip("lower(t)")
+_match = lambda patterns: f"regexp_matches({_LOW}, {q.quoted('|'.join(patterns))})"
+_INTENT = f"""CASE WHEN t IS NULL OR NOT regexp_matches(t, '\\S') THEN 'social|0.5' WHEN {_match(classify.QUESTION)} THEN 'question_explicit|0.85' WHEN {_match(classify.COMMAND)} THEN 'command|0.8'
+ WHEN {_match(classify.SOCIAL)} THEN 'social|0.75' WHEN len(regexp_split_to_array({q.strip("t")}, '\\s+')) < 5 THEN 'social|0.6' ELSE 'knowledge_share|0.7' END"""
+_RULED = f"(SELECT doc_id, split_part(r, '|', 1) AS intent, CAST(split_part(r, '|', 2) AS DOUBLE) AS confidence FROM (SELECT doc_id, {_INTENT} AS r FROM {DECORATED}))"
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decorated(spark, sf_dir).select("doc_id", classify.rule_intent(F.col("t")).alias("r")).select("doc_id", "r.intent", "r.confidence")
+
+
+@query(f"SELECT * FROM {_RULED}")
+def rule_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ruled(spark, sf_dir)
+
+
+@query(f"SELECT doc_id, intent, starts_with(intent, 'question_') AS is_question, intent = 'command' AS is_command FROM {_RULED}")
+def intent_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.schema import with_flags
+
+    return with_flags(_ruled(spark, sf_dir)).drop("confidence")
+
+
+@query(f"SELECT intent, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 6) AS percent FROM {_RULED} GROUP BY intent")
+def intent_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(_ruled(spark, sf_dir), "intent").withColumn("percent", rounded("percent"))
+
+
+def _topics_sql(stopwords: tuple[str, ...]) -> str:
+    return f"""WITH w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM documents)),
+    c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE regexp_full_match(word, '[a-z]{{4,}}') AND word NOT IN ({", ".join(map(q.quoted, stopwords))}) GROUP BY doc_id, word),
+    r AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM c)
+    SELECT d.doc_id, coalesce(string_agg(word, ',' ORDER BY k) FILTER (k <= 5), '') AS topics FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id"""
+
+
+@query(_topics_sql(classify.STOPWORDS))
+def topics_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.topics_of(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.array_join("topics", ",").alias("topics"))
+
+
+@query(_topics_sql(classify.SHORT_STOPWORDS))
+def topics_top5_short_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.topics_of(table(spark, sf_dir, "documents"), "doc_id", "text", classify.SHORT_STOPWORDS).select("doc_id", F.array_join("topics", ",").alias("topics"))
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM conversations),
+    h AS (SELECT conv_id, turn, CAST(('0x' || left(md5(word), 8))::BIGINT % 64 AS INTEGER) AS i, CASE WHEN ('0x' || substr(md5(word), 9, 1))::INTEGER % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM w),
+    v AS (SELECT conv_id, turn, i, sum(s) AS x FROM h GROUP BY ALL), n AS (SELECT conv_id, turn, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL)
+    SELECT v.conv_id, v.turn, v.i, round(x / norm, 6) AS x FROM v JOIN n USING (conv_id, turn) WHERE x <> 0"""
+)
+def hashing_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(embed.hashing_embedding(F.col("text"), 64)).alias("i", "x"))
+    return rows.filter("x != 0").withColumn("x", rounded("x"))
+
+
+# Statistics -------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS total_messages, count(DISTINCT conv_id) AS total_conversations FROM conversations")
+def conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.totals(conversation_messages(spark, sf_dir))
+
+
+@query("SELECT author_role, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM conversations), 6) AS percent FROM (SELECT CASE WHEN lower(role) IN ('user', 'assistant', 'system', 'tool') THEN lower(role) ELSE 'system' END AS author_role FROM conversations) GROUP BY author_role")
+def role_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(conversation_messages(spark, sf_dir), "author_role").withColumn("percent", rounded("percent"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, conv_id || '_' || turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations")
+def conversation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conversation_id").orderBy("timestamp", "id")
+    return conversation_messages(spark, sf_dir).select("conversation_id", "id", F.row_number().over(order).cast("long").alias("place"))
+
+
+_ROLLUP = """SELECT event_type, count(*) AS messages, count(DISTINCT user_id) AS conversations, strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day,
+ CASE WHEN strftime(min(ts), '%Y-%m-%d') = strftime(max(ts), '%Y-%m-%d') THEN strftime(min(ts), '%Y-%m-%d') ELSE strftime(min(ts), '%Y-%m-%d') || ' - ' || strftime(max(ts), '%Y-%m-%d') END AS span FROM events GROUP BY event_type"""
+
+
+@query(_ROLLUP)
+def topic_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    found = stats.topic_rollup(table(spark, sf_dir, "events"), "event_type", "user_id", "ts")
+    return found.select("event_type", "messages", "conversations", day("first").alias("first_day"), day("last").alias("last_day"), "span")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
+def top_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.top_topics(table(spark, sf_dir, "events"), "event_type", 3)
+
+
+@query("SELECT count(DISTINCT event_type) AS topics, count(*) AS messages FROM events")
+def topic_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.topic_totals(table(spark, sf_dir, "events"), "event_type")
+
+
+# Vector search ----------------------------------------------------------------
+
+_PROBE = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+_SCORES = f"SELECT vec_id, label, list_inner_product(CAST(embedding AS DOUBLE[]), CAST({_PROBE} AS DOUBLE[])) AS score FROM embeddings WHERE len(embedding) = len({_PROBE})"
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
+    return list(table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"])
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", rounded("score").alias("score"), "rank")
+
+
+_TOP = "SELECT vec_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM ({}) ORDER BY score DESC, vec_id LIMIT {}"
+
+
+@query(_TOP.format(_SCORES, 10))
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(retrieval.vector_search(embedding_vectors(spark, sf_dir), _probe(spark, sf_dir), 10, key="vec_id"))
+
+
+@query(_TOP.format(_SCORES + " AND label = 3", 10))
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(retrieval.vector_search(embedding_vectors(spark, sf_dir).filter("label = 3"), _probe(spark, sf_dir), 10, key="vec_id"))
+
+
+@query(_TOP.format(f"SELECT * FROM ({_SCORES}) WHERE score > 0.3", 3))
+def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(retrieval.vector_search(embedding_vectors(spark, sf_dir), _probe(spark, sf_dir), 3, threshold=retrieval.SCORE_THRESHOLD, key="vec_id"))
+
+
+@query(
+    """SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
+    (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20)) WHERE rank <= 5"""
+)
+def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = embedding_vectors(spark, sf_dir)
+    asked = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))  # the queries asked, against all rows
+    return retrieval.batch_search(vectors, asked, 5, "vec_id").withColumn("score", rounded("score"))
+
+
+@query(
+    """WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i),
+    n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM m GROUP BY label) SELECT m.label, CAST(i - 1 AS INTEGER) AS i, round(x / norm, 6) AS x FROM m JOIN n ON m.label = n.label"""
+)
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segment.centroids(embedding_vectors(spark, sf_dir), ["label"], "vector")
+    return found.select("label", F.posexplode("centroid").alias("i", "x")).withColumn("x", rounded("x"))
+
+
+_HYBRID = f"""WITH v AS ({_TOP.format(_SCORES, 20)}), l AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id DESC) AS INTEGER) AS rank FROM embeddings WHERE label = 3 ORDER BY vec_id DESC LIMIT 20)
+SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT vec_id, rank FROM v UNION ALL SELECT vec_id, rank FROM l) GROUP BY vec_id ORDER BY sum(1.0::DOUBLE / (60 + rank)) DESC, vec_id LIMIT 10"""
+
+
+@query(_HYBRID)
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    vectors = embedding_vectors(spark, sf_dir)
+    near = retrieval.vector_search(vectors, _probe(spark, sf_dir), 20, key="vec_id").select("vec_id", "rank")
+    other = vectors.filter("label = 3").orderBy(F.desc("vec_id")).limit(20).select("vec_id", F.row_number().over(Window.orderBy(F.desc("vec_id"))).alias("rank"))
+    return retrieval.reciprocal_fusion([near, other], 10, key="vec_id").select("vec_id", rounded("score").alias("score"))
+
+
+# Full-text search -------------------------------------------------------------
+
+_TOKENS = """t AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS ws FROM documents)),
+ l AS (SELECT doc_id, CAST(len(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS DOUBLE) AS length FROM documents), s AS (SELECT count(*) AS n_docs, avg(length) AS mean FROM l)"""
+
+
+def _bm25_sql(hits: list[str], docs: str, limit: int = 20) -> str:
+    """hits: per phrase SQL of (doc_id) per occurrence in t; docs: SQL of the fitting doc_ids."""
+    parts = " UNION ALL ".join(f"SELECT {k} AS phrase, doc_id, count(*) AS tf FROM ({h}) GROUP BY doc_id" for k, h in enumerate(hits))
+    return f"""WITH {_TOKENS}, h AS ({parts}), f AS (SELECT phrase, count(*) AS n_hits FROM h GROUP BY phrase), d AS ({docs}),
+    x AS (SELECT h.doc_id, sum(CASE WHEN ln((n_docs - n_hits + 0.5) / (n_hits + 0.5)) > 0 THEN ln((n_docs - n_hits + 0.5) / (n_hits + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS bm25
+    FROM h JOIN f ON h.phrase = f.phrase JOIN l ON h.doc_id = l.doc_id, s WHERE h.doc_id IN (SELECT doc_id FROM d) GROUP BY h.doc_id)
+    SELECT doc_id, round(bm25, 6) AS bm25, CAST(row_number() OVER (ORDER BY bm25 DESC, doc_id) AS INTEGER) AS rank, round(1.0::DOUBLE / (row_number() OVER (ORDER BY bm25 DESC, doc_id) + 1), 6) AS score
+    FROM x ORDER BY x.bm25 DESC, doc_id LIMIT {limit}"""
+
+
+_term = lambda w: f"SELECT doc_id FROM t WHERE term = '{w}'"
+_pair = lambda a, b, d=1: f"SELECT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + {d} WHERE a.term = '{a}' AND b.term = '{b}'"
+
+
+def _searched(spark: SparkSession, sf_dir: str, words: str, limit: int = 20) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fulltext.text_search(fulltext.postings(rows, "doc_id", ("text",)), fulltext.lengths(rows, "doc_id", ("text",)), words, limit, fields=("text",))
+    return found.select(F.col("doc").alias("doc_id"), rounded("bm25").alias("bm25"), "rank", rounded("score").alias("score"))
+
+
+@query(_bm25_sql([_term("wher"), _term("thon")], f"({_term('wher')}) INTERSECT ({_term('thon')})"))
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, "wher thon")
+
+
+@query(_bm25_sql([_pair("of", "the")], _pair("of", "the")))
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, '"of the"')
+
+
+@query(_bm25_sql([_term("thon"), _term("und")], f"(({_term('thon')}) UNION ({_term('und')})) EXCEPT ({_term('the')})"))
+def boolean_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, "(thon OR und) NOT the")
+
+
+@query(_bm25_sql(["SELECT doc_id FROM t WHERE starts_with(term, 'wher')"], "SELECT doc_id FROM t WHERE starts_with(term, 'wher')"))
+def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, "wher*")
+
+
+@query(_bm25_sql(["SELECT doc_id FROM t WHERE term = 'the' AND pos = 0"], "SELECT doc_id FROM t WHERE term = 'the' AND pos = 0"))
+def first_word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, "text:^the")
+
+
+@query(_bm25_sql([_term("wher"), _term("thon")], "SELECT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.pos <> b.pos WHERE a.term = 'wher' AND b.term = 'thon' AND greatest(a.pos, b.pos) - least(a.pos, b.pos) - 1 <= 30"))
+def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, "NEAR(wher thon, 30)")
+
+
+@query("SELECT '..sql.. bintel' AS raw, 'bintel sql' AS query, 'sql' AS hints UNION ALL SELECT 'bintel ..sql..', 'bintel sql', 'sql' UNION ALL SELECT '..a..', 'a', 'a' UNION ALL SELECT 'plain', 'plain', '' UNION ALL SELECT 'x ..a.. y ..b c..', 'x  y a b c', 'a,b c'")
+def query_hint_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("..sql.. bintel", "bintel ..sql..", "..a..", "plain", "x ..a.. y ..b c..")], "raw string")
+    return rows.select("raw", retrieval.hints_column(F.col("raw")).alias("h")).select("raw", "h.query", F.array_join("h.hints", ",").alias("hints"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'good' WHEN toxic IS NOT NULL THEN 't' || toxic ELSE '-' END AS label FROM documents LEFT JOIN labels USING (doc_id)")
+def label_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    topic = F.when(F.col("quality") == 1, "good").otherwise("")
+    return rows.select("doc_id", text.first_topic(topic, F.when(F.col("toxic").isNotNull(), F.array(F.concat(F.lit("t"), "toxic")))).alias("label"))
+
+
+@query("SELECT m.conv_id || '_' || m.turn AS id, m.turn = 0 AS is_target FROM conversations m WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0 AND lower(text) LIKE '%thon%')")
+def context_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = conversation_messages(spark, sf_dir)
+    hits = messages.filter(F.col("id").endswith("_0") & F.lower("content").contains("thon"))
+    return retrieval.context(messages, hits).select("id", "is_target")
+
+
+# Pending sets and mutations ---------------------------------------------------
+
+_VECTORS = "(SELECT doc_id, CASE WHEN toxic = 1 THEN 'old' WHEN quality = 0 THEN NULL ELSE 'new' END AS version, CASE WHEN toxic = 1 THEN 384 WHEN quality = 0 THEN NULL ELSE 768 END AS dim FROM labels)"
+
+
+def _side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels as a vectors table: some of an old version, some of none."""
+    kind = lambda a, b: F.when(F.col("toxic") == 1, a).when(F.col("quality") == 0, None).otherwise(b)
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity_id"), F.lit("message").alias("entity_type"), F.lit(1).alias("vector"), kind("old", "new").alias("model_version"), kind(384, 768).alias("vector_dim"))
+
+
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id")
+
+
+@query(f"SELECT doc_id FROM {_VECTORS} WHERE version <> 'new' OR version IS NULL")
+def pending_outdated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pending.outdated(_side(spark, sf_dir), "new", "model_version").select(F.col("entity_id").alias("doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pending.without_vector(_ids(spark, sf_dir), "doc_id", _side(spark, sf_dir), "message")
+
+
+@query(f"SELECT d.doc_id FROM documents d LEFT JOIN {_VECTORS} v ON d.doc_id = v.doc_id WHERE v.doc_id IS NULL OR version <> 'new' OR version IS NULL")
+def pending_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pending.stale_vectors(_ids(spark, sf_dir), "doc_id", _side(spark, sf_dir), "message", "new")
+
+
+@query(f"SELECT doc_id FROM {_VECTORS} WHERE dim <> 768 OR dim IS NULL")
+def wrong_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pending.wrong_dimension(_side(spark, sf_dir)).select(F.col("entity_id").alias("doc_id"))
+
+
+_REFINED = """CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'Intención: a | Términos: b' WHEN 1 THEN 'intención: ' || left(text, 20) WHEN 2 THEN '' WHEN 3 THEN 'INTENCIóN: x | términos: y' ELSE NULL END"""
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_REFINED} AS r FROM documents) WHERE r IS NULL OR r = '' OR NOT (regexp_matches(r, '^[Ii][Nn][Tt][Ee][Nn][Cc][Ii]ó[Nn]:') AND regexp_matches(r, '[Tt]é[Rr][Mm][Ii][Nn][Oo][Ss]:'))")
+def pending_old_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_REFINED).alias("r")).filter(pending.old_format(F.col("r"))).select("doc_id")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text END AS r FROM documents) WHERE r IS NULL")
+def pending_unrefined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN text END").alias("refined_content"))
+    return pending.unrefined(rows).select("doc_id")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id FROM conversations WHERE turn >= 4 GROUP BY conv_id")
+def pending_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = conversation_messages(spark, sf_dir).withColumn("segment_id", F.when(F.split("id", "_")[1].cast("int") < 4, "s"))
+    vectors = messages.select(F.col("id").alias("entity_id"), F.lit("message").alias("entity_type"), F.lit(1).alias("vector"))
+    return pending.needs_segmentation(messages, vectors)
+
+
+@query("SELECT entity_id, entity_type FROM (SELECT 'm' || doc_id AS entity_id, 'message' AS entity_type, 0 AS p FROM documents WHERE doc_id < 30 UNION ALL SELECT 'c' || doc_id, 'chunk', 1 FROM documents) ORDER BY p, entity_id LIMIT 50")
+def messages_then_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents")
+    messages = rows.filter("doc_id < 30").select(F.concat(F.lit("m"), "doc_id").alias("id"), F.col("text").alias("vectorizable_content"))
+    parts = rows.select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.lit(None).cast("string").alias("refined_text"))
+    return pending.messages_then_chunks(messages, parts, 50).select("entity_id", "entity_type")
+
+
+@query("SELECT count(*) AS total, count_if(l.doc_id IS NOT NULL AND d.doc_id % 2 = 0) AS reindexed, count(*) - count_if(l.doc_id IS NOT NULL AND d.doc_id % 2 = 0) AS pending FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def reindex_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    content = rows.select(F.col("id").alias("message_id"), F.when(F.col("id") % 2 == 0, "Intención: a | Términos: b").alias("refined_content"))
+    return pending.reindex_status(rows, content, _side(spark, sf_dir).withColumn("model_version", F.lit("v")), "v")
+
+
+_NEW = "SELECT custkey, seg FROM (SELECT CAST(o_custkey AS BIGINT) AS custkey, o_orderpriority AS seg, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1"
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("custkey"), F.col("c_mktsegment").alias("seg"))
+    new = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("custkey"), F.col("o_orderpriority").alias("seg"), "o_orderkey")
+    return old, new
+
+
+@query(f"WITH n AS ({_NEW}) SELECT custkey, seg FROM n UNION ALL SELECT CAST(c_custkey AS BIGINT), c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT custkey FROM n)")
+def upsert_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _changes(spark, sf_dir)
+    return store.upsert(old, new, ["custkey"], "o_orderkey")
+
+
+@query(f"WITH n AS ({_NEW}) SELECT CAST(c_custkey AS BIGINT) AS custkey, coalesce(n.seg, c_mktsegment) AS seg FROM customer LEFT JOIN n ON c_custkey = n.custkey")
+def update_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _changes(spark, sf_dir)
+    return store.update(old, store.keep_last(new, ["custkey"], "o_orderkey"), ["custkey"], ["seg"])
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS custkey, c_mktsegment AS seg, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS BIGINT) AS extra FROM customer")
+def add_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.schema import struct
+
+    old, _ = _changes(spark, sf_dir)
+    return store.add_missing_columns(store.add_missing_columns(old, struct("custkey long, note string, extra long")), struct("note string"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, unnest(range((length(text) + 3799) // 3800)) AS i FROM documents WHERE length(text) > 4000)
+    SELECT 'message_content' AS item, count(*) AS n FROM documents UNION ALL SELECT 'message_chunks', count(*) FROM c UNION ALL SELECT 'vectors', count(*) FROM labels UNION ALL SELECT 'orphaned_vectors', 0 UNION ALL
+    SELECT 'vectors_dim_' || coalesce(CAST(CASE WHEN toxic = 1 THEN 384 WHEN quality = 0 THEN NULL ELSE 768 END AS VARCHAR), 'null'), count(*) FROM labels GROUP BY 1"""
+)
+def migration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    vectors = _side(spark, sf_dir).withColumn("entity_id", F.col("entity_id").cast("string"))
+    return store.migration_report(rows.select(F.col("id").alias("message_id")), store.chunk_rows(rows, NOW, "text", None), vectors)
+
+
+@query("SELECT doc_id, sha256(text) AS file_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source = 'src0')")
+def dedup_by_file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("file_hash"))
+    return pending.new_files(files, files.filter("source = 'src0'")).select("doc_id", "file_hash")
+
+
+# Segmentation -----------------------------------------------------------------
+
+_FOLD = """WITH RECURSIVE v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+f AS (SELECT label, vec_id, k, 1 AS seq, e AS total FROM v WHERE k = 1 UNION ALL
+SELECT v.label, v.vec_id, v.k, CASE WHEN list_inner_product(v.e, f.total) / sqrt(list_inner_product(f.total, f.total)) < 0.05 THEN f.seq + 1 ELSE f.seq END,
+CASE WHEN list_inner_product(v.e, f.total) / sqrt(list_inner_product(f.total, f.total)) < 0.05 THEN v.e ELSE list_transform(list_zip(v.e, f.total), lambda z: z[1] + z[2]) END FROM f JOIN v ON v.label = f.label AND v.k = f.k + 1)"""
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.with_segment_ids(segment.segment_numbers(embedding_vectors(spark, sf_dir), "label", ["vec_id"], "vector", 0.05), "label")
+
+
+@query(f"{_FOLD} SELECT vec_id, label, CAST(seq AS INTEGER) AS segment_sequence, label || '_seg' || seq AS segment_id FROM f")
+def segment_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).select("vec_id", "label", "segment_sequence", "segment_id")
+
+
+@query(f"{_FOLD} SELECT label, CAST(max(seq) AS INTEGER) AS segments, count(*) AS n FROM f GROUP BY label")
+def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir).groupBy("label").agg(F.max("segment_sequence").alias("segments"), F.count("*").alias("n"))
+
+
+_WORDS = """w AS (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS ws FROM conversations)),
+c AS (SELECT conv_id, turn, word, count(*) AS n, min(pos) AS first FROM w WHERE regexp_full_match(word, '[a-z]{4,}') AND word NOT IN (%s) GROUP BY conv_id, turn, word),
+m AS (SELECT conv_id, turn, word, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, first) AS k FROM c),
+s AS (SELECT conv_id, word, count(*) AS n, min(turn * 100 + k) AS first FROM m WHERE k <= 5 GROUP BY conv_id, word),
+r AS (SELECT conv_id, word, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS k FROM s)""" % ", ".join(map(q.quoted, classify.STOPWORDS))
+
+
+@query(f"WITH {_WORDS} SELECT conv_id, {q.title_case('max(word) FILTER (k = 1)')} || CASE WHEN count(*) = 1 THEN '' WHEN count(*) = 2 THEN ' & ' ELSE ' / ' END || coalesce({q.title_case('max(word) FILTER (k = 2)')}, '') AS segment_topic FROM r GROUP BY conv_id")
+def segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("segment_id"), "turn", F.col("text").alias("vectorizable_content"), classify.top_words(classify.topic_words(F.col("text"))).alias("topics"))
+    with_topics = rows.join(rows.filter(F.size("topics") > 0).select("segment_id").distinct(), "segment_id", "left_semi")
+    found = segment.segment_topics(with_topics, ["turn"])
+    return found.select(F.col("segment_id").cast("long").alias("conv_id"), "segment_topic")
+
+
+# Refinement -------------------------------------------------------------------
+
+_ANSWERS = [
+    (1, "Intención: [ask]\nTérminos: a, b , c\nTiene_Pregunta: SÍ\nResumen: short"),
+    (2, "Términos:\n- a\n- b\n\n- c\nResumen: r"),
+    (3, "nothing of the kind"),
+    (4, "entidades: SaaS (Software as a Service), b, c, d, e, f, g, h, i, j"),
+    (5, "INTENCION: x\nResumen: one\nResumen: two"),
+]
+_PARSED = """SELECT * FROM (VALUES (1, 'Intención: ask | Términos: a, b, c | Resumen: short', 'ask', 'a,b,c', 'short', 0.9::DOUBLE, true), (2, 'Términos: a, b | Resumen: r', NULL, 'a,b', 'r', 0.9, false), (3, 'original 3', NULL, '', NULL, 0.3, false),
+(4, 'Términos: SaaS (Software as a Service), b, c, d, e, f, g, h', NULL, 'SaaS (Software as a Service),b,c,d,e,f,g,h,i,j', NULL, 0.9, false), (5, 'Intención: x | Resumen: two', 'x', '', 'two', 0.9, false)) AS t(id, refined_content, intent, entities, summary, confidence, has_question)"""
+
+
+def _parsed(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(_ANSWERS, "id int, answer string")
+    return rows.select("id", refine.parse_answer(F.col("answer"), F.concat(F.lit("original "), "id")).alias("r")).select("id", "r.*")
+
+
+@query(_PARSED)
+def refiner_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark).withColumn("entities", F.array_join("entities", ","))
+
+
+@query("SELECT * FROM (VALUES (1, 'ask a b c short'), (2, 'a b r'), (3, ''), (4, 'SaaS  Software as a Service b c d e f g h i j'), (5, 'x two')) AS t(id, keywords)")
+def semantic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark).select("id", refine.semantic_keywords(F.col("intent"), F.col("entities"), F.col("summary")).alias("keywords"))
+
+
+@query(
+    """SELECT conv_id, turn, 'Intención: ' || role || ' | Términos: ' || role || ', t' || turn || CASE WHEN turn % 2 = 0 THEN ' | Resumen: ' || left(regexp_replace(text, '\\s+', ' ', 'g'), 40) ELSE '' END AS refined_content FROM conversations"""
+)
+def refiner_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    made = refine.compose(F.col("role"), F.array("role", F.concat(F.lit("t"), "turn")), F.when(F.col("turn") % 2 == 0, F.left(text.collapse(F.col("text")), F.lit(40))), F.lit(False), F.col("text"))
+    return rows.select("conv_id", "turn", made["refined_content"].alias("refined_content"))
+
+
+# Import -----------------------------------------------------------------------
+
+
+def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations.parquet as raw rows of chat-export archives, a few nodes hidden, blank or without a message."""
+    message = lambda content, hidden: F.struct(
+        F.concat_ws("_", "conv_id", "turn").alias("id"),
+        F.struct(F.upper("role").alias("role"), F.lit(None).cast("string").alias("name")).alias("author"),
+        F.struct(F.lit("text").alias("content_type"), F.array(content).alias("parts")).alias("content"),
+        (F.lit(1.7e9) + F.col("turn")).alias("create_time"),
+        F.struct(hidden.alias("is_visually_hidden_from_conversation"), F.array(F.struct(F.concat(F.lit("f"), "turn").alias("id"))).alias("attachments")).alias("metadata"),
+    )
+    body = message(F.when(F.col("turn") == 5, "   ").otherwise(F.col("text")), F.col("turn") == 6)
+    nodes = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct(F.concat(F.lit("p"), "turn").alias("parent"), F.when(F.col("turn") != 7, body).alias("message")).alias("node"))
+    talks = nodes.groupBy("conv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("n"), "turn").alias("k"), "node")))).alias("mapping"))
+    conversation = F.to_json(F.struct(F.col("conv_id").cast("string").alias("conversation_id"), F.when(F.col("conv_id") % 2 == 0, "T").alias("title"), F.when(F.col("conv_id") % 3 != 0, F.lit(1.7e9) + F.col("conv_id")).otherwise(0.0).alias("create_time"), "mapping"))
+    return talks.select(F.lit("a.zip").alias("path"), F.lit("h").alias("file_hash"), F.lit(1).cast("long").alias("file_size"), F.array(F.lit("f0-x.png"), F.lit("f1.png")).alias("members"), conversation.alias("conversation"), F.lit(None).cast("string").alias("problem"))
+
+
+@query(
+    """SELECT conv_id || '_' || turn AS id, CAST(conv_id AS VARCHAR) AS conversation_id, role AS author_role, md5(text) AS content, '2023-11-14 22:13:' || lpad(CAST(20 + turn AS VARCHAR), 2, '0') AS at, 'p' || turn AS parent_message_id,
+    CASE WHEN conv_id % 2 = 0 THEN 'T' ELSE 'Untitled' END AS title, upper(role) AS original_role, CASE turn WHEN 0 THEN 'f0-x.png' WHEN 1 THEN 'f1.png' END AS attached FROM conversations WHERE turn NOT IN (5, 6, 7) AND trim(text) <> ''"""
+)
+def archive_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive.messages(_export(spark, sf_dir), NOW)
+    return found.select("id", "conversation_id", "author_role", F.md5("content").alias("content"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "parent_message_id", F.col("metadata.conversation_title").alias("title"), F.col("metadata.original_role").alias("original_role"), F.col("attachments")[0]["local_path"].alias("attached"))
+
+
+@query("SELECT 'chatgpt' AS format, count(DISTINCT conv_id) AS total_conversations, strftime(make_timestamp(1700000000000000 + min(conv_id) FILTER (conv_id % 3 <> 0) * 1000000), '%Y-%m-%d %H:%M:%S') AS first_at FROM conversations")
+def metadata_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.metadata(_export(spark, sf_dir)).select("format", "total_conversations", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first_at"))
+
+
+# The whole way ----------------------------------------------------------------
+
+
+@query(None)
+def ingest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalise, classify, embed: the columns of the messages table, and the vector."""
+    from corvane.plans.components import PROFILES
+    from corvane.plans.ingest import processed
+
+    found = processed(conversation_messages(spark, sf_dir), PROFILES["lite"])
+    return found.select("id", "conversation_id", "author_role", "clean_content", "intent", "intent_confidence", "topics", "is_question", "is_command", "vector")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """Messages in, rules and embedding applied, the ten nearest to a question among user messages out."""
+    rows = ingest_messages(spark, sf_dir).filter("author_role = 'user'")
+    asked = spark.createDataFrame([("what is thon and wher?",)], "text string").select(embed.hashing_embedding(F.col("text"), 64).alias("v")).first()["v"]
+    found = retrieval.vector_search(rows, list(asked), 10, key="id")
+    return found.select("rank", "id", "conversation_id", "intent", rounded("score").alias("score"), "clean_content")
+
+
+QUERIES["flagship_search"] = flagship
