@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import exact, minhash, packing, quality, sharding, tokenfile, tokens
+from corvane.llm import chat, editjoin, exact, minhash, packing, quality, sharding, spiece, tokenfile, tokens
 from corvane.llm.common import documents, token_file
 
 
@@ -18,6 +18,17 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), token_file("word_bpe_49k.json"), end_id=1, window=2048)
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of conversations, calls linked with results, ordered, validated, as canonical JSON."""
+    found = chat.formatted(chat.as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet")), chat.REPLY_TOOL)
+    return found.withColumnsRenamed({"conversation": "conv_id", "message": "turn"})
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct lines, linked if two edits or fewer apart."""
+    return editjoin.near_lines(documents(spark, sf_dir), threshold=2)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest doc_id stays."""
     return exact.exact_groups(documents(spark, sf_dir)).drop("ties")
@@ -28,6 +39,11 @@ def op6_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(documents(spark, sf_dir), shards=8)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether they decode to it."""
+    return spiece.round_trips(documents(spark, sf_dir), token_file("piece_bpe_32k.model"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text."""
     return tokens.token_counts(documents(spark, sf_dir), token_file("word_bpe_49k.json"), limit=2048)
@@ -45,7 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(spark, sf_dir), token_file("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mixture_packing, op5_exact_dedup, op6_byte_sharding, op8_token_counts, op9_quality_rules, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mixture_packing, op3_chat_formatting, op4_line_dedup, op5_exact_dedup, op6_byte_sharding, op7_sentencepiece, op8_token_counts, op9_quality_rules, op10_token_files)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL = {
