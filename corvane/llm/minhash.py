@@ -10,8 +10,8 @@
    rest are compared on their full sets, and what is linked forms components.
 4. Buckets that still hold several components are searched for more links: their
    members are cut into tiles, pairs of tiles are compared register by register, and
-   of the likely pairs between different components those of the best few partners
-   go first; rounds follow until no likely pair between components is untested.
+   members with a likely partner in another component meet again with their full
+   sets, where an index over shingles finds every link between components.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from corvane.llm.setsketch import BANDS, REGISTERS, band_keys, likely_jaccard, r
 
 #: An estimate this much below the threshold rules a pair out.
 MARGIN = 0.15
-#: Members of a tile; partners of a member that go first in a round.
-TILE, FIRST_PARTNERS = 2048, 4
+#: Members of a tile.
+TILE = 1024
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -131,16 +131,20 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> DataF
     return pairs.join(other, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def _across(members: DataFrame, least: float, partners: int | None) -> DataFrame:
-    """Likely pairs (a < b) between members of different roots, out of tiles of buckets.
+def _plausible(members: DataFrame, least: float) -> DataFrame:
+    """Of the members of tiles (bucket, tile_a, tile_b, side, node, root, n_shingles, sketch) those that have a likely partner of another root there.
 
-    members: bucket, tile_a, tile_b, side, node, root, n_shingles, sketch; partners: of
-    a node's pairs with one other root in a tile only so many, the likeliest.
+    A pair that meets in several buckets counts in one of them only.
     """
 
-    def tile(node: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, ones: np.ndarray, others: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(key: tuple, rows: pa.Table) -> pa.Table:
+        bucket, tile_a, tile_b = (k.as_py() for k in key)
+        root, n, side = (rows[c].to_numpy() for c in ("root", "n_shingles", "side"))
+        sketch = _matrix(rows["sketch"])
         met = _buckets(band_keys(sketch))
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        ones = np.flatnonzero(side == 0)
+        others = ones if tile_a == tile_b else np.flatnonzero(side == 1)
+        good = np.zeros(len(root), bool)
         for i in range(0, len(ones), 64):
             block = ones[i : i + 64]
             alike = np.minimum(n[block][:, None], n[others][None, :]) >= least * np.maximum(n[block][:, None], n[others][None, :]) - 1e-9
@@ -150,36 +154,59 @@ def _across(members: DataFrame, least: float, partners: int | None) -> DataFrame
                 x, y = x[x < y], y[x < y]
             for j in range(0, len(x), 1 << 15):
                 p, q = x[j : j + (1 << 15)], y[j : j + (1 << 15)]
+                fresh = ~(good[p] & good[q])
+                p, q = p[fresh], q[fresh]
                 near = (sketch[p] == sketch[q]).sum(1) >= (least - MARGIN - 0.05) * REGISTERS  # a share J or more of all is equal
                 p, q = p[near], q[near]
-                shared = np.where(met[p] == met[q], met[p], np.iinfo(np.int64).max)
-                here = shared.min(1) == bucket if len(p) else np.zeros(0, bool)  # of the buckets that both are in, one gives the pair
-                p, q = p[here], q[here]
                 if len(p):
-                    estimate = _likely(sketch[p], sketch[q], n[p], n[q], least)
-                    ok = estimate >= least - MARGIN
-                    found.append((p[ok], q[ok], estimate[ok]))
-        p, q, estimate = (np.concatenate(c) for c in zip(*found, strict=True))
-        if partners is not None and len(p):
-            keep = np.zeros(len(p), bool)
-            for me, it in ((p, q), (q, p)):
-                order = np.lexsort((-estimate, root[it], node[me]))
-                mine, its = node[me][order], root[it][order]
-                begin = np.concatenate(([True], (mine[1:] != mine[:-1]) | (its[1:] != its[:-1])))
-                rank = np.arange(len(order)) - np.maximum.accumulate(np.where(begin, np.arange(len(order)), 0))
-                keep[order[rank < partners]] = True
-            p, q = p[keep], q[keep]
-        return np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
-
-    def pairs(key: tuple, rows: pa.Table) -> pa.Table:
-        bucket, tile_a, tile_b = (k.as_py() for k in key)
-        node, root, n, side = (rows[c].to_numpy() for c in ("node", "root", "n_shingles", "side"))
-        ones = np.flatnonzero(side == 0)
-        others = ones if tile_a == tile_b else np.flatnonzero(side == 1)
-        a, b = tile(node, root, n, _matrix(rows["sketch"]), ones, others, bucket)
+                    here = np.where(met[p] == met[q], met[p], np.iinfo(np.int64).max).min(1) == bucket
+                    p, q = p[here], q[here]
+                if len(p):
+                    ok = _likely(sketch[p], sketch[q], n[p], n[q], least) >= least - MARGIN
+                    good[p[ok]] = good[q[ok]] = True
+        return rows.select(["bucket", "tile_a", "tile_b", "node", "root"]).filter(pa.array(good))
+
+    return members.groupBy("bucket", "tile_a", "tile_b").applyInArrow(search, "bucket long, tile_a int, tile_b int, node long, root long")
+
+
+def _scanned(members: DataFrame, threshold_percent: int) -> DataFrame:
+    """Links (a, b) across roots in each tile, from full sets: one for each two roots that are linked there.
+
+    members: bucket, tile_a, tile_b, node, root, members.  An index from shingles to
+    their holders gives a node's intersections with all others at once, so no pair is
+    made into a row; the nodes of the tile's largest root need not be looked up.
+    """
+
+    def scan(rows: pa.Table) -> pa.Table:
+        node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["members"]]
+        n = np.array([len(x) for x in sets])
+        whole = np.concatenate(sets)
+        order = np.argsort(whole, kind="stable")
+        held, holder = whole[order], np.repeat(np.arange(len(sets)), n)[order]
+        names, sizes = np.unique(root, return_counts=True)
+        joined = {r: r for r in names.tolist()}
+
+        def find(r: int) -> int:
+            while joined[r] != r:
+                r = joined[r]
+            return r
+
+        a, b = [], []
+        for k in np.flatnonzero(root != names[sizes.argmax()]).tolist():
+            low, high = np.searchsorted(held, sets[k], "left"), np.searchsorted(held, sets[k], "right")
+            spans = high - low
+            hits = holder[np.repeat(low - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())]
+            shared = np.bincount(hits, minlength=len(sets))
+            for m in np.flatnonzero((100 * shared >= threshold_percent * (n[k] + n - shared)) & (root != root[k])).tolist():
+                one, other = find(root[k].item()), find(root[m].item())
+                if one != other:
+                    joined[max(one, other)] = min(one, other)
+                    a.append(min(node[k], node[m]))
+                    b.append(max(node[k], node[m]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return members.groupBy("bucket", "tile_a", "tile_b").applyInArrow(pairs, "a long, b long")
+    return members.groupBy("bucket", "tile_a", "tile_b").applyInArrow(scan, "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, threshold_percent: int = 80) -> DataFrame:
@@ -207,19 +234,13 @@ def near_groups(docs: DataFrame, width: int = 5, threshold_percent: int = 80) ->
     wanted = met.select("node").distinct().join(nodes.select("node", "row_hash"), "node")
     sets = member_sets(docs, stored(wanted, "wanted"), width)
     links = stored(verified(pairs, sets, threshold_percent), "links")
-    tested = pairs
-    for partners in (FIRST_PARTNERS, None):
-        groups = roots(links)
-        placed = met.join(groups, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("size")).filter("mixed and size > 2").select("bucket")
-        tiles = F.ceil(F.col("n") / TILE).cast("int")
-        rows = placed.join(mixed, "bucket").withColumn("tiles", tiles).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        rows = rows.select("bucket", "node", "root", "mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-        rows = rows.select("bucket", "node", "root", F.least("mine", "other").alias("tile_a"), F.greatest("mine", "other").alias("tile_b"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
-        found = stored(_across(rows.join(slim, "node"), least, partners), "likely")
-        pairs = stored(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.union(verified(pairs, sets, threshold_percent)), "links")
-        tested = stored(tested.union(pairs), "tested")
+    placed = met.join(roots(links), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("size")).filter("mixed and size > 2").select("bucket")
+    rows = placed.join(mixed, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = rows.select("bucket", "node", "root", "mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    rows = rows.select("bucket", "node", "root", F.least("mine", "other").alias("tile_a"), F.greatest("mine", "other").alias("tile_b"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
+    likely = stored(_plausible(rows.join(slim, "node"), least), "likely")
+    links = stored(links.union(_scanned(likely.join(sets, "node"), threshold_percent)), "links")
     groups = roots(links)
     of_print = nodes.join(groups, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
     joined = table.withColumn("own", F.when(F.col("doc_id").isNotNull(), F.col("print"))).join(of_print.withColumnRenamed("print", "own"), "own", "left")
