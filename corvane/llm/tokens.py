@@ -23,6 +23,8 @@ from corvane.llm.bytespans import BYTE_VALUES, LOWER_VALUES, SPACE, Block, span_
 
 #: Texts are handed to the library in batches of about so many bytes.
 BATCH_BYTES = 1 << 20
+#: A text of more than twice as many bytes is encoded in parts.
+PART_BYTES = 2 << 20
 #: Units that a worker remembers; the table starts anew beyond them.
 REMEMBERED = 3_000_000
 
@@ -181,13 +183,40 @@ class UnitEncoder:
             row, slots = row[order], slots[order]
         return row, slots
 
+    def _parts(self, block: Block) -> list[Block]:
+        """A block of one long text in parts of about PART_BYTES, cut before white space that follows an ASCII letter or digit; any other block as it is."""
+        n = int(block.sizes.sum())
+        if block.rows != 1 or n <= 2 * PART_BYTES or self.kind == "whole":
+            return [block]
+        u, edges = block.buffer, [0]
+        while n - edges[-1] > 2 * PART_BYTES:
+            low = edges[-1] + PART_BYTES
+            while True:  # the next border, looked for in stretches
+                stretch = u[low : min(low + PART_BYTES, n)]
+                found = np.flatnonzero(SPACE[stretch[1:]] & _ALNUM[stretch[:-1]]) if len(stretch) > 1 else stretch[:0]
+                if len(found) or low + len(stretch) >= n:
+                    break
+                low += len(stretch) - 1
+            if not len(found):
+                break
+            edges.append(low + int(found[0]) + 1)
+        return [Block(pa.array([u[a:b].tobytes()], pa.large_binary()), 0, 1) for a, b in zip(edges, [*edges[1:], n], strict=True)]
+
     def counts(self, block: Block) -> np.ndarray:
         """The number of tokens of each text."""
+        parts = self._parts(block)
+        if len(parts) > 1:
+            return np.array([sum(int(self.counts(p)[0]) for p in parts)])
         row, slots = self._units(block)
         return np.bincount(row, self.lengths[slots], block.rows).astype(np.int64)
 
     def encode(self, block: Block, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of the block's texts one after another, and the number of each; end_id follows each text."""
+        parts = self._parts(block)
+        if len(parts) > 1:
+            ids = [self.encode(p)[0] for p in parts] + [np.array([end_id], np.uint32)] * (end_id is not None)
+            whole = np.concatenate(ids)
+            return whole, np.array([len(whole)])
         row, slots = self._units(block)
         lengths = self.lengths[slots]
         before = np.cumsum(lengths) - lengths

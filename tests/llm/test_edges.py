@@ -295,3 +295,18 @@ def test_pipeline(spark, tmp_path):
         assert sorted(map(repr, after)) == sorted(map(repr, want)), name
         out.write.parquet(f"file://{tmp_path}/{k}")
         docs, before = spark.read.parquet(f"file://{tmp_path}/{k}"), after
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_long_texts_in_parts(path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "PART_BYTES", 50)
+    code = tokens.UnitEncoder(path)
+    for text in (LONG[:3000] + "é  日\n\n x", "z" * 500, "é " * 200, " " * 400, "a b" + " " * 300 + "c" * 300 + " d", "x<|endoftext|> " * 30):
+        (block,) = bytespans.text_blocks(pa.array([text]))
+        ids, counts = code.encode(block, 3)
+        assert ids.tolist() == [*brute.encode(path, text), 3] and counts.tolist() == [len(ids)]
+        assert code.counts(block).tolist() == [len(ids) - 1]
+    (block,) = bytespans.text_blocks(pa.array([LONG[:3000]]))
+    assert len(code._parts(block)) > 20
