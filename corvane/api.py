@@ -51,7 +51,16 @@ class Recall:
 
     def search_by_text(self, query: str, limit: int = retrieval.DEFAULT_LIMIT, filters: dict | None = None) -> DataFrame:
         messages = self.store.read("messages")
-        return fulltext.text_search(fulltext.postings(messages, "id"), fulltext.lengths(messages, "id"), query, limit, retrieval.equality_filters(messages, filters))
+        folder = self._index_folder()
+        index = fulltext.read_index(self.spark, folder) if self.store.has_folder(folder) else (fulltext.postings(messages, "id"), fulltext.lengths(messages, "id"))
+        return fulltext.text_search(*index, query, limit, retrieval.equality_filters(messages, filters))
+
+    def _index_folder(self) -> str:
+        return f"{self.store.root}/_index/{self.store.version('messages')}"
+
+    def rebuild_index(self) -> None:
+        """Writes the full-text index of the messages as they are; searches use it until the table changes."""
+        fulltext.write_index(self.store.read("messages"), "id", self._index_folder())
 
     def search(self, query: str, limit: int = retrieval.CLI_LIMIT, mode: str = "vector", topic: str | None = None) -> DataFrame:
         """Results with snippets and labels; ..topic.. hints are moved to the end of the query."""

@@ -12,7 +12,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -165,39 +165,81 @@ def _leaf(x: list, fields: tuple, field: str | None = None) -> tuple:
     return Phrase(words, prefix, field, first), x[1:] if prefix else x
 
 
-def _hits(index: DataFrame, phrase: Phrase) -> DataFrame:
-    """doc, field, pos of every place where the phrase begins: one equi-join per further word."""
-    found = None
-    for k, term in enumerate(phrase.terms):
-        last = k == len(phrase.terms) - 1
-        rows = index.filter(F.startswith("term", F.lit(term)) if phrase.prefix and last else F.col("term") == term)
-        if phrase.field:
-            rows = rows.filter(F.col("field") == phrase.field)
-        rows = rows.select("doc", "field", (F.col("pos") - k).alias("pos"))
-        found = rows if found is None else found.join(rows, ["doc", "field", "pos"], "left_semi")
-    return found.filter("pos = 0") if phrase.first else found
+def write_index(df: DataFrame, key: str, folder: str, fields: tuple[str, ...] = FIELDS) -> None:
+    """Writes the index of a table: postings sorted by term, so that a search reads only the row groups of its terms, and lengths."""
+    postings(df, key, fields).repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{folder}/postings")
+    lengths(df, key, fields).write.mode("overwrite").parquet(f"{folder}/lengths")
 
 
-def _docs(index: DataFrame, tree: object, phrases: list[Phrase]) -> DataFrame:
-    """The documents that a tree fits; gathers its phrases."""
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
+
+
+def _phrases(tree: object) -> list[Phrase]:
+    """All phrases of a tree, in order, each once."""
+    if isinstance(tree, Phrase):
+        return [tree]
+    if isinstance(tree, Near):
+        return list(dict.fromkeys(tree.phrases))
+    return list(dict.fromkeys(_phrases(tree.left) + _phrases(tree.right)))
+
+
+def _scored(tree: object) -> list[Phrase]:
+    """The phrases that count for the score: those on the right of a NOT don't."""
+    if isinstance(tree, Op):
+        return list(dict.fromkeys(_scored(tree.left) + ([] if tree.kind == "not" else _scored(tree.right))))
+    return _phrases(tree)
+
+
+def _is(phrase: Phrase, k: int, o: Column) -> Column:
+    """Whether an occurrence is the k-th word of a phrase."""
+    term = phrase.terms[k]
+    last = k == len(phrase.terms) - 1
+    found = F.startswith(o["term"], F.lit(term)) if phrase.prefix and last else o["term"] == term
+    return found & (o["field"] == phrase.field) if phrase.field else found
+
+
+def _follows(phrase: Phrase, k: int, o: Column, occurrences: Column) -> Column:
+    """Whether a phrase's k-th word stands k places after an occurrence."""
+    return F.exists(occurrences, lambda x: _is(phrase, k, x) & (x["field"] == o["field"]) & (x["pos"] == o["pos"] + k))
+
+
+def _starts(phrase: Phrase, occurrences: Column) -> Column:
+    """The occurrences at which a phrase begins."""
+
+    def begins(o: Column) -> Column:
+        found = _is(phrase, 0, o)
+        if phrase.first:
+            found = found & (o["pos"] == 0)
+        for k in range(1, len(phrase.terms)):
+            found = found & _follows(phrase, k, o, occurrences)
+        return found
+
+    return F.filter(occurrences, begins)
+
+
+def _fits(tree: object, at: dict[Phrase, Column]) -> Column:
+    """Whether a document, of which `at` has the places of each phrase, fits a tree."""
     if isinstance(tree, Phrase):
-        phrases.append(tree)
-        return _hits(index, tree).select("doc").distinct()
+        return F.size(at[tree]) > 0
     if isinstance(tree, Near):
-        phrases += tree.phrases
-        ends = [(F.col(f"p{k}") + len(p.terms) - 1).alias(f"e{k}") for k, p in enumerate(tree.phrases)]
-        found = functools.reduce(lambda a, b: a.join(b, ["doc", "field"]), [_hits(index, p).withColumnRenamed("pos", f"p{k}") for k, p in enumerate(tree.phrases)])
-        if len(tree.phrases) == 1:
-            return found.select("doc").distinct()
-        starts = [F.col(f"p{k}") for k in range(len(ends))]
         words = sum(len(p.terms) for p in tree.phrases)
-        return found.filter(F.greatest(*ends) - F.least(*starts) + 1 - words <= tree.distance).select("doc").distinct()
-    left = _docs(index, tree.left, phrases)
-    if tree.kind == "or":
-        return left.union(_docs(index, tree.right, phrases)).distinct()
-    if tree.kind == "not":
-        return left.join(_docs(index, tree.right, []), "doc", "left_anti")
-    return left.join(_docs(index, tree.right, phrases), "doc", "left_semi")
+
+        def near(rest: tuple[Phrase, ...], field: Column | None, low: Column | None, high: Column | None) -> Column:
+            if not rest:
+                return high - low + 1 - words <= tree.distance
+
+            def place(o: Column) -> Column:
+                end = o["pos"] + len(rest[0].terms) - 1
+                if field is None:
+                    return near(rest[1:], o["field"], o["pos"], end)
+                return (o["field"] == field) & near(rest[1:], field, F.least(low, o["pos"]), F.greatest(high, end))
+
+            return F.exists(at[rest[0]], place)
+
+        return _fits(tree.phrases[0], at) if len(tree.phrases) == 1 else near(tree.phrases, None, None, None)
+    left, right = _fits(tree.left, at), _fits(tree.right, at)
+    return left | right if tree.kind == "or" else left & ~right if tree.kind == "not" else left & right
 
 
 def idf(n_docs: Column, n_hits: Column) -> Column:
@@ -206,16 +248,24 @@ def idf(n_docs: Column, n_hits: Column) -> Column:
 
 
 def bm25(index: DataFrame, lengths: DataFrame, query: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """doc, bm25 (higher is better) of the documents that fit the query."""
-    phrases: list[Phrase] = []
-    docs = _docs(index, parse(query, fields), phrases)
-    parts = [_hits(index, p).groupBy("doc").agg(F.count("*").alias("tf")).withColumn("phrase", F.lit(k)) for k, p in enumerate(dict.fromkeys(phrases))]
-    hits = functools.reduce(DataFrame.unionByName, parts)
-    found = hits.groupBy("phrase").agg(F.count("*").alias("n_hits"))  # a row per phrase
+    """doc, bm25 (higher is better) of the documents that fit the query.
+
+    Only the query's terms are read; a document's occurrences of them come together in
+    one shuffle, and phrases, distances and the tree are evaluated on them in place.
+    """
+    tree = parse(query, fields)
+    phrases, scored = _phrases(tree), _scored(tree)
+    wanted = functools.reduce(lambda a, b: a | b, [F.startswith("term", F.lit(p.terms[-1])) if p.prefix and k == len(p.terms) - 1 else F.col("term") == t for p in phrases for k, t in enumerate(p.terms)])
+    docs = index.filter(wanted).groupBy("doc").agg(F.collect_list(F.struct("term", "field", "pos")).alias("o"))
+    docs = docs.select("doc", *[_starts(p, F.col("o")).alias(f"p{k}") for k, p in enumerate(phrases)])
+    at = {p: F.col(f"p{k}") for k, p in enumerate(phrases)}
+    found = docs.select("doc", _fits(tree, at).alias("fits"), *[F.size(at[p]).alias(f"tf{k}") for k, p in enumerate(scored)])
+    hits = found.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(scored))])
     corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
-    rows = hits.join(docs, "doc", "left_semi").join(F.broadcast(found), "phrase").join(lengths, "doc").crossJoin(F.broadcast(corpus))  # corpus: one row
-    part = idf(F.col("n_docs"), F.col("n_hits")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return rows.groupBy("doc").agg(F.sum(part).alias("bm25"))
+    rows = found.filter("fits").join(lengths, "doc").crossJoin(F.broadcast(hits)).crossJoin(F.broadcast(corpus))  # one row each
+    norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    parts = [idf(F.col("n_docs"), F.col(f"n{k}")) * F.col(f"tf{k}") * (K1 + 1) / (F.col(f"tf{k}") + norm) for k in range(len(scored))]
+    return rows.select("doc", functools.reduce(lambda a, b: a + b, parts).alias("bm25"))
 
 
 def text_search(index: DataFrame, lengths: DataFrame, query: str, limit: int = 10, messages: DataFrame | None = None, key: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:

@@ -94,10 +94,15 @@ class Store:
     def initialize(self) -> None:
         """Creates empty tables where there are none; safe to repeat."""
         for name, (schema, _) in TABLES.items():
-            if self._version(name) is None:
+            if self.version(name) is None:
                 self.write(name, self.spark.createDataFrame([], schema))
 
-    def _version(self, name: str) -> str | None:
+    def has_folder(self, path: str) -> bool:
+        fs, folder = self._fs(path)
+        return fs.exists(folder)
+
+    def version(self, name: str) -> str | None:
+        """The newest finished version's folder."""
         fs, folder = self._fs(f"{self.root}/{name}")
         if not fs.exists(folder):
             return None
@@ -105,18 +110,18 @@ class Store:
         return done[-1] if done else None
 
     def exists(self, name: str) -> bool:
-        return self._version(name) is not None
+        return self.version(name) is not None
 
     def read(self, name: str) -> DataFrame:
         """The newest finished version, with null columns where it is older than the schema."""
-        version = self._version(name)
+        version = self.version(name)
         if version is None:
             raise FileNotFoundError(f"{self.root}/{name}")
         return conform(self.spark.read.parquet(f"{self.root}/{name}/{version}"), TABLES[name][0])
 
     def write(self, name: str, df: DataFrame) -> None:
         """Writes the next version; the last but one and older are removed."""
-        version = self._version(name)
+        version = self.version(name)
         n = int(version.split("=")[1]) + 1 if version else 0
         conform(df, TABLES[name][0]).write.mode("overwrite").parquet(f"{self.root}/{name}/v={n:06d}")
         fs, folder = self._fs(f"{self.root}/{name}")

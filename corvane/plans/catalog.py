@@ -347,9 +347,9 @@ def first_word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, sf_dir, "text:^the")
 
 
-@query(_bm25_sql([_term("wher"), _term("thon")], "SELECT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.pos <> b.pos WHERE a.term = 'wher' AND b.term = 'thon' AND greatest(a.pos, b.pos) - least(a.pos, b.pos) - 1 <= 30"))
+@query(_bm25_sql([_term("of"), _term("thon")], "SELECT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.pos <> b.pos WHERE a.term = 'of' AND b.term = 'thon' AND greatest(a.pos, b.pos) - least(a.pos, b.pos) - 1 <= 3"))
 def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _searched(spark, sf_dir, "NEAR(wher thon, 30)")
+    return _searched(spark, sf_dir, "NEAR(of thon, 3)")
 
 
 @query("SELECT '..sql.. bintel' AS raw, 'bintel sql' AS query, 'sql' AS hints UNION ALL SELECT 'bintel ..sql..', 'bintel sql', 'sql' UNION ALL SELECT '..a..', 'a', 'a' UNION ALL SELECT 'plain', 'plain', '' UNION ALL SELECT 'x ..a.. y ..b c..', 'x  y a b c', 'a,b c'")

@@ -88,6 +88,8 @@ def test_ingest_and_search(recall):
     assert top[0]["id"] == "m7" and [r["rank"] for r in top] == [1, 2]
     assert recall.search('"python generators"', mode="text").first()["id"] == "m1"
     assert recall.search("flour NOT bread", mode="text").count() == 0
+    recall.rebuild_index()
+    assert recall.search('"python generators"', mode="text").first()["id"] == "m1"
     assert [round(r["score"], 3) for r in recall.search("generators", mode="text").orderBy("rank").collect()] == [0.5, 0.333]
     with pytest.raises(QuerySyntaxError):
         recall.search("c++ ?", mode="text").count()
