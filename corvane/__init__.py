@@ -1 +1 @@
-"""Conversation analytics and recall on Apache Spark."""
+"""Conversation analytics and search on Apache Spark."""

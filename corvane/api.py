@@ -16,7 +16,7 @@ from corvane.schema import MESSAGES, conform
 from corvane.sources import archive
 
 
-class Recall:
+class Conversations:
     """Messages, vectors and search over versioned tables below a folder."""
 
     def __init__(self, spark: SparkSession, root: str, profile: str | Profile = "default"):

@@ -6,7 +6,7 @@ import argparse
 import sys
 from datetime import datetime, timezone
 
-from corvane.api import Recall
+from corvane.api import Conversations
 from corvane.operators import retrieval, stats
 from corvane.plans import reindex
 from corvane.session import session
@@ -20,7 +20,7 @@ def _show(rows) -> None:
         print(f"{r['rank']:>3}  {r['score']:.4f}  [{r['label']}]  {r['author_role']}: {r['snippet']}")
 
 
-def interactive(recall: Recall, lines=sys.stdin) -> None:
+def interactive(talks: Conversations, lines=sys.stdin) -> None:
     """A line loop over searches."""
     limit, mode = retrieval.LINE_LIMIT, "vector"
     for line in lines:
@@ -31,7 +31,7 @@ def interactive(recall: Recall, lines=sys.stdin) -> None:
         if command == "/help":
             print(HELP)
         elif command == "/stats":
-            print(recall.get_statistics())
+            print(talks.get_statistics())
         elif command == "/limit" and rest.isdigit():
             limit = retrieval.clamp_limit(int(rest))
         elif command == "/mode" and rest in retrieval.MODES:
@@ -39,7 +39,7 @@ def interactive(recall: Recall, lines=sys.stdin) -> None:
         elif command.startswith("/"):
             print(HELP)
         else:
-            _show(recall.search(line, limit, mode).collect())
+            _show(talks.search(line, limit, mode).collect())
 
 
 def main(args: list[str] | None = None) -> int:
@@ -69,44 +69,44 @@ def main(args: list[str] | None = None) -> int:
     if told.command == "version":
         print(VERSION)
         return 0
-    recall = Recall(session(told.master), told.root, told.profile)
-    store, now = recall.store, datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    talks = Conversations(session(told.master), told.root, told.profile)
+    store, now = talks.store, datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     match told.command:
         case "init":
-            print(recall.import_archive(told.source, now))
+            print(talks.import_archive(told.source, now))
         case "search":
-            _show(recall.search(told.query, told.limit, told.mode, told.topic).collect())
+            _show(talks.search(told.query, told.limit, told.mode, told.topic).collect())
         case "stats":
-            print(recall.get_statistics())
+            print(talks.get_statistics())
         case "topics":
             messages = store.read("messages")
             print(stats.topic_totals(messages).first().asDict())
             for r in stats.topic_rollup(messages, limit=told.limit).collect():
                 print(f"{r['segment_topic']}: {r['messages']} messages, {r['conversations']} conversations, {r['span']}")
         case "reindex":
-            print(reindex.revectorize_outdated(store, recall.profile, now, limit=told.limit))
+            print(reindex.revectorize_outdated(store, talks.profile, now, limit=told.limit))
         case "refine":
-            print(reindex.refine_pending(store, recall.profile, now, limit=told.limit))
+            print(reindex.refine_pending(store, talks.profile, now, limit=told.limit))
         case "revectorize":
-            print(reindex.revectorize_dimension(store, recall.profile, now, told.limit))
+            print(reindex.revectorize_dimension(store, talks.profile, now, told.limit))
         case "reindex-full":
             from corvane.functions.embed import version_id
             from corvane.operators.pending import reindex_status
 
             if told.status:
-                version = version_id(recall.profile.embedder, recall.profile.dimension)
+                version = version_id(talks.profile.embedder, talks.profile.dimension)
                 print(reindex_status(store.read("messages"), store.read("message_content"), store.read("vectors"), version).first().asDict())
             else:
-                print(reindex.reindex_all(store, recall.profile, now, force=told.force))
+                print(reindex.reindex_all(store, talks.profile, now, force=told.force))
         case "rebuild":
-            print(reindex.rebuild(store, recall.profile, now, vectors_only=told.vectors_only, resume=told.resume))
+            print(reindex.rebuild(store, talks.profile, now, vectors_only=told.vectors_only, resume=told.resume))
         case "segment":
-            print(reindex.segment_pending(store, recall.profile.segment_threshold))
+            print(reindex.segment_pending(store, talks.profile.segment_threshold))
         case "migrate":
             for name in ("messages", "vectors", "message_content", "message_chunks"):
                 store.write(name, store.read(name))  # reading adds the columns that older versions lack
         case "interactive":
-            interactive(recall)
+            interactive(talks)
     return 0
 
 

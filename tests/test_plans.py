@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from corvane.api import Recall
+from corvane.api import Conversations
 from corvane.cli import interactive
 from corvane.operators.fulltext import QuerySyntaxError
 from corvane.plans import reindex
@@ -27,7 +27,7 @@ def conversation(name, nodes):
 
 @pytest.fixture
 def folder(tmp_path):
-    talks = [
+    exported = [
         conversation("c1", {
             "z": node("m1", "Can you explain python decorators and python generators?"),
             "a": node("m2", "Decorators wrap functions; generators yield values lazily.", "Assistant", 1700000001.0, metadata={"attachments": [{"id": "file-1"}]}),
@@ -41,15 +41,15 @@ def folder(tmp_path):
     path = tmp_path / "in"
     path.mkdir()
     with zipfile.ZipFile(path / "export.zip", "w") as z:
-        z.writestr("conversations.json", json.dumps(talks))
+        z.writestr("conversations.json", json.dumps(exported))
         z.writestr("user.json", "{}")
         z.writestr("files/file-1.png", b"")
     return path
 
 
 @pytest.fixture
-def recall(spark, folder, tmp_path):
-    made = Recall(spark, f"file://{tmp_path}/store", "lite")
+def talks(spark, folder, tmp_path):
+    made = Conversations(spark, f"file://{tmp_path}/store", "lite")
     made.import_archive(f"file://{folder}/export.zip", NOW)
     return made
 
@@ -80,30 +80,30 @@ def test_bad_archives(spark, tmp_path):
         archive.check(spark, f"file://{tmp_path}/empty.zip")
 
 
-def test_ingest_and_search(recall):
-    told = recall.get_statistics()
+def test_ingest_and_search(talks):
+    told = talks.get_statistics()
     assert told["total_messages"] == 5 and told["total_conversations"] == 2
     assert told["by_intent"]["question_explicit"] == 1
-    top = recall.search("bread oven flour", 2).collect()
+    top = talks.search("bread oven flour", 2).collect()
     assert top[0]["id"] == "m7" and [r["rank"] for r in top] == [1, 2]
-    assert recall.search('"python generators"', mode="text").first()["id"] == "m1"
-    assert recall.search("flour NOT bread", mode="text").count() == 0
-    recall.rebuild_index()
-    assert recall.search('"python generators"', mode="text").first()["id"] == "m1"
-    assert [round(r["score"], 3) for r in recall.search("generators", mode="text").orderBy("rank").collect()] == [0.5, 0.333]
+    assert talks.search('"python generators"', mode="text").first()["id"] == "m1"
+    assert talks.search("flour NOT bread", mode="text").count() == 0
+    talks.rebuild_index()
+    assert talks.search('"python generators"', mode="text").first()["id"] == "m1"
+    assert [round(r["score"], 3) for r in talks.search("generators", mode="text").orderBy("rank").collect()] == [0.5, 0.333]
     with pytest.raises(QuerySyntaxError):
-        recall.search("c++ ?", mode="text").count()
+        talks.search("c++ ?", mode="text").count()
     with pytest.raises(ValueError, match="unknown mode"):
-        recall.search("x", mode="hybrid")
-    assert recall.get_message_by_id("m6")["intent"] == "social" and recall.get_message_by_id("none") is None
-    assert [r["id"] for r in recall.get_conversation_messages("c2").collect()] == ["m6", "m7"]
-    assert recall.store.read("message_chunks").count() == 2
-    assert recall.store.read("source_files").first()["total_messages"] == 5
-    assert recall.save_messages_batch(recall.store.read("messages").limit(1)) and recall.get_statistics()["total_messages"] == 5
+        talks.search("x", mode="hybrid")
+    assert talks.get_message_by_id("m6")["intent"] == "social" and talks.get_message_by_id("none") is None
+    assert [r["id"] for r in talks.get_conversation_messages("c2").collect()] == ["m6", "m7"]
+    assert talks.store.read("message_chunks").count() == 2
+    assert talks.store.read("source_files").first()["total_messages"] == 5
+    assert talks.save_messages_batch(talks.store.read("messages").limit(1)) and talks.get_statistics()["total_messages"] == 5
 
 
-def test_incremental_runs(recall):
-    store, profile = recall.store, recall.profile
+def test_incremental_runs(talks):
+    store, profile = talks.store, talks.profile
     assert reindex.segment_pending(store, 0.05) == 5
     assert reindex.segment_pending(store, 0.05) == 0
     rows = {r["id"]: r for r in store.read("messages").collect()}
@@ -120,16 +120,16 @@ def test_incremental_runs(recall):
 
 
 def test_stream(spark, folder, tmp_path):
-    recall = Recall(spark, f"file://{tmp_path}/streamed", "express")
-    args = (recall.store, f"file://{folder}", f"file://{tmp_path}/checkpoint", recall.profile, NOW)
+    talks = Conversations(spark, f"file://{tmp_path}/streamed", "express")
+    args = (talks.store, f"file://{folder}", f"file://{tmp_path}/checkpoint", talks.profile, NOW)
     assert ingest_new(*args) == 1
     (folder / "copy.zip").write_bytes((folder / "export.zip").read_bytes())
     assert ingest_new(*args) == 0
-    assert recall.get_statistics()["total_messages"] == 5
+    assert talks.get_statistics()["total_messages"] == 5
 
 
-def test_interactive(recall, capsys):
-    interactive(recall, ["/help", "/limit 99", "/mode text", "decorators", "/stats", "/exit", "never"])
+def test_interactive(talks, capsys):
+    interactive(talks, ["/help", "/limit 99", "/mode text", "decorators", "/stats", "/exit", "never"])
     out = capsys.readouterr().out
     assert "/limit" in out and "decorators" in out.lower() and "total_messages" in out
 
