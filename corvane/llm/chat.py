@@ -108,7 +108,8 @@ def depths(edges: DataFrame) -> DataFrame:
     reach = 1
     while reach <= limit and not table.filter("up is not null").isEmpty():
         above = table.select(F.col("node").alias("up"), F.col("up").alias("upper"), F.col("depth").alias("more"))
-        table = stored(table.join(above, "up", "left").select("node", F.col("upper").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths")
+        moved = table.filter("up is not null").join(above, "up").select("node", F.col("upper").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        table = stored(table.filter("up is null").unionByName(moved), "depths")  # nodes that have met their root stay out of the join
         reach *= 2
     return table.select("node", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
