@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.embed import let
 from corvane.functions.text import is_blank, strip
 from corvane.schema import with_flags
 
@@ -67,15 +68,13 @@ def topic_words(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
 
 def top_words(words: Column, n: int = MAX_TOPICS) -> Column:
     """The n most frequent of an array, the first seen of equals first: sorted once, then counted by the borders of equal runs."""
-    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  a value computed once, not in each lambda call
-
     def ranked(s: Column) -> Column:
         borders = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
         run = lambda b: F.transform(b, lambda at, k: F.struct((at - F.coalesce(F.get(b, k + 1), F.size(s))).alias("n"), F.get(s, at)["i"].alias("i"), F.get(s, at)["w"].alias("w")))
-        return F.transform(F.slice(F.array_sort(bound(borders, run)), 1, n), lambda r: r["w"])
+        return F.transform(F.slice(F.array_sort(let(borders, run)), 1, n), lambda r: r["w"])
 
     placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    return F.when(F.size(words) > 0, bound(placed, ranked)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(words) > 0, let(placed, ranked)).otherwise(F.array().cast("array<string>"))
 
 
 def topics_of(df: DataFrame, key: str, text: str, stopwords: tuple[str, ...] = STOPWORDS, n: int = MAX_TOPICS) -> DataFrame:

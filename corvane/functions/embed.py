@@ -46,12 +46,16 @@ def hashing_embedding(text: Column, dimension: int = 64) -> Column:
     zero vector.
     """
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    digests = F.transform(words, lambda w: F.md5(w))
     bucket = lambda d: F.pmod(F.conv(F.substring(d, 1, 8), 16, 10).cast("bigint"), F.lit(dimension)).cast("int")
     sign = lambda d: F.when(F.conv(F.substring(d, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    parts = F.transform(digests, lambda d: F.struct(bucket(d).alias("b"), sign(d).alias("s")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(parts, F.lit(0.0), lambda a, p: a + F.when(p["b"] == i, p["s"]).otherwise(0.0)))
-    return unit(sums)
+    parts = F.transform(F.transform(words, lambda w: F.md5(w)), lambda d: F.struct(bucket(d).alias("b"), sign(d).alias("s")))
+    axes = F.sequence(F.lit(0), F.lit(dimension - 1))
+    return unit(let(parts, lambda p: F.transform(axes, lambda i: F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x["b"] == i, x["s"]).otherwise(0.0)))))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once; a plain expression is computed anew wherever a lambda mentions it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,8 +65,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """A vector at length one; the zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    return let(v, lambda w: let(F.sqrt(dot(w, w)), lambda norm: F.when(norm > 0, F.transform(w, lambda x: x / norm)).otherwise(w)))
 
 
 def clamped_cosine(a: Column, b: Column) -> Column:

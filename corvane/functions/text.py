@@ -156,16 +156,21 @@ def code_blocks(c: Column) -> Column:
     """Array of (language, code, line) of the fenced blocks; line counts from 1."""
     pattern = F.lit(r"(?dsU)```(\w+)?\n(.*?)```")
     whole, languages, codes = (F.regexp_extract_all(c, pattern, F.lit(i)) for i in range(3))
-    between = F.split(c, r"(?dsU)```(?:\w+)?\n(?:.*?)```", -1)
-    newlines = lambda a, n: F.length(F.array_join(F.slice(a, F.lit(1), n), "")) - F.length(F.replace(F.array_join(F.slice(a, F.lit(1), n), ""), F.lit("\n"), F.lit("")))
-    return F.transform(
-        whole,
-        lambda _, i: F.struct(
-            F.when(F.get(languages, i) == "", "text").otherwise(F.get(languages, i)).alias("language"),
-            strip(F.get(codes, i)).alias("code"),
-            (newlines(between, i + 1) + newlines(whole, i) + 1).alias("line"),
-        ),
-    )
+    found = F.struct(whole.alias("whole"), languages.alias("languages"), codes.alias("codes"), F.split(c, r"(?dsU)```(?:\w+)?\n(?:.*?)```", -1).alias("between"))
+    before = lambda a, n: F.array_join(F.slice(a, F.lit(1), n), "")
+    newlines = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+    def blocks(f: Column) -> Column:
+        return F.transform(
+            f["whole"],
+            lambda _, i: F.struct(
+                F.when(F.get(f["languages"], i) == "", "text").otherwise(F.get(f["languages"], i)).alias("language"),
+                strip(F.get(f["codes"], i)).alias("code"),
+                (newlines(before(f["between"], i + 1)) + newlines(before(f["whole"], i)) + 1).alias("line"),
+            ),
+        )
+
+    return F.transform(F.array(found), blocks)[0]  # the texts are searched once, not for each block
 
 
 def content_hash(c: Column) -> Column:

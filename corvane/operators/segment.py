@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.embed import unit
 from corvane.functions.text import title_case
 
 THRESHOLD = 0.5
@@ -86,5 +87,4 @@ def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """keys, centroid: the mean vector of each group at unit length (a zero mean stays zero); partial sums per position."""
     parts = df.select(*keys, F.posexplode(vector).alias("i", "x")).groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     whole = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
-    norm = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x))
-    return whole.select(*keys, F.when(norm > 0, F.transform("mean", lambda x: x / norm)).otherwise(F.col("mean")).alias("centroid"))
+    return whole.select(*keys, unit(F.col("mean")).alias("centroid"))
