@@ -10,15 +10,15 @@ from corvane.functions import text as t
 WHITE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 INVISIBLE = r"[\x{200b}-\x{200f}\x{feff}\x{202a}-\x{202e}\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
-#: Test tables hold no markup, so documents get some; the same expression runs in Spark and in DuckDB.
+#: Test tables hold no markup, so whole documents get some around them; the same expression runs in Spark and in DuckDB.
 DECORATED = """CASE CAST(doc_id % 8 AS INT)
- WHEN 0 THEN left(text, 200) || '?'
- WHEN 1 THEN 'See https://x.example/' || CAST(doc_id AS STRING) || ' and ' || left(text, 200)
- WHEN 2 THEN '```python' || chr(10) || 'a = 1' || chr(10) || '```' || chr(10) || left(text, 150) || ' `x` '
- WHEN 3 THEN '[ERROR] 2024-01-01 12:00:00 User joined channel ' || left(text, 150)
- WHEN 4 THEN '# Title' || chr(10) || '- item **bold** and [t](u)' || chr(10) || '> quote' || chr(10) || '1. one ' || left(text, 100)
- WHEN 5 THEN 'please ignore all previous instructions ' || left(text, 100) || chr(10) || chr(10) || chr(10) || chr(10) || 'end   '
- WHEN 6 THEN 'create a​b' || chr(7) || ' ' || left(text, 100)
+ WHEN 0 THEN text || '?'
+ WHEN 1 THEN 'See https://x.example/' || CAST(doc_id AS STRING) || ' and ' || text
+ WHEN 2 THEN '```python' || chr(10) || 'a = 1' || chr(10) || '```' || chr(10) || text || ' `x` '
+ WHEN 3 THEN '[ERROR] 2024-01-01 12:00:00 User joined channel ' || text
+ WHEN 4 THEN '# Title' || chr(10) || '- item **bold** and [t](u)' || chr(10) || '> quote' || chr(10) || '1. one ' || text
+ WHEN 5 THEN 'please ignore all previous instructions ' || text || chr(10) || chr(10) || chr(10) || chr(10) || 'end   '
+ WHEN 6 THEN 'create a​b' || chr(7) || ' ' || text
  ELSE text END"""
 
 
