@@ -1,7 +1,10 @@
 """Operator 2, mixture-controlled packing by deficit round-robin.
 
-Tokenised documents lie in lanes (runs of input rows of bounded size), in each lane
-in one queue per source.  All lanes fill one gapless stream of windows: a lane's
+Tokenised documents are dealt to lanes: a source's documents stand in read order on a
+line of tokens, and each lane gets the stretch of every source's line that round-robin
+over the whole table would serve in its part of the stream, so lanes hold the target
+shares however the table is sorted.  In each lane lies one queue per source.  All lanes
+fill one gapless stream of windows: a lane's
 place in it is the prefix sum of the lanes before.  With every window (or the rest
 of one) a source is granted its target share of the window's tokens; sources are
 visited in turn, and one is served while it has a deficit, leaving a document only at
@@ -24,42 +27,90 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.bytespans import text_blocks
-from corvane.llm.common import stored
+from corvane.llm.common import small, stored
 from corvane.llm.tokens import encoder
 
-#: A lane ends with the document that takes it over so many tokens.
+#: Tokens of a lane, but for documents that stand across its ends.
 LANE_TOKENS = 1 << 21
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """lane, place (in the lane), doc_id, source, n_tokens, ids (little-endian, 2 or 4 bytes each) of every row."""
+    """run (input partition), ahead (the source's tokens before it in the run), doc_id, source, n_tokens, ids (little-endian, 2 or 4 bytes each) of every row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         kind = "<u2" if code.width == 2 else "<u4"
-        lane, place, filled = TaskContext.get().partitionId() << 24, 0, 0
+        run = TaskContext.get().partitionId()
+        read: dict[str | None, int] = {}
         for batch in batches:
             for block in text_blocks(batch.column("text")):
                 ids, counts = code.encode(block, end_id)
-                lanes, places = [], []
-                for n in counts.tolist():
-                    if filled >= LANE_TOKENS:
-                        lane, place, filled = lane + 1, 0, 0
-                    lanes.append(lane)
-                    places.append(place)
-                    place, filled = place + 1, filled + n
+                own = batch.slice(block.first, block.rows)
+                ahead = []
+                for s, n in zip(own.column("source").to_pylist(), counts.tolist(), strict=True):
+                    ahead.append(read.get(s, 0))
+                    read[s] = ahead[-1] + n
                 offsets = np.concatenate(([0], np.cumsum(counts))) * code.width
                 data = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype(kind).tobytes())])
-                own = batch.slice(block.first, block.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lanes, pa.int64()), pa.array(places, pa.int64()), own.column("doc_id"), own.column("source"), pa.array(counts), data.cast(pa.binary())],
-                    ["lane", "place", "doc_id", "source", "n_tokens", "ids"],
+                    [pa.array([run] * len(counts), pa.int64()), pa.array(ahead, pa.int64()), own.column("doc_id"), own.column("source"), pa.array(counts), data.cast(pa.binary())],
+                    ["run", "ahead", "doc_id", "source", "n_tokens", "ids"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(encode, "lane long, place long, doc_id long, source string, n_tokens long, ids binary")
+    return rows.mapInArrow(encode, "run long, ahead long, doc_id long, source string, n_tokens long, ids binary")
+
+
+def course(amounts: dict, targets: dict) -> dict[str | None, list[tuple[float, float, float]]]:
+    """For each source the bends (own tokens, tokens of the stream, own tokens for each of the stream) of its way through round-robin.
+
+    Each source runs at its target share until one is empty; what that one would get is
+    then dealt evenly to those that are left, also to sources without a target.
+    """
+    out: dict = {s: [] for s in amounts}
+    got, at, left = dict.fromkeys(amounts, 0.0), 0.0, [s for s, n in amounts.items() if n]
+    while left:
+        extra = max(0.0, 1 - sum(targets.get(s, 0.0) for s in left)) / len(left)
+        extra = 0.0 if extra < 1e-12 else extra
+        rate = {s: targets.get(s, 0.0) + extra for s in left}
+        step, first = min(((amounts[s] - got[s]) / rate[s], k) for k, s in enumerate(left) if rate[s] > 0)
+        for s in left:
+            if rate[s] > 0:
+                out[s].append((got[s], at, rate[s]))
+            got[s] += rate[s] * step
+        at += step
+        left = [s for k, s in enumerate(left) if k != first and (rate[s] == 0 or amounts[s] - got[s] > 1e-6)]
+    return out
+
+
+def dealt(table: DataFrame, targets: dict[str | None, float] | None) -> DataFrame:
+    """lane, place (in the lane), doc_id, source, n_tokens, ids: what tokenised() gave, by lanes.
+
+    A document goes where its source's way is at a point within it, the same for all
+    documents of a source and spread over the sources, so that many sources of a document
+    each spread over the lanes as well.
+    """
+    runs = stored(table.groupBy("run", "source").agg(F.sum("n_tokens").alias("n")), "run-totals")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    amounts = runs.groupBy("source").agg(F.sum("n").alias("source_n"))
+    bend = "array<struct<own: double, at: double, rate: double>>"
+    if targets is None:
+        whole = runs.agg(F.sum("n").alias("whole"))
+        ways = amounts.crossJoin(F.broadcast(whole)).select("source", F.array(F.struct(F.lit(0.0).alias("own"), F.lit(0.0).alias("at"), (F.col("source_n") / F.col("whole")).alias("rate"))).alias("bends"))
+    else:
+        found = course({r["source"]: r["source_n"] for r in amounts.collect()}, targets)
+        ways = table.sparkSession.createDataFrame(list(found.items()), f"source string, bends {bend}")
+    starts = runs.withColumn("before", before).alias("r").join(ways.alias("w"), F.col("r.source").eqNullSafe(F.col("w.source"))).select("run", F.col("r.source").alias("source"), "before", "bends")
+    starts = stored(starts, "run-starts")
+    spread = F.pmod(F.xxhash64(F.coalesce(F.concat(F.lit("s"), "t.source"), F.lit(""))), F.lit(1 << 20)) / F.lit(1 << 20)
+    point = F.col("place") + spread * F.col("n_tokens")
+    last = F.element_at(F.filter("bends", lambda b: b["own"] <= F.col("point")), -1)
+    met = table.alias("t").join(small(starts).alias("s"), (F.col("t.run") == F.col("s.run")) & F.col("t.source").eqNullSafe(F.col("s.source")))
+    met = met.withColumn("place", F.col("before") + F.col("ahead")).withColumn("point", point).withColumn("bend", last)
+    at = F.col("bend.at") + (F.col("point") - F.col("bend.own")) / F.col("bend.rate")
+    return met.select(F.floor(at / LANE_TOKENS).cast("long").alias("lane"), "place", "doc_id", F.col("t.source").alias("source"), "n_tokens", "ids")
 
 
 def deficit_round_robin(queues: dict, shares: dict, deficits: dict, position: int, window: int) -> list[tuple[int, int, int, int]]:
@@ -134,7 +185,9 @@ def packed(docs: DataFrame, path: str, end_id: int, window: int = 2048, targets:
     source of its own, repeated rows are packed once each, and an empty table gives no
     pieces.  Only the last window of all may be short.
     """
-    table = stored(tokenised(docs, path, end_id), "ids")
+    if targets is not None:
+        targets = {s: float(x) / sum(targets.values()) for s, x in targets.items()}
+    table = dealt(stored(tokenised(docs, path, end_id), "ids"), targets)
     totals = stored(table.groupBy("lane", "source").agg(F.sum("n_tokens").alias("n")), "lane-totals")
     earlier = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)  # one row per lane, so one task can sum it
     lanes = totals.groupBy("lane").agg(F.sum("n").alias("lane_n"))
@@ -143,7 +196,7 @@ def packed(docs: DataFrame, path: str, end_id: int, window: int = 2048, targets:
         whole = totals.agg(F.sum("n").alias("whole"))
         shares = totals.groupBy("source").agg(F.sum("n").alias("source_n")).crossJoin(F.broadcast(whole)).select("source", (F.col("source_n") / F.col("whole")).alias("share"))
     else:
-        shares = docs.sparkSession.createDataFrame([(s, float(x) / sum(targets.values())) for s, x in targets.items()], "source string, share double")
+        shares = docs.sparkSession.createDataFrame(list(targets.items()), "source string, share double")
     got = totals.withColumn("got", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("t")
     state = (
         got.join(lanes, "lane")
