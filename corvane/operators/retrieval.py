@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ MODES = ("vector", "text")
 #: Limits of the front ends, and the diagnostic threshold.
 DEFAULT_LIMIT, LINE_LIMIT, LEAST_LIMIT, MOST_LIMIT, SCREEN_LIMIT, CLI_LIMIT = 10, 5, 1, 50, 20, 10
 SCORE_THRESHOLD = 0.3
-#: Queries up to which a batch search holds them as a broadcast side.
+#: Queries that a batch search holds as a broadcast side at once.
 BATCH_QUERIES = 10_000
 
 
@@ -57,14 +58,21 @@ def vector_search(vectors: DataFrame, query: list[float], limit: int = DEFAULT_L
 
 
 def batch_search(vectors: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, key: str = "entity_id", vector: str = "vector") -> DataFrame:
-    """The nearest rows to each of a small set of queries (query_id, query).
+    """The nearest rows to each of any number of queries (query_id, query).
 
-    A stated set of queries against all rows: the queries are the broadcast side, checked
-    to be few, and each partition keeps its own best before the ranks are merged.
+    All queries against all rows, in blocks of about BATCH_QUERIES by a hash of their id:
+    a block is the broadcast side, and each partition keeps its own best before the ranks
+    are merged.
     """
-    n = queries.count()
-    if n > BATCH_QUERIES:
-        raise ValueError(f"{n} queries; search in batches of {BATCH_QUERIES}")
+    blocks = -(-queries.count() // BATCH_QUERIES)
+    if blocks <= 1:
+        return _block_search(vectors, queries, limit, key, vector)
+    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    found = [_block_search(vectors, numbered.filter(F.col("block") == k).drop("block"), limit, key, vector) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _block_search(vectors: DataFrame, queries: DataFrame, limit: int, key: str, vector: str) -> DataFrame:
     pairs = vectors.join(F.broadcast(queries), F.size(vector) == F.size("query")).select("query_id", key, dot(F.col(vector), F.col("query")).alias("score"))
     local = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), key)
     best = pairs.withColumn("part", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("n", F.row_number().over(local)).filter(F.col("n") <= limit)

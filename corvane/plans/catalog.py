@@ -265,11 +265,11 @@ def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
-    (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20)) WHERE rank <= 5"""
+    (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rank <= 5"""
 )
 def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = embedding_vectors(spark, sf_dir)
-    asked = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))  # the queries asked, against all rows
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))  # the queries asked, against all rows
     return retrieval.batch_search(vectors, asked, 5, "vec_id").withColumn("score", rounded("score"))
 
 
