@@ -109,9 +109,9 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.chunk_rows(rows, NOW, "text", None).select("chunk_id", "message_id", "sequence", "chunk_text")
 
 
-@query(f"SELECT doc_id, {q.title_case('left(text, 80)')} AS title FROM documents")
+@query(f"SELECT doc_id, {q.title_case('text')} AS title FROM documents")
 def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.title_case(F.left("text", F.lit(80))).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.title_case(F.col("text")).alias("title"))
 
 
 _FLAT = q.strip(f"regexp_replace(text, {q.quoted(q.WHITE + '+')}, ' ', 'g')")
@@ -428,11 +428,11 @@ def pending_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending.needs_segmentation(messages, vectors)
 
 
-@query("SELECT entity_id, entity_type FROM (SELECT 'm' || doc_id AS entity_id, 'message' AS entity_type, 0 AS p FROM documents WHERE doc_id < 30 UNION ALL SELECT 'c' || doc_id, 'chunk', 1 FROM documents) ORDER BY p, entity_id LIMIT 50")
+@query("SELECT entity_id, entity_type FROM (SELECT 'm' || doc_id AS entity_id, 'message' AS entity_type, 0 AS p FROM documents WHERE lang = 'fr' UNION ALL SELECT 'c' || doc_id, 'chunk', 1 FROM documents WHERE lang IS DISTINCT FROM 'fr') ORDER BY p, entity_id LIMIT 50")
 def messages_then_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
-    messages = rows.filter("doc_id < 30").select(F.concat(F.lit("m"), "doc_id").alias("id"), F.col("text").alias("vectorizable_content"))
-    parts = rows.select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.lit(None).cast("string").alias("refined_text"))
+    messages = rows.filter("lang = 'fr'").select(F.concat(F.lit("m"), "doc_id").alias("id"), F.col("text").alias("vectorizable_content"))
+    parts = rows.filter("NOT lang <=> 'fr'").select(F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.lit(None).cast("string").alias("refined_text"))
     return pending.messages_then_chunks(messages, parts, 50).select("entity_id", "entity_type")
 
 
