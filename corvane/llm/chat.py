@@ -13,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import stored
@@ -119,15 +119,19 @@ def formatted(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
 
     depth orders a conversation topologically: a message follows its parent, a result
     follows its call.  valid is null but for calls: whether the arguments are JSON that
-    keeps the tool's schema (tools: schema by name).  Null contents are JSON null;
-    repeated messages are kept once; an empty table gives an empty one.
+    keeps the tool's schema (tools: schema by name).  Null contents are JSON null; rows
+    equal in all columns are kept once; of different rows of one message, all are kept
+    and what follows the message follows one of them, always the same; nothing follows a
+    null message.  An empty table gives an empty one.
     """
-    once = messages.dropDuplicates(["conversation", "message"])
-    table = stored(linked(once), "linked")
     key = lambda m: F.xxhash64("conversation", F.col(m))
-    follows = table.filter("call_id is not null").select("conversation", F.col("call_id").alias("result_of"), F.col("message").alias("_call")).dropDuplicates(["conversation", "result_of"])
+    same = Window.partitionBy("conversation", "message").orderBy("_row")
+    rows = messages.withColumn("_row", F.xxhash64(*messages.columns, *(F.col(c).isNull() for c in messages.columns))).withColumn("_before", F.lag("_row").over(same))
+    once = rows.filter("_before is null or _before != _row").withColumn("node", F.when(F.col("message").isNotNull() & F.col("_before").isNull(), key("message")).otherwise(F.col("_row")))
+    table = stored(linked(once.drop("_row", "_before")), "linked")
+    follows = table.filter("call_id is not null").groupBy("conversation", F.col("call_id").alias("result_of")).agg(F.min("message").alias("_call"))
     table = table.join(follows, ["conversation", "result_of"], "left").withColumn("_up", F.coalesce("_call", "parent"))
-    table = stored(table.withColumns({"node": key("message"), "up": F.when(F.col("_up").isNotNull(), key("_up"))}), "nodes")
+    table = stored(table.withColumn("up", F.when(F.col("_up").isNotNull(), key("_up"))), "nodes")
     order = depths(table.select("node", F.col("up").alias("parent")))
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +162,12 @@ def formatted(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
 def as_calls(conversations: DataFrame) -> DataFrame:
     """The conversations table as messages: a user turn calls the tool `reply`, an assistant turn is the result of the turn before.
 
-    A null role is a plain message; a null text is an empty prompt, which the schema
+    A null role or turn is a plain message; a null text is an empty prompt, which the schema
     rejects; the call identifier is the turn.
     """
     turn = F.col("turn").cast("long")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    asks = F.lower("role") == "user"
+    asks = (F.lower("role") == "user") & turn.isNotNull()
     return conversations.select(
         F.col("conv_id").cast("long").alias("conversation"),
         turn.alias("message"),
