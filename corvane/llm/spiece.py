@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.bytespans import BYTE_VALUES, Block, span_hashes, text_blocks
-from corvane.llm.tokens import REMEMBERED, _Table
+from corvane.llm.tokens import UnitIds
 
 SPACE = "▁"
 #: A character without a piece costs so much more than the worst piece (unigram models).
@@ -192,22 +192,7 @@ class PieceEncoder:
         if not any(p.rstrip(SPACE) != p and p.strip(SPACE) for p in self.model.ids):
             apart[128:, 0x20] = True  # no piece goes from another character to a space
         self.apart = apart.ravel()
-        self._forget()
-
-    def _forget(self) -> None:
-        self.table, self.n, self.used = _Table(), 0, 0
-        self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _store(self, text: str) -> int:
-        ids = self.model.encode_unit(text)
-        if self.n == len(self.lengths):
-            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[self.n], self.lengths[self.n] = self.used, len(ids)
-        self.used, self.n = self.used + len(ids), self.n + 1
-        return self.n - 1
+        self.units = UnitIds()
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block's texts, and the number of each."""
@@ -227,27 +212,15 @@ class PieceEncoder:
         whole = np.unique(np.searchsorted(begin, marked, "right") - 1)  # texts that hold U+2581 itself
         full &= ~np.isin(row, whole)
         starts, ends, row = starts[full], ends[full], row[full]
-        hashes = span_hashes(u, starts, ends, BYTE_VALUES)
-        hashes[hashes == 0] = 1
-        if self.table.count > REMEMBERED:
-            self._forget()
-        slots = self.table.find(hashes)
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            distinct, where, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            at, raw = new[where], u.tobytes()
-            made = np.array([self._store(raw[s:e].decode().replace(" ", SPACE)) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], np.int32)
-            self.table.add(distinct, made)
-            slots[new] = made[back]
+        self.units.limit()
+        raw, one = u.tobytes(), self.model.encode_unit
+        slots = self.units.slots(u, starts, ends, span_hashes(u, starts, ends, BYTE_VALUES), lambda a, b: (one(raw[s:e].decode().replace(" ", SPACE)) for s, e in zip(a, b, strict=True)))
         if len(whole):
-            extra = np.array([self._store((" " + block.text(k)).replace(" ", SPACE)) for k in whole], np.int32)
+            extra = self.units.put(one((" " + block.text(k)).replace(" ", SPACE)) for k in whole)
             row, slots = np.concatenate((row, whole)), np.concatenate((slots, extra))
             order = np.argsort(row, kind="stable")
             row, slots = row[order], slots[order]
-        lengths = self.lengths[slots]
-        before = np.cumsum(lengths) - lengths
-        ids = self.ids[np.repeat(self.starts[slots] - before, lengths) + np.arange(lengths.sum())]
-        return ids, np.bincount(row, lengths, rows).astype(np.int64)
+        return self.units.ids_of(slots), np.bincount(row, self.units.lengths[slots], rows).astype(np.int64)
 
 
 _encoders: dict[tuple, PieceEncoder] = {}

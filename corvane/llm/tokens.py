@@ -3,7 +3,8 @@
 Texts are cut at boundaries that no token of the vocabulary can cross (`safe units`:
 white space, and the border of an ASCII letter or digit with ASCII punctuation);
 each distinct unit goes once through the tokenizers library, in batches balanced by
-bytes, and a bounded per-worker table remembers its ids.  A text that holds anything
+bytes, and a bounded per-worker table remembers its ids: units are found by hash and
+confirmed by their bytes.  A text that holds anything
 for which such a border isn't safe (special-token strings, Unicode spaces or control
 characters next to white space) is encoded whole by the library.
 """
@@ -12,21 +13,24 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.bytespans import BYTE_VALUES, LOWER_VALUES, SPACE, Block, span_hashes, text_blocks, utf8
+from corvane.llm.bytespans import BYTE_VALUES, LOWER_BYTES, SPACE, Block, span_hashes, spread, text_blocks, utf8
 
 #: Texts are handed to the library in batches of about so many bytes.
 BATCH_BYTES = 1 << 20
 #: A text of more than twice as many bytes is encoded in parts.
 PART_BYTES = 2 << 20
-#: Units that a worker remembers; the table starts anew beyond them.
-REMEMBERED = 3_000_000
+#: Units that a worker remembers, and the bytes of them, and their ids; the table starts anew beyond them.
+REMEMBERED, REMEMBERED_BYTES, REMEMBERED_IDS = 3_000_000, 48 << 20, 12 << 20
+#: Spans of more bytes are compared one by one.
+_LONG_SPAN = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _PUNCT, _ALNUM, _CONTROL = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 for _b in range(0x21, 0x7F):
@@ -73,6 +77,85 @@ class _Table:
             hashes, slots, at = hashes[left], slots[left], (at[left] + 1) & ((1 << self.bits) - 1)
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """a, or a longer copy of it that has n places."""
+    while len(a) < n:
+        a = np.concatenate((a, np.zeros_like(a)))
+    return a
+
+
+class UnitIds:
+    """The ids of units of text by slot; a unit's slot is found by its hash and confirmed by its bytes."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.table, self.n, self.used, self.held_used = _Table(), 0, 0, 0
+        self.ids, self.held = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint8)
+        self.starts, self.lengths, self.held_at, self.held_size = (np.zeros(1 << 14, np.int64) for _ in range(4))
+
+    def limit(self) -> None:
+        """Starts anew if too much is held; slots given out before count no more."""
+        if self.n > REMEMBERED or self.held_used > REMEMBERED_BYTES or self.used > REMEMBERED_IDS:
+            self.forget()
+
+    def put(self, lists: Iterable[Sequence[int]]) -> np.ndarray:
+        """Keeps some lists of ids; their slots."""
+        first = self.n
+        for ids in lists:
+            self.ids = _room(self.ids, self.used + len(ids))
+            self.starts, self.lengths = _room(self.starts, self.n + 1), _room(self.lengths, self.n + 1)
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.starts[self.n], self.lengths[self.n] = self.used, len(ids)
+            self.used, self.n = self.used + len(ids), self.n + 1
+        return np.arange(first, self.n, dtype=np.int32)
+
+    def slots(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, encode: Callable[[list[int], list[int]], Iterable[Sequence[int]]]) -> np.ndarray:
+        """The slot of each span; encode(starts, ends) gives the ids of new ones.  Spans that share a hash with another are encoded by themselves."""
+        hashes[hashes == 0] = 1
+        found = self.table.find(hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            distinct, where, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            at = new[where]
+            made = self.put(encode(starts[at].tolist(), ends[at].tolist()))
+            sizes = ends[at] - starts[at]
+            total = int(sizes.sum())
+            self.held = _room(self.held, self.held_used + total + 8)
+            self.held[self.held_used : self.held_used + total] = buffer[spread(starts[at], sizes)]
+            self.held_at, self.held_size = _room(self.held_at, self.n), _room(self.held_size, self.n)
+            self.held_at[made], self.held_size[made] = self.held_used + np.cumsum(sizes) - sizes, sizes
+            self.held_used += total
+            self.table.add(distinct, made)
+            found[new] = made[back]
+        other = np.flatnonzero(self._differ(buffer, starts, ends - starts, found))
+        if len(other):
+            found[other] = self.put(encode(starts[other].tolist(), ends[other].tolist()))
+        return found
+
+    def _differ(self, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Which spans aren't the bytes that their slot holds; eight bytes of all spans are compared at a time."""
+        out = self.held_size[slots] != sizes
+        mine = np.ndarray((len(buffer) + 1,), "<u8", np.concatenate((buffer, np.zeros(8, np.uint8))), strides=(1,))
+        kept = np.ndarray((len(self.held) - 7,), "<u8", self.held, strides=(1,))
+        for k in np.flatnonzero(~out & (sizes > _LONG_SPAN)).tolist():
+            at = self.held_at[slots[k]]
+            out[k] = not np.array_equal(buffer[starts[k] : starts[k] + sizes[k]], self.held[at : at + sizes[k]])
+        todo = np.flatnonzero(~out & (sizes <= _LONG_SPAN))
+        a, b, left = starts[todo], self.held_at[slots[todo]], sizes[todo]
+        while len(todo):
+            bad = ((mine[a] ^ kept[b]) & _MASKS[np.minimum(left, 8)]) != 0
+            out[todo[bad]] = True
+            on = ~bad & (left > 8)
+            todo, a, b, left = todo[on], a[on] + 8, b[on] + 8, left[on] - 8
+        return out
+
+    def ids_of(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of slots, one after another."""
+        return self.ids[spread(self.starts[slots], self.lengths[slots])]
+
+
 class UnitEncoder:
     """Encodes blocks of texts with a tokenizers file, as the library would text by text."""
 
@@ -98,33 +181,19 @@ class UnitEncoder:
         else:
             self.kind = "whole"
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._forget()
-
-    def _forget(self) -> None:
-        self.table = _Table()
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths, self.n_slots = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    def _store(self, texts: list[str]) -> np.ndarray:
-        """Encodes texts in batches balanced by bytes; returns their slots."""
-        first, batch, size = self.n_slots, [], 0
-        for k, text in enumerate(texts):
-            batch.append(text)
+        self.units = UnitIds()
+
+    def _encoded(self, texts: Iterable[bytes]) -> Iterator[list[int]]:
+        """The ids of texts, which go to the library in batches balanced by bytes."""
+        batch, size = [], 0
+        for text in texts:
+            batch.append(text.decode())
             size += len(text)
-            if size >= BATCH_BYTES or k == len(texts) - 1:
-                for encoding in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False):
-                    ids = encoding.ids
-                    while self.used + len(ids) > len(self.ids):
-                        self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-                    if self.n_slots == len(self.starts):
-                        self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-                        self.lengths = np.concatenate((self.lengths, np.zeros_like(self.lengths)))
-                    self.ids[self.used : self.used + len(ids)] = ids
-                    self.starts[self.n_slots], self.lengths[self.n_slots] = self.used, len(ids)
-                    self.used += len(ids)
-                    self.n_slots += 1
+            if size >= BATCH_BYTES:
+                yield from (e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))
                 batch, size = [], 0
-        return np.arange(first, self.n_slots, dtype=np.int32)
+        if batch:
+            yield from (e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))
 
     def _unsafe_rows(self, block: Block) -> np.ndarray:
         u = block.buffer
@@ -142,9 +211,10 @@ class UnitEncoder:
 
     def _units(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """The row and the slot of each unit, in order."""
+        self.units.limit()
         rows = np.arange(block.rows)
         if self.kind == "whole":
-            return rows, self._store([block.text(k) for k in rows])
+            return rows, self.units.put(self._encoded(block.raw(k) for k in rows))
         u, space = block.buffer, SPACE[block.buffer]
         a, b = u[:-1], u[1:]
         cut = np.ones(len(u) + 1, bool)
@@ -164,21 +234,12 @@ class UnitEncoder:
         if len(unsafe):
             safe = ~np.isin(row, unsafe)
             starts, ends, row = starts[safe], ends[safe], row[safe]
-        hashes = span_hashes(u, starts, ends, LOWER_VALUES if self.kind == "words" else BYTE_VALUES)
-        hashes[hashes == 0] = 1
-        if self.table.count > REMEMBERED:
-            self._forget()
-        slots = self.table.find(hashes)
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            distinct, where, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            at = new[where]
-            data = u.tobytes()
-            made = self._store([data[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            self.table.add(distinct, made)
-            slots[new] = made[back]
+        if self.kind == "words":
+            u = LOWER_BYTES[u]
+        data = u.tobytes()
+        slots = self.units.slots(u, starts, ends, span_hashes(u, starts, ends, BYTE_VALUES), lambda a, b: self._encoded(data[s:e] for s, e in zip(a, b, strict=True)))
         if len(unsafe):
-            row, slots = np.concatenate((row, unsafe)), np.concatenate((slots, self._store([block.text(k) for k in unsafe])))
+            row, slots = np.concatenate((row, unsafe)), np.concatenate((slots, self.units.put(self._encoded(block.raw(k) for k in unsafe))))
             order = np.argsort(row, kind="stable")
             row, slots = row[order], slots[order]
         return row, slots
@@ -208,7 +269,7 @@ class UnitEncoder:
         if len(parts) > 1:
             return np.array([sum(int(self.counts(p)[0]) for p in parts)])
         row, slots = self._units(block)
-        return np.bincount(row, self.lengths[slots], block.rows).astype(np.int64)
+        return np.bincount(row, self.units.lengths[slots], block.rows).astype(np.int64)
 
     def encode(self, block: Block, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of the block's texts one after another, and the number of each; end_id follows each text."""
@@ -218,10 +279,8 @@ class UnitEncoder:
             whole = np.concatenate(ids)
             return whole, np.array([len(whole)])
         row, slots = self._units(block)
-        lengths = self.lengths[slots]
-        before = np.cumsum(lengths) - lengths
-        ids = self.ids[np.repeat(self.starts[slots] - before, lengths) + np.arange(lengths.sum())]
-        counts = np.bincount(row, lengths, block.rows).astype(np.int64)
+        ids = self.units.ids_of(slots)
+        counts = np.bincount(row, self.units.lengths[slots], block.rows).astype(np.int64)
         if end_id is not None:
             ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
         return ids, counts
