@@ -1,17 +1,15 @@
 """Operator 2, mixture-controlled packing by deficit round-robin.
 
-Tokenised documents are dealt to lanes: a source's documents stand in read order on a
-line of tokens, and each lane gets the stretch of every source's line that round-robin
-over the whole table would serve in its part of the stream, so lanes hold the target
-shares however the table is sorted.  In each lane lies one queue per source.  All lanes
-fill one gapless stream of windows: a lane's
-place in it is the prefix sum of the lanes before.  With every window (or the rest
-of one) a source is granted its target share of the window's tokens; sources are
-visited in turn, and one is served while it has a deficit, leaving a document only at
-its end or at the window's end; what it got too much or too little is carried to the
-next window.  A lane starts with the deficits with which the lanes before it end:
-target share times their tokens less what the source got, again a prefix sum over a
-table of lanes by sources, so that all lanes are packed at the same time.
+The sources run through the stream of windows at their target shares; a source's course
+says how many of its tokens the stream should hold up to each place.  Tokenised
+documents of a source stand in read order on a line of tokens, and lanes, long
+stretches of the stream, get the stretch of every source's line that its course has there,
+cut to the token, however the table is sorted.  In each lane lies one queue per source.
+With every window (or the rest of one) a source's deficit, what its course grants it up to the
+window's end less what it got, is served as a whole number of tokens, sources in turn;
+the remainder stays owed and is carried to the next window.  The course is known at
+every place, so a lane knows the deficits with which the lanes before it end, and all
+lanes are packed at the same time.
 """
 
 from __future__ import annotations
@@ -30,7 +28,7 @@ from corvane.llm.bytespans import text_blocks
 from corvane.llm.common import small, stored
 from corvane.llm.tokens import encoder
 
-#: Tokens of a lane, but for documents that stand across its ends.
+#: Tokens of a lane, but for roundings of one token a source.
 LANE_TOKENS = 1 << 21
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -85,123 +83,171 @@ def course(amounts: dict, targets: dict) -> dict[str | None, list[tuple[float, f
     return out
 
 
-def dealt(table: DataFrame, targets: dict[str | None, float] | None) -> DataFrame:
-    """lane, place (in the lane), doc_id, source, n_tokens, ids: what tokenised() gave, by lanes.
+def granted(bends: list[tuple[float, float, float]], at: float) -> float:
+    """The tokens of a source that the stream should hold before place `at`."""
+    own = 0.0
+    for begun, begins, rate in bends:
+        if begins > at:
+            break
+        own = begun + (at - begins) * rate
+    return own
 
-    A document goes where its source's way is at a point within it, the same for all
-    documents of a source and spread over the sources, so that many sources of a document
-    each spread over the lanes as well.
-    """
-    runs = stored(table.groupBy("run", "source").agg(F.sum("n_tokens").alias("n")), "run-totals")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    amounts = runs.groupBy("source").agg(F.sum("n").alias("source_n"))
-    bend = "array<struct<own: double, at: double, rate: double>>"
+
+def border(bends: list, amount: int, lane: int, lanes: int) -> int:
+    """Where a lane begins on a source's line of tokens."""
+    return amount if lane >= lanes else min(amount, int(granted(bends, float(lane * LANE_TOKENS))))
+
+
+def stretches(bends: list, amount: int, lanes: int, place: int, n: int) -> Iterator[tuple[int, int, int]]:
+    """(lane, start, tokens) of the parts of a document of n tokens that begins at `place` of its source's line."""
+    begun, begins, rate = next(b for b in reversed(bends) if b[0] <= place)
+    lane = min(lanes - 1, int((begins + (place - begun) / rate) / LANE_TOKENS))
+    while lane and border(bends, amount, lane, lanes) > place:
+        lane -= 1
+    at, end = place, place + n
+    while at < end:
+        limit = border(bends, amount, lane + 1, lanes)
+        if limit > at:
+            yield lane, at - place, min(limit, end) - at
+            at = min(limit, end)
+        lane += 1
+
+
+_BENDS = "array<struct<own: double, at: double, rate: double>>"
+
+
+def _plain(bends: list[dict]) -> list[tuple[float, float, float]]:
+    return [(b["own"], b["at"], b["rate"]) for b in bends]
+
+
+def courses(runs: DataFrame, targets: dict[str | None, float] | None) -> DataFrame:
+    """source, amount (its tokens), bends of every source."""
+    amounts = runs.groupBy("source").agg(F.sum("n").alias("amount"))
     if targets is None:
-        whole = runs.agg(F.sum("n").alias("whole"))
-        ways = amounts.crossJoin(F.broadcast(whole)).select("source", F.array(F.struct(F.lit(0.0).alias("own"), F.lit(0.0).alias("at"), (F.col("source_n") / F.col("whole")).alias("rate"))).alias("bends"))
-    else:
-        found = course({r["source"]: r["source_n"] for r in amounts.collect()}, targets)
-        ways = table.sparkSession.createDataFrame(list(found.items()), f"source string, bends {bend}")
-    starts = runs.withColumn("before", before).alias("r").join(ways.alias("w"), F.col("r.source").eqNullSafe(F.col("w.source"))).select("run", F.col("r.source").alias("source"), "before", "bends")
+        whole = runs.agg(F.sum("n").alias("whole"))  # one row
+        straight = F.array(F.struct(F.lit(0.0).alias("own"), F.lit(0.0).alias("at"), (F.col("amount") / F.col("whole")).alias("rate")))
+        return amounts.crossJoin(F.broadcast(whole)).select("source", "amount", straight.alias("bends"))
+    known = {r["source"]: r["amount"] for r in amounts.collect()}  # a row per source
+    ways = course(known, targets)
+    return runs.sparkSession.createDataFrame([(s, known[s], bends) for s, bends in ways.items()], f"source string, amount long, bends {_BENDS}")
+
+
+def dealt(table: DataFrame, runs: DataFrame, ways: DataFrame, lanes: int) -> DataFrame:
+    """lane, source, place (on the source's line), doc_id, start, n_tokens (of the document), ids: what tokenised() gave, cut at the lanes' borders; size: the tokens of the part."""
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = runs.withColumn("before", before).alias("r").join(ways.alias("w"), F.col("r.source").eqNullSafe(F.col("w.source"))).select("run", F.col("r.source").alias("source"), "before", "amount", "bends")
     starts = stored(starts, "run-starts")
-    spread = F.pmod(F.xxhash64(F.coalesce(F.concat(F.lit("s"), "t.source"), F.lit(""))), F.lit(1 << 20)) / F.lit(1 << 20)
-    point = F.col("place") + spread * F.col("n_tokens")
-    last = F.element_at(F.filter("bends", lambda b: b["own"] <= F.col("point")), -1)
     met = table.alias("t").join(small(starts).alias("s"), (F.col("t.run") == F.col("s.run")) & F.col("t.source").eqNullSafe(F.col("s.source")))
-    met = met.withColumn("place", F.col("before") + F.col("ahead")).withColumn("point", point).withColumn("bend", last)
-    at = F.col("bend.at") + (F.col("point") - F.col("bend.own")) / F.col("bend.rate")
-    return met.select(F.floor(at / LANE_TOKENS).cast("long").alias("lane"), "place", "doc_id", F.col("t.source").alias("source"), "n_tokens", "ids")
+    met = met.select(F.col("t.source").alias("source"), (F.col("before") + F.col("ahead")).alias("place"), "doc_id", "n_tokens", "ids", "amount", "bends")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(8)]
+            for source, place, doc, n, ids, amount, bends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                width = len(ids) // n
+                for lane, start, size in stretches(_plain(bends), amount, lanes, place, n):
+                    for column, x in zip(out, (lane, source, place + start, doc, start, n, size, ids[start * width : (start + size) * width]), strict=True):
+                        column.append(x)
+            types = (pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["lane", "source", "place", "doc_id", "start", "n_tokens", "size", "ids"])
+
+    return met.mapInArrow(cut, "lane long, source string, place long, doc_id long, start long, n_tokens long, size long, ids binary")
 
 
-def deficit_round_robin(queues: dict, shares: dict, deficits: dict, position: int, window: int) -> list[tuple[int, int, int, int]]:
-    """Serves the queues of (document, tokens) until they are empty; pieces as (document, start, length, position).
+def lane_states(ways: DataFrame, lanes: int) -> DataFrame:
+    """lane, source, got (the source's tokens in the lanes before), bends, base (the place in the stream where the lane begins)."""
+
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("bends", "amount", "lane")), strict=True)
+            got = [border(_plain(bends), amount, lane, lanes) for bends, amount, lane in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("lane"), batch.column("source"), pa.array(got, pa.int64()), batch.column("bends")], ["lane", "source", "got", "bends"])
+
+    each = ways.select("source", "amount", "bends", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
+    state = stored(each.mapInArrow(borders, f"lane long, source string, got long, bends {_BENDS}"), "lane-states")
+    return state.join(state.groupBy("lane").agg(F.sum("got").alias("base")), "lane")
 
-    deficits: what each source is owed at the start, in tokens; changed in place.
-    position: tokens of the stream before this one; the window there may be part full.
+
+def deficit_round_robin(queues: dict, position: int, window: int, portion: int = 1) -> list[tuple[int, int, int, int]]:
+    """Serves queues until they are empty; pieces as (document, start, length, position).
+
+    queues: by source (bends, tokens that it got before, [(document, tokens)]).
+    position: tokens of the stream before; the window there may be part full.
+    A source is owed what its course grants up to the window's end and it hasn't got; it
+    gets that in whole tokens, once it is owed `portion`.  What is then left of the
+    window's room goes, a portion at a time, to those that are owed most.
     """
     order = sorted(queues, key=lambda s: (s is None, s))
-    queues = {s: deque(q) for s, q in queues.items()}
-    begun = dict.fromkeys(order, 0)
-    left, turn, pieces = sum(n for q in queues.values() for _, n in q), 0, []
-    while left:
-        room = window - position % window
-        for s in order:
-            deficits[s] += shares[s] * room
-        while room and left:
-            for k in range(len(order)):
-                s = order[(turn + k) % len(order)]
-                if queues[s] and deficits[s] > 0:
-                    turn = (turn + k) % len(order)
-                    break
-            else:  # none that has documents is owed any: the least overpaid
-                s = max((s for s in order if queues[s]), key=lambda s: deficits[s])
-                turn = order.index(s)
-            while True:
-                document, n = queues[s][0]
-                start = begun[s]
-                length = min(n - start, room)
-                pieces.append((document, start, length, position))
-                position, room, left, deficits[s] = position + length, room - length, left - length, deficits[s] - length
-                if start + length == n:
-                    queues[s].popleft()
+    waiting = {s: deque(queues[s][2]) for s in order}
+    got, begun, left = {s: queues[s][1] for s in order}, dict.fromkeys(order, 0), {s: sum(n for _, n in queues[s][2]) for s in order}
+    whole, pieces = sum(left.values()), []
+    while whole:
+        room = min(window - position % window, whole)
+        owed = {s: granted(queues[s][0], float(position + room)) - got[s] for s in order}
+        quota = {s: min(left[s], int(owed[s])) if owed[s] >= portion else 0 for s in order}
+        spare = room - sum(quota.values())
+        for s in sorted(order, key=lambda s: owed[s] - quota[s]) if spare < 0 else ():
+            back = min(quota[s], -spare)
+            quota[s], spare = quota[s] - back, spare + back
+        while spare:
+            live = [s for s in order if left[s] > quota[s]]
+            s = max(live, key=lambda s: owed[s] - quota[s])
+            more = portion if owed[s] > quota[s] else max(portion, spare // len(live))  # none is owed any: evenly
+            more = min(more, spare, left[s] - quota[s])
+            quota[s], spare = quota[s] + more, spare - more
+        turn = position // window % len(order)
+        for s in order[turn:] + order[:turn]:
+            need = quota[s]
+            got[s], left[s], whole = got[s] + need, left[s] - need, whole - need
+            while need:
+                document, n = waiting[s][0]
+                length = min(n - begun[s], need)
+                pieces.append((document, begun[s], length, position))
+                position, need, begun[s] = position + length, need - length, begun[s] + length
+                if begun[s] == n:
+                    waiting[s].popleft()
                     begun[s] = 0
-                else:
-                    begun[s] = start + length
-                if not room or not queues[s] or deficits[s] <= 0:
-                    break
-            if room:
-                turn = (turn + 1) % len(order)
     return pieces
 
 
-def _pack_lane(window: int):
+def _pack_lane(window: int, portion: int):
     def pack(rows: pa.Table, state: pa.Table) -> pa.Table:
         schema = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (c.strip().split() for c in _PIECES.split(","))])
         if not rows.num_rows:
             return schema.empty_table()
         rows = rows.sort_by("place")
-        doc_ids, sources, tokens, ids = (rows.column(c).to_pylist() for c in ("doc_id", "source", "n_tokens", "ids"))
-        state = state.to_pylist()
-        shares, deficits = {r["source"]: r["share"] for r in state}, {r["source"]: r["deficit"] for r in state}
-        queues: dict = {s: [] for s in shares}
-        for k, (s, n) in enumerate(zip(sources, tokens, strict=True)):
-            queues[s].append((k, n))
+        doc_ids, sources, starts, tokens, sizes, ids = (rows.column(c).to_pylist() for c in ("doc_id", "source", "start", "n_tokens", "size", "ids"))
+        queues = {r["source"]: (_plain(r["bends"]), r["got"], []) for r in state.to_pylist()}
+        for k, (s, n) in enumerate(zip(sources, sizes, strict=True)):
+            queues[s][2].append((k, n))
+        queues = {s: q for s, q in queues.items() if q[2]}
         out: list[tuple] = []
-        for k, start, length, position in deficit_round_robin(queues, shares, deficits, state[0]["base"], window):
-            width = len(ids[k]) // tokens[k]
+        for k, start, length, position in deficit_round_robin(queues, state["base"][0].as_py(), window, portion):
+            width = len(ids[k]) // sizes[k]
             piece = np.frombuffer(ids[k], f"<u{width}", length, start * width)
-            out.append((doc_ids[k], start, length, zlib.crc32(piece.astype("<u4")), tokens[k], position // window, position % window, sources[k]))
+            out.append((doc_ids[k], starts[k] + start, length, zlib.crc32(piece.astype("<u4")), tokens[k], position // window, position % window, sources[k]))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return pack
 
 
-def packed(docs: DataFrame, path: str, end_id: int, window: int = 2048, targets: dict[str | None, float] | None = None) -> DataFrame:
+def packed(docs: DataFrame, path: str, end_id: int, window: int = 2048, targets: dict[str | None, float] | None = None, portion: int = 1) -> DataFrame:
     """Packs every row into windows of `window` tokens, each source in its target share.
 
     targets: share of tokens by source; by default the shares that the table has, so
-    that no source runs dry before the others.  A source without a target is served
-    when no other is owed anything.  A null text gives end_id alone, a null source is a
-    source of its own, repeated rows are packed once each, and an empty table gives no
-    pieces.  Only the last window of all may be short.
+    that no source runs dry before the others.  When one runs dry, what it would get is
+    dealt evenly to those that are left, also to sources without a target.  While no source
+    is dry, a window holds a source's share to the token (where two lanes meet, to a token
+    for each source).  portion: the least tokens in which a source is served; above 1 for
+    tables of so many sources that a share of a window is a few tokens.  A null text
+    gives end_id alone, a null source is a source of its own, repeated rows are packed once
+    each, and an empty table gives no pieces.  Only the last window of all may be short.
     """
     if targets is not None:
         targets = {s: float(x) / sum(targets.values()) for s, x in targets.items()}
-    table = dealt(stored(tokenised(docs, path, end_id), "ids"), targets)
-    totals = stored(table.groupBy("lane", "source").agg(F.sum("n_tokens").alias("n")), "lane-totals")
-    earlier = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)  # one row per lane, so one task can sum it
-    lanes = totals.groupBy("lane").agg(F.sum("n").alias("lane_n"))
-    lanes = lanes.withColumn("base", F.coalesce(F.sum("lane_n").over(earlier), F.lit(0)))
-    if targets is None:
-        whole = totals.agg(F.sum("n").alias("whole"))
-        shares = totals.groupBy("source").agg(F.sum("n").alias("source_n")).crossJoin(F.broadcast(whole)).select("source", (F.col("source_n") / F.col("whole")).alias("share"))
-    else:
-        shares = docs.sparkSession.createDataFrame(list(targets.items()), "source string, share double")
-    got = totals.withColumn("got", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("t")
-    state = (
-        got.join(lanes, "lane")
-        .join(shares.alias("s"), F.col("t.source").eqNullSafe(F.col("s.source")), "left")
-        .select("lane", F.col("t.source").alias("source"), "base", F.coalesce("share", F.lit(0.0)).alias("share"), (F.coalesce("share", F.lit(0.0)) * F.col("base") - F.col("got")).alias("deficit"))
-    )
-    return table.groupBy("lane").cogroup(state.groupBy("lane")).applyInArrow(_pack_lane(window), _PIECES)
-
+    table = stored(tokenised(docs, path, end_id), "ids")
+    runs = stored(table.groupBy("run", "source").agg(F.sum("n_tokens").alias("n")), "run-totals")
+    whole = runs.agg(F.sum("n")).first()[0] or 0
+    lanes = max(1, -(-whole // LANE_TOKENS))
+    ways = stored(courses(runs, targets), "courses")
+    return dealt(table, runs, ways, lanes).groupBy("lane").cogroup(lane_states(ways, lanes).groupBy("lane")).applyInArrow(_pack_lane(window, portion), _PIECES)

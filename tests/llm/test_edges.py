@@ -103,24 +103,6 @@ def test_packing(rows, none):
     assert packing.packed(none, WORDS, 1).count() == 0
 
 
-def test_round_robin_keeps_shares():
-    r = random.Random(2)
-    queues = {s: [(k, r.randint(1, 900)) for k in range(n)] for s, n in (("a", 600), ("b", 200), (None, 100))}
-    total = {s: sum(n for _, n in q) for s, q in queues.items()}
-    whole = sum(total.values())
-    shares = {s: n / whole for s, n in total.items()}
-    pieces = packing.deficit_round_robin(queues, shares, dict.fromkeys(queues, 0.0), 100, 512)
-    assert sum(p[2] for p in pieces) == whole and pieces[0][3] == 100
-    assert all(position // 512 == (position + length - 1) // 512 for _, _, length, position in pieces)
-    # at any time no source is further from its share than one document and one window
-    at, mine = 0, dict.fromkeys(queues, 0)
-    by_source = packing.deficit_round_robin({s: [((s, k), n) for k, n in q] for s, q in queues.items()}, shares, dict.fromkeys(queues, 0.0), 0, 512)
-    for (s, _), _, length, _ in by_source:
-        mine[s] += length
-        at += length
-        assert all(abs(mine[x] - shares[x] * at) <= 900 + 512 for x in mine)
-
-
 def test_exact(rows, none):
     got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.exact_groups(rows).collect()), key=repr)
     size = defaultdict(int)

@@ -50,6 +50,14 @@ def test_op2(spark, docs):
         assert gapless(spans) == len(ids[d])
     sizes = [gapless(windows[k]) for k in sorted(windows)]
     assert all(n == 2048 for n in sizes[:-1]) and sizes[-1] <= 2048
+    total, mine = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in got:
+        total[r["source"]] += r["length"]
+        mine[r["sequence_id"]][r["source"]] += r["length"]
+    whole = sum(total.values())
+    assert whole < 1 << 21  # one lane, so every full window holds the shares of the table to the token
+    for k in range(len(sizes) - 1):
+        assert all(abs(mine[k][s] - 2048 * n / whole) < 2 for s, n in total.items())
 
 
 def gapless(spans):
