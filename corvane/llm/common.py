@@ -2,8 +2,8 @@
 
 Scratch tables are Parquet folders below the folder that the session names in
 ``spark.checkpoint.dir`` (a folder all executors share), so every stage that has been
-written survives the loss of any executor.  Only where that setting is absent, as
-in tests, a temporary folder of this machine takes its place.
+written survives the loss of any executor.  Only where that setting is absent and the
+session runs on this machine alone, as in tests, a temporary folder takes its place.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ import os
 import tempfile
 import uuid
 
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of fixed-width rows is broadcast; beyond it a join shuffles.
-BROADCAST_ROWS = 300_000
+#: Rows up to which a table of rows of some 64 bytes is broadcast (4 MB); beyond it a join shuffles.
+BROADCAST_ROWS = 65_536
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
         context = getattr(spark, "sparkContext", None)
         folder = context.getCheckpointDir() if context is not None else None
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -57,6 +60,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def open_store(folder: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a folder, for Python workers, and the folder's path in it.
+
+    Arrow knows file, hdfs, viewfs, s3, gs and abfs; Hadoop's names for the same stores are
+    translated, others raise.
+    """
+    scheme, _, rest = folder.partition("://")
+    scheme = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}.get(scheme, scheme)
+    return arrow_fs.FileSystem.from_uri(f"{scheme}://{rest}" if rest else folder)
+
+
 def token_file(name: str) -> str:
     """A public tokenizer's file; CORVANE_TOKENIZERS may name another folder that holds it."""
     folder = os.environ.get("CORVANE_TOKENIZERS")

@@ -1,7 +1,7 @@
 """Operator 1, near-dedup with SetSketch registers.
 
 1. Every text's shingle set becomes a fingerprint and 128 registers; texts of equal
-   sets are one representative from here on.
+   sets are one node from here on, whatever their doc_ids.
 2. Representatives meet in buckets, one per band of four registers; two sets of
    similarity 0.8 share none of the 32 bands with a chance of 5e-8.
 3. In a bucket each member is first paired with the least one alone (a star), so a
@@ -100,7 +100,7 @@ def _filter_likely(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def member_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, members (sorted 64-bit hashes) of the rows of docs that wanted (node, row_hash) names; a second look at their texts."""
+    """node, members (sorted 64-bit hashes) of the rows of docs that wanted (node, doc, row_hash) names; a second look at their texts."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,9 +109,9 @@ def member_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(block.first, block.rows), pa.array(sets, pa.binary())], ["node", "members"])
 
     rows = _rows(docs).withColumn("row_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    chosen = rows.join(small(wanted), (rows["doc_id"] == wanted["node"]) & (rows["row_hash"] == wanted["row_hash"])).select("node", "text")
+    chosen = rows.join(small(wanted), (rows["doc_id"] == wanted["doc"]) & (rows["row_hash"] == wanted["row_hash"])).select("node", "text")
     sets = stored(chosen.mapInArrow(collect, "node long, members binary"), "member-sets")
-    return sets if sets.count() == wanted.count() else sets.dropDuplicates(["node"])  # fewer wanted than found: repeated rows
+    return sets if sets.count() == wanted.count() else sets.dropDuplicates(["node"])  # repeated rows: a node's sets are equal
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> DataFrame:
@@ -214,15 +214,16 @@ def near_groups(docs: DataFrame, width: int = 5, threshold_percent: int = 80) ->
 
     width: words of a shingle.  Rows are linked if 100 * intersection >=
     threshold_percent * union of their shingle sets; component_id is the smallest doc_id
-    reachable.  Texts without words, null texts and rows without a doc_id are linked
+    reachable.  Rows of one doc_id are rows like any others: their texts decide.  Texts without words, null texts and rows without a doc_id are linked
     with nothing (their component is their own doc_id); repeated rows have equal
     sets, hence one component; an empty table gives an empty one.
     """
     least = threshold_percent / 100
     table = stored(sketches(docs, width), "sketches")
     full = table.filter("print is not null and doc_id is not null")
-    nodes = stored(full.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("row_hash", F.struct("doc_id", "row_hash")).alias("row_hash"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "set-nodes")
-    bands = _bands(nodes)
+    nodes = full.groupBy("print").agg(F.min("doc_id").alias("doc"), F.min_by("row_hash", F.struct("doc_id", "row_hash")).alias("row_hash"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "set-nodes")  # node ids are fixed by the writing
+    bands = stored(_bands(nodes), "bands")
     stars = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
     stars = stored(stars, "buckets")
     met = stored(bands.join(small(stars), "bucket").select("bucket", "node", "leader", "n"), "bucket-members")
@@ -231,7 +232,7 @@ def near_groups(docs: DataFrame, width: int = 5, threshold_percent: int = 80) ->
 
     star_pairs = met.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(_filter_likely(star_pairs.join(other, "b").join(one, "a"), least), "pairs")
-    wanted = met.select("node").distinct().join(nodes.select("node", "row_hash"), "node")
+    wanted = met.select("node").distinct().join(nodes.select("node", "doc", "row_hash"), "node")
     sets = member_sets(docs, stored(wanted, "wanted"), width)
     links = stored(verified(pairs, sets, threshold_percent), "links")
     placed = met.join(roots(links), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -241,8 +242,9 @@ def near_groups(docs: DataFrame, width: int = 5, threshold_percent: int = 80) ->
     rows = rows.select("bucket", "node", "root", F.least("mine", "other").alias("tile_a"), F.greatest("mine", "other").alias("tile_b"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
     likely = stored(_plausible(rows.join(slim, "node"), least), "likely")
     links = stored(links.union(_scanned(likely.join(sets, "node"), threshold_percent)), "links")
-    groups = roots(links)
-    of_print = nodes.join(groups, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
+    groups = nodes.select("node", "doc").join(roots(links), "node")
+    heads = groups.groupBy("root").agg(F.min("doc").alias("head"))
+    of_print = nodes.join(groups.join(heads, "root").select("node", "head"), "node", "left").select("print", F.coalesce("head", "doc").alias("component_id"))
     joined = table.withColumn("own", F.when(F.col("doc_id").isNotNull(), F.col("print"))).join(of_print.withColumnRenamed("print", "own"), "own", "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "row_hash")
