@@ -4,15 +4,15 @@ Rows are dealt to owner tasks by the length and the hash of their content.  An o
 inserts whole byte strings into a compressed radix trie; a terminal node holds the
 largest doc_id of its text and counts.  Before the shuffle each task merges its own
 copies through a trie of the same kind, so however many copies a text has, an owner gets
-one row per task.  A trie over its budget moves its largest subtree to a file and
-goes on; the file's strings get a trie of their own at the end.
+one row per task.  A trie over its budget moves its largest subtree to a file in the
+shared scratch folder and goes on; the file's strings get a trie of their own at the end.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.bytespans import utf8
-from corvane.llm.common import shuffle_partitions, stored
+from corvane.llm.common import open_store, scratch_path, shuffle_partitions, stored
 
 #: Bytes of text that one trie holds in memory.
 TRIE_BYTES = 48 << 20
@@ -59,22 +59,26 @@ class _Branch:
 
 
 class _Spilled:
-    """A subtree in a file; `key` is one of its strings."""
+    """A subtree in a file of its own; `key` is one of its strings."""
 
-    __slots__ = ("file", "key")
+    __slots__ = ("_out", "_path", "_store", "key")
 
-    def __init__(self, key: bytes):
-        self.key, self.file = key, tempfile.TemporaryFile()
+    def __init__(self, key: bytes, folder: str):
+        self.key, (self._store, root) = key, open_store(folder)
+        self._path = f"{root}/{uuid.uuid4().hex}"
+        self._store.create_dir(root, recursive=True)
+        self._out = self._store.open_output_stream(self._path, compression=None)
 
     def put(self, key: bytes, value: tuple) -> None:
-        self.file.write(struct.pack("<q?qqq", len(key), value[0] is None, value[0] or 0, *value[1:]) + key)
+        self._out.write(struct.pack("<q?qqq", len(key), value[0] is None, value[0] or 0, *value[1:]) + key)
 
     def records(self) -> Iterator[tuple[bytes, tuple]]:
-        self.file.seek(0)
-        while head := self.file.read(33):
-            n, null, best, ties, count = struct.unpack("<q?qqq", head)
-            yield self.file.read(n), (None if null else best, ties, count)
-        self.file.close()
+        self._out.close()
+        with self._store.open_input_stream(self._path, compression=None, buffer_size=1 << 20) as file:
+            while head := file.read(33):
+                n, null, best, ties, count = struct.unpack("<q?qqq", head)
+                yield file.read(n), (None if null else best, ties, count)
+        self._store.delete_file(self._path)
 
 
 def merged(a: tuple, b: tuple) -> tuple:
@@ -86,10 +90,10 @@ def merged(a: tuple, b: tuple) -> tuple:
 
 
 class PatriciaTrie:
-    """A map from byte strings to (id, ties, count); spills subtrees beyond `budget` bytes."""
+    """A map from byte strings to (id, ties, count); with a folder, spills subtrees beyond `budget` bytes to files in it."""
 
-    def __init__(self, budget: int = TRIE_BYTES):
-        self.root, self.budget, self.held, self.spills = None, budget, 0, 0
+    def __init__(self, budget: int = TRIE_BYTES, folder: str | None = None):
+        self.root, self.budget, self.folder, self.held, self.spills = None, budget, folder, 0, 0
 
     def insert(self, key: bytes, value: tuple) -> None:
         node = self.root
@@ -126,7 +130,7 @@ class PatriciaTrie:
             else:
                 above.children[byte] = branch
         self.held += len(key)
-        while self.held > self.budget and isinstance(self.root, _Branch):
+        while self.folder and self.held > self.budget and isinstance(self.root, _Branch):
             if not self._spill():
                 break
 
@@ -148,7 +152,7 @@ class PatriciaTrie:
             return False
         subtree = self.root.children[byte]
         leaves = list(self._leaves(subtree))
-        gone = _Spilled(leaves[0].key)
+        gone = _Spilled(leaves[0].key, self.folder)
         for leaf in leaves:
             gone.put(leaf.key, leaf.value)
         todo = [subtree]  # files further down in it join the new one
@@ -175,7 +179,7 @@ class PatriciaTrie:
             elif isinstance(node, _Leaf):
                 yield node.key, node.value
             else:
-                trie = PatriciaTrie(self.budget)
+                trie = PatriciaTrie(self.budget, self.folder)
                 for key, value in node.records():
                     trie.insert(key, value)
                 yield from trie.terminals()
@@ -209,8 +213,10 @@ def owners(docs: DataFrame) -> DataFrame:
                     yield from _out(trie.terminals(), digest=False)
         yield from _out(trie.terminals(), digest=False)
 
+    folder = scratch_path(docs.sparkSession, "subtrees")
+
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PatriciaTrie()
+        trie = PatriciaTrie(folder=folder)
         for batch in batches:
             for key, *value in zip(batch.column("text").to_pylist(), *(batch.column(c).to_pylist() for c in ("keep_id", "ties", "group_size")), strict=True):
                 trie.insert(key, tuple(value))
@@ -228,6 +234,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Texts are equal if their bytes are; null counts as empty, so null and empty texts
     are one group.  The largest doc_id of a group stays (a null one only if all are null);
     should several rows of a group have it, all are marked kept and `ties` counts them.
+    An empty table gives an empty one.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = stored(owners(docs), "text-owners")

@@ -60,7 +60,7 @@ def byte_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     size: the UTF-8 bytes of the text (null: none) plus 1; null and empty texts are one
     group; repeated rows stay together.  slot counts the rows of a shard from 0 without
-    gaps.  grown_shard is null under this law.
+    gaps.  grown_shard is null under this law.  An empty table gives an empty one.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group"))
