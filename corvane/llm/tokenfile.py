@@ -11,7 +11,6 @@ of their own and rename at the end, so a repeated task replaces a file by its eq
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.bytespans import text_blocks
-from corvane.llm.common import scratch_path, shuffle_partitions
+from corvane.llm.common import open_store, scratch_path, shuffle_partitions
 from corvane.llm.tokens import encoder
 
 #: Stands for a null doc_id in an .idx file.
 NO_ID = -(1 << 63)
 #: Documents in one result batch.
-_ROWS = 10_000
+_ROWS = 1000
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFrame:
@@ -45,7 +44,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str) -> D
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        store, root = arrow_fs.FileSystem.from_uri(folder)
+        store, root = open_store(folder)
         store.create_dir(root, recursive=True)
         name, own = f"tokens-{part:06d}", uuid.uuid4().hex
         code = encoder(path)
@@ -76,26 +75,33 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str) -> D
 
 
 class TokenFile:
-    """One pair of files, memory-mapped; a store that isn't mounted is copied to the task's temporary folder first."""
+    """One pair of files; memory-mapped where the store is mounted, else read in place by ranges."""
 
     def __init__(self, folder: str, name: str, width: int):
-        store, root = arrow_fs.FileSystem.from_uri(folder)
-        self._copy = None
-        if not isinstance(store, arrow_fs.LocalFileSystem):
-            self._copy = tempfile.TemporaryDirectory()
-            arrow_fs.copy_files(f"{root}/{name}.bin", f"{self._copy.name}/{name}.bin", source_filesystem=store)
-            arrow_fs.copy_files(f"{root}/{name}.idx", f"{self._copy.name}/{name}.idx", source_filesystem=store)
-            root = self._copy.name
-        index = np.memmap(f"{root}/{name}.idx", "<i8", "r")
+        store, root = open_store(folder)
+        self.kind = np.dtype(f"<u{width}")
+        if isinstance(store, arrow_fs.LocalFileSystem):
+            index = np.memmap(f"{root}/{name}.idx", "<i8", "r")
+            self._ids = np.memmap(f"{root}/{name}.bin", self.kind, "r") if os.path.getsize(f"{root}/{name}.bin") else np.zeros(0, self.kind)
+        else:
+            with store.open_input_stream(f"{root}/{name}.idx") as file:
+                index = np.frombuffer(file.read(), "<i8")
+            self._ids, self._file = None, store.open_input_file(f"{root}/{name}.bin")
         n = int(index[0])
         self.doc_ids, self.offsets = index[1 : n + 1], index[n + 1 :]
-        self.ids = np.memmap(f"{root}/{name}.bin", f"<u{width}", "r") if os.path.getsize(f"{root}/{name}.bin") else np.zeros(0, f"<u{width}")
+
+    def span(self, i: int, j: int) -> np.ndarray:
+        """The ids of the documents i..j-1, one after another."""
+        a, b = int(self.offsets[i]), int(self.offsets[j])
+        if self._ids is not None:
+            return self._ids[a:b]
+        return np.frombuffer(self._file.read_at((b - a) * self.kind.itemsize, a * self.kind.itemsize), self.kind)
 
     def __len__(self) -> int:
         return len(self.doc_ids)
 
     def __getitem__(self, k: int) -> np.ndarray:
-        return self.ids[self.offsets[k] : self.offsets[k + 1]]
+        return self.span(k, k + 1)
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -108,9 +114,10 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 for i in range(0, len(tokens), _ROWS):
                     span = range(i, min(i + _ROWS, len(tokens)))
                     offsets = np.asarray(tokens.offsets[span.start : span.stop + 1])
-                    ids = np.asarray(tokens.doc_ids[span.start : span.stop])
+                    ids, held = np.asarray(tokens.doc_ids[span.start : span.stop]), tokens.span(span.start, span.stop)
+                    crcs = [zlib.crc32(held[a:b].astype("<u4")) for a, b in zip((offsets[:-1] - offsets[0]).tolist(), (offsets[1:] - offsets[0]).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(offsets[:-1] + file["base"]), pa.array(np.diff(offsets)), pa.array([zlib.crc32(tokens[k].astype("<u4")) for k in span], pa.int64())],
+                        [pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(offsets[:-1] + file["base"]), pa.array(np.diff(offsets)), pa.array(crcs, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
