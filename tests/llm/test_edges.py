@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing extra columns; and the parts of each operator by themselves."""
 
 import random
+import tempfile
 import zlib
 from collections import defaultdict
 
@@ -56,6 +57,15 @@ def test_near_groups(rows, none):
     assert minhash.near_groups(none).count() == 0
 
 
+def test_near_groups_of_clashing_ids(spark):
+    """Two texts under one doc_id, one of them twice: each keeps its own links."""
+    words = [f"w{k}" for k in range(40)]
+    others = [f"v{k}" for k in range(40)]
+    data = [(15, " ".join(words)), (15, " ".join(words)), (15, " ".join(others)), (20, " ".join([*words, "x"])), (21, " ".join([*others, "x"])), (3, " ".join(["y", *others]))]
+    got = minhash.near_groups(spark.createDataFrame(data, "doc_id long, text string"), width=2)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(3, 3), (15, 3), (15, 15), (15, 15), (20, 15), (21, 3)]
+
+
 @pytest.mark.parametrize("width", [1, 2, 5])
 def test_near_chains(spark, width, monkeypatch):
     """Groups of near copies around the threshold, several of them in the same buckets: no link is lost."""
@@ -118,7 +128,7 @@ def test_exact(rows, none):
 @given(st.lists(st.tuples(st.binary(max_size=6), st.one_of(st.none(), st.integers(0, 5))), max_size=60), st.integers(1, 40))
 @settings(max_examples=200, deadline=None)
 def test_trie(items, budget):
-    trie = exact.PatriciaTrie(budget)
+    trie = exact.PatriciaTrie(budget, f"file://{tempfile.gettempdir()}/corvane-test-subtrees")
     want: dict = {}
     for key, doc in items:
         key = key * 2
