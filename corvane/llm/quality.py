@@ -2,8 +2,8 @@
 
 Every text gets counts (words, symbols, repeated lines, words in repeated windows)
 and from them a few scores between 0 and 1, higher for worse text.  For each stratum
-(language) and score, a cutoff is chosen on labelled documents: cutoffs are tested from
-the mildest on, each by the exact (Clopper-Pearson) upper bound of the share of good
+(language) and score, a cutoff is chosen on labelled texts, each distinct one a single
+trial however often it is repeated: cutoffs are tested from the mildest on, each by the exact (Clopper-Pearson) upper bound of the share of good
 documents that it rejects; the first that can't be shown to stay below the rule's part
 of `risk` ends the sequence (fixed-sequence testing, so the steps need no correction),
 and the confidence is divided by the number of strata and scores (Bonferroni).  Of the
@@ -141,10 +141,11 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, doubt: float)
 
 
 def thresholds(found: DataFrame, labels: DataFrame, risk: float, doubt: float) -> DataFrame:
-    """One row per stratum (lang, null too): a cutoff for each score, from the documents that have a label (quality 1: good, 0: bad)."""
+    """One row per stratum (lang, null too): a cutoff for each score, from the distinct texts that have a label (quality 1: good, 0: bad; good if any of their labels is)."""
     marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     parts = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).alias("bin")) for s in SCORES])).alias("x")
-    labelled = found.filter(~F.col("base_failed")).select("doc_id", "lang", *SCORES).join(marks, "doc_id")
+    labelled = found.filter(~F.col("base_failed")).select("doc_id", "lang", "row_hash", *SCORES).join(marks, "doc_id")
+    labelled = labelled.groupBy("lang", "row_hash").agg(F.max("quality").alias("quality"), *[F.first(s).alias(s) for s in SCORES])  # copies are no new trials
     counted = labelled.select("lang", "quality", parts).groupBy("lang", "quality", "x.score", "x.bin").count()
     counted = stored(counted, "score-histogram")  # strata x scores x bins at most
     tests = max(1, counted.select("lang").distinct().count()) * len(SCORES)
@@ -165,7 +166,9 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float
     risk: the share of good documents that may be rejected in a stratum; doubt: the
     chance that it is exceeded anywhere.  Null or empty texts have no words and fail the
     base rule; repeated rows are judged alike; a document's labels count as good if any
-    of them is; without labels only the base rule rejects.
+    of them is, and so do those of equal texts; without labels only the base rule rejects.
+    With k strata a cutoff needs ln(5 k / doubt) / (risk / 5) good labelled texts at
+    least: 1,498 in each of four strata.
     """
     found = stored(features(docs), "quality-features")
     cuts = stored(thresholds(found, labels, risk, doubt), "quality-cutoffs")
