@@ -29,6 +29,8 @@ _TYPES = {
     "null": lambda x: x is None,
 }
 
+_COLUMNS = ("conversation", "message", "parent", "role", "content", "call_id", "tool", "arguments", "result_of")
+
 #: The tool that the conversations table's turns are read as calls of.
 REPLY_TOOL = {
     "reply": {
@@ -40,6 +42,19 @@ REPLY_TOOL = {
 }
 
 
+def check_tools(tools: dict[str, dict]) -> None:
+    """ValueError for a schema that names a type unknown here, wherever it stands."""
+    todo = [(name, schema) for name, schema in tools.items()]
+    while todo:
+        at, schema = todo.pop()
+        kinds = schema.get("type", [])
+        for kind in [kinds] if isinstance(kinds, str) else kinds:
+            if kind not in _TYPES:
+                raise ValueError(f"{at}: unknown type {kind}")
+        todo += [(f"{at}.{name}", inner) for name, inner in schema.get("properties", {}).items()]
+        todo += [(f"{at}[]", schema["items"])] if "items" in schema else []
+
+
 def problem(value: object, schema: dict, at: str = "$") -> str | None:
     """The first way in which a value breaks a schema, or None."""
     kinds = schema.get("type")
@@ -73,6 +88,20 @@ def problem(value: object, schema: dict, at: str = "$") -> str | None:
     return None
 
 
+def parsed(arguments: str | None, schema: dict | None, tool: str | None) -> tuple[object, str | None]:
+    """A call's arguments as canonical JSON can tell them, and what is wrong with them; what isn't JSON stays text."""
+    try:
+        value = json.loads(arguments or "")
+        canonical([[[value]]]).encode()  # as deep as it will stand in a message
+        return value, f"no tool {tool}" if schema is None else problem(value, schema)
+    except RecursionError:
+        return arguments, "not JSON: nested too deeply"
+    except UnicodeEncodeError:
+        return arguments, "not JSON: half of a surrogate pair"
+    except ValueError as e:
+        return arguments, f"not JSON: {e}"
+
+
 def canonical(value: object) -> str:
     """JSON with sorted keys, no spaces, letters unescaped; numbers as Python's shortest form."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
@@ -119,19 +148,23 @@ def formatted(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
 
     depth orders a conversation topologically: a message follows its parent, a result
     follows its call.  valid is null but for calls: whether the arguments are JSON that
-    keeps the tool's schema (tools: schema by name).  Null contents are JSON null; rows
-    equal in all columns are kept once; of different rows of one message, all are kept
+    keeps the tool's schema (tools: schema by name; one with an unknown type raises).
+    Arguments that nest too deeply for the parser or hold half of a surrogate pair aren't
+    JSON; they stay text.  Null contents are JSON null, null roles too; other columns are
+    dropped; texts may be of any length; rows equal in all columns are kept once; of different rows of one message, all are kept
     and what follows the message follows one of them, always the same; nothing follows a
     null message.  An empty table gives an empty one.
     """
-    key = lambda m: F.xxhash64("conversation", F.col(m))
+    check_tools(tools)
+    messages = messages.select(*_COLUMNS)
     same = Window.partitionBy("conversation", "message").orderBy("_row")
     rows = messages.withColumn("_row", F.xxhash64(*messages.columns, *(F.col(c).isNull() for c in messages.columns))).withColumn("_before", F.lag("_row").over(same))
-    once = rows.filter("_before is null or _before != _row").withColumn("node", F.when(F.col("message").isNotNull() & F.col("_before").isNull(), key("message")).otherwise(F.col("_row")))
-    table = stored(linked(once.drop("_row", "_before")), "linked")
+    once = rows.filter("_before is null or _before != _row").withColumn("_head", F.col("message").isNotNull() & F.col("_before").isNull())
+    table = stored(linked(once.drop("_row", "_before")).withColumn("node", F.monotonically_increasing_id()), "linked")  # node ids are fixed by the writing
     follows = table.filter("call_id is not null").groupBy("conversation", F.col("call_id").alias("result_of")).agg(F.min("message").alias("_call"))
     table = table.join(follows, ["conversation", "result_of"], "left").withColumn("_up", F.coalesce("_call", "parent"))
-    table = stored(table.withColumn("up", F.when(F.col("_up").isNotNull(), key("_up"))), "nodes")
+    heads = table.filter("_head").select("conversation", F.col("message").alias("_up"), F.col("node").alias("up"))
+    table = stored(table.join(heads, ["conversation", "_up"], "left"), "nodes")
     order = depths(table.select("node", F.col("up").alias("parent")))
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +173,7 @@ def formatted(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
             for row in batch.to_pylist():
                 fault, told = None, {"content": row["content"], "role": row["role"]}
                 if row["call_id"] is not None:
-                    try:
-                        arguments = json.loads(row["arguments"] or "")
-                        fault = problem(arguments, tools[row["tool"]]) if row["tool"] in tools else f"no tool {row['tool']}"
-                        canonical(arguments)
-                    except ValueError as e:
-                        arguments, fault = row["arguments"], f"not JSON: {e}"
+                    arguments, fault = parsed(row["arguments"], tools.get(row["tool"]), row["tool"])
                     told["tool_calls"] = [{"arguments": arguments, "id": row["call_id"], "name": row["tool"]}]
                 if row["result_of"] is not None:
                     told["tool_call_id"] = row["result_of"]

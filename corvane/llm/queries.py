@@ -65,6 +65,20 @@ QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mixture_packing,
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL = {
+    "op3_chat_formatting": """
+        WITH r AS (SELECT DISTINCT conv_id, turn, role, text, lower(role) AS kind FROM conversations),
+        k AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run,
+            max(CASE WHEN kind = 'assistant' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS answer,
+            max(CASE WHEN kind = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS question FROM r)
+        SELECT conv_id, turn, role,
+            CASE kind WHEN 'user' THEN CASE WHEN answer IS NULL THEN 'open' ELSE 'answered' END WHEN 'assistant' THEN CASE WHEN question IS NULL THEN 'orphan' ELSE 'result' END END AS link,
+            CAST(turn - min(turn) OVER (PARTITION BY conv_id, run) AS BIGINT) AS depth,
+            CASE WHEN kind = 'user' THEN coalesce(text, '') <> '' END AS valid,
+            CASE WHEN kind = 'user' AND coalesce(text, '') = '' THEN '$.prompt: shorter than 1' END AS problem,
+            CASE WHEN kind = 'user' THEN '{"content":null,"role":' || to_json(role) || ',"tool_calls":[{"arguments":{"prompt":' || to_json(coalesce(text, '')) || ',"turn":' || turn || '},"id":"call_' || turn || '","name":"reply"}]}'
+            ELSE '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || CASE WHEN kind = 'assistant' THEN ',"tool_call_id":"call_' || (turn - 1) || '"}' ELSE '}' END END AS json
+        FROM k
+    """,
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

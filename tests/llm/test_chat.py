@@ -3,9 +3,11 @@
 import json
 
 import pyarrow.parquet as pq
+import pytest
 
 from corvane.llm import chat
-from corvane.llm.queries import QUERIES
+from corvane.llm.queries import ORACLE_SQL, QUERIES
+from tests.compare import compare
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "conversation long, message long, parent long, role string, content string, call_id string, tool string, arguments string, result_of string"
@@ -60,3 +62,44 @@ def test_op3(spark):
         else:
             assert told["content"] == text[key] and r["valid"] is None
             assert r["link"] == (None if r["role"] != "assistant" else "result" if before == "user" else "orphan")
+
+
+def test_op3_sql(spark):
+    assert compare(spark, "/root/testdata/sf0.01", QUERIES["op3_chat_formatting"], ORACLE_SQL["op3_chat_formatting"]) > 500
+
+
+def test_arguments_that_are_no_json(spark):
+    """Half surrogates, deep nesting, numbers out of range; null roles and contents, long texts, extra columns."""
+    long = "long " * 200_000
+    rows = [
+        (1, 0, None, "assistant", None, "a", "add", '{"a":"\\ud800"}', None, 1),
+        (1, 1, None, "assistant", None, "b", "add", "[" * 200_000, None, 1),
+        (1, 2, None, "assistant", None, "c", "add", '{"a": 1e999}', None, 1),
+        (1, 3, None, "assistant", None, "d", None, None, None, 1),
+        (1, 4, None, None, None, None, None, None, None, 1),
+        (1, 5, None, "user", long, None, None, None, None, 1),
+        (1, 6, None, "assistant", None, "e", "add", "[" * 950 + "]" * 950, None, 1),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA + ", node int").withColumnRenamed("node", "link")
+    got = {r["message"]: r for r in chat.formatted(df, TOOLS).collect()}
+    assert [got[k]["valid"] for k in range(7)] == [False, False, False, False, None, None, False]
+    assert got[0]["problem"] == "not JSON: half of a surrogate pair" and json.loads(got[0]["json"])["tool_calls"][0]["arguments"] == rows[0][7]
+    assert got[1]["problem"] == "not JSON: nested too deeply" and got[2]["problem"].startswith("not JSON")
+    assert got[4]["json"] == '{"content":null,"role":null}' and json.loads(got[5]["json"])["content"] == long
+
+
+def test_unknown_types(spark):
+    with pytest.raises(ValueError, match="unknown type date"):
+        chat.formatted(spark.createDataFrame([], SCHEMA), {"t": {"properties": {"x": {"items": {"type": ["string", "date"]}}}}})
+
+
+def test_every_text(spark):
+    """The JSON of every message, built by hand."""
+    rows = [(1, 0, "user", 'q "1"\n'), (1, 1, "assistant", "é"), (1, 2, "system", None), (2, 0, "assistant", "")]
+    got = {(r["conversation"], r["message"]): r["json"] for r in chat.formatted(chat.as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), chat.REPLY_TOOL).collect()}
+    assert got == {
+        (1, 0): '{"content":null,"role":"user","tool_calls":[{"arguments":{"prompt":"q \\"1\\"\\n","turn":0},"id":"call_0","name":"reply"}]}',
+        (1, 1): '{"content":"é","role":"assistant","tool_call_id":"call_0"}',
+        (1, 2): '{"content":null,"role":"system"}',
+        (2, 0): '{"content":"","role":"assistant","tool_call_id":"call_-1"}',
+    }
