@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keeps the row with the largest doc_id (operator 5), of repeated rows one."""
+    """Of equal texts keeps the row with the largest doc_id (operator 5), of several such rows the one with the least hash of all columns."""
     owners = stored(exact.owners(docs), "text-owners")
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     same = (digest == owners["text_sha256"]) & docs["doc_id"].eqNullSafe(owners["keep_id"])
@@ -30,7 +30,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if owners.filter("ties > 1").isEmpty():
         return single
     repeated = docs.join(owners.filter("ties > 1"), same, "left_semi")
-    return single.unionByName(repeated.withColumn("_digest", digest).dropDuplicates(["_digest"]).drop("_digest"))
+    rows = repeated.select(digest.alias("digest"), F.struct("*").alias("row"), F.xxhash64(*(F.struct(c) for c in docs.columns)).alias("hash"))
+    return single.unionByName(rows.groupBy("digest").agg(F.min_by("row", "hash").alias("row")).select("row.*"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
