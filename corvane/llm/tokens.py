@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -102,14 +103,15 @@ class UnitIds:
 
     def put(self, lists: Iterable[Sequence[int]]) -> np.ndarray:
         """Keeps some lists of ids; their slots."""
-        first = self.n
-        for ids in lists:
-            self.ids = _room(self.ids, self.used + len(ids))
-            self.starts, self.lengths = _room(self.starts, self.n + 1), _room(self.lengths, self.n + 1)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[self.n], self.lengths[self.n] = self.used, len(ids)
-            self.used, self.n = self.used + len(ids), self.n + 1
-        return np.arange(first, self.n, dtype=np.int32)
+        rows = list(lists)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        total, slots = int(sizes.sum()), np.arange(self.n, self.n + len(rows), dtype=np.int32)
+        self.ids = _room(self.ids, self.used + total)
+        self.starts, self.lengths = _room(self.starts, self.n + len(rows)), _room(self.lengths, self.n + len(rows))
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(rows), np.uint32, total)
+        self.starts[slots], self.lengths[slots] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.n = self.used + total, self.n + len(rows)
+        return slots
 
     def slots(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, encode: Callable[[list[int], list[int]], Iterable[Sequence[int]]]) -> np.ndarray:
         """The slot of each span; encode(starts, ends) gives the ids of new ones.  Spans that share a hash with another are encoded by themselves."""
