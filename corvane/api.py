@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corvane.functions import embed
-from corvane.operators import fulltext, retrieval
+from corvane.operators import fulltext, pending, retrieval
+from corvane.operators.stats import throughput
 from corvane.operators.store import Store
 from corvane.plans import ingest, reindex
-from corvane.plans.components import Profile, load_profile
+from corvane.plans.components import Profile, drop_models, load_profile
+from corvane.plans.residency import StageLog
 from corvane.schema import MESSAGES, conform
 from corvane.sources import archive
 
@@ -19,10 +19,11 @@ from corvane.sources import archive
 class Conversations:
     """Messages, vectors and search over versioned tables below a folder."""
 
-    def __init__(self, spark: SparkSession, root: str, profile: str | Profile = "default"):
+    def __init__(self, spark: SparkSession, root: str, profile: str | Profile | None = None, log: StageLog | None = None):
         self.spark = spark
         self.store = Store(spark, root)
-        self.profile = load_profile(profile) if isinstance(profile, str) else profile
+        self.profile = profile if isinstance(profile, Profile) else load_profile(profile)
+        self.log = log
 
     def initialize(self) -> None:
         self.store.initialize()
@@ -30,21 +31,25 @@ class Conversations:
     def import_archive(self, path: str, now: str) -> dict:
         """Reads an export archive and ingests it, unless all its files are registered."""
         archive.check(self.spark, path)
-        raw = archive.conversations(self.spark, path)
-        return ingest.ingest(self.store, archive.messages(raw, now), self.profile, now, raw.select("file_hash", "path", "file_size"))
+        self.store.initialize()
+        raw = pending.new_files(archive.conversations(self.spark, path), self.store.read("source_files"))
+        if raw.isEmpty():
+            return throughput(0, 0.0) | self.store.statistics()
+        return ingest.ingest(self.store, archive.messages(raw, now), self.profile, now, raw.select("file_hash", "path", "file_size"), self.log)
 
     def save_message(self, row: dict) -> str:
-        return self.save_messages_batch(self.spark.createDataFrame([row]))[0]
+        self.save_messages_batch(self.spark.createDataFrame([row]))
+        return row["id"]
 
-    def save_messages_batch(self, rows: DataFrame, order: str | None = None) -> list[str]:
-        """Upserts by id, the last of repeated ids winning by `order`; returns the ids, repeated ones too."""
+    def save_messages_batch(self, rows: DataFrame, order: str | None = None) -> DataFrame:
+        """Upserts by id, the last of repeated ids winning, by `order` or as they stand; returns the ids, repeated ones too, as a frame."""
         self.store.upsert("messages", conform(rows, MESSAGES) if order is None else rows, order)
-        return [r["id"] for r in rows.select("id").toLocalIterator()]
+        return rows.select("id")
 
     def vectorize(self, query: str) -> list[float]:
-        """A query's vector, by the same expression as the messages'."""
-        made = self.spark.createDataFrame([(query,)], "q string").select(embed.hashing_embedding(F.col("q"), self.profile.dimension).alias("v"))
-        return list(made.first()["v"])
+        """A query's vector, by the same embedder as the messages'."""
+        made = ingest.embedded(self.spark.createDataFrame([(query,)], "q string"), self.profile, "q")
+        return list(made.first()["vector"])
 
     def search_by_vector(self, query: list[float], limit: int = retrieval.DEFAULT_LIMIT, filters: dict | None = None) -> DataFrame:
         return retrieval.vector_search(self.store.read("vectors"), query, limit, self.store.read("messages").drop("created_at"), filters)
@@ -73,7 +78,11 @@ class Conversations:
 
     def get_message_by_id(self, key: str) -> dict | None:
         row = retrieval.by_id(self.store.read("messages"), key).first()
-        return row.asDict(recursive=True) if row else None
+        if not row:
+            return None
+        found = row.asDict(recursive=True)
+        segment = {c: found[c] for c in ("segment_topic", "segment_id", "segment_sequence")} if found["segment_topic"] else {}
+        return found | {"metadata": (found["metadata"] or {}) | segment}
 
     def get_conversation_messages(self, conversation_id: str) -> DataFrame:
         return retrieval.conversation(self.store.read("messages"), conversation_id)
@@ -85,4 +94,5 @@ class Conversations:
         return step(self.store, self.profile, now, **options)
 
     def close(self) -> None:
-        """Nothing is held open."""
+        """Lets go of the models that this process holds; tables aren't held open."""
+        drop_models()

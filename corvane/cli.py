@@ -6,9 +6,13 @@ import argparse
 import sys
 from datetime import datetime, timezone
 
+from pyspark.sql import DataFrame
+
 from corvane.api import Conversations
 from corvane.operators import retrieval, stats
+from corvane.operators.pending import reindex_status
 from corvane.plans import reindex
+from corvane.plans.residency import StageLog
 from corvane.session import session
 
 VERSION = "0.1.0"
@@ -20,6 +24,16 @@ def _show(rows) -> None:
         print(f"{r['rank']:>3}  {r['score']:.4f}  [{r['label']}]  {r['author_role']}: {r['snippet']}")
 
 
+def _report(found: dict) -> None:
+    """The numbers of a report, and a line per intent."""
+    for k, v in found.items():
+        if isinstance(v, DataFrame):
+            for r in v.toLocalIterator():
+                print(f"{k}: {r[0]}: {r[1]}")
+        else:
+            print(f"{k}: {v}")
+
+
 def interactive(talks: Conversations, lines=sys.stdin) -> None:
     """A line loop over searches."""
     limit, mode = retrieval.LINE_LIMIT, "vector"
@@ -31,7 +45,7 @@ def interactive(talks: Conversations, lines=sys.stdin) -> None:
         if command == "/help":
             print(HELP)
         elif command == "/stats":
-            print(talks.get_statistics())
+            _report(talks.get_statistics())
         elif command == "/limit" and rest.isdigit():
             limit = retrieval.clamp_limit(int(rest))
         elif command == "/mode" and rest in retrieval.MODES:
@@ -45,7 +59,8 @@ def interactive(talks: Conversations, lines=sys.stdin) -> None:
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="corvane")
     parser.add_argument("--root", default="corvane-store")
-    parser.add_argument("--profile", default="default")
+    parser.add_argument("--profile")
+    parser.add_argument("--log", action="store_true", help="a line per stage")
     parser.add_argument("--master")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("init").add_argument("source")
@@ -60,6 +75,8 @@ def main(args: list[str] | None = None) -> int:
     full = commands.add_parser("reindex-full")
     full.add_argument("--force", action="store_true")
     full.add_argument("--status", action="store_true")
+    full.add_argument("--after")
+    full.add_argument("--limit", type=int)
     again = commands.add_parser("rebuild")
     again.add_argument("--vectors-only", action="store_true")
     again.add_argument("--resume", action="store_true")
@@ -69,15 +86,15 @@ def main(args: list[str] | None = None) -> int:
     if told.command == "version":
         print(VERSION)
         return 0
-    talks = Conversations(session(told.master), told.root, told.profile)
+    talks = Conversations(session(told.master), told.root, told.profile, StageLog() if told.log else None)
     store, now = talks.store, datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     match told.command:
         case "init":
-            print(talks.import_archive(told.source, now))
+            _report(talks.import_archive(told.source, now))
         case "search":
             _show(talks.search(told.query, told.limit, told.mode, told.topic).collect())
         case "stats":
-            print(talks.get_statistics())
+            _report(talks.get_statistics())
         case "topics":
             messages = store.read("messages")
             print(stats.topic_totals(messages).first().asDict())
@@ -90,21 +107,17 @@ def main(args: list[str] | None = None) -> int:
         case "revectorize":
             print(reindex.revectorize_dimension(store, talks.profile, now, told.limit))
         case "reindex-full":
-            from corvane.functions.embed import version_id
-            from corvane.operators.pending import reindex_status
-
             if told.status:
-                version = version_id(talks.profile.embedder, talks.profile.dimension)
-                print(reindex_status(store.read("messages"), store.read("message_content"), store.read("vectors"), version).first().asDict())
+                print(reindex_status(store.read("messages"), store.read("message_content"), store.read("vectors"), talks.profile.version).first().asDict())
             else:
-                print(reindex.reindex_all(store, talks.profile, now, force=told.force))
+                print(reindex.reindex_all(store, talks.profile, now, force=told.force, after=told.after, limit=told.limit))
         case "rebuild":
             print(reindex.rebuild(store, talks.profile, now, vectors_only=told.vectors_only, resume=told.resume))
         case "segment":
             print(reindex.segment_pending(store, talks.profile.segment_threshold))
         case "migrate":
-            for name in ("messages", "vectors", "message_content", "message_chunks"):
-                store.write(name, store.read(name))  # reading adds the columns that older versions lack
+            for r in reindex.migrate(store, now).collect():
+                print(f"{r['item']}: {r['n']}")
         case "interactive":
             interactive(talks)
     return 0

@@ -19,6 +19,8 @@ YES = ("SI", "SÍ", "YES", "TRUE", "1")
 STOP_TOKENS = ("<|im_end|>", "<|im_start|>", "\n\n\n")
 SHOWN_ENTITIES, FALLBACK_CHARS, INPUT_CHARS = 8, 500, 1500
 REFINE_CHARS, REVECTORIZE_CHARS = 6000, 8000
+#: Prompts that a model gets in one call.
+BATCH_PROMPTS = 32
 QUANTISATIONS = {"q4_0": 2000, "q4_k_m": 2200, "q5_k_m": 2800, "q8_0": 3500}
 DEFAULT_QUANTISATION = "q4_k_m"
 
@@ -94,23 +96,27 @@ def compose(intent: Column, entities: Column, summary: Column, question: Column,
 def refine_with(df: DataFrame, load: Callable[[], LanguageModel], prompt: str, text: str = "vectorizable_content", chars: int = INPUT_CHARS, side: str = "right") -> DataFrame:
     """Adds the struct `refined`: the model's answer to prompt.format(text=...), parsed.
 
-    load() runs once per Python worker.  A blank text gives '' at 0.0; a model that
-    fails gives the first 500 characters at 0.0.
+    load() runs once per Python worker; the model gets up to BATCH_PROMPTS prompts a call.
+    A blank text gives '' at 0.0.  If a call fails, its prompts are asked one by one, and
+    those that fail alone give the first 500 characters at 0.0.
     """
 
+    def answers(model: LanguageModel, prompts: list[str]) -> list[tuple[str | None, bool]]:
+        try:
+            return [(answer.strip(), False) for answer in model(prompts, STOP_TOKENS)]
+        except Exception:  # noqa: BLE001  whatever the model raises, the rows fall back
+            return [(None, True)] if len(prompts) == 1 else [x for p in prompts for x in answers(model, [p])]
+
     @F.pandas_udf("answer string, failed boolean")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load()
         for texts in batches:
-            out = []
-            for t in texts:
-                if t is None or not t.strip():
-                    out.append((None, False))
-                    continue
-                try:
-                    out.append((model([prompt.replace("{text}", t)], STOP_TOKENS)[0].strip(), False))
-                except Exception:  # noqa: BLE001  whatever the model raises, the row falls back
-                    out.append((None, True))
+            out: list[tuple[str | None, bool]] = [(None, False)] * len(texts)
+            full = [k for k, t in enumerate(texts) if t is not None and t.strip()]
+            for i in range(0, len(full), BATCH_PROMPTS):
+                some = full[i : i + BATCH_PROMPTS]
+                for k, x in zip(some, answers(model, [prompt.replace("{text}", texts.iloc[k]) for k in some]), strict=True):
+                    out[k] = x
             yield pd.DataFrame(out, columns=["answer", "failed"])
 
     c = F.col(text)
@@ -121,12 +127,12 @@ def refine_with(df: DataFrame, load: Callable[[], LanguageModel], prompt: str, t
 
 
 def echo_model(prompts: list[str], stop: tuple[str, ...]) -> list[str]:
-    """A stand-in model: the prompt's first words as summary, its longest as terms."""
+    """A stand-in model: of the text below the prompt's first line the first words as intent and summary, the longest as terms."""
     out = []
     for p in prompts:
-        words = p.split()
-        terms = sorted(dict.fromkeys(words), key=lambda w: (-len(w), w))[:3]
-        out.append(f"Términos: {', '.join(t.strip(',.;') for t in terms)}\nResumen: {' '.join(words[:12])}")
+        words = (p.partition("\n")[2] or p).split()
+        terms = sorted(dict.fromkeys(t for t in (w.strip(",.;") for w in words) if t), key=lambda w: (-len(w), w))[:3]
+        out.append(f"Intención: {' '.join(words[:3])}\nTérminos: {', '.join(terms)}\nResumen: {' '.join(words[:12])}")
     return out
 
 
@@ -138,6 +144,12 @@ def semantic_keywords(intent: Column, entities: Column, summary: Column) -> Colu
 
 
 def quantisation(file_name: str) -> str:
-    """The quantisation that a model file's name tells."""
-    low = file_name.lower()
-    return next((q for q in QUANTISATIONS if q in low), DEFAULT_QUANTISATION)
+    """The quantisation that a model file's name tells; hyphens and underscores don't count."""
+    bare = lambda x: x.lower().replace("-", "").replace("_", "")
+    return next((q for q in QUANTISATIONS if bare(q) in bare(file_name)), DEFAULT_QUANTISATION)
+
+
+def model_info(file_name: str, loaded: bool = False) -> dict:
+    """What is known of a model file: its name, quantisation, memory by estimate in MB, and whether it is loaded."""
+    kind = quantisation(file_name)
+    return {"model": file_name.rpartition("/")[2], "quantisation": kind, "memory_mb": QUANTISATIONS[kind], "loaded": loaded}

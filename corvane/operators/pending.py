@@ -59,6 +59,15 @@ def newest_first(df: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered if limit is None else ordered.limit(limit)
 
 
+def in_order(rows: DataFrame, all_rows: DataFrame, after: str | None = None, limit: int | None = None) -> DataFrame:
+    """rows (message_id, created_at) from the oldest on; after: only those that come later than this id of all_rows; an unknown id leaves all."""
+    order = F.struct("created_at", "message_id")
+    if after is not None:
+        mark = all_rows.filter(F.col("message_id") == after).agg(F.max(order).alias("_mark"))  # one row
+        rows = rows.crossJoin(F.broadcast(mark)).filter(F.col("_mark").isNull() | (order > F.col("_mark"))).drop("_mark")
+    return rows if limit is None else rows.orderBy("created_at", "message_id").limit(limit)
+
+
 def messages_then_chunks(messages: DataFrame, chunk_table: DataFrame, limit: int) -> DataFrame:
     """entity_id, entity_type, text of at most `limit` rows, messages before chunks."""
     rows = messages.select(F.col("id").alias("entity_id"), F.lit("message").alias("entity_type"), F.col("vectorizable_content").alias("text"), F.lit(0).alias("_p"))

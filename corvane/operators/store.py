@@ -1,15 +1,21 @@
 """Tables with keys: upserts, update-joins, splits, migrations, statistics.
 
-A table is a folder of versions (`v=NNNNNN`); a write makes the next version, which counts
-once it is finished, so readers never see half a table and a repeated write is safe.
-Everything here is also usable on plain DataFrames.
+A table is cut into buckets by a hash of its first key column; a version is a small file
+that names the folder of each bucket.  A write makes new folders for the buckets that it
+touches and then the next version, which counts once its file is there, so readers
+never see half a table, a repeated write is safe, and what a write doesn't touch stays
+where it is.  Everything here is also usable on plain DataFrames.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +29,9 @@ def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """existing with the rows of new in place of those with the same keys; the last of repeated new rows wins."""
-    new = keep_last(new, keys, order).drop(order) if order else new.dropDuplicates(keys)
+    """existing with the rows of new in place of those with the same keys; the last of repeated new rows wins, by `order` or as they stand in new."""
+    place = order or "_place"
+    new = keep_last(new if order else new.withColumn(place, F.monotonically_increasing_id()), keys, place).drop(place)
     match = functools.reduce(lambda a, b: a & b, [existing[k].eqNullSafe(new[k]) for k in keys])
     return existing.join(new, match, "left_anti").unionByName(new, allowMissingColumns=True)
 
@@ -41,21 +48,22 @@ def missing(source: DataFrame, target: DataFrame, source_key: str, target_key: s
     return source.join(target.select(F.col(target_key).alias(source_key)), source_key, "left_anti")
 
 
-def split_content(messages: DataFrame, existing: DataFrame) -> DataFrame:
-    """message_content with rows for the messages that had none."""
+def missing_content(messages: DataFrame, existing: DataFrame) -> DataFrame:
+    """message_content rows of the messages that have none."""
     fresh = missing(messages, existing, "id", "message_id").select(F.col("id").alias("message_id"), F.col("content").alias("full_content"), "clean_content", "vectorizable_content", "refined_content")
-    return conform(existing, MESSAGE_CONTENT).unionByName(conform(fresh, MESSAGE_CONTENT))
+    return conform(fresh, MESSAGE_CONTENT)
 
 
-def move_vectors(messages: DataFrame, existing: DataFrame, version: str, now: T.TimestampType | str) -> DataFrame:
-    """The vectors table with the messages' own vectors, as far as it lacks them; the real dimension is stored."""
+def missing_vectors(messages: DataFrame, existing: DataFrame, now: str) -> DataFrame:
+    """vectors rows of messages that carry a vector of their own, as far as the table lacks them; the real dimension is stored."""
+    if "vector" not in messages.columns:
+        return conform(existing.limit(0), VECTORS)
     fresh = missing(messages.filter("vector is not null"), existing.filter("entity_type = 'message'"), "id", "entity_id")
-    rows = vector_rows(fresh, "id", "message", version, now)
-    return conform(existing, VECTORS).unionByName(rows)
+    return vector_rows(fresh, "id", "message", F.col("vectorizer_version"), now)
 
 
-def vector_rows(df: DataFrame, key: str, entity_type: str, version: str, now: str, vector: str = "vector") -> DataFrame:
-    found = df.select(F.col(key).cast("string").alias("entity_id"), F.lit(entity_type).alias("entity_type"), F.col(vector).alias("vector"), F.size(vector).alias("vector_dim"), F.lit(version).alias("model_version"), F.lit(now).cast("timestamp").alias("created_at"))
+def vector_rows(df: DataFrame, key: str, entity_type: str, version: str | Column, now: str, vector: str = "vector") -> DataFrame:
+    found = df.select(F.col(key).cast("string").alias("entity_id"), F.lit(entity_type).alias("entity_type"), F.col(vector).alias("vector"), F.size(vector).alias("vector_dim"), (version if isinstance(version, Column) else F.lit(version)).alias("model_version"), F.lit(now).cast("timestamp").alias("created_at"))
     return conform(found, VECTORS)
 
 
@@ -80,8 +88,12 @@ def migration_report(content: DataFrame, chunk_table: DataFrame, vectors: DataFr
     return functools.reduce(DataFrame.union, [*counts, by_dim])
 
 
+#: Buckets of a table.
+BUCKETS = 64
+
+
 class Store:
-    """Versioned Parquet tables below one folder, by the names in schema.TABLES."""
+    """Versioned, bucketed Parquet tables below one folder, by the names in schema.TABLES."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -101,39 +113,109 @@ class Store:
         fs, folder = self._fs(path)
         return fs.exists(folder)
 
+    def _versions(self, name: str) -> list[str]:
+        fs, folder = self._fs(f"{self.root}/{name}/_versions")
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
     def version(self, name: str) -> str | None:
-        """The newest finished version's folder."""
-        fs, folder = self._fs(f"{self.root}/{name}")
-        if not fs.exists(folder):
-            return None
-        done = sorted(s.getPath().getName() for s in fs.listStatus(folder) if fs.exists(self._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-        return done[-1] if done else None
+        """The newest version's name."""
+        return next((v for v in reversed(self._versions(name)) if v.startswith("v=")), None)
 
     def exists(self, name: str) -> bool:
         return self.version(name) is not None
 
+    def _folders(self, name: str, version: str | None) -> dict[int, str]:
+        """The folder of each bucket that has rows."""
+        if version is None:
+            return {}
+        fs, file = self._fs(f"{self.root}/{name}/_versions/{version}")
+        size = fs.getFileStatus(file).getLen()
+        stream = fs.open(file)
+        raw = self._jvm.java.lang.String(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size), "UTF-8")
+        stream.close()
+        return {int(k): v for k, v in json.loads(str(raw)).items()}
+
+    def _scan(self, name: str, folders: dict[int, str]) -> DataFrame:
+        schema = TABLES[name][0]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{f}" for _, f in sorted(folders.items())])
+
     def read(self, name: str) -> DataFrame:
-        """The newest finished version, with null columns where it is older than the schema."""
+        """The newest version, with null columns where its files are older than the schema."""
         version = self.version(name)
         if version is None:
             raise FileNotFoundError(f"{self.root}/{name}")
-        return conform(self.spark.read.parquet(f"{self.root}/{name}/{version}"), TABLES[name][0])
-
-    def write(self, name: str, df: DataFrame) -> None:
-        """Writes the next version; the last but one and older are removed."""
+        return self._scan(name, self._folders(name, version))
+
+    @staticmethod
+    def _bucket(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(TABLES[name][1][0])), F.lit(BUCKETS)).cast("int")
+
+    def _commit(self, name: str, df: DataFrame, kept: dict[int, str]) -> None:
+        """Writes df's rows to new folders of their buckets; the next version has those and the kept ones."""
+        data = f"data-{uuid.uuid4().hex}"
+        rows = conform(df, TABLES[name][0]).withColumn("_bucket", self._bucket(name))
+        rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{name}/{data}")
+        fs, folder = self._fs(f"{self.root}/{name}/{data}")
+        made = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+        folders = kept | {int(f.split("=")[1]): f"{data}/{f}" for f in made}
         version = self.version(name)
         n = int(version.split("=")[1]) + 1 if version else 0
-        conform(df, TABLES[name][0]).write.mode("overwrite").parquet(f"{self.root}/{name}/v={n:06d}")
+        where = f"{self.root}/{name}/_versions"
+        _, draft = self._fs(f"{where}/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
+        if not fs.rename(draft, self._fs(f"{where}/v={n:06d}")[1]):
+            raise OSError(f"{name}: another writer made version {n}")
+        self._remove_old(name)
+
+    def _remove_old(self, name: str) -> None:
+        """Removes all versions but the last two, and the folders that neither names."""
         fs, folder = self._fs(f"{self.root}/{name}")
+        versions = [v for v in self._versions(name) if v.startswith("v=")]
+        for v in versions[:-2]:
+            fs.delete(self._fs(f"{self.root}/{name}/_versions/{v}")[1], False)
+        used = {f.split("/")[0] for v in versions[-2:] for f in self._folders(name, v).values()}
+        newest = max((s.getModificationTime() for s in fs.listStatus(folder)), default=0)
         for s in fs.listStatus(folder):
-            if s.getPath().getName().startswith("v=") and int(s.getPath().getName()[2:]) < n - 1:
+            found = s.getPath().getName()
+            if found.startswith("data-") and found not in used and s.getModificationTime() < newest:
                 fs.delete(s.getPath(), True)
 
+    def write(self, name: str, df: DataFrame) -> None:
+        """Writes all of a table anew."""
+        self._commit(name, df, {})
+
+    def _touched(self, name: str, keys: DataFrame) -> tuple[DataFrame, dict[int, str]]:
+        """The rows of the buckets that some keys fall in, and the folders of the others."""
+        hit = {r["b"] for r in keys.select(self._bucket(name).alias("b")).distinct().collect()}  # BUCKETS at most
+        folders = self._folders(name, self.version(name))
+        return self._scan(name, {b: f for b, f in folders.items() if b in hit}), {b: f for b, f in folders.items() if b not in hit}
+
     def upsert(self, name: str, new: DataFrame, order: str | None = None) -> None:
-        self.write(name, upsert(self.read(name), conform(new, T.StructType([*TABLES[name][0].fields, *([T.StructField(order, new.schema[order].dataType)] if order else [])])), TABLES[name][1], order))
+        """Rewrites the buckets that new rows fall in."""
+        schema, keys = TABLES[name]
+        new = conform(new, T.StructType([*schema.fields, *([T.StructField(order, new.schema[order].dataType)] if order else [])]))
+        rows, kept = self._touched(name, new)
+        self._commit(name, upsert(rows, new, keys, order), kept)
 
     def update(self, name: str, changes: DataFrame, columns: list[str]) -> None:
-        self.write(name, update(self.read(name), changes, TABLES[name][1], columns))
+        """Rewrites the buckets that changed rows stand in."""
+        rows, kept = self._touched(name, changes)
+        self._commit(name, update(rows, changes, TABLES[name][1], columns), kept)
+
+    @contextmanager
+    def staged(self, df: DataFrame) -> Iterator[DataFrame]:
+        """df written once and read back, for plans that feed several tables; gone afterwards."""
+        path = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        try:
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            fs, folder = self._fs(path)
+            fs.delete(folder, True)
 
     def has_file(self, file_hash: str) -> bool:
         return not self.read("source_files").filter(F.col("file_hash") == file_hash).isEmpty()
@@ -142,12 +224,14 @@ class Store:
         fs, folder = self._fs(self.root)
         return fs.getContentSummary(folder).getLength() / 2**20 if fs.exists(folder) else 0.0
 
+    def intents(self) -> DataFrame:
+        """intent, count of all messages, the most frequent first."""
+        return self.read("messages").groupBy("intent").count().orderBy(F.desc("count"), "intent")
+
     def statistics(self) -> dict:
-        """Counts of messages, conversations and intents, and the tables' size."""
-        messages = self.read("messages")
-        row = messages.agg(F.count("*").alias("n"), F.count_distinct("conversation_id").alias("c")).first()
-        intents = {r["intent"]: r["count"] for r in messages.groupBy("intent").count().orderBy(F.desc("count"), "intent").limit(1000).collect()}
-        return {"total_messages": row["n"], "total_conversations": row["c"], "by_intent": intents, "storage_mb": self.size_mb()}
+        """Counts of messages and conversations, the tables' size, and by_intent: the frame of intents()."""
+        row = self.read("messages").agg(F.count("*").alias("n"), F.count_distinct("conversation_id").alias("c")).first()
+        return {"total_messages": row["n"], "total_conversations": row["c"], "by_intent": self.intents(), "storage_mb": self.size_mb()}
 
 
 def add_missing_columns(df: DataFrame, schema: T.StructType = MESSAGES) -> DataFrame:

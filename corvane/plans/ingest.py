@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import classify, embed, refine, text
 from corvane.operators.stats import throughput
-from corvane.operators.store import Store, chunk_rows, vector_rows
-from corvane.plans.components import Profile
+from corvane.operators.store import Store, chunk_rows, keep_last, vector_rows
+from corvane.plans.components import Profile, loader
+from corvane.plans.residency import StageLog
 from corvane.schema import MESSAGES, conform, require_valid
 
 PROMPT = "Resume la intención y los términos del texto:\n{text}"
@@ -23,10 +24,11 @@ def normalized(messages: DataFrame) -> DataFrame:
 
 
 def classified(messages: DataFrame, profile: Profile) -> DataFrame:
+    """Adds what the profile's classifier says: the rules, a zero-shot model, or that none ran."""
     if profile.classifier == "rules":
         return classify.classify_by_rules(messages, "clean_content")
-    if profile.classifier == "zero-shot":
-        return classify.classify_zero_shot(messages, lambda: classify.keyword_zero_shot, "clean_content").drop("raw_prediction")
+    if profile.classifier is not None:
+        return classify.classify_zero_shot(messages, loader(profile, "classifier"), "clean_content").drop("raw_prediction")
     return classify.unclassified(messages)
 
 
@@ -34,14 +36,17 @@ def refined(messages: DataFrame, profile: Profile) -> DataFrame:
     """Adds refined_content: the refiner's, else the vectorizable text."""
     if not profile.refiner:
         return messages.withColumn("refined_content", F.col("vectorizable_content"))
-    found = refine.refine_with(messages, lambda: refine.echo_model, PROMPT)
+    found = refine.refine_with(messages, loader(profile, "refiner"), PROMPT)
     if profile.classifier is None:
         found = classify.classify_from_refiner(found)
     return found.drop("refined")
 
 
 def embedded(messages: DataFrame, profile: Profile, column: str = "refined_content") -> DataFrame:
-    return messages.withColumn("vector", embed.hashing_embedding(F.col(column), profile.dimension))
+    """Adds the vectors of the profile's embedder."""
+    if profile.embedder == "hashing":
+        return messages.withColumn("vector", embed.hashing_embedding(F.col(column), profile.width))
+    return embed.embed_with(messages, loader(profile, "embedder"), column)
 
 
 def processed(messages: DataFrame, profile: Profile) -> DataFrame:
@@ -49,27 +54,31 @@ def processed(messages: DataFrame, profile: Profile) -> DataFrame:
     return embedded(refined(classified(normalized(require_valid(messages)), profile), profile), profile)
 
 
-def ingest(store: Store, messages: DataFrame, profile: Profile, now: str, source: DataFrame | None = None) -> dict:
+def ingest(store: Store, messages: DataFrame, profile: Profile, now: str, source: DataFrame | None = None, log: StageLog | None = None) -> dict:
     """Upserts the processed messages with their vectors, contents and chunks; returns counts and speed.
 
-    The processed rows are written once (the new version of the vectors table and of the
-    messages read the same plan), and `source` (file_hash, path, file_size) is registered.
+    The stages run once: their rows are written to a folder of the store, read back and
+    feed all tables.  Of messages with one id the last by `place` counts, if there is such a
+    column.  `source` (file_hash, path, file_size) is registered.
     """
-    began = time.time()
+    began, log = time.time(), log or StageLog(lambda _: None)
     store.initialize()
-    version = embed.version_id(profile.embedder, profile.dimension)
-    rows = processed(messages, profile).withColumns({"vectorizer_version": F.lit(version), "created_at": F.lit(now).cast("timestamp"), "content_hash": text.content_hash(F.col("content"))})
-    store.upsert("messages", conform(rows, MESSAGES))
-    store.upsert("vectors", vector_rows(rows, "id", "message", version, now))
-    kept = store.read("messages")
-    fresh = kept.filter(F.col("created_at") == F.lit(now).cast("timestamp"))
-    store.upsert("message_content", fresh.select(F.col("id").alias("message_id"), F.col("content").alias("full_content"), "clean_content", "vectorizable_content", "refined_content"))
-    store.upsert("message_chunks", chunk_rows(fresh, now))
-    n = fresh.count()
-    if source is not None:
-        files = source.select("file_hash", F.col("path").alias("file_path"), "file_size").distinct()
-        counts = messages.groupBy("file_hash").agg(F.count("*").alias("total_messages")) if "file_hash" in messages.columns else files.select("file_hash", F.lit(n).alias("total_messages"))
-        store.upsert("source_files", files.join(counts, "file_hash", "left").withColumns({"processed_at": F.lit(now).cast("timestamp"), "vectorizer_version": F.lit(version), "metadata": F.lit("{}")}))
-    versions = store.spark.createDataFrame([(version, profile.embedder, profile.dimension)], "version_id string, model_name string, embedding_dim int")
+    if "place" in messages.columns:
+        messages = keep_last(messages, ["id"], "place")
+    made = processed(messages, profile).withColumns({"vectorizer_version": F.lit(profile.version), "created_at": F.lit(now).cast("timestamp"), "content_hash": text.content_hash(F.col("content"))})
+    with store.staged(made) as rows:
+        with log.stage("process") as told:
+            told["rows"] = n = rows.count()
+        with log.stage("write"):
+            store.upsert("messages", conform(rows, MESSAGES))
+            store.upsert("vectors", vector_rows(rows, "id", "message", profile.version, now))
+            fresh = rows.withColumn("segment_topic", F.lit(None).cast("string"))
+            store.upsert("message_content", fresh.select(F.col("id").alias("message_id"), F.col("content").alias("full_content"), "clean_content", "vectorizable_content", "refined_content"))
+            store.upsert("message_chunks", chunk_rows(fresh, now))
+        if source is not None:
+            files = source.select("file_hash", F.col("path").alias("file_path"), "file_size").distinct()
+            counts = rows.groupBy("file_hash").agg(F.count("*").alias("total_messages")) if "file_hash" in rows.columns else files.select("file_hash", F.lit(n).alias("total_messages"))
+            store.upsert("source_files", files.join(counts, "file_hash", "left").withColumns({"processed_at": F.lit(now).cast("timestamp"), "vectorizer_version": F.lit(profile.version), "metadata": F.lit("{}")}))
+    versions = store.spark.createDataFrame([(profile.version, profile.embedder, profile.width)], "version_id string, model_name string, embedding_dim int")
     store.upsert("vectorizer_versions", versions.withColumn("created_at", F.lit(now).cast("timestamp")))
     return throughput(n, time.time() - began) | store.statistics()

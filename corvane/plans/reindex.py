@@ -1,72 +1,77 @@
 """Incremental runs: re-embed, refine, rebuild, re-index, segment.
 
 Each takes what is pending from the tables themselves (anti-joins), so a run that
-broke off is resumed by running it again, and a second run finds nothing to do.
+broke off is resumed by running it again, and a second run finds nothing to do.  Models
+run once a row: what they made is written, read back, and feeds all tables.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions import embed, refine
+from corvane.functions import refine
 from corvane.functions.text import truncate
 from corvane.operators import pending, segment
-from corvane.operators.stats import top_topics
-from corvane.operators.store import Store, vector_rows
+from corvane.operators.stats import throughput, top_topics
+from corvane.operators.store import Store, migration_report, missing_chunks, missing_content, missing_vectors, vector_rows
 from corvane.plans import ingest
-from corvane.plans.components import Profile
-
-
-def _version(profile: Profile) -> str:
-    return embed.version_id(profile.embedder, profile.dimension)
+from corvane.plans.components import Profile, loader
+from corvane.schema import with_flags
 
 
 def _embed_into(store: Store, rows: DataFrame, key: str, column: str, kind: str, profile: Profile, now: str) -> int:
-    made = vector_rows(rows.withColumn("vector", embed.hashing_embedding(F.col(column), profile.dimension)), key, kind, _version(profile), now)
-    n = made.count()
-    if n:
-        store.upsert("vectors", made)
+    with store.staged(vector_rows(ingest.embedded(rows, profile, column), key, kind, profile.version, now)) as made:
+        n = made.count()
+        if n:
+            store.upsert("vectors", made)
     return n
 
 
 def revectorize_outdated(store: Store, profile: Profile, now: str, *, force: bool = False, limit: int | None = None) -> int:
-    """Embeds messages of another vectorizer version anew."""
-    rows = pending.newest_first(pending.outdated(store.read("messages"), None if force else _version(profile)), limit)
-    changed = rows.select("id", "refined_content", "vectorizable_content").withColumn("text", F.coalesce("refined_content", "vectorizable_content"))
-    n = _embed_into(store, changed, "id", "text", "message", profile, now)
-    if n:
-        store.update("messages", rows.select("id", F.lit(_version(profile)).alias("vectorizer_version")), ["vectorizer_version"])
+    """Embeds messages of another vectorizer version anew, the newest first."""
+    rows = pending.newest_first(pending.outdated(store.read("messages"), None if force else profile.version), limit)
+    with store.staged(rows.select("id", F.coalesce("refined_content", "vectorizable_content").alias("text"))) as changed:
+        n = _embed_into(store, changed, "id", "text", "message", profile, now)
+        if n:
+            store.update("messages", changed.select("id", F.lit(profile.version).alias("vectorizer_version")), ["vectorizer_version"])
     return n
 
 
+def _refined(store: Store, rows: DataFrame, profile: Profile, text: str = "text") -> DataFrame:
+    return refine.refine_with(rows, loader(profile, "refiner") if profile.refiner else lambda: refine.echo_model, ingest.PROMPT, text)
+
+
 def refine_pending(store: Store, profile: Profile, now: str, *, force: bool = False, limit: int | None = None, chunks: bool = True) -> dict[str, int]:
     """Refines messages and chunks that lack it, then embeds what has no vector or a stale one."""
     rows = pending.newest_first(pending.unrefined(store.read("messages"), force=force), limit)
     cut = rows.select("id", truncate(F.col("vectorizable_content"), refine.REFINE_CHARS, "...").alias("text"))
-    done = refine.refine_with(cut, lambda: refine.echo_model, ingest.PROMPT, "text").select("id", "refined_content")
-    n = {"messages": done.count()}
-    if n["messages"]:
-        store.update("messages", done, ["refined_content"])
+    n = {}
+    with store.staged(_refined(store, cut, profile).select("id", "refined_content")) as done:
+        n["messages"] = done.count()
+        if n["messages"]:
+            store.update("messages", done, ["refined_content"])
     if chunks:
         open_chunks = store.read("message_chunks")
-        open_chunks = (open_chunks if force else open_chunks.filter("refined_text is null")).select("chunk_id", truncate(F.col("chunk_text"), refine.REFINE_CHARS, "...").alias("text"))
-        found = refine.refine_with(open_chunks, lambda: refine.echo_model, ingest.PROMPT, "text").select("chunk_id", F.left("refined_content", F.lit(4000)).alias("refined_text"))
-        n["chunks"] = found.count()
-        if n["chunks"]:
-            store.update("message_chunks", found, ["refined_text"])
-    vectors = store.read("vectors")
-    stale = pending.stale_vectors(store.read("messages"), "id", vectors, "message", _version(profile)).withColumn("text", F.coalesce("refined_content", "vectorizable_content"))
+        open_chunks = (open_chunks if force else open_chunks.filter("refined_text is null")).select("chunk_id", "message_id", truncate(F.col("chunk_text"), refine.REFINE_CHARS, "...").alias("text"))
+        found = _refined(store, open_chunks, profile).select("chunk_id", F.left("refined_content", F.lit(4000)).alias("refined_text"))
+        with store.staged(found) as done:
+            n["chunks"] = done.count()
+            if n["chunks"]:
+                store.update("message_chunks", done, ["refined_text"])
+    stale = pending.stale_vectors(store.read("messages"), "id", store.read("vectors"), "message", profile.version).withColumn("text", F.coalesce("refined_content", "vectorizable_content"))
     n["message_vectors"] = _embed_into(store, stale, "id", "text", "message", profile, now)
     if chunks:
-        stale = pending.stale_vectors(store.read("message_chunks"), "chunk_id", store.read("vectors"), "chunk", _version(profile)).withColumn("text", F.coalesce("refined_text", "chunk_text"))
+        stale = pending.stale_vectors(store.read("message_chunks"), "chunk_id", store.read("vectors"), "chunk", profile.version).withColumn("text", F.coalesce("refined_text", "chunk_text"))
         n["chunk_vectors"] = _embed_into(store, stale, "chunk_id", "text", "chunk", profile, now)
     return n
 
 
 def revectorize_dimension(store: Store, profile: Profile, now: str, limit: int | None = None) -> dict[str, int]:
     """Embeds messages whose vector has another dimension, and chunks without a vector; messages take the limit first."""
-    wrong = pending.wrong_dimension(store.read("vectors").filter("entity_type = 'message'"), profile.dimension)
+    wrong = pending.wrong_dimension(store.read("vectors").filter("entity_type = 'message'"), profile.width)
     texts = wrong.select(F.col("entity_id").alias("message_id")).join(store.read("message_content"), "message_id").select("message_id", truncate(F.coalesce("refined_content", "vectorizable_content"), refine.REVECTORIZE_CHARS).alias("text"))
     texts = texts.orderBy("message_id") if limit is None else texts.orderBy("message_id").limit(limit)
     n = {"messages": _embed_into(store, texts, "message_id", "text", "message", profile, now)}
@@ -82,10 +87,10 @@ def segment_pending(store: Store, threshold: float = segment.THRESHOLD) -> int:
     talks = pending.needs_segmentation(messages, vectors)
     of_messages = vectors.filter("entity_type = 'message'").select(F.col("entity_id").alias("id"), "vector")
     rows = messages.select("id", "conversation_id", "timestamp", "topics", "vectorizable_content").join(of_messages, "id", "left")
-    changes = segment.segment_updates(rows, talks, threshold)
-    n = changes.count()
-    if n:
-        store.update("messages", changes, ["segment_id", "segment_topic", "segment_sequence"])
+    with store.staged(segment.segment_updates(rows, talks, threshold)) as changes:
+        n = changes.count()
+        if n:
+            store.update("messages", changes, ["segment_id", "segment_topic", "segment_sequence"])
     return n
 
 
@@ -96,13 +101,13 @@ def rebuild(store: Store, profile: Profile, now: str, *, vectors_only: bool = Fa
     report: dict = {}
     if not vectors_only and profile.classifier:
         columns = ["intent", "intent_confidence", "topics", "is_question", "is_command"]
-        found = ingest.classified(store.read("messages").drop(*columns), profile)
-        store.update("messages", found.select("id", *columns), columns)
-        report["classified"] = store.read("messages").count()
+        with store.staged(ingest.classified(store.read("messages").drop(*columns), profile).select("id", *columns)) as found:
+            store.update("messages", found, columns)
+            report["classified"] = found.count()
     rows = store.read("messages").select("id", F.coalesce("refined_content", "vectorizable_content").alias("text"))
     if resume:
         had = store.read("vectors").filter("entity_type = 'message'").select(F.col("entity_id").alias("id"), "vector")
-        rows = pending.without_dimension(rows.join(had, "id", "left"), profile.dimension).drop("vector")
+        rows = pending.without_dimension(rows.join(had, "id", "left"), profile.width).drop("vector")
     report["vectors"] = _embed_into(store, rows, "id", "text", "message", profile, now)
     if segments:
         report["segmented"] = segment_pending(store, profile.segment_threshold)
@@ -110,16 +115,51 @@ def rebuild(store: Store, profile: Profile, now: str, *, vectors_only: bool = Fa
     return report
 
 
-def reindex_all(store: Store, profile: Profile, now: str, *, force: bool = False) -> dict[str, int]:
-    """Refines again whatever isn't in the structured form, with keywords, vectors and all three tables written."""
-    content = store.read("message_content")
-    rows = content if force else content.filter(pending.old_format(F.col("refined_content")))
-    done = refine.refine_with(rows.select("message_id", "vectorizable_content"), lambda: refine.echo_model, ingest.PROMPT)
-    made = done.select("message_id", "refined_content", refine.semantic_keywords(F.col("refined.intent"), F.col("refined.entities"), F.col("refined.summary")).alias("keywords"), F.slice("refined.entities", 1, 10).alias("topics"))
-    n = made.count()
-    if n:
-        store.update("message_content", made.select("message_id", "refined_content"), ["refined_content"])
-        store.update("messages", made.select(F.col("message_id").alias("id"), "refined_content", "topics"), ["refined_content", "topics"])
-        _embed_into(store, made, "message_id", "refined_content", "message", profile, now)
-    status = pending.reindex_status(store.read("messages"), store.read("message_content"), store.read("vectors"), _version(profile)).first().asDict()
-    return {"processed": n} | status
+def reindex_all(store: Store, profile: Profile, now: str, *, force: bool = False, after: str | None = None, limit: int | None = None) -> dict:
+    """Refines again whatever isn't in the structured form, the oldest messages first.
+
+    A message's content gets the refined text; the messages table gets keywords for full-text
+    search in its place, and the model's intent, topics (ten at most) and question flag; the
+    vector is made from the refined text.  Rows whose model call failed stay as they were,
+    pending, and count as errors.  after: a message's id; only those that come later are
+    taken.  limit: so many at most; the report names the last one.
+    """
+    began = time.time()
+    times = store.read("messages").select(F.col("id").alias("message_id"), "created_at")
+    content = store.read("message_content").join(times, "message_id")
+    rows = pending.in_order(content if force else content.filter(pending.old_format(F.col("refined_content"))), content, after, limit)
+    done = _refined(store, rows.select("message_id", "created_at", "vectorizable_content"), profile, "vectorizable_content")
+    failed = (F.col("refined.confidence") == 0) & (F.col("refined_content") != "")
+    made = done.select("message_id", "created_at", "refined_content", "refined", failed.alias("failed"))
+    with store.staged(made) as found:
+        good = found.filter("not failed")
+        told = found.agg(F.count_if(~F.col("failed")).alias("processed"), F.count_if("failed").alias("errors"), F.max(F.struct("created_at", "message_id"))["message_id"].alias("last_processed_id")).first().asDict()
+        if told["processed"]:
+            store.update("message_content", good.select("message_id", "refined_content"), ["refined_content"])
+            said = with_flags(good.select(
+                F.col("message_id").alias("id"), F.coalesce(F.when(F.col("refined.intent") != "", F.col("refined.intent")), F.lit("unknown")).alias("intent"), F.slice("refined.entities", 1, 10).alias("topics"),
+                refine.semantic_keywords(F.col("refined.intent"), F.col("refined.entities"), F.col("refined.summary")).alias("refined_content"), F.col("refined.has_question").alias("asks"),
+            )).withColumn("is_question", F.col("asks"))
+            store.update("messages", said, ["intent", "topics", "is_question", "is_command", "refined_content"])
+            _embed_into(store, good, "message_id", "refined_content", "message", profile, now)
+    status = pending.reindex_status(store.read("messages"), store.read("message_content"), store.read("vectors"), profile.version).first().asDict()
+    return told | status | throughput(told["processed"], time.time() - began, status["pending"])
+
+
+def migrate(store: Store, now: str) -> DataFrame:
+    """Fills the side tables from the messages: contents, and chunks of long ones, as far as they lack them; returns the report's rows.
+
+    Reading adds the columns that older versions lack; a table is only rewritten where rows
+    are missing.
+    """
+    store.initialize()
+    messages = store.read("messages")
+    for name, fresh in (
+        ("message_content", lambda: missing_content(messages, store.read("message_content"))),
+        ("vectors", lambda: missing_vectors(messages, store.read("vectors"), now)),
+        ("message_chunks", lambda: missing_chunks(messages, store.read("message_content"), store.read("message_chunks"), now)),
+    ):
+        with store.staged(fresh()) as rows:
+            if not rows.isEmpty():
+                store.upsert(name, rows)
+    return migration_report(store.read("message_content"), store.read("message_chunks"), store.read("vectors"))

@@ -60,19 +60,24 @@ class ModelBudget:
         return self._models[name].held
 
     def finish(self, name: str, then: tuple[str, ...] = ()) -> None:
-        """Drops a stage's model unless a later stage needs it."""
-        if name not in then:
+        """Drops a stage's model if other stages come after it and none needs it; after the last stage it stays."""
+        if then and name not in then:
             self.unload(name)
 
     def unload(self, name: str) -> None:
+        """Lets go of a model; one that has a method `unload` is asked to."""
         if name in self._loaded:
             self._loaded.remove(name)
+            getattr(self._models[name].held, "unload", lambda: None)()
             self._models[name].held = None
 
     def unload_all(self) -> None:
         for name in reversed(list(self._loaded)):
             self.unload(name)
 
+    def known(self) -> list[str]:
+        return list(self._models)
+
     def loaded(self) -> list[str]:
         return list(self._loaded)
 

@@ -9,7 +9,8 @@ from corvane.api import Conversations
 from corvane.cli import interactive
 from corvane.operators.fulltext import QuerySyntaxError
 from corvane.plans import reindex
-from corvane.plans.components import PROFILES, Registry, load_profile, save_profile
+from corvane.plans import components
+from corvane.plans.components import PROFILES, Profile, load_profile, save_profile
 from corvane.sources import archive
 from corvane.streaming.files import ingest_new
 
@@ -83,7 +84,7 @@ def test_bad_archives(spark, tmp_path):
 def test_ingest_and_search(talks):
     told = talks.get_statistics()
     assert told["total_messages"] == 5 and told["total_conversations"] == 2
-    assert told["by_intent"]["question_explicit"] == 1
+    assert {r["intent"]: r["count"] for r in told["by_intent"].collect()}["question_explicit"] == 1
     top = talks.search("bread oven flour", 2).collect()
     assert top[0]["id"] == "m7" and [r["rank"] for r in top] == [1, 2]
     assert talks.search('"python generators"', mode="text").first()["id"] == "m1"
@@ -99,7 +100,7 @@ def test_ingest_and_search(talks):
     assert [r["id"] for r in talks.get_conversation_messages("c2").collect()] == ["m6", "m7"]
     assert talks.store.read("message_chunks").count() == 2
     assert talks.store.read("source_files").first()["total_messages"] == 5
-    assert talks.save_messages_batch(talks.store.read("messages").limit(1)) and talks.get_statistics()["total_messages"] == 5
+    assert talks.save_messages_batch(talks.store.read("messages").limit(1)).count() == 1 and talks.get_statistics()["total_messages"] == 5
 
 
 def test_incremental_runs(talks):
@@ -111,7 +112,11 @@ def test_incremental_runs(talks):
     assert reindex.revectorize_outdated(store, profile, NOW) == 0
     assert reindex.revectorize_outdated(store, profile, NOW, force=True) == 5
     first = reindex.reindex_all(store, profile, NOW)
-    assert first["processed"] == 5
+    assert (first["processed"], first["errors"], first["reindexed"], first["pending"]) == (5, 0, 5, 0)
+    assert reindex.reindex_all(store, profile, NOW)["processed"] == 0
+    row = talks.get_message_by_id("m7")
+    assert row["intent"] == "Bread baking needs" and "Intención" not in row["refined_content"] and row["topics"]
+    assert store.read("message_content").filter("message_id = 'm7' and refined_content like 'Intención: %'").count() == 1
     assert reindex.refine_pending(store, profile, NOW)["messages"] == 0
     assert reindex.rebuild(store, profile, NOW)["classified"] == 5
     assert reindex.rebuild(store, profile, NOW, vectors_only=True, resume=True)["vectors"] == 0
@@ -134,15 +139,119 @@ def test_interactive(talks, capsys):
     assert "/limit" in out and "decorators" in out.lower() and "total_messages" in out
 
 
+class Counting:
+    """A refiner, an embedder and a classifier that write a line for every text that they get."""
+
+    def __init__(self, config):
+        self.config = config
+
+    def __call__(self, texts, *more):
+        with open(self.config["log"], "a") as log:
+            log.writelines(f"{len(t)}\n" for t in texts)
+        if self.config["role"] == "refiner":
+            if any("Thanks" in t for t in texts):
+                raise RuntimeError("no answer")
+            return ["Intención: ask\nTérminos: one (first), two\nTiene_Pregunta: SI\nResumen: short" for _ in texts]
+        if self.config["role"] == "classifier":
+            return [(["requesting an action or task", "casual conversation"], [0.75, 0.25]) for _ in texts]
+        return [[3.0, 4.0, 0.0] for _ in texts]
+
+
+@pytest.fixture
+def counting(tmp_path):
+    path = f"{__name__}.Counting"
+    roles = ("refiner", "embedder", "classifier")
+    options = {r: {"role": r, "log": str(tmp_path / r), "memory_mb": 10} for r in roles}
+    return Profile("own", classifier=path, refiner=path, embedder=path, dimension=3, options=options), lambda role: (tmp_path / role).read_text().split() if (tmp_path / role).exists() else []
+
+
+def test_models_of_a_profile(spark, folder, tmp_path, counting):
+    """Every model is called once a message, and a second run has nothing to do."""
+    profile, calls = counting
+    made = Conversations(spark, f"file://{tmp_path}/own", profile)
+    told = made.import_archive(f"file://{folder}/export.zip", NOW)
+    assert told["processed"] == 5 and len(calls("embedder")) == len(calls("classifier")) == 5
+    assert len(calls("refiner")) >= 5  # a call that fails is made again, one text at a time
+    rows = {r["id"]: r for r in made.store.read("messages").collect()}
+    assert rows["m7"]["intent"] == "command" and rows["m7"]["is_command"] and rows["m7"]["refined_content"].startswith("Intención: ask")
+    assert rows["m6"]["refined_content"] == "Thanks"
+    vectors = made.store.read("vectors").collect()
+    assert {tuple(round(x, 3) for x in v["vector"]) for v in vectors} == {(0.6, 0.8, 0.0)} and vectors[0]["vector_dim"] == 3
+    assert made.search("anything", 3).count() == 3
+    again = made.import_archive(f"file://{folder}/export.zip", NOW)
+    assert again["processed"] == 0 and len(calls("classifier")) == 5
+    (tmp_path / "refiner").unlink()
+    first = reindex.reindex_all(made.store, profile, NOW, force=True)
+    assert (first["processed"], first["errors"], first["pending"]) == (4, 1, 1)
+    row = made.get_message_by_id("m7")
+    assert (row["intent"], row["topics"], row["is_question"], row["is_command"], row["refined_content"]) == ("ask", ["one (first)", "two"], True, False, "ask one  first two short")
+    (tmp_path / "refiner").unlink()
+    assert reindex.reindex_all(made.store, profile, NOW)["errors"] == 1 and len(calls("refiner")) == 1  # only the one that failed is asked again
+
+
+def test_resume_after(spark, folder, tmp_path):
+    made = Conversations(spark, f"file://{tmp_path}/resumed", "express")
+    made.import_archive(f"file://{folder}/export.zip", NOW)
+    first = reindex.reindex_all(made.store, made.profile, NOW, limit=2)
+    assert (first["processed"], first["last_processed_id"], first["pending"]) == (2, "m2", 3)
+    assert first["eta_seconds"] > 0
+    second = reindex.reindex_all(made.store, made.profile, NOW, force=True, after="m2", limit=2)
+    assert second["last_processed_id"] == "m6"
+    assert reindex.reindex_all(made.store, made.profile, NOW)["pending"] == 0
+
+
+def test_migrate(talks):
+    store = talks.store
+    for name in ("message_content", "message_chunks"):
+        store.write(name, store.read(name).limit(0))
+    found = {r["item"]: r["n"] for r in reindex.migrate(store, NOW).collect()}
+    assert found["message_content"] == 5 and found["message_chunks"] == 2 and found["orphaned_vectors"] == 0
+    before = store.version("message_content")
+    reindex.migrate(store, NOW)
+    assert store.version("message_content") == before  # nothing was missing
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    from corvane.operators.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/buckets")
+    store.initialize()
+    store.write("message_content", spark.range(500).selectExpr("cast(id as string) AS message_id", "'a' AS full_content"))
+    before = store._folders("message_content", store.version("message_content"))
+    one = spark.createDataFrame([("7", "old"), ("7", "b")], "message_id string, full_content string").coalesce(1)
+    store.upsert("message_content", one)
+    after = store._folders("message_content", store.version("message_content"))
+    assert sum(before[b] != after[b] for b in before) == 1
+    rows = store.read("message_content").collect()
+    assert len(rows) == 500 and {r["message_id"] for r in rows if r["full_content"] == "b"} == {"7"}  # the last of repeated ids
+    store.update("message_content", spark.createDataFrame([("8", "c"), ("none", "d")], "message_id string, full_content string"), ["full_content"])
+    assert store.read("message_content").filter("full_content = 'c'").count() == 1 and store.read("message_content").count() == 500
+    store.update("message_content", spark.createDataFrame([("9", "e")], "message_id string, full_content string"), ["full_content"])
+    assert len(store._versions("message_content")) == 2
+
+
 def test_components(tmp_path):
-    registry = Registry()
-    made = registry.create_instance("r", "collections.Counter", {"a": 1})
-    assert registry.create_instance("r", "no.such") is made and registry.list_instances() == ["r"]
     with pytest.raises(ImportError):
-        registry.load_class("no.such.Thing")
-    registry.clear_instances()
-    assert registry.get_instance("r") is None
+        components.find("no.such.Thing")
+    with pytest.raises(ImportError):
+        components.loader(Profile(embedder="no.such.Thing"), "embedder")
+    made = components.model("collections.Counter", {"a": 1})
+    assert components.model("collections.Counter", {"a": 1}) is made and components.model("collections.Counter", {"a": 2}) is not made
+    assert components.held_models() == ["collections.Counter"] * 2
+    components.drop_models()
+    assert components.held_models() == []
+    assert components.make(lambda b: b, {"a": 1, "b": 2}) == 2 and components.make(lambda config: config, {"a": 1}) == {"a": 1} and components.make(lambda **more: more, {"a": 1}) == {"a": 1}
     save_profile(PROFILES["lite"], str(tmp_path / "p.yaml"))
     assert load_profile(str(tmp_path / "p.yaml")).classifier == "rules"
+    (tmp_path / "q.yaml").write_text("profile: express\nembedder: all-MiniLM-L6\ndimension: null\nrefiner:\nbatch: 4\n")
+    own = load_profile(str(tmp_path / "q.yaml"))
+    assert own.width == 384 and own.version == "all-MiniLM-L6_dim384" and own.options == {"batch": 4}
     with pytest.raises(FileNotFoundError):
         load_profile(str(tmp_path / "none.yaml"))
+
+
+def test_model_files():
+    from corvane.functions.refine import model_info, quantisation
+
+    assert [quantisation(f) for f in ("m-Q5-K-M.gguf", "m-q80.gguf", "m.q4_0.gguf", "m.gguf")] == ["q5_k_m", "q8_0", "q4_0", "q4_k_m"]
+    assert model_info("/models/m-Q8_0.gguf") == {"model": "m-Q8_0.gguf", "quantisation": "q8_0", "memory_mb": 3500, "loaded": False}

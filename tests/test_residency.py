@@ -16,6 +16,8 @@ def test_budget():
     budget.finish("b", then=("b",))
     assert "b" in budget.loaded()
     budget.finish("b")
+    assert "b" in budget.loaded()  # nothing comes after
+    budget.finish("b", then=("c",))
     assert budget.loaded() == ["c"]
     with pytest.raises(MemoryError):
         budget.prepare("big")
