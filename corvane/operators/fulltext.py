@@ -196,26 +196,45 @@ def _is(phrase: Phrase, k: int, o: Column) -> Column:
     term = phrase.terms[k]
     last = k == len(phrase.terms) - 1
     found = F.startswith(o["term"], F.lit(term)) if phrase.prefix and last else o["term"] == term
-    return found & (o["field"] == phrase.field) if phrase.field else found
+    found = found & (o["field"] == phrase.field) if phrase.field else found
+    return found & (o["pos"] == k) if phrase.first else found
 
 
-def _follows(phrase: Phrase, k: int, o: Column, occurrences: Column) -> Column:
-    """Whether a phrase's k-th word stands k places after an occurrence."""
-    return F.exists(occurrences, lambda x: _is(phrase, k, x) & (x["field"] == o["field"]) & (x["pos"] == o["pos"] + k))
+def _starts(phrase: Phrase, occurrences: Column) -> Column:
+    """The places (field, pos) at which a phrase begins, in order.
 
+    A place can hold several occurrences' word, so the words' shifted places are
+    intersected: one pass over the document's occurrences for each word of the phrase.
+    """
 
-def _starts(phrase: Phrase, occurrences: Column) -> Column:
-    """The occurrences at which a phrase begins."""
+    def shifted(k: int) -> Column:
+        return F.transform(F.filter(occurrences, lambda o: _is(phrase, k, o)), lambda o: F.struct(o["field"].alias("field"), (o["pos"] - k).alias("pos")))
+
+    return F.array_sort(functools.reduce(F.array_intersect, [shifted(k) for k in range(len(phrase.terms))]))
+
+
+def _near(phrases: tuple[Phrase, ...], distance: int, at: dict[Phrase, Column]) -> Column:
+    """Whether places of all the phrases stand in one field with so many other words between the first and the last at most.
 
-    def begins(o: Column) -> Column:
-        found = _is(phrase, 0, o)
-        if phrase.first:
-            found = found & (o["pos"] == 0)
-        for k in range(1, len(phrase.terms)):
-            found = found & _follows(phrase, k, o, occurrences)
-        return found
+    A sweep over all places from the end keeps the next one of each phrase: the shortest
+    window that begins at a place has the next of all others.
+    """
+    words = sum(len(p.terms) for p in phrases)
+    of = lambda k: F.transform(at[phrases[k]], lambda o: F.struct(o["field"].alias("field"), o["pos"].alias("pos"), F.lit(k).alias("k")))
+    places = F.reverse(F.array_sort(F.concat(*[of(k) for k in range(len(phrases))])))
+    blank = F.array(*[F.lit(None).cast("int") for _ in phrases])
+    start = F.struct(F.lit(None).cast("string").alias("field"), blank.alias("next"), F.lit(False).alias("met"))
+    sizes = F.array(*[F.lit(len(p.terms)) for p in phrases])
+
+    def step(state: Column, o: Column) -> Column:
+        kept = F.when(state["field"].eqNullSafe(o["field"]), state["next"]).otherwise(blank)
+        following = F.transform(kept, lambda x, k: F.when(k == o["k"], o["pos"]).otherwise(x))
+        ends = F.zip_with(following, sizes, lambda x, n: x + n)
+        whole = ~F.exists(following, lambda x: x.isNull())
+        met = state["met"] | (whole & (F.array_max(ends) - o["pos"] - words <= distance))
+        return F.struct(o["field"].alias("field"), following.alias("next"), met.alias("met"))
 
-    return F.filter(occurrences, begins)
+    return F.aggregate(places, start, step)["met"]
 
 
 def _fits(tree: object, at: dict[Phrase, Column]) -> Column:
@@ -223,21 +242,7 @@ def _fits(tree: object, at: dict[Phrase, Column]) -> Column:
     if isinstance(tree, Phrase):
         return F.size(at[tree]) > 0
     if isinstance(tree, Near):
-        words = sum(len(p.terms) for p in tree.phrases)
-
-        def near(rest: tuple[Phrase, ...], field: Column | None, low: Column | None, high: Column | None) -> Column:
-            if not rest:
-                return high - low + 1 - words <= tree.distance
-
-            def place(o: Column) -> Column:
-                end = o["pos"] + len(rest[0].terms) - 1
-                if field is None:
-                    return near(rest[1:], o["field"], o["pos"], end)
-                return (o["field"] == field) & near(rest[1:], field, F.least(low, o["pos"]), F.greatest(high, end))
-
-            return F.exists(at[rest[0]], place)
-
-        return _fits(tree.phrases[0], at) if len(tree.phrases) == 1 else near(tree.phrases, None, None, None)
+        return _fits(tree.phrases[0], at) if len(tree.phrases) == 1 else _near(tree.phrases, tree.distance, at)
     left, right = _fits(tree.left, at), _fits(tree.right, at)
     return left | right if tree.kind == "or" else left & ~right if tree.kind == "not" else left & right
 

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.functions.embed import clamped_cosine, dot
 from corvane.functions.text import first_topic, snippet
@@ -16,8 +21,8 @@ MODES = ("vector", "text")
 #: Limits of the front ends, and the diagnostic threshold.
 DEFAULT_LIMIT, LINE_LIMIT, LEAST_LIMIT, MOST_LIMIT, SCREEN_LIMIT, CLI_LIMIT = 10, 5, 1, 50, 20, 10
 SCORE_THRESHOLD = 0.3
-#: Queries that a batch search holds as a broadcast side at once.
-BATCH_QUERIES = 10_000
+#: Queries and rows of the blocks that a batch search multiplies.
+BATCH_QUERIES, BATCH_ROWS = 1024, 8192
 
 
 def clamp_limit(limit: int) -> int:
@@ -60,24 +65,57 @@ def vector_search(vectors: DataFrame, query: list[float], limit: int = DEFAULT_L
 def batch_search(vectors: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, key: str = "entity_id", vector: str = "vector") -> DataFrame:
     """The nearest rows to each of any number of queries (query_id, query).
 
-    All queries against all rows, in blocks of about BATCH_QUERIES by a hash of their id:
-    a block is the broadcast side, and each partition keeps its own best before the ranks
-    are merged.
+    All queries against all rows: both sides are packed into blocks, every block of queries
+    meets every block of rows as one matrix product, which gives out the best rows of each
+    query only, and the ranks are merged.  Vectors of another dimension than a query's
+    don't count for it.
     """
-    blocks = -(-queries.count() // BATCH_QUERIES)
-    if blocks <= 1:
-        return _block_search(vectors, queries, limit, key, vector)
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    found = [_block_search(vectors, numbered.filter(F.col("block") == k).drop("block"), limit, key, vector) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _block_search(vectors: DataFrame, queries: DataFrame, limit: int, key: str, vector: str) -> DataFrame:
-    pairs = vectors.join(F.broadcast(queries), F.size(vector) == F.size("query")).select("query_id", key, dot(F.col(vector), F.col("query")).alias("score"))
-    local = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), key)
-    best = pairs.withColumn("part", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("n", F.row_number().over(local)).filter(F.col("n") <= limit)
+    id_type, key_type = queries.schema["query_id"].dataType, vectors.schema[key].dataType
+    best = T.StructType([T.StructField("query_id", id_type), T.StructField(key, key_type), T.StructField("score", T.DoubleType())])
+    asked = _packed(queries.select(F.col("query_id").alias("id"), F.col("query").alias("v")), id_type, BATCH_QUERIES, "query_")
+    pairs = _packed(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")), key_type, BATCH_ROWS, "row_").crossJoin(asked)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                n, m = (batch.column(f"{side}_size")[k].as_py() for side in ("row", "query"))
+                if n == m:
+                    rows, matrix = (np.frombuffer(batch.column(f"{side}_matrix")[k].as_buffer(), np.float64).reshape(-1, n) for side in ("row", "query"))
+                    yield _best_of(batch.column("query_ids")[k].values, matrix, batch.column("row_ids")[k].values, rows, limit, best)
+
     merged = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return best.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= limit).select("query_id", key, "score", F.col("rank").cast("int"))
+    ranked = pairs.mapInArrow(multiply, best).withColumn("rank", F.row_number().over(merged).cast("int"))
+    return ranked.filter(F.col("rank") <= limit).select("query_id", key, "score", "rank")
+
+
+def _packed(rows: DataFrame, id_type: T.DataType, size: int, prefix: str) -> DataFrame:
+    """rows (id, v) as blocks of up to `size` vectors of one dimension: size (the dimension), ids, matrix (doubles), each name with a prefix."""
+    schema = T.StructType([T.StructField(f"{prefix}size", T.IntegerType()), T.StructField(f"{prefix}ids", T.ArrayType(id_type)), T.StructField(f"{prefix}matrix", T.BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("v").value_lengths().fill_null(-1).to_numpy()
+            for n in np.unique(sizes[sizes >= 0]).tolist():
+                mine = batch.filter(pa.array(sizes == n))
+                for i in range(0, len(mine), size):
+                    part = mine.slice(i, size)
+                    matrix = part.column("v").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_pylist([{f"{prefix}size": n, f"{prefix}ids": part.column("id").to_pylist(), f"{prefix}matrix": matrix.tobytes()}], to_arrow_schema(schema))
+
+    return rows.mapInArrow(pack, schema)
+
+
+def _best_of(ids: pa.Array, matrix: np.ndarray, keys: pa.Array, rows: np.ndarray, limit: int, best: T.StructType) -> pa.RecordBatch:
+    """The `limit` best rows of each query, and those that are as good as the last of them, so that the merge can break ties by key."""
+    scores = matrix @ rows.T
+    query, row = [], []
+    for k, own in enumerate(scores):
+        chosen = np.flatnonzero(own >= np.partition(own, len(own) - limit)[len(own) - limit] - 1e-9) if len(own) > limit else np.arange(len(own))
+        query.append(np.full(len(chosen), k))
+        row.append(chosen)
+    query, row = np.concatenate(query), np.concatenate(row)
+    exact = np.einsum("ij,ij->i", matrix[query], rows[row])  # summed alike for all rows, so that equal vectors tie
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(query)), keys.take(pa.array(row)), pa.array(exact)], [f.name for f in best])
 
 
 def similar(vectors: DataFrame, to: Column, threshold: float) -> DataFrame:

@@ -88,15 +88,15 @@ def migration_report(content: DataFrame, chunk_table: DataFrame, vectors: DataFr
     return functools.reduce(DataFrame.union, [*counts, by_dim])
 
 
-#: Buckets of a table.
-BUCKETS = 64
-
-
 class Store:
-    """Versioned, bucketed Parquet tables below one folder, by the names in schema.TABLES."""
+    """Versioned, bucketed Parquet tables below one folder, by the names in schema.TABLES.
+
+    buckets: of tables that are made or wholly written anew (hundreds for large ones, as
+    the smallest write costs a bucket); a table keeps its number otherwise.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._jvm = spark.sparkContext._jvm
 
     def _fs(self, path: str):
@@ -124,16 +124,17 @@ class Store:
     def exists(self, name: str) -> bool:
         return self.version(name) is not None
 
-    def _folders(self, name: str, version: str | None) -> dict[int, str]:
-        """The folder of each bucket that has rows."""
+    def _folders(self, name: str, version: str | None) -> tuple[int, dict[int, str]]:
+        """The number of buckets, and the folder of each that has rows."""
         if version is None:
-            return {}
+            return self.buckets, {}
         fs, file = self._fs(f"{self.root}/{name}/_versions/{version}")
         size = fs.getFileStatus(file).getLen()
         stream = fs.open(file)
         raw = self._jvm.java.lang.String(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size), "UTF-8")
         stream.close()
-        return {int(k): v for k, v in json.loads(str(raw)).items()}
+        told = json.loads(str(raw))
+        return told["buckets"], {int(k): v for k, v in told["folders"].items()}
 
     def _scan(self, name: str, folders: dict[int, str]) -> DataFrame:
         schema = TABLES[name][0]
@@ -146,16 +147,16 @@ class Store:
         version = self.version(name)
         if version is None:
             raise FileNotFoundError(f"{self.root}/{name}")
-        return self._scan(name, self._folders(name, version))
+        return self._scan(name, self._folders(name, version)[1])
 
     @staticmethod
-    def _bucket(name: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(TABLES[name][1][0])), F.lit(BUCKETS)).cast("int")
+    def _bucket(name: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(TABLES[name][1][0])), F.lit(buckets)).cast("int")
 
-    def _commit(self, name: str, df: DataFrame, kept: dict[int, str]) -> None:
+    def _commit(self, name: str, df: DataFrame, buckets: int, kept: dict[int, str]) -> None:
         """Writes df's rows to new folders of their buckets; the next version has those and the kept ones."""
         data = f"data-{uuid.uuid4().hex}"
-        rows = conform(df, TABLES[name][0]).withColumn("_bucket", self._bucket(name))
+        rows = conform(df, TABLES[name][0]).withColumn("_bucket", self._bucket(name, buckets))
         rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{name}/{data}")
         fs, folder = self._fs(f"{self.root}/{name}/{data}")
         made = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
@@ -165,7 +166,7 @@ class Store:
         where = f"{self.root}/{name}/_versions"
         _, draft = self._fs(f"{where}/draft-{uuid.uuid4().hex}")
         out = fs.create(draft)
-        out.write(bytearray(json.dumps(folders).encode()))
+        out.write(bytearray(json.dumps({"buckets": buckets, "folders": folders}).encode()))
         out.close()
         if not fs.rename(draft, self._fs(f"{where}/v={n:06d}")[1]):
             raise OSError(f"{name}: another writer made version {n}")
@@ -177,7 +178,7 @@ class Store:
         versions = [v for v in self._versions(name) if v.startswith("v=")]
         for v in versions[:-2]:
             fs.delete(self._fs(f"{self.root}/{name}/_versions/{v}")[1], False)
-        used = {f.split("/")[0] for v in versions[-2:] for f in self._folders(name, v).values()}
+        used = {f.split("/")[0] for v in versions[-2:] for f in self._folders(name, v)[1].values()}
         newest = max((s.getModificationTime() for s in fs.listStatus(folder)), default=0)
         for s in fs.listStatus(folder):
             found = s.getPath().getName()
@@ -186,25 +187,25 @@ class Store:
 
     def write(self, name: str, df: DataFrame) -> None:
         """Writes all of a table anew."""
-        self._commit(name, df, {})
+        self._commit(name, df, self.buckets, {})
 
-    def _touched(self, name: str, keys: DataFrame) -> tuple[DataFrame, dict[int, str]]:
-        """The rows of the buckets that some keys fall in, and the folders of the others."""
-        hit = {r["b"] for r in keys.select(self._bucket(name).alias("b")).distinct().collect()}  # BUCKETS at most
-        folders = self._folders(name, self.version(name))
-        return self._scan(name, {b: f for b, f in folders.items() if b in hit}), {b: f for b, f in folders.items() if b not in hit}
+    def _touched(self, name: str, keys: DataFrame) -> tuple[DataFrame, int, dict[int, str]]:
+        """The rows of the buckets that some keys fall in, the number of buckets, and the folders of the others."""
+        buckets, folders = self._folders(name, self.version(name))
+        hit = {r["b"] for r in keys.select(self._bucket(name, buckets).alias("b")).distinct().collect()}  # a row per bucket
+        return self._scan(name, {b: f for b, f in folders.items() if b in hit}), buckets, {b: f for b, f in folders.items() if b not in hit}
 
     def upsert(self, name: str, new: DataFrame, order: str | None = None) -> None:
         """Rewrites the buckets that new rows fall in."""
         schema, keys = TABLES[name]
         new = conform(new, T.StructType([*schema.fields, *([T.StructField(order, new.schema[order].dataType)] if order else [])]))
-        rows, kept = self._touched(name, new)
-        self._commit(name, upsert(rows, new, keys, order), kept)
+        rows, buckets, kept = self._touched(name, new)
+        self._commit(name, upsert(rows, new, keys, order), buckets, kept)
 
     def update(self, name: str, changes: DataFrame, columns: list[str]) -> None:
         """Rewrites the buckets that changed rows stand in."""
-        rows, kept = self._touched(name, changes)
-        self._commit(name, update(rows, changes, TABLES[name][1], columns), kept)
+        rows, buckets, kept = self._touched(name, changes)
+        self._commit(name, update(rows, changes, TABLES[name][1], columns), buckets, kept)
 
     @contextmanager
     def staged(self, df: DataFrame) -> Iterator[DataFrame]:

@@ -352,10 +352,21 @@ def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, sf_dir, "NEAR(of thon, 3)")
 
 
-@query("SELECT '..sql.. bintel' AS raw, 'bintel sql' AS query, 'sql' AS hints UNION ALL SELECT 'bintel ..sql..', 'bintel sql', 'sql' UNION ALL SELECT '..a..', 'a', 'a' UNION ALL SELECT 'plain', 'plain', '' UNION ALL SELECT 'x ..a.. y ..b c..', 'x  y a b c', 'a,b c'")
+#: Queries made from whole texts: a hint in front, behind, alone, two of them, none.
+_RAW = """CASE CAST((conv_id + turn) % 5 AS INT) WHEN 0 THEN '..' || role || '.. ' || text WHEN 1 THEN text || ' ..' || role || '..' WHEN 2 THEN '..' || role || '..' WHEN 3 THEN 'x ..' || role || '.. y ..b ' || turn || '.. ' || text ELSE text END"""
+_SPACED = "regexp_replace({}, '^ +| +$', '', 'g')"
+
+
+@query(
+    f"""WITH r AS (SELECT conv_id, turn, {_RAW} AS raw FROM conversations), h AS (SELECT *, regexp_extract_all(raw, '\\.\\.([^\\n]+?)\\.\\.', 1) AS hints FROM r),
+    s AS (SELECT *, {_SPACED.format("raw")} AS whole, CASE len(hints) WHEN 0 THEN raw WHEN 1 THEN {_SPACED.format("replace(raw, '..' || hints[1] || '..', '')")}
+     ELSE {_SPACED.format("replace(" + _SPACED.format("replace(raw, '..' || hints[1] || '..', '')") + ", '..' || hints[2] || '..', '')")} END AS rest FROM h),
+    j AS (SELECT *, {_SPACED.format("concat_ws(' ', nullif(rest, ''), nullif(array_to_string(hints, ' '), ''))")} AS joined FROM s)
+    SELECT conv_id, turn, md5(CASE WHEN joined = '' THEN whole ELSE joined END) AS query, array_to_string(hints, ',') AS hints FROM j"""
+)
 def query_hint_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("..sql.. bintel", "bintel ..sql..", "..a..", "plain", "x ..a.. y ..b c..")], "raw string")
-    return rows.select("raw", retrieval.hints_column(F.col("raw")).alias("h")).select("raw", "h.query", F.array_join("h.hints", ",").alias("hints"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_RAW).alias("raw"))
+    return rows.select("conv_id", "turn", retrieval.hints_column(F.col("raw")).alias("h")).select("conv_id", "turn", F.md5("h.query").alias("query"), F.array_join("h.hints", ",").alias("hints"))
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'good' WHEN toxic IS NOT NULL THEN 't' || toxic ELSE '-' END AS label FROM documents LEFT JOIN labels USING (doc_id)")
@@ -407,7 +418,7 @@ def wrong_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending.wrong_dimension(_side(spark, sf_dir)).select(F.col("entity_id").alias("doc_id"))
 
 
-_REFINED = """CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'Intención: a | Términos: b' WHEN 1 THEN 'intención: ' || left(text, 20) WHEN 2 THEN '' WHEN 3 THEN 'INTENCIóN: x | términos: y' ELSE NULL END"""
+_REFINED = """CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'Intención: a | Términos: b' WHEN 1 THEN 'intención: ' || text WHEN 2 THEN '' WHEN 3 THEN 'INTENCIóN: x | términos: y' ELSE NULL END"""
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {_REFINED} AS r FROM documents) WHERE r IS NULL OR r = '' OR NOT (regexp_matches(r, '^[Ii][Nn][Tt][Ee][Nn][Cc][Ii]ó[Nn]:') AND regexp_matches(r, '[Tt]é[Rr][Mm][Ii][Nn][Oo][Ss]:'))")
@@ -528,39 +539,45 @@ def segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Refinement -------------------------------------------------------------------
 
-_ANSWERS = [
-    (1, "Intención: [ask]\nTérminos: a, b , c\nTiene_Pregunta: SÍ\nResumen: short"),
-    (2, "Términos:\n- a\n- b\n\n- c\nResumen: r"),
-    (3, "nothing of the kind"),
-    (4, "entidades: SaaS (Software as a Service), b, c, d, e, f, g, h, i, j"),
-    (5, "INTENCION: x\nResumen: one\nResumen: two"),
-]
-_PARSED = """SELECT * FROM (VALUES (1, 'Intención: ask | Términos: a, b, c | Resumen: short', 'ask', 'a,b,c', 'short', 0.9::DOUBLE, true), (2, 'Términos: a, b | Resumen: r', NULL, 'a,b', 'r', 0.9, false), (3, 'original 3', NULL, '', NULL, 0.3, false),
-(4, 'Términos: SaaS (Software as a Service), b, c, d, e, f, g, h', NULL, 'SaaS (Software as a Service),b,c,d,e,f,g,h,i,j', NULL, 0.9, false), (5, 'Intención: x | Resumen: two', 'x', '', 'two', 0.9, false)) AS t(id, refined_content, intent, entities, summary, confidence, has_question)"""
+#: Answers made from whole texts: all fields; a dashed list; nothing understood; more terms than are shown; repeated fields.
+_ANSWER = """CASE CAST((conv_id + turn) % 5 AS INT)
+ WHEN 0 THEN 'Intención: [' || role || ']' || chr(10) || 'Términos: a, ' || role || ' , t' || turn || chr(10) || 'Tiene_Pregunta: SÍ' || chr(10) || 'Resumen: ' || flat
+ WHEN 1 THEN 'Términos:' || chr(10) || '- ' || role || chr(10) || '- t' || turn || chr(10) || chr(10) || '- c' || chr(10) || 'Resumen: ' || flat
+ WHEN 2 THEN 'nothing of the kind'
+ WHEN 3 THEN 'entidades: SaaS (Software as a Service), b, c, d, e, f, g, h, ' || role || ', t' || turn
+ ELSE 'INTENCION: ' || role || chr(10) || 'Resumen: one' || chr(10) || 'Resumen: ' || flat END"""
+_FLAT_TURNS = f"(SELECT conv_id, turn, role, text, {q.strip(f'regexp_replace(text, {q.quoted(q.WHITE + "+")}, chr(32), chr(103))')} AS flat FROM conversations)"
+#: What the answers hold, field by field, as whoever made them knows.
+_FIELDS = f"""(SELECT conv_id, turn, text, k, CASE WHEN k IN (0, 4) THEN role END AS intent, CASE k WHEN 0 THEN ['a', role, 't' || turn] WHEN 1 THEN [role, 't' || turn]
+ WHEN 3 THEN ['SaaS (Software as a Service)', 'b', 'c', 'd', 'e', 'f', 'g', 'h', role, 't' || turn] ELSE CAST([] AS VARCHAR[]) END AS entities, CASE WHEN k IN (0, 1, 4) THEN flat END AS summary, k = 0 AS has_question
+ FROM (SELECT *, CAST((conv_id + turn) % 5 AS INT) AS k FROM {_FLAT_TURNS}))"""
 
 
-def _parsed(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(_ANSWERS, "id int, answer string")
-    return rows.select("id", refine.parse_answer(F.col("answer"), F.concat(F.lit("original "), "id")).alias("r")).select("id", "r.*")
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("flat", text.strip(text.collapse(F.col("text")))).withColumn("answer", F.expr(_ANSWER))
+    return rows.select("conv_id", "turn", refine.parse_answer(F.col("answer"), F.col("text")).alias("r")).select("conv_id", "turn", "r.*")
 
 
-@query(_PARSED)
+@query(
+    f"""SELECT conv_id, turn, md5(CASE WHEN k = 2 THEN left(text, 500) ELSE concat_ws(' | ', 'Intención: ' || intent, 'Términos: ' || nullif(array_to_string(entities[:8], ', '), ''), 'Resumen: ' || nullif(summary, '')) END) AS refined_content,
+    intent, array_to_string(entities, ',') AS entities, md5(summary) AS summary, CASE WHEN k = 2 THEN 0.3::DOUBLE ELSE 0.9::DOUBLE END AS confidence, has_question FROM {_FIELDS}"""
+)
 def refiner_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark).withColumn("entities", F.array_join("entities", ","))
+    return _parsed(spark, sf_dir).withColumns({"entities": F.array_join("entities", ","), "refined_content": F.md5("refined_content"), "summary": F.md5("summary")})
 
 
-@query("SELECT * FROM (VALUES (1, 'ask a b c short'), (2, 'a b r'), (3, ''), (4, 'SaaS  Software as a Service b c d e f g h i j'), (5, 'x two')) AS t(id, keywords)")
+@query(f"SELECT conv_id, turn, md5(concat_ws(' ', intent, nullif(replace(replace(array_to_string(entities, ' '), '(', ' '), ')', ''), ''), nullif(summary, ''))) AS keywords FROM {_FIELDS}")
 def semantic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark).select("id", refine.semantic_keywords(F.col("intent"), F.col("entities"), F.col("summary")).alias("keywords"))
+    return _parsed(spark, sf_dir).select("conv_id", "turn", F.md5(refine.semantic_keywords(F.col("intent"), F.col("entities"), F.col("summary"))).alias("keywords"))
 
 
 @query(
-    """SELECT conv_id, turn, 'Intención: ' || role || ' | Términos: ' || role || ', t' || turn || CASE WHEN turn % 2 = 0 THEN ' | Resumen: ' || left(regexp_replace(text, '\\s+', ' ', 'g'), 40) ELSE '' END AS refined_content FROM conversations"""
+    """SELECT conv_id, turn, md5('Intención: ' || role || ' | Términos: ' || role || ', t' || turn || CASE WHEN turn % 2 = 0 AND text <> '' THEN ' | Resumen: ' || regexp_replace(text, '\\s+', ' ', 'g') ELSE '' END) AS refined_content FROM conversations"""
 )
 def refiner_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    made = refine.compose(F.col("role"), F.array("role", F.concat(F.lit("t"), "turn")), F.when(F.col("turn") % 2 == 0, F.left(text.collapse(F.col("text")), F.lit(40))), F.lit(False), F.col("text"))
-    return rows.select("conv_id", "turn", made["refined_content"].alias("refined_content"))
+    made = refine.compose(F.col("role"), F.array("role", F.concat(F.lit("t"), "turn")), F.when(F.col("turn") % 2 == 0, text.collapse(F.col("text"))), F.lit(False), F.col("text"))
+    return rows.select("conv_id", "turn", F.md5(made["refined_content"]).alias("refined_content"))
 
 
 # Import -----------------------------------------------------------------------
@@ -579,7 +596,7 @@ def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct(F.concat(F.lit("p"), "turn").alias("parent"), F.when(F.col("turn") != 7, body).alias("message")).alias("node"))
     talks = nodes.groupBy("conv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("n"), "turn").alias("k"), "node")))).alias("mapping"))
     conversation = F.to_json(F.struct(F.col("conv_id").cast("string").alias("conversation_id"), F.when(F.col("conv_id") % 2 == 0, "T").alias("title"), F.when(F.col("conv_id") % 3 != 0, F.lit(1.7e9) + F.col("conv_id")).otherwise(0.0).alias("create_time"), "mapping"))
-    return talks.select(F.lit("a.zip").alias("path"), F.lit("h").alias("file_hash"), F.lit(1).cast("long").alias("file_size"), F.array(F.lit("f0-x.png"), F.lit("f1.png")).alias("members"), conversation.alias("conversation"), F.lit(None).cast("string").alias("problem"))
+    return talks.select(F.lit("a.zip").alias("path"), F.lit("h").alias("file_hash"), F.lit(1).cast("long").alias("file_size"), F.array(F.lit("f0-x.png"), F.lit("f1.png")).alias("members"), conversation.alias("conversation"), F.lit(None).cast("string").alias("problem"), F.lit('{"id": "u"}').alias("user_info"))
 
 
 @query(
@@ -591,30 +608,166 @@ def archive_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "conversation_id", "author_role", F.md5("content").alias("content"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "parent_message_id", F.col("metadata.conversation_title").alias("title"), F.col("metadata.original_role").alias("original_role"), F.col("attachments")[0]["local_path"].alias("attached"))
 
 
-@query("SELECT 'chatgpt' AS format, count(DISTINCT conv_id) AS total_conversations, strftime(make_timestamp(1700000000000000 + min(conv_id) FILTER (conv_id % 3 <> 0) * 1000000), '%Y-%m-%d %H:%M:%S') AS first_at FROM conversations")
+_AT = "strftime(make_timestamp(1700000000000000 + {}(conv_id) FILTER (conv_id % 3 <> 0) * 1000000), '%Y-%m-%d %H:%M:%S')"
+
+
+@query(f"""SELECT 'chatgpt' AS format, count(DISTINCT conv_id) AS total_conversations, {_AT.format("min")} AS first_at, {_AT.format("max")} AS last_at, '{{"id": "u"}}' AS user_info FROM conversations""")
 def metadata_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.metadata(_export(spark, sf_dir)).select("format", "total_conversations", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first_at"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f"{c}_at")
+    return archive.metadata(_export(spark, sf_dir)).select("format", "total_conversations", at("first"), at("last"), "user_info")
 
 
 # The whole way ----------------------------------------------------------------
 
+_WHOLE = f"SELECT conv_id || '_' || turn AS id, CAST(conv_id AS VARCHAR) AS conversation_id, CASE WHEN lower(role) IN ('user', 'assistant', 'system', 'tool') THEN lower(role) ELSE 'system' END AS author_role, {q.normalize('text')} AS t, {q.vectorizable(q.normalize('text'))} AS v FROM conversations"
 
-@query(None)
-def ingest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalise, classify, embed: the columns of the messages table, and the vector."""
+
+def _embedded_sql(rows: str) -> str:
+    """CTEs to e (id, i, x): the hashing embedding of rows (id, v), without its zeros."""
+    return f"""ew AS (SELECT id, unnest(regexp_extract_all(lower(v), '[\\p{{L}}\\p{{N}}]+')) AS word FROM {rows}),
+    eh AS (SELECT id, CAST(('0x' || left(md5(word), 8))::BIGINT % 64 AS INTEGER) AS i, CASE WHEN ('0x' || substr(md5(word), 9, 1))::INTEGER % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM ew),
+    es AS (SELECT id, i, sum(s) AS x FROM eh GROUP BY ALL), en AS (SELECT id, sqrt(sum(x * x)) AS norm FROM es GROUP BY id), e AS (SELECT es.id, es.i, es.x / en.norm AS x FROM es JOIN en ON es.id = en.id WHERE es.x <> 0)"""
+
+
+def _topics_cte(stopwords: tuple[str, ...]) -> str:
+    """CTEs to topics (id, topics) of rows m (id, t)."""
+    return f"""tw AS (SELECT id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT id, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+') AS ws FROM m)),
+    tc AS (SELECT id, word, count(*) AS n, min(pos) AS first FROM tw WHERE regexp_full_match(word, '[a-z]{{4,}}') AND word NOT IN ({", ".join(map(q.quoted, stopwords))}) GROUP BY id, word),
+    tr AS (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY n DESC, first) AS k FROM tc), topics AS (SELECT id, string_agg(word, ',' ORDER BY k) AS topics FROM tr WHERE k <= 5 GROUP BY id)"""
+
+
+_RULED_WHOLE = f"""m AS ({_WHOLE}), {_topics_cte(classify.STOPWORDS)}, i AS (SELECT id, split_part(r, '|', 1) AS intent, CAST(split_part(r, '|', 2) AS DOUBLE) AS confidence FROM (SELECT id, {_INTENT} AS r FROM m))"""
+
+
+def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.plans.components import PROFILES
     from corvane.plans.ingest import processed
 
-    found = processed(conversation_messages(spark, sf_dir), PROFILES["lite"])
-    return found.select("id", "conversation_id", "author_role", "clean_content", "intent", "intent_confidence", "topics", "is_question", "is_command", "vector")
+    return processed(conversation_messages(spark, sf_dir), PROFILES["lite"])
+
+
+@query(
+    f"""WITH {_RULED_WHOLE}, {_embedded_sql("m")}, x AS (SELECT id, sum((i + 1) * x) AS total FROM e GROUP BY id)
+    SELECT m.id, conversation_id, author_role, md5(t) AS clean_content, md5(v) AS vectorizable_content, intent, confidence AS intent_confidence, CASE WHEN intent = 'social' THEN '' ELSE coalesce(topics, '') END AS topics,
+    starts_with(intent, 'question_') AS is_question, intent = 'command' AS is_command, round(coalesce(total, 0), 6) AS vector_sum FROM m JOIN i ON m.id = i.id LEFT JOIN topics ON m.id = topics.id LEFT JOIN x ON m.id = x.id"""
+)
+def ingest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalise, classify, embed: the columns of the messages table, texts as digests, the vector as a weighted sum."""
+    total = F.aggregate(F.transform("vector", lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    found = _processed(spark, sf_dir).withColumns({"topics": F.array_join("topics", ","), "clean_content": F.md5("clean_content"), "vectorizable_content": F.md5("vectorizable_content"), "vector_sum": rounded(total)})
+    return found.select("id", "conversation_id", "author_role", "clean_content", "vectorizable_content", "intent", "intent_confidence", "topics", "is_question", "is_command", "vector_sum")
+
+
+_ASKED = "what is thon and wher?"
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    f"""WITH {_RULED_WHOLE}, rows AS (SELECT id, v FROM m WHERE author_role = 'user' UNION ALL SELECT '?', {q.quoted(_ASKED)}), {_embedded_sql("rows")},
+    s AS (SELECT m.id, coalesce(sum(a.x * b.x), 0) AS score FROM m LEFT JOIN e a ON a.id = m.id LEFT JOIN e b ON b.id = '?' AND a.i = b.i WHERE m.author_role = 'user' GROUP BY m.id)
+    SELECT CAST(row_number() OVER (ORDER BY score DESC, s.id) AS INTEGER) AS rank, s.id, conversation_id, intent, round(score, 6) AS score, t AS clean_content FROM s JOIN m ON s.id = m.id JOIN i ON s.id = i.id ORDER BY score DESC, s.id LIMIT 10"""
+)
+def flagship_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages in, rules and embedding applied, the ten nearest to a question among user messages out."""
-    rows = ingest_messages(spark, sf_dir).filter("author_role = 'user'")
-    asked = spark.createDataFrame([("what is thon and wher?",)], "text string").select(embed.hashing_embedding(F.col("text"), 64).alias("v")).first()["v"]
+    rows = _processed(spark, sf_dir).filter("author_role = 'user'")
+    asked = spark.createDataFrame([(_ASKED,)], "text string").select(embed.hashing_embedding(F.col("text"), 64).alias("v")).first()["v"]
     found = retrieval.vector_search(rows, list(asked), 10, key="id")
     return found.select("rank", "id", "conversation_id", "intent", rounded("score").alias("score"), "clean_content")
 
 
-QUERIES["flagship_search"] = flagship
+flagship = flagship_search
+
+
+# Searches over joined tables --------------------------------------------------
+
+
+def _documents_as_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("conversation_id"), F.col("lang").alias("segment_topic"), F.lit("unknown").alias("intent"), F.col("text").alias("content"), F.lit(None).cast("array<string>").alias("topics"))
+
+
+@query(
+    f"""WITH s AS (SELECT CAST(vec_id AS VARCHAR) AS id, score FROM ({_SCORES}) WHERE label <> 9), f AS (SELECT id, score, text, lang FROM s JOIN documents ON id = CAST(doc_id AS VARCHAR) WHERE lang = 'en')
+    SELECT id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, round(score, 6) AS score, lang AS label, md5(CASE WHEN length(g) > 200 THEN left(g, 197) || '...' ELSE g END) AS snippet FROM (SELECT *, {_FLAT} AS g FROM f) ORDER BY score DESC, id LIMIT 10"""
+)
+def filtered_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors joined with their messages, one topic of them, presented as the search shows them; vectors of chunks don't count."""
+    kind = F.when(F.col("label") == 9, "chunk").otherwise("message")
+    vectors = embedding_vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("entity_id"), kind.alias("entity_type"), "vector")
+    found = retrieval.presented(retrieval.vector_search(vectors, _probe(spark, sf_dir), 10, _documents_as_messages(spark, sf_dir), {"segment_topic": "en", "unknown": "x"}))
+    return found.select("id", "rank", rounded("score").alias("score"), "label", F.md5("snippet").alias("snippet"))
+
+
+@query(_bm25_sql([_term("wher")], f"SELECT d.doc_id FROM ({_term('wher')}) d JOIN documents m ON d.doc_id = m.doc_id WHERE m.lang = 'en' AND m.source = 'src1'"))
+def filtered_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text search in the messages of one topic and conversation; scores come from all documents."""
+    rows = _documents_as_messages(spark, sf_dir).withColumn("doc_id", F.col("id").cast("long"))
+    messages = retrieval.equality_filters(rows, {"segment_topic": "en", "conversation_id": "src1"})
+    found = fulltext.text_search(fulltext.postings(rows, "doc_id", ("content",)), fulltext.lengths(rows, "doc_id", ("content",)), "wher", 20, messages, "doc_id", ("content",))
+    return found.select(F.col("doc").alias("doc_id"), rounded("bm25").alias("bm25"), "rank", rounded("score").alias("score"))
+
+
+# Incremental runs over a store ------------------------------------------------
+
+
+def _store(spark: SparkSession, sf_dir: str, profile: str) -> store.Store:
+    """A store with the conversations ingested, below the session's shared folder."""
+    import tempfile
+    import uuid
+
+    from corvane.plans.components import PROFILES
+    from corvane.plans.ingest import ingest
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
+    made = store.Store(spark, f"{folder}/corvane-stores/{uuid.uuid4().hex}")
+    ingest(made, conversation_messages(spark, sf_dir), PROFILES[profile], NOW)
+    return made
+
+
+#: The stand-in refiner's answer to a text cut to 1,500 characters at a word's end.
+_ECHO = f"""c AS (SELECT *, string_split(CASE WHEN length(v) > 1500 THEN regexp_replace(left(v, 1500), ' [^ ]*$', '') || '...' ELSE v END, ' ') AS words FROM m),
+ a AS (SELECT *, list_sort(list_transform(list_distinct(list_filter(list_transform(words, lambda w: trim(w, ',.;')), lambda w: w <> '')), lambda w: [lpad(CAST(100000 - length(w) AS VARCHAR), 6, '0'), w])) AS found FROM c),
+ r AS (SELECT *, trim(array_to_string(words[:3], ' '), '[]') AS intent, list_filter(list_transform(string_split(trim(array_to_string(list_transform(found[:3], lambda p: p[2]), ', '), '[]'), ','), lambda w: {q.strip("w")}), lambda w: w <> '') AS topics, {q.strip("array_to_string(words[:12], ' ')")} AS summary FROM a)"""
+
+
+@query(
+    f"""WITH m AS ({_WHOLE}), {_ECHO}, x AS (SELECT *, concat_ws(' | ', 'Intención: ' || nullif(intent, ''), 'Términos: ' || nullif(array_to_string(topics, ', '), ''), 'Resumen: ' || nullif(summary, '')) AS refined FROM r)
+    SELECT id, md5(CASE WHEN refined = '' THEN '' ELSE refined END) AS refined_content, md5(concat_ws(' ', nullif(intent, ''), nullif(replace(replace(array_to_string(topics, ' '), '(', ' '), ')', ' '), ''), nullif(summary, ''))) AS keywords,
+    CASE WHEN intent = '' THEN 'unknown' ELSE intent END AS intent, array_to_string(topics, ',') AS topics, false AS is_question, 64 AS vector_dim, 'hashing_dim64' AS model_version FROM x"""
+)
+def reindex_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after ingest and a full re-index: what all three tables hold."""
+    from corvane.plans import reindex
+    from corvane.plans.components import PROFILES
+
+    made = _store(spark, sf_dir, "express")
+    reindex.reindex_all(made, PROFILES["express"], NOW)
+    content = made.read("message_content").select(F.col("message_id").alias("id"), F.md5("refined_content").alias("refined_content"))
+    vectors = made.read("vectors").select(F.col("entity_id").alias("id"), "vector_dim", "model_version")
+    rows = made.read("messages").select("id", F.md5("refined_content").alias("keywords"), "intent", F.array_join("topics", ",").alias("topics"), "is_question")
+    return rows.join(content, "id").join(vectors, "id").select("id", "refined_content", "keywords", "intent", "topics", "is_question", "vector_dim", "model_version")
+
+
+@query(
+    f"""WITH m AS ({_WHOLE}), l AS (SELECT id, v FROM m WHERE length(v) > 4000), c AS (SELECT count(*) AS n FROM (SELECT unnest(range((length(v) + 3799) // 3800)) FROM l)), t AS (SELECT count(*) AS n FROM m)
+    SELECT 'outdated' AS run, 0 AS first, CAST(t.n AS BIGINT) AS forced, 0 AS again FROM t UNION ALL SELECT 'refined', 0, t.n, 0 FROM t UNION ALL SELECT 'dimension', t.n + c.n, 0, 0 FROM t, c UNION ALL SELECT 'rebuilt', t.n, t.n, 0 FROM t"""
+)
+def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each run takes at first, when forced or made again, and once nothing is pending."""
+    from dataclasses import replace
+
+    from corvane.plans import reindex
+    from corvane.plans.components import PROFILES
+
+    lite, made = PROFILES["lite"], _store(spark, sf_dir, "lite")
+    other = replace(lite, dimension=32)
+    refined = lambda **more: reindex.refine_pending(made, lite, NOW, chunks=False, **more)["messages"]
+    counted = [
+        ("outdated", reindex.revectorize_outdated(made, lite, NOW), reindex.revectorize_outdated(made, lite, NOW, force=True), reindex.revectorize_outdated(made, lite, NOW)),
+        ("refined", refined(), refined(force=True), refined()),
+        ("dimension", sum(reindex.revectorize_dimension(made, other, NOW).values()), sum(reindex.revectorize_dimension(made, other, NOW).values()), 0),
+        ("rebuilt", reindex.rebuild(made, lite, NOW, segments=False)["classified"], reindex.rebuild(made, lite, NOW, vectors_only=True, segments=False)["vectors"], reindex.rebuild(made, lite, NOW, vectors_only=True, resume=True, segments=False)["vectors"]),
+    ]
+    return spark.createDataFrame(counted, "run string, first long, forced long, again long")

@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from typing import TextIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,9 @@ from corvane.functions.text import is_blank
 from corvane.schema import ROLES
 
 FORMATS = ("chatgpt", "openai")
-MEMBER = "conversations.json"
+MEMBER, USER_MEMBER = "conversations.json", "user.json"
+#: Characters of an archive's text that are read at once.
+READ_CHARS = 1 << 16
 #: Defaults of absent fields.
 UNKNOWN_ID, UNTITLED, DEFAULT_ROLE, DEFAULT_TYPE, DEFAULT_MIME = "unknown", "Untitled", "system", "text", "application/octet-stream"
 
@@ -30,44 +33,71 @@ def supports_format(name: str) -> bool:
     return name.lower() in FORMATS
 
 
-def _elements(text: str) -> Iterator[str]:
-    """The elements of a JSON array as they are written."""
-    decoder, at = json.JSONDecoder(), text.index("[") + 1
-    while True:
-        while at < len(text) and text[at] in " \t\r\n,":
-            at += 1
-        if at >= len(text) or text[at] == "]":
-            return
-        _, end = decoder.raw_decode(text, at)
-        yield text[at:end]
+def _elements(stream: TextIO) -> Iterator[str]:
+    """The elements of a JSON array of objects as they are written; of the text only the one at hand is held."""
+    decoder, buffer, at = json.JSONDecoder(), "", 0
+
+    def skip(signs: str) -> str:
+        """Goes past white space and signs; the next character, or '' at the end."""
+        nonlocal buffer, at
+        while True:
+            while at < len(buffer) and buffer[at] in signs:
+                at += 1
+            if at < len(buffer):
+                return buffer[at]
+            buffer, at = stream.read(READ_CHARS), 0
+            if not buffer:
+                return ""
+
+    if skip(" \t\r\n\ufeff") != "[":
+        raise ValueError("not a JSON array")
+    at += 1
+    while (sign := skip(" \t\r\n,")) != "]":
+        if not sign:
+            raise ValueError("the JSON array has no end")
+        while True:
+            try:
+                _, end = decoder.raw_decode(buffer, at)
+                break
+            except json.JSONDecodeError:  # perhaps it goes on: read as much again as is there
+                more = stream.read(max(READ_CHARS, len(buffer) - at))
+                if not more:
+                    raise
+                buffer, at = buffer[at:] + more, 0
+        yield buffer[at:end]
         at = end
 
 
 def conversations(spark: SparkSession, path: str) -> DataFrame:
-    """path, file_hash, file_size, members, conversation (JSON text), problem: one row per conversation of all archives.
+    """path, file_hash, file_size, members, conversation (JSON text), problem, user_info: one row per conversation of all archives.
 
     path may name a file, a folder or a glob in any store that Spark reads; a plain
     .json file is taken as an extracted conversations.json.  A file that can't be read
-    gives one row with a problem instead.
+    gives one row with a problem instead.  A task holds an archive as it is packed (2 GB at
+    most, as Spark reads files whole) and of its text one conversation at a time.
+    user_info, the text of user.json, stands in the first row of an archive.
     """
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("file_hash", pa.string()), ("file_size", pa.int64()), ("members", pa.list_(pa.string())), ("conversation", pa.string()), ("problem", pa.string())])
+        schema = pa.schema([("path", pa.string()), ("file_hash", pa.string()), ("file_size", pa.int64()), ("members", pa.list_(pa.string())), ("conversation", pa.string()), ("problem", pa.string()), ("user_info", pa.string())])
         for batch in batches:
             for row in batch.to_pylist():
-                head = {"path": row["path"], "file_hash": row["file_hash"], "file_size": row["length"], "members": []}
+                head = {"path": row["path"], "file_hash": row["file_hash"], "file_size": row["length"], "members": [], "user_info": None}
                 rows, raw = [], io.BytesIO(row["content"])
                 try:
                     if zipfile.is_zipfile(raw):
-                        with zipfile.ZipFile(raw) as z:
-                            head["members"] = z.namelist()
-                            text = z.read(MEMBER).decode("utf-8")
+                        archive = zipfile.ZipFile(raw)
+                        head["members"] = archive.namelist()
+                        if USER_MEMBER in head["members"]:
+                            head["user_info"] = archive.read(USER_MEMBER).decode("utf-8")
+                        file = archive.open(MEMBER)
                     elif row["path"].endswith(".json"):
-                        text = row["content"].decode("utf-8")
+                        file = raw
                     else:
                         raise ValueError("not a ZIP archive")
-                    for k, element in enumerate(_elements(text)):
+                    for k, element in enumerate(_elements(io.TextIOWrapper(file, "utf-8"))):
                         rows.append(head | {"conversation": element, "problem": None})
+                        head["user_info"] = None
                         if k % 1000 == 999:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows = []
@@ -79,7 +109,7 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content", F.sha2("content", 256).alias("file_hash"))
-    return files.mapInArrow(unzip, "path string, file_hash string, file_size long, members array<string>, conversation string, problem string")
+    return files.mapInArrow(unzip, "path string, file_hash string, file_size long, members array<string>, conversation string, problem string, user_info string")
 
 
 def check(spark: SparkSession, path: str) -> None:
@@ -155,9 +185,9 @@ def messages(raw: DataFrame, ingested: str | None = None) -> DataFrame:
 
 
 def metadata(raw: DataFrame) -> DataFrame:
-    """format, total_conversations, first and last create_time (absent and 0 don't count), in one row."""
+    """format, total_conversations, first and last create_time (absent and 0 don't count), user_info (JSON text), in one row."""
     time = F.when(F.col("c.create_time") != 0, epoch(F.col("c.create_time"), F.lit(None)))
-    return parsed(raw).agg(F.lit(FORMATS[0]).alias("format"), F.count("*").alias("total_conversations"), F.min(time).alias("first"), F.max(time).alias("last"))
+    return parsed(raw).agg(F.lit(FORMATS[0]).alias("format"), F.count("*").alias("total_conversations"), F.min(time).alias("first"), F.max(time).alias("last"), F.max("user_info").alias("user_info"))
 
 
 def detect(spark: SparkSession, path: str) -> DataFrame:

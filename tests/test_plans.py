@@ -65,10 +65,22 @@ def test_archive(spark, folder):
     assert str(rows["m5"]["timestamp"]) == NOW
     assert [r["place"] for r in archive.messages(raw, NOW).filter("conversation_id = 'c1'").orderBy("place").collect()] == [0, 1, 5]
     probe = archive.metadata(raw).first()
-    assert (probe["format"], probe["total_conversations"]) == ("chatgpt", 2)
+    assert (probe["format"], probe["total_conversations"], probe["user_info"]) == ("chatgpt", 2, "{}")
     assert archive.detect(spark, f"file://{folder}/export.zip").first()["confidence"] == 1.0
 
 
+def test_elements(monkeypatch):
+    import io
+
+    monkeypatch.setattr(archive, "READ_CHARS", 3)
+    told = [{"a": "x" * 50, "b": [1, {"c": "]},"}]}, {}, {"d": 'é"' + chr(10)}]
+    assert [json.loads(e) for e in archive._elements(io.StringIO(" \n" + json.dumps(told, indent=1)))] == told
+    assert list(archive._elements(io.StringIO("[]"))) == []
+    for text in ("", "{}", "[{", '[{"a": 1}', "[{} x]"):
+        with pytest.raises(ValueError):
+            list(archive._elements(io.StringIO(text)))
+
+
 def test_bad_archives(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         archive.check(spark, f"file://{tmp_path}/none.zip")
@@ -214,13 +226,13 @@ def test_migrate(talks):
 def test_only_touched_buckets_are_written(spark, tmp_path):
     from corvane.operators.store import Store
 
-    store = Store(spark, f"file://{tmp_path}/buckets")
+    store = Store(spark, f"file://{tmp_path}/buckets", 64)
     store.initialize()
     store.write("message_content", spark.range(500).selectExpr("cast(id as string) AS message_id", "'a' AS full_content"))
-    before = store._folders("message_content", store.version("message_content"))
+    before = store._folders("message_content", store.version("message_content"))[1]
     one = spark.createDataFrame([("7", "old"), ("7", "b")], "message_id string, full_content string").coalesce(1)
     store.upsert("message_content", one)
-    after = store._folders("message_content", store.version("message_content"))
+    after = store._folders("message_content", store.version("message_content"))[1]
     assert sum(before[b] != after[b] for b in before) == 1
     rows = store.read("message_content").collect()
     assert len(rows) == 500 and {r["message_id"] for r in rows if r["full_content"] == "b"} == {"7"}  # the last of repeated ids
