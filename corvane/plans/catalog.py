@@ -11,7 +11,7 @@ from corvane.functions import classify, embed, refine, text
 from corvane.operators import fulltext, pending, retrieval, segment, stats, store
 from corvane.plans import sqltext as q
 from corvane.sources import archive
-from corvane.sources.tables import conversation_messages, embedding_vectors
+from corvane.sources.tables import balanced, conversation_messages, embedding_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(q.DECORATED).alias("t"))
+    return balanced(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr(q.DECORATED).alias("t"))
 
 
 DECORATED = f"(SELECT doc_id, {q.DECORATED} AS t FROM documents)"
@@ -71,7 +71,7 @@ _text_query("whitespace_collapse", text.collapse, lambda e: f"regexp_replace({e}
 
 @query(f"SELECT page_id, {q.html_to_markdown('html')} AS markdown FROM pages")
 def html_to_markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.html_to_markdown(F.col("html")).alias("markdown"))
+    return balanced(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", text.html_to_markdown(F.col("html")).alias("markdown"))
 
 
 @query(
@@ -185,7 +185,7 @@ def topics_top5_short_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT v.conv_id, v.turn, v.i, round(x / norm, 6) AS x FROM v JOIN n USING (conv_id, turn) WHERE x <> 0"""
 )
 def hashing_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(embed.hashing_embedding(F.col("text"), 64)).alias("i", "x"))
+    rows = balanced(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.posexplode(embed.hashing_embedding(F.col("text"), 64)).alias("i", "x"))
     return rows.filter("x != 0").withColumn("x", rounded("x"))
 
 
@@ -317,7 +317,7 @@ _pair = lambda a, b, d=1: f"SELECT a.doc_id FROM t a JOIN t b ON a.doc_id = b.do
 
 
 def _searched(spark: SparkSession, sf_dir: str, words: str, limit: int = 20) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = balanced(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = fulltext.text_search(fulltext.postings(rows, "doc_id", ("text",)), fulltext.lengths(rows, "doc_id", ("text",)), words, limit, fields=("text",))
     return found.select(F.col("doc").alias("doc_id"), rounded("bm25").alias("bm25"), "rank", rounded("score").alias("score"))
 
@@ -643,7 +643,7 @@ def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.plans.components import PROFILES
     from corvane.plans.ingest import processed
 
-    return processed(conversation_messages(spark, sf_dir), PROFILES["lite"])
+    return processed(balanced(conversation_messages(spark, sf_dir)), PROFILES["lite"])
 
 
 @query(

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if its scan has fewer partitions than there are cores; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations.parquet as messages: id 'conv_turn', one second per turn from a fixed day."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
