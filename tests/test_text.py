@@ -91,7 +91,7 @@ def test_embedding(spark):
 def test_refine(spark):
     rows = spark.createDataFrame([(1, "Alpha beta gammadelta."), (2, " "), (3, "x")], "k int, vectorizable_content string")
     found = {r["k"]: r for r in refine.refine_with(rows, lambda: refine.echo_model, "{text}").collect()}
-    assert found[1]["refined_content"].startswith("Términos: gammadelta") and found[1]["refined"]["confidence"] == 0.9
+    assert found[1]["refined_content"].startswith("Intención: Alpha beta gammadelta. | Términos: gammadelta") and found[1]["refined"]["confidence"] == 0.9
     assert found[2]["refined_content"] == "" and found[2]["refined"]["confidence"] == 0.0
 
     def broken():
