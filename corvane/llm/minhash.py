@@ -11,7 +11,12 @@
 4. Buckets that still hold several components are searched for more links: their
    members are cut into tiles, pairs of tiles are compared register by register, and
    members with a likely partner in another component meet again with their full
-   sets, where an index over shingles finds every link between components.
+   sets, where an index over shingles finds every link between components.  Members of
+   a bucket's largest component meet only those outside it, so a bucket costs in
+   proportion to its size while a tile holds the others.
+5. Buckets with more others than that are replaced by groups that share a shingle of
+   their prefixes, the rarest fifth of each set: two sets of similarity 0.8 share one
+   for certain, and what many texts have in common is in few prefixes.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.bytespans import mix, text_blocks
+from corvane.llm.bytespans import blocks, mix, spread, text_blocks
 from corvane.llm.common import small, stored
 from corvane.llm.components import roots
 from corvane.llm.setsketch import BANDS, REGISTERS, band_keys, likely_jaccard, registers, shingle_sets
@@ -33,6 +38,10 @@ from corvane.llm.setsketch import BANDS, REGISTERS, band_keys, likely_jaccard, r
 MARGIN = 0.15
 #: Members of a tile.
 TILE = 1024
+#: Ranges of shingle hashes that are counted to tell rare shingles from common ones: a byte for each on the driver and in the tasks.
+CELL_BITS = 20
+#: Bytes of sets that are put in order at once.
+_ORDER_BYTES = 8 << 20
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -131,10 +140,84 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> DataF
     return pairs.join(other, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def _plausible(members: DataFrame, least: float) -> DataFrame:
+def _mixed(members: DataFrame, at_least: int) -> DataFrame:
+    """bucket, node, root, n (members of the bucket) in those buckets of members (bucket, node, root) that hold several roots and at_least members."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed")).filter("mixed").filter(F.col("n") >= at_least)
+    return members.join(sizes.drop("mixed"), "bucket").select("bucket", "node", "root", "n")
+
+
+def _mains(members: DataFrame) -> DataFrame:
+    """bucket, main (the root with most members), others (members of other roots) of the buckets that are larger than a tile."""
+    counts = members.filter(F.col("n") > TILE).groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    return counts.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+
+
+def _tiled(members: DataFrame, mains: DataFrame) -> DataFrame:
+    """bucket, node, root, tile_a, tile_b, side: members dealt to the pairs of tiles of their bucket, but for pairs of two tiles of its main root."""
+    placed = members.join(small(mains), "bucket", "left")
+    is_main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+    few = F.coalesce(F.ceil(F.col("others") / TILE), F.lit(1)).cast("long")  # tiles of the others come first
+    many = F.coalesce(F.ceil((F.col("n") - F.col("others")) / TILE), F.lit(0)).cast("long")
+    dealt = F.xxhash64("node")
+    placed = placed.select("bucket", "node", "root", F.when(is_main, few + F.pmod(dealt, F.greatest(many, F.lit(1)))).otherwise(F.pmod(dealt, few)).alias("mine"), F.when(is_main, few).otherwise(few + many).alias("tiles"))
+    rows = placed.select("bucket", "node", "root", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    return rows.select("bucket", "node", "root", F.least("mine", "other").cast("int").alias("tile_a"), F.greatest("mine", "other").cast("int").alias("tile_b"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The members of some sets one after another, and the size of each."""
+    sets = column.to_pylist()
+    return np.frombuffer(b"".join(sets), np.uint64), np.fromiter(map(len, sets), np.int64, len(sets)) // 8
+
+
+def _levels(sets: DataFrame) -> bytes:
+    """A byte for each range of shingle hashes that grows with the logarithm of the number of times that members of sets are in it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            counts += np.bincount((_joined(batch.column("members"))[0] >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
+        held = np.flatnonzero(counts)
+        for i in range(0, len(held), 1 << 16):
+            part = held[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["cell", "n"])
+
+    counts = sets.select("members").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = counts.select("cell", (F.floor(4 * F.log2(F.col("n"))) + 1).cast("int").alias("level")).toArrow()  # a row per range at most
+    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    levels[found["cell"].to_numpy()] = found["level"].to_numpy()
+    return levels.tobytes()
+
+
+def _prefixes(sets: DataFrame, levels: bytes, threshold_percent: int) -> DataFrame:
+    """bucket (a shingle), node, root: each of the sets (node, root, members) under the first of its shingles.
+
+    The order, by level and hash, is the same for all sets.  Of n shingles the first
+    n - ceil(n * threshold) + 1 are taken; two sets that reach the threshold have one of
+    them in common, as all that they share would otherwise be too few.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(levels, np.uint8)
+        for batch in batches:
+            lengths = np.fromiter(map(len, batch.column("members").to_pylist()), np.int64, len(batch))
+            for i, j in blocks(lengths, _ORDER_BYTES):
+                part = batch.slice(i, j - i)
+                members, sizes = _joined(part.column("members"))
+                order = np.lexsort((members, level[(members >> np.uint64(64 - CELL_BITS)).astype(np.int64)], np.repeat(np.arange(len(sizes)), sizes)))
+                taken = sizes + sizes * threshold_percent // -100 + 1
+                chosen = members[order[spread(np.cumsum(sizes) - sizes, taken)]].view(np.int64)
+                node, root = (np.repeat(part.column(c).to_numpy(), taken) for c in ("node", "root"))
+                for k in range(0, len(chosen), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (chosen, node, root)], ["bucket", "node", "root"])
+
+    return sets.select("node", "root", "members").mapInArrow(cut, "bucket long, node long, root long")
+
+
+def _plausible(members: DataFrame, least: float, *, banded: bool) -> DataFrame:
     """Of the members of tiles (bucket, tile_a, tile_b, side, node, root, n_shingles, sketch) those that have a likely partner of another root there.
 
-    A pair that meets in several buckets counts in one of them only.
+    banded: the buckets are those of bands; a pair that meets in several counts in one of them only.
     """
 
     def search(key: tuple, rows: pa.Table) -> pa.Table:
@@ -158,7 +241,7 @@ def _plausible(members: DataFrame, least: float) -> DataFrame:
                 p, q = p[fresh], q[fresh]
                 near = (sketch[p] == sketch[q]).sum(1) >= (least - MARGIN - 0.05) * REGISTERS  # a share J or more of all is equal
                 p, q = p[near], q[near]
-                if len(p):
+                if len(p) and banded:
                     here = np.where(met[p] == met[q], met[p], np.iinfo(np.int64).max).min(1) == bucket
                     p, q = p[here], q[here]
                 if len(p):
@@ -225,8 +308,8 @@ def near_groups(docs: DataFrame, width: int = 5, threshold_percent: int = 80) ->
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "set-nodes")  # node ids are fixed by the writing
     bands = stored(_bands(nodes), "bands")
     stars = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    stars = stored(stars, "buckets")
-    met = stored(bands.join(small(stars), "bucket").select("bucket", "node", "leader", "n"), "bucket-members")
+    stars = stored(stars.drop("n"), "buckets")
+    met = stored(bands.join(small(stars), "bucket").select("bucket", "node", "leader"), "bucket-members")
     slim = nodes.select("node", "n_shingles", "sketch")
     one, other = (slim.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
 
@@ -235,13 +318,18 @@ def near_groups(docs: DataFrame, width: int = 5, threshold_percent: int = 80) ->
     wanted = met.select("node").distinct().join(nodes.select("node", "doc", "row_hash"), "node")
     sets = member_sets(docs, stored(wanted, "wanted"), width)
     links = stored(verified(pairs, sets, threshold_percent), "links")
-    placed = met.join(roots(links), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("size")).filter("mixed and size > 2").select("bucket")
-    rows = placed.join(mixed, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    rows = rows.select("bucket", "node", "root", "mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    rows = rows.select("bucket", "node", "root", F.least("mine", "other").alias("tile_a"), F.greatest("mine", "other").alias("tile_b"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
-    likely = stored(_plausible(rows.join(slim, "node"), least), "likely")
+    placed = met.join(roots(links), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    crowds = stored(_mixed(placed, 3), "mixed-buckets")  # two members have been compared as a star
+    mains = stored(_mains(crowds), "large-buckets")
+    wide = mains.filter(F.col("others") > TILE).select("bucket")
+    likely = stored(_plausible(_tiled(crowds.join(small(wide), "bucket", "left_anti"), mains).join(slim, "node"), least, banded=True), "likely")
     links = stored(links.union(_scanned(likely.join(sets, "node"), threshold_percent)), "links")
+    if not wide.isEmpty():
+        there = crowds.join(small(wide), "bucket", "left_semi").select("node").distinct()
+        there = stored(there.join(roots(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(sets, "node"), "wide-sets")
+        shared = stored(_mixed(_prefixes(there, _levels(there), threshold_percent), 2), "prefix-groups")
+        likely = stored(_plausible(_tiled(shared, stored(_mains(shared), "large-groups")).join(slim, "node"), least, banded=False), "likely")
+        links = stored(links.union(_scanned(likely.join(sets, "node"), threshold_percent)), "links")
     groups = nodes.select("node", "doc").join(roots(links), "node")
     heads = groups.groupBy("root").agg(F.min("doc").alias("head"))
     of_print = nodes.join(groups.join(heads, "root").select("node", "head"), "node", "left").select("print", F.coalesce("head", "doc").alias("component_id"))
