@@ -4,7 +4,8 @@ Law `bytes`: shards get near equal bytes, equal texts stay in one shard.  Groups
 equal texts are dealt to buckets of bounded size; each bucket is differenced by
 itself (repeatedly the two partial partitions of largest spread are joined, the
 fullest shard of one with the emptiest of the other), which leaves one partial
-partition per bucket, and these, a few numbers each, are differenced in the same way.
+partition per bucket.  These, a few numbers each, are differenced in the same way, by
+runs of bounded length in tasks until one run is left, which the driver does.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import small, stored
 
-#: Groups in a bucket, on average, and buckets at most (each is one row of `shards` sums on the driver).
-BUCKET_GROUPS, MOST_BUCKETS = 8192, 65536
+#: Groups in a bucket, on average, and partial partitions in a run (`shards` sums each; the last run is the driver's).
+BUCKET_GROUPS, RUN_PARTS = 8192, 8192
 
 
 def differencing(parts: list[tuple[int, ...]]) -> list[list[int]]:
@@ -55,6 +56,43 @@ def differencing(parts: list[tuple[int, ...]]) -> list[list[int]]:
     return shards[: len(parts)]
 
 
+def _raised(parts: DataFrame, shards: int) -> DataFrame:
+    """bucket, place, above, seat, bytes: each place of the partial partitions (bucket, place, bytes) of a run, and its seat in the run's own."""
+
+    def difference(key: tuple, table: pa.Table) -> pa.Table:
+        buckets, at = np.unique(table["bucket"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(buckets), shards), np.int64)
+        sums[at, table["place"].to_numpy()] = table["bytes"].to_numpy()
+        seats = np.array(differencing(list(map(tuple, sums.tolist()))), np.int32)
+        places = np.tile(np.arange(shards, dtype=np.int32), len(buckets))
+        above = np.full(len(places), key[0].as_py(), np.int32)
+        return pa.table([np.repeat(buckets, shards), places, above, seats.ravel(), sums.ravel()], names=["bucket", "place", "above", "seat", "bytes"])
+
+    runs = parts.withColumn("above", F.floor(F.col("bucket") / RUN_PARTS).cast("int"))
+    return runs.groupBy("above").applyInArrow(difference, "bucket int, place int, above int, seat int, bytes long")
+
+
+def _shard_of_places(parts: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """bucket, place, shard of the partial partitions (bucket, place, bytes) of `buckets` buckets."""
+    levels = []
+    while buckets > RUN_PARTS:
+        raised = stored(_raised(parts, shards), "raised-parts")
+        levels.append((raised.select("bucket", "place", "above", "seat"), buckets))
+        parts = raised.groupBy("above", "seat").agg(F.sum("bytes").alias("bytes")).select(F.col("above").alias("bucket"), F.col("seat").alias("place"), "bytes")
+        buckets = -(-buckets // RUN_PARTS)
+    sums: dict[int, list[int]] = {}
+    for r in parts.collect():  # RUN_PARTS x shards rows at most
+        sums.setdefault(r.bucket, [0] * shards)[r.place] = r.bytes
+    order = sorted(sums)
+    final = differencing([tuple(sums[b]) for b in order]) if order else []
+    where = parts.sparkSession.createDataFrame([(b, p, s) for b, places in zip(order, final, strict=True) for p, s in enumerate(places)], "bucket int, place int, shard int")
+    for raised, below in reversed(levels):
+        seats = where.select(F.col("bucket").alias("above"), F.col("place").alias("seat"), "shard")
+        where = raised.join(small(seats, buckets * shards), ["above", "seat"]).select("bucket", "place", "shard")
+        buckets = below
+    return where
+
+
 def byte_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
@@ -66,7 +104,7 @@ def byte_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group"))
     rows = stored(rows, "sized-rows")
     groups = stored(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "sized-groups")
-    buckets = min(MOST_BUCKETS, max(1, -(-groups.count() // BUCKET_GROUPS)))
+    buckets = max(1, -(-groups.count() // BUCKET_GROUPS))
 
     def difference(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("bytes", "descending"), ("group", "ascending")])
@@ -76,12 +114,8 @@ def byte_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int"))
     dealt = stored(dealt.groupBy("bucket").applyInArrow(difference, "group binary, bytes long, bucket int, place int"), "placed-groups")
-    sums: dict[int, list[int]] = {}
-    for r in dealt.groupBy("bucket", "place").agg(F.sum("bytes").alias("bytes")).collect():  # buckets x shards
-        sums.setdefault(r.bucket, [0] * shards)[r.place] = r.bytes
-    order = sorted(sums)
-    final = differencing([tuple(sums[b]) for b in order]) if order else []
-    where = docs.sparkSession.createDataFrame([(b, p, s) for b, places in zip(order, final, strict=True) for p, s in enumerate(places)], "bucket int, place int, shard int")
+    sums = dealt.groupBy("bucket", "place").agg(F.sum("bytes").alias("bytes"))
+    where = _shard_of_places(sums, buckets, shards)
     placed = dealt.join(small(where, buckets * shards), ["bucket", "place"]).select("group", "shard")
     return numbered(rows.join(placed, "group").select("doc_id", "size", "text_crc32", "shard"))
 
