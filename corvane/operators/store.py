@@ -105,9 +105,9 @@ class Store:
 
     def initialize(self) -> None:
         """Creates empty tables where there are none; safe to repeat."""
-        for name, (schema, _) in TABLES.items():
+        for name in TABLES:
             if self.version(name) is None:
-                self.write(name, self.spark.createDataFrame([], schema))
+                self._publish(name, self.buckets, {})
 
     def has_folder(self, path: str) -> bool:
         fs, folder = self._fs(path)
@@ -160,11 +160,14 @@ class Store:
         rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{name}/{data}")
         fs, folder = self._fs(f"{self.root}/{name}/{data}")
         made = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
-        folders = kept | {int(f.split("=")[1]): f"{data}/{f}" for f in made}
+        self._publish(name, buckets, kept | {int(f.split("=")[1]): f"{data}/{f}" for f in made})
+
+    def _publish(self, name: str, buckets: int, folders: dict[int, str]) -> None:
+        """Makes the next version, of these folders."""
         version = self.version(name)
         n = int(version.split("=")[1]) + 1 if version else 0
         where = f"{self.root}/{name}/_versions"
-        _, draft = self._fs(f"{where}/draft-{uuid.uuid4().hex}")
+        fs, draft = self._fs(f"{where}/draft-{uuid.uuid4().hex}")
         out = fs.create(draft)
         out.write(bytearray(json.dumps({"buckets": buckets, "folders": folders}).encode()))
         out.close()
@@ -192,6 +195,8 @@ class Store:
     def _touched(self, name: str, keys: DataFrame) -> tuple[DataFrame, int, dict[int, str]]:
         """The rows of the buckets that some keys fall in, the number of buckets, and the folders of the others."""
         buckets, folders = self._folders(name, self.version(name))
+        if not folders:
+            return self._scan(name, folders), buckets, folders
         hit = {r["b"] for r in keys.select(self._bucket(name, buckets).alias("b")).distinct().collect()}  # a row per bucket
         return self._scan(name, {b: f for b, f in folders.items() if b in hit}), buckets, {b: f for b, f in folders.items() if b not in hit}
 
