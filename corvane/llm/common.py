@@ -85,3 +85,29 @@ def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose (doc_id, text) is among keys (row_id, row_hash); nulls match nulls."""
     match = docs["doc_id"].eqNullSafe(keys["row_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keys["row_hash"])
     return docs.join(keys, match, "left_semi")
+
+
+#: Groups of more rows than this, and than a 32,768th of all, are joined back by a broadcast.
+HOT_ROWS = 4096
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows left-joined with groups (one row per value of key; size: how many rows have it), so that no large group is one task's work.
+
+    Groups of more than a 32,768th of all rows are fewer than 32,768, whatever the table:
+    they are broadcast.  Their rows, and those without a key, are dealt out evenly, by a
+    number of their own beside the key; the others meet their group in a shuffle.
+    """
+    groups = stored(groups, "groups")
+    others = [c for c in groups.columns if c != key]
+    largest, listed = groups.agg(F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    least = max(HOT_ROWS, listed // 32_768)
+    calm, lone = groups, F.col(key).isNull()
+    if largest > least:
+        hot = groups.filter(F.col(size) > least).select(key, *[F.col(c).alias(f"_hot_{c}") for c in others])
+        rows, calm, lone = rows.join(F.broadcast(hot), key, "left"), groups.filter(F.col(size) <= least), lone | F.col(f"_hot_{size}").isNotNull()
+    dealt = rows.withColumn("_deal", F.when(lone, F.monotonically_increasing_id() + 1).otherwise(F.lit(0)))
+    met = dealt.join(calm.withColumn("_deal", F.lit(0).cast("long")), [key, "_deal"], "left").drop("_deal")
+    if largest <= least:
+        return met
+    return met.select(*[c for c in rows.columns if not c.startswith("_hot_")], *[F.coalesce(c, f"_hot_{c}").alias(c) for c in others])

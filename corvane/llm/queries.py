@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import chat, editjoin, exact, minhash, packing, quality, sharding, spiece, tokenfile, tokens
+from corvane.llm import chat, editjoin, exact, interaction, minhash, packing, quality, sharding, spiece, tokenfile, tokens
 from corvane.llm.common import documents, token_file
 
 
@@ -61,7 +61,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(spark, sf_dir), token_file("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mixture_packing, op3_chat_formatting, op4_line_dedup, op5_exact_dedup, op6_byte_sharding, op7_sentencepiece, op8_token_counts, op9_quality_rules, op10_token_files)}
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove under each of their 120 orders, by language."""
+    return interaction.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mixture_packing, op3_chat_formatting, op4_line_dedup, op5_exact_dedup, op6_byte_sharding, op7_sentencepiece, op8_token_counts, op9_quality_rules, op10_token_files, op13_filter_interaction)}
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL = {
@@ -85,4 +90,19 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    "op13_filter_interaction": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+        f AS (SELECT doc_id, part, [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+            regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails FROM w),
+        l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        j AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+        k AS (SELECT unnest(range(5)) AS i),
+        o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        s AS (SELECT array_to_string(list_transform(p, lambda x: chr(CAST(65 + x AS INTEGER))), '') AS filter_order, CAST(i + 1 AS INTEGER) AS step, p[i + 1] AS own, p[1:i] AS earlier FROM o, k),
+        r AS (SELECT part, filter_order, step, own, good, toxic, fails[own + 1] AS now, len(list_filter(earlier, lambda x: fails[x + 1])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS n FROM j, s),
+        c AS (SELECT part, filter_order, step, own, count(*) FILTER (NOT gone AND NOT now) AS kept, count(*) FILTER (now AND NOT gone) AS removed, count(*) FILTER (now AND gone) AS redundant,
+            count(*) FILTER (now AND n = 1) AS unique_fails, count(*) FILTER (now AND NOT gone AND good) AS good_lost, count(*) FILTER (now AND NOT gone AND toxic) AS toxic_lost FROM r GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM c
+    """,
 }
