@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import chat, editjoin, exact, interaction, minhash, packing, quality, sharding, spiece, tokenfile, tokens
+from corvane.llm import chat, codebooks, editjoin, exact, interaction, minhash, packing, quality, sharding, spiece, tokenfile, tokens
 from corvane.llm.common import documents, token_file
 
 
@@ -61,12 +61,38 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(documents(spark, sf_dir), token_file("byte_bpe_50k.json"), end_id=0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as eight codes of 16 entries, with its error."""
+    return codebooks.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove under each of their 120 orders, by language."""
     return interaction.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mixture_packing, op3_chat_formatting, op4_line_dedup, op5_exact_dedup, op6_byte_sharding, op7_sentencepiece, op8_token_counts, op9_quality_rules, op10_token_files, op13_filter_interaction)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mixture_packing, op3_chat_formatting, op4_line_dedup, op5_exact_dedup, op6_byte_sharding, op7_sentencepiece, op8_token_counts, op9_quality_rules, op10_token_files, op11_vector_codes, op13_filter_interaction)}
+
+
+def _lloyd_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """DuckDB SQL of op11: rounds of assignments and integer means, unrolled."""
+    parts = [
+        """good AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS MATERIALIZED (SELECT r, i // w AS part, i % w AS pos, CAST(floor(4096 * embedding[i + 1]::DOUBLE) AS BIGINT) AS q FROM (SELECT r, embedding, len(embedding) // 8 AS w, unnest(range(len(embedding))) AS i FROM good)),
+        b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, q AS c FROM v WHERE r <= 16)"""
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"""d{k} AS (SELECT r, part, entry, sum((q - c) * (q - c)) AS d FROM v JOIN b{k} USING (part, pos) GROUP BY r, part, entry),
+        a{k} AS MATERIALIZED (SELECT r, part, min(entry) AS entry, any_value(d) AS d FROM (SELECT *, min(d) OVER (PARTITION BY r, part) AS least FROM d{k}) WHERE d = least GROUP BY r, part)""")
+        if k < rounds:
+            parts.append(f"""m{k} AS (SELECT part, entry, pos, sum(q) AS s, count(*) AS n FROM v JOIN a{k} USING (r, part) GROUP BY part, entry, pos),
+        b{k + 1} AS MATERIALIZED (SELECT part, entry, pos, CASE WHEN n IS NULL THEN c ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS c FROM b{k} LEFT JOIN m{k} USING (part, entry, pos))""")
+    return f"""WITH {", ".join(parts)},
+        h AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds}),
+        c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM good JOIN c USING (r), h"""
+
 
 #: DuckDB SQL of the queries that SQL can express over whole tables.
 ORACLE_SQL = {
@@ -90,6 +116,7 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    "op11_vector_codes": _lloyd_sql(),
     "op13_filter_interaction": r"""
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
