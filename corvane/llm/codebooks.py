@@ -46,7 +46,7 @@ _SLACK = 1e-12
 _STATE = "vec_id long, label string, body binary, assigned binary, upper binary, lower binary, error decimal(38,0), limb int, sums array<long>"
 
 
-def finite_vectors(rows: DataFrame, vector: str) -> Column:
+def finite_vectors(vector: str) -> Column:
     """Whether a row's vector is there and holds finite components only."""
     return F.col(vector).isNotNull() & F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
 
@@ -259,7 +259,7 @@ def compressed(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     kind = "<f4" if isinstance(rows.schema["embedding"].dataType, T.ArrayType) and isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
     vector = F.col("embedding") if kind == "<f4" else F.col("embedding").cast("array<double>")
     given = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), vector.alias("vector"))
-    good = given.filter(finite_vectors(given, "vector"))
+    good = given.filter(finite_vectors("vector"))
     fitting = good.filter((F.size("vector") > 0) & (F.size("vector") % PARTS == 0))
     order = [F.asc_nulls_last("vec_id"), "vector"]
     head = fitting.orderBy(*order).select(F.size("vector").alias("n")).first()

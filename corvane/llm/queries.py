@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import chat, codebooks, editjoin, exact, interaction, minhash, packing, quality, sharding, spiece, tokenfile, tokens
+from corvane.llm import chat, codebooks, editjoin, exact, interaction, minhash, packing, quality, sharding, spiece, tiles, tokenfile, tokens
 from corvane.llm.common import documents, token_file
 
 
@@ -66,12 +66,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of cosine 0.9 or more, linked and joined into components, whatever their labels."""
+    return tiles.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove under each of their 120 orders, by language."""
     return interaction.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mixture_packing, op3_chat_formatting, op4_line_dedup, op5_exact_dedup, op6_byte_sharding, op7_sentencepiece, op8_token_counts, op9_quality_rules, op10_token_files, op11_vector_codes, op13_filter_interaction)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mixture_packing, op3_chat_formatting, op4_line_dedup, op5_exact_dedup, op6_byte_sharding, op7_sentencepiece, op8_token_counts, op9_quality_rules, op10_token_files, op11_vector_codes, op12_embedding_near_dedup, op13_filter_interaction)}
 
 
 def _lloyd_sql(rounds: int = codebooks.ROUNDS) -> str:
@@ -117,6 +122,16 @@ ORACLE_SQL = {
         FROM d JOIN g ON d.t = g.t
     """,
     "op11_vector_codes": _lloyd_sql(),
+    "op12_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+        l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+            WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.9),
+        r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id <= coalesce(least, vec_id) AS kept
+        FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+    """,
     "op13_filter_interaction": r"""
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
