@@ -29,13 +29,15 @@ class Conversations:
         self.store.initialize()
 
     def import_archive(self, path: str, now: str) -> dict:
-        """Reads an export archive and ingests it, unless all its files are registered."""
+        """Reads export archives and ingests what isn't registered; if one of them is wrong, none."""
         archive.check(self.spark, path)
         self.store.initialize()
-        raw = pending.new_files(archive.conversations(self.spark, path), self.store.read("source_files"))
-        if raw.isEmpty():
-            return throughput(0, 0.0) | self.store.statistics()
-        return ingest.ingest(self.store, archive.messages(raw, now), self.profile, now, raw.select("file_hash", "path", "file_size"), self.log)
+        with self.store.staged(archive.conversations(self.spark, path)) as raw:
+            archive.refuse_problems(raw)
+            fresh = pending.new_files(raw, self.store.read("source_files"))
+            if fresh.isEmpty():
+                return throughput(0, 0.0) | self.store.statistics()
+            return ingest.ingest(self.store, archive.messages(fresh, now), self.profile, now, fresh.select("file_hash", "path", "file_size"), self.log)
 
     def save_message(self, row: dict) -> str:
         self.save_messages_batch(self.spark.createDataFrame([row]))
