@@ -19,9 +19,9 @@ from corvane.sources import archive
 class Conversations:
     """Messages, vectors and search over versioned tables below a folder."""
 
-    def __init__(self, spark: SparkSession, root: str, profile: str | Profile | None = None, log: StageLog | None = None):
+    def __init__(self, spark: SparkSession, root: str, profile: str | Profile | None = None, log: StageLog | None = None, buckets: int = 16):
         self.spark = spark
-        self.store = Store(spark, root)
+        self.store = Store(spark, root, buckets)
         self.profile = profile if isinstance(profile, Profile) else load_profile(profile)
         self.log = log
 
@@ -79,7 +79,7 @@ class Conversations:
         return retrieval.presented(found)
 
     def get_message_by_id(self, key: str) -> dict | None:
-        row = retrieval.by_id(self.store.read("messages"), key).first()
+        row = self.store.find("messages", [key]).first()
         if not row:
             return None
         found = row.asDict(recursive=True)

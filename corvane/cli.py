@@ -62,6 +62,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--profile")
     parser.add_argument("--log", action="store_true", help="a line per stage")
     parser.add_argument("--master")
+    parser.add_argument("--buckets", type=int, default=16, help="of tables that are made")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("init").add_argument("source")
     found = commands.add_parser("search")
@@ -79,14 +80,14 @@ def main(args: list[str] | None = None) -> int:
     full.add_argument("--limit", type=int)
     again = commands.add_parser("rebuild")
     again.add_argument("--vectors-only", action="store_true")
-    again.add_argument("--resume", action="store_true")
+    again.add_argument("--resume", action=argparse.BooleanOptionalAction, default=True)
     for name in ("stats", "segment", "migrate", "interactive", "version"):
         commands.add_parser(name)
     told = parser.parse_args(args)
     if told.command == "version":
         print(VERSION)
         return 0
-    talks = Conversations(session(told.master), told.root, told.profile, StageLog() if told.log else None)
+    talks = Conversations(session(told.master), told.root, told.profile, StageLog() if told.log else None, told.buckets)
     store, now = talks.store, datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     match told.command:
         case "init":

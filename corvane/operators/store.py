@@ -2,19 +2,22 @@
 
 A table is cut into buckets by a hash of its first key column; a version is a small file
 that names the folder of each bucket.  A write makes new folders for the buckets that it
-touches and then the next version, which counts once its file is there, so readers
-never see half a table, a repeated write is safe, and what a write doesn't touch stays
-where it is.  Everything here is also usable on plain DataFrames.
+touches and then the file of the next version, which only one writer can make, so readers
+never see half a table, no writer undoes another's change, a repeated write is safe, and
+what a write doesn't touch stays where it is.  Everything here is also usable on plain DataFrames.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,11 @@ from pyspark.sql import types as T
 from corvane.functions.text import chunks
 from corvane.schema import MESSAGE_CHUNKS, MESSAGE_CONTENT, MESSAGES, TABLES, VECTORS, conform
 
+#: Columns besides the keys that look-ups go by: their files get bloom filters.
+LOOKED_UP = {"messages": ("conversation_id",), "message_chunks": ("message_id",)}
+#: How often a write is done again, how long a version's file may take to write, and how old an unnamed folder is before it is removed.
+TRIES, WRITING_SECONDS, LEFT_SECONDS = 8, 30.0, 86_400
+
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows with the same key the one with the largest `order`."""
@@ -88,15 +96,40 @@ def migration_report(content: DataFrame, chunk_table: DataFrame, vectors: DataFr
     return functools.reduce(DataFrame.union, [*counts, by_dim])
 
 
+class ConflictError(OSError):
+    """Other writers were faster each time a write was tried."""
+
+
+@dataclass(frozen=True)
+class State:
+    """One version of a table: its number (-1: there is none), the number of buckets, each bucket's folder, and the folders' bytes."""
+
+    number: int = -1
+    buckets: int = 16
+    folders: dict[int, str] = field(default_factory=dict)
+    sizes: dict[int, int] = field(default_factory=dict)
+
+    def apart(self, other: State) -> set[int]:
+        """The buckets whose rows differ."""
+        return {b for b in self.folders.keys() | other.folders.keys() if self.folders.get(b) != other.folders.get(b)}
+
+
 class Store:
     """Versioned, bucketed Parquet tables below one folder, by the names in schema.TABLES.
 
-    buckets: of tables that are made or wholly written anew (hundreds for large ones, as
-    the smallest write costs a bucket); a table keeps its number otherwise.
+    buckets: of tables that are made or wholly written anew; a table keeps its number until
+    its buckets hold more than bucket_mb on average, when it is dealt to twice as many or
+    more, so the smallest write costs about a bucket whatever the table's size.  All
+    numbers are the first times a power of two: rows of tables with the same key are in
+    buckets that correspond.
+
+    Writers don't wait for each other.  A write publishes the version after the one that it
+    has read; if another writer has published that meanwhile, buckets that only one of them
+    touched are put together, else the write is done again from what is there now.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, bucket_mb: float = 256):
+        self.spark, self.root, self.buckets, self.bucket_mb = spark, root.rstrip("/"), buckets, bucket_mb
         self._jvm = spark.sparkContext._jvm
 
     def _fs(self, path: str):
@@ -106,35 +139,53 @@ class Store:
     def initialize(self) -> None:
         """Creates empty tables where there are none; safe to repeat."""
         for name in TABLES:
-            if self.version(name) is None:
-                self._publish(name, self.buckets, {})
+            if not self.exists(name):
+                self._publish(name, State(buckets=self.buckets), State(buckets=self.buckets))
 
     def has_folder(self, path: str) -> bool:
         fs, folder = self._fs(path)
         return fs.exists(folder)
 
     def _versions(self, name: str) -> list[str]:
+        """The names of the versions, the oldest first."""
         fs, folder = self._fs(f"{self.root}/{name}/_versions")
-        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        found = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted((v for v in found if v.startswith("v=")), key=lambda v: int(v[2:]))
 
     def version(self, name: str) -> str | None:
         """The newest version's name."""
-        return next((v for v in reversed(self._versions(name)) if v.startswith("v=")), None)
+        return next(reversed(self._versions(name)), None)
 
     def exists(self, name: str) -> bool:
         return self.version(name) is not None
 
-    def _folders(self, name: str, version: str | None) -> tuple[int, dict[int, str]]:
-        """The number of buckets, and the folder of each that has rows."""
-        if version is None:
-            return self.buckets, {}
+    def _told(self, name: str, version: str) -> State | None:
+        """A version as its file tells; None if the file isn't written to its end, or gone."""
         fs, file = self._fs(f"{self.root}/{name}/_versions/{version}")
-        size = fs.getFileStatus(file).getLen()
-        stream = fs.open(file)
-        raw = self._jvm.java.lang.String(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size), "UTF-8")
-        stream.close()
-        told = json.loads(str(raw))
-        return told["buckets"], {int(k): v for k, v in told["folders"].items()}
+        try:
+            size = fs.getFileStatus(file).getLen()
+            stream = fs.open(file)
+            raw = self._jvm.java.lang.String(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size), "UTF-8")
+            stream.close()
+            told = json.loads(str(raw))
+        except (Py4JJavaError, ValueError):
+            return None
+        return State(int(version[2:]), told["buckets"], *({int(k): v for k, v in told.get(c, {}).items()} for c in ("folders", "sizes")))
+
+    def state(self, name: str) -> State:
+        """The newest version.  A writer that died while it wrote a version's file doesn't count; one that is at it is waited for."""
+        waited = 0.0
+        while True:
+            for version in reversed(self._versions(name)):
+                found = self._told(name, version)
+                if found:
+                    return found
+                if waited < WRITING_SECONDS:
+                    break
+            else:
+                return State(buckets=self.buckets)
+            time.sleep(0.1)
+            waited += 0.1
 
     def _scan(self, name: str, folders: dict[int, str]) -> DataFrame:
         schema = TABLES[name][0]
@@ -142,75 +193,128 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{f}" for _, f in sorted(folders.items())])
 
-    def read(self, name: str) -> DataFrame:
-        """The newest version, with null columns where its files are older than the schema."""
-        version = self.version(name)
-        if version is None:
+    def read(self, name: str, group: tuple[int, set[int]] | None = None) -> DataFrame:
+        """The newest version, with null columns where its files are older than the schema.
+
+        group (n, some numbers below n): only the buckets whose number modulo n is among them.
+        """
+        if not self.exists(name):
             raise FileNotFoundError(f"{self.root}/{name}")
-        return self._scan(name, self._folders(name, version)[1])
+        folders = self.state(name).folders
+        return self._scan(name, folders if group is None else {b: f for b, f in folders.items() if b % group[0] in group[1]})
+
+    def find(self, name: str, keys: list[str]) -> DataFrame:
+        """The rows whose first key column is one of the keys, read from those keys' buckets."""
+        now, key = self.state(name), TABLES[name][1][0]
+        places = self.spark.sql("SELECT transform(:keys, k -> pmod(xxhash64(k), :n)) AS b", {"keys": list(keys), "n": now.buckets}).first()["b"] if keys else []
+        return self._scan(name, {b: f for b, f in now.folders.items() if b in set(places)}).filter(F.col(key).isin(list(keys)))
 
     @staticmethod
     def _bucket(name: str, buckets: int) -> Column:
         return F.pmod(F.xxhash64(F.col(TABLES[name][1][0])), F.lit(buckets)).cast("int")
 
-    def _commit(self, name: str, df: DataFrame, buckets: int, kept: dict[int, str]) -> None:
-        """Writes df's rows to new folders of their buckets; the next version has those and the kept ones."""
-        data = f"data-{uuid.uuid4().hex}"
-        rows = conform(df, TABLES[name][0]).withColumn("_bucket", self._bucket(name, buckets))
-        rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{name}/{data}")
+    def _write(self, name: str, df: DataFrame, buckets: int) -> tuple[dict[int, str], dict[int, int]]:
+        """Writes df's rows, in order of their key, to new folders of their buckets; the folders, and their bytes."""
+        data, key = f"data-{uuid.uuid4().hex}", TABLES[name][1]
+        rows = conform(df, TABLES[name][0]).withColumn("_bucket", self._bucket(name, buckets)).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *key)
+        writer = rows.write.partitionBy("_bucket")
+        for column in LOOKED_UP.get(name, ()):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(f"{self.root}/{name}/{data}")
         fs, folder = self._fs(f"{self.root}/{name}/{data}")
-        made = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
-        self._publish(name, buckets, kept | {int(f.split("=")[1]): f"{data}/{f}" for f in made})
+        made = {int(s.getPath().getName().split("=")[1]): s.getPath() for s in fs.listStatus(folder) if s.isDirectory()}
+        return {b: f"{data}/{p.getName()}" for b, p in made.items()}, {b: fs.getContentSummary(p).getLength() for b, p in made.items()}
 
-    def _publish(self, name: str, buckets: int, folders: dict[int, str]) -> None:
-        """Makes the next version, of these folders."""
-        version = self.version(name)
-        n = int(version.split("=")[1]) + 1 if version else 0
+    def _publish(self, name: str, base: State, new: State) -> bool:
+        """Makes `new` the version after base; False if there is one already."""
         where = f"{self.root}/{name}/_versions"
-        fs, draft = self._fs(f"{where}/draft-{uuid.uuid4().hex}")
-        out = fs.create(draft)
-        out.write(bytearray(json.dumps({"buckets": buckets, "folders": folders}).encode()))
+        taken = self._versions(name)
+        number = base.number + 1
+        if taken and int(taken[-1][2:]) > base.number:
+            if self._told(name, taken[-1]) is not None or self.state(name).number != base.number:
+                return False
+            number = int(taken[-1][2:]) + 1  # behind a version whose writer died
+        fs, file = self._fs(f"{where}/v={number:06d}")
+        try:
+            out = fs.create(file, False)  # one writer alone can make it
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(json.dumps({"buckets": new.buckets, "folders": new.folders, "sizes": new.sizes}).encode()))
         out.close()
-        if not fs.rename(draft, self._fs(f"{where}/v={n:06d}")[1]):
-            raise OSError(f"{name}: another writer made version {n}")
         self._remove_old(name)
+        return True
 
     def _remove_old(self, name: str) -> None:
-        """Removes all versions but the last two, and the folders that neither names."""
+        """Removes all versions but the last two and the folders that only they name, and what writers that died left a day ago."""
         fs, folder = self._fs(f"{self.root}/{name}")
-        versions = [v for v in self._versions(name) if v.startswith("v=")]
+        told = {v: self._told(name, v) for v in self._versions(name)}
+        versions = list(told)
+        names = lambda v: {f.split("/")[0] for f in told[v].folders.values()} if told[v] else set()
+        used = {f for v in versions[-2:] for f in names(v)}
+        gone = {f for v in versions[:-2] for f in names(v)} - used
         for v in versions[:-2]:
             fs.delete(self._fs(f"{self.root}/{name}/_versions/{v}")[1], False)
-        used = {f.split("/")[0] for v in versions[-2:] for f in self._folders(name, v)[1].values()}
-        newest = max((s.getModificationTime() for s in fs.listStatus(folder)), default=0)
+        late = (time.time() - LEFT_SECONDS) * 1000
         for s in fs.listStatus(folder):
             found = s.getPath().getName()
-            if found.startswith("data-") and found not in used and s.getModificationTime() < newest:
+            if found.startswith("data-") and found not in used and (found in gone or s.getModificationTime() < late):
                 fs.delete(s.getPath(), True)
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """Writes all of a table anew."""
-        self._commit(name, df, self.buckets, {})
-
-    def _touched(self, name: str, keys: DataFrame) -> tuple[DataFrame, int, dict[int, str]]:
-        """The rows of the buckets that some keys fall in, the number of buckets, and the folders of the others."""
-        buckets, folders = self._folders(name, self.version(name))
-        if not folders:
-            return self._scan(name, folders), buckets, folders
-        hit = {r["b"] for r in keys.select(self._bucket(name, buckets).alias("b")).distinct().collect()}  # a row per bucket
-        return self._scan(name, {b: f for b, f in folders.items() if b in hit}), buckets, {b: f for b, f in folders.items() if b not in hit}
+    def _drop(self, name: str, folders: dict[int, str]) -> None:
+        for data in {f.split("/")[0] for f in folders.values()}:
+            fs, path = self._fs(f"{self.root}/{name}/{data}")
+            fs.delete(path, True)
+
+    def write(self, name: str, df: DataFrame, buckets: int | None = None) -> None:
+        """Writes all of a table anew; ConflictError if the table changes meanwhile."""
+        base, buckets = self.state(name), buckets or self.buckets
+        folders, sizes = self._write(name, df, buckets)
+        if not self._publish(name, base, State(0, buckets, folders, sizes)):
+            self._drop(name, folders)
+            raise ConflictError(f"{name}: another writer changed the table")
+
+    def _change(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Rewrites the buckets that some keys fall in by a function of their rows, and puts that together with what other writers did meanwhile."""
+        for _ in range(TRIES):
+            base = self.state(name)
+            hit = {r["b"] for r in keys.select(self._bucket(name, base.buckets).alias("b")).distinct().collect()} if base.folders else set()  # a row per bucket
+            folders, sizes = self._write(name, change(self._scan(name, {b: f for b, f in base.folders.items() if b in hit})), base.buckets)
+            hit |= folders.keys()
+            while True:
+                keep = lambda d: {b: x for b, x in d.items() if b not in hit}  # noqa: E731, B023
+                new = State(0, base.buckets, keep(base.folders) | folders, keep(base.sizes) | sizes)
+                if self._publish(name, base, new):
+                    self._grow(name, new)
+                    return
+                now = self.state(name)
+                if now.buckets != base.buckets or now.apart(base) & hit:
+                    break
+                base = now
+            self._drop(name, folders)
+        raise ConflictError(f"{name}: other writers changed the same buckets {TRIES} times")
+
+    def _grow(self, name: str, now: State) -> None:
+        """Deals a table to more buckets if they have become too large; another writer's change meanwhile leaves that to its next write."""
+        wanted, mb = now.buckets, sum(now.sizes.values()) / 2**20
+        while mb > wanted * self.bucket_mb:
+            wanted *= 2
+        if wanted > now.buckets:
+            try:
+                self.write(name, self.read(name), wanted)
+            except ConflictError:
+                pass
 
     def upsert(self, name: str, new: DataFrame, order: str | None = None) -> None:
         """Rewrites the buckets that new rows fall in."""
         schema, keys = TABLES[name]
         new = conform(new, T.StructType([*schema.fields, *([T.StructField(order, new.schema[order].dataType)] if order else [])]))
-        rows, buckets, kept = self._touched(name, new)
-        self._commit(name, upsert(rows, new, keys, order), buckets, kept)
+        self._change(name, new, lambda rows: upsert(rows, new, keys, order))
 
     def update(self, name: str, changes: DataFrame, columns: list[str]) -> None:
         """Rewrites the buckets that changed rows stand in."""
-        rows, buckets, kept = self._touched(name, changes)
-        self._commit(name, update(rows, changes, TABLES[name][1], columns), buckets, kept)
+        self._change(name, changes, lambda rows: update(rows, changes, TABLES[name][1], columns))
 
     @contextmanager
     def staged(self, df: DataFrame) -> Iterator[DataFrame]:
@@ -224,7 +328,7 @@ class Store:
             fs.delete(folder, True)
 
     def has_file(self, file_hash: str) -> bool:
-        return not self.read("source_files").filter(F.col("file_hash") == file_hash).isEmpty()
+        return not self.find("source_files", [file_hash]).isEmpty()
 
     def size_mb(self) -> float:
         fs, folder = self._fs(self.root)

@@ -229,10 +229,10 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/buckets", 64)
     store.initialize()
     store.write("message_content", spark.range(500).selectExpr("cast(id as string) AS message_id", "'a' AS full_content"))
-    before = store._folders("message_content", store.version("message_content"))[1]
+    before = store.state("message_content").folders
     one = spark.createDataFrame([("7", "old"), ("7", "b")], "message_id string, full_content string").coalesce(1)
     store.upsert("message_content", one)
-    after = store._folders("message_content", store.version("message_content"))[1]
+    after = store.state("message_content").folders
     assert sum(before[b] != after[b] for b in before) == 1
     rows = store.read("message_content").collect()
     assert len(rows) == 500 and {r["message_id"] for r in rows if r["full_content"] == "b"} == {"7"}  # the last of repeated ids
