@@ -1,7 +1,8 @@
 """Full-text search: an inverted index as tables, a query language, BM25.
 
-Queries: words (all must occur), "phrases", OR, AND, NOT, prefix*, column:word, ^word
-(at the start of a column), NEAR(a b, n) and parentheses.  Scores are BM25 over phrases
+Queries: words (all must occur), "phrases", a + b (a phrase too), OR, AND, NOT, prefix*,
+column:word, {column column}:word, -column:word, ^word (at the start of a column),
+NEAR(a b, n) and parentheses.  Scores are BM25 over phrases
 with k1 = 1.2, b = 0.75, a document's length being its words over all columns.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ class QuerySyntaxError(ValueError):
 class Phrase:
     terms: tuple[str, ...]
     prefix: bool = False
-    field: str | None = None
+    fields: tuple[str, ...] | None = None  # none: all
     first: bool = False
 
 
@@ -82,11 +83,18 @@ class Op:
     right: object
 
 
-_LEXEMES = re.compile(r'\s*(?:(?P<string>"(?:[^"]|"")*")|(?P<near>NEAR\s*\()|(?P<word>[\w]+)|(?P<sign>[():*^,]))', re.UNICODE)
+_LEXEMES = re.compile(r'\s*(?:(?P<string>"(?:[^"]|"")*")|(?P<word>[\w]+)|(?P<sign>[():*^,+{}-]))', re.UNICODE)
+_OPERATORS = ("AND", "OR", "NOT")
 
 
 def parse(query: str, fields: tuple[str, ...] = FIELDS) -> object:
-    """The tree of a query; QuerySyntaxError says what is wrong with it."""
+    """The tree of a query; QuerySyntaxError says what is wrong with it.
+
+    NOT binds tighter than AND, AND than OR; words and phrases that stand side by side
+    are all wanted and bind tightest.  Parentheses take an operator between themselves
+    and what stands beside them.  name:, {name name}: and -name: or -{name name}: choose columns for what
+    follows, a phrase, NEAR or parentheses.
+    """
     found, at = [], 0
     while at < len(query.rstrip()):
         m = _LEXEMES.match(query, at)
@@ -96,73 +104,146 @@ def parse(query: str, fields: tuple[str, ...] = FIELDS) -> object:
         at = m.end()
     if not found:
         raise QuerySyntaxError("the query is empty")
-    tree, rest = _or(found, fields)
-    if rest:
-        raise QuerySyntaxError(f"unexpected {rest[0][1]!r} in {query!r}")
+    tokens_left = _Tokens(found, query)
+    tree = _operators(tokens_left, fields)
+    if tokens_left.kind:
+        raise tokens_left.unexpected()
+    return tree
+
+
+class _Tokens:
+    """What is left of a query."""
+
+    def __init__(self, found: list[tuple[str, str]], query: str):
+        self.found, self.query, self.at = found, query, 0
+
+    def ahead(self, n: int = 0) -> tuple[str, str]:
+        return self.found[self.at + n] if self.at + n < len(self.found) else ("", "")
+
+    @property
+    def kind(self) -> str:
+        return self.ahead()[0]
+
+    def sign(self, text: str, n: int = 0) -> bool:
+        return self.ahead(n) == ("sign", text)
+
+    def name(self, n: int = 0) -> bool:
+        """Whether a word or string stands there, and no operator."""
+        kind, text = self.ahead(n)
+        return kind == "string" or (kind == "word" and text not in _OPERATORS)
+
+    def take(self) -> str:
+        self.at += 1
+        return self.found[self.at - 1][1]
+
+    def expect(self, sign: str) -> None:
+        if not self.sign(sign):
+            raise self.unexpected()
+        self.at += 1
+
+    def unexpected(self) -> QuerySyntaxError:
+        return QuerySyntaxError(f"unexpected {self.ahead()[1]!r} in {self.query!r}" if self.kind else f"the query {self.query!r} ends too early")
+
+
+def _operators(t: _Tokens, fields: tuple, kinds: tuple = ("OR", "AND", "NOT")) -> object:
+    """Operands of the loosest operator, each made of the tighter ones."""
+    operand = (lambda: _operators(t, fields, kinds[1:])) if len(kinds) > 1 else (lambda: _operand(t, fields))
+    tree = operand()
+    while t.ahead() == ("word", kinds[0]):
+        t.take()
+        tree = Op(kinds[0].lower(), tree, operand())
     return tree
 
 
-def _or(x: list, fields: tuple) -> tuple:
-    left, x = _and(x, fields)
-    while x and x[0] == ("word", "OR"):
-        right, x = _and(x[1:], fields)
-        left = Op("or", left, right)
-    return left, x
-
-
-def _and(x: list, fields: tuple) -> tuple:
-    left, x = _not(x, fields)
-    while x and x[0] not in (("word", "OR"), ("sign", ")"), ("sign", ",")):
-        right, x = _not(x[1:] if x[0] == ("word", "AND") else x, fields)
-        left = Op("and", left, right)
-    return left, x
-
-
-def _not(x: list, fields: tuple) -> tuple:
-    left, x = _leaf(x, fields)
-    while x and x[0] == ("word", "NOT"):
-        right, x = _leaf(x[1:], fields)
-        left = Op("not", left, right)
-    return left, x
-
-
-def _leaf(x: list, fields: tuple, field: str | None = None) -> tuple:
-    if not x:
-        raise QuerySyntaxError("the query ends too early")
-    kind, text = x[0]
-    if (kind, text) == ("sign", "("):
-        tree, x = _or(x[1:], fields)
-        if not x or x[0] != ("sign", ")"):
-            raise QuerySyntaxError("a parenthesis isn't closed")
-        return tree, x[1:]
-    if kind == "near":
-        x, parts, distance = x[1:], [], NEAR_DISTANCE
-        while x and x[0] not in (("sign", ")"), ("sign", ",")):
-            part, x = _leaf(x, fields)
-            parts.append(part)
-        if x and x[0] == ("sign", ","):
-            if len(x) < 2 or not x[1][1].isdigit():
-                raise QuerySyntaxError("NEAR takes a number after the comma")
-            distance, x = int(x[1][1]), x[2:]
-        if not x or x[0] != ("sign", ")") or not parts:
-            raise QuerySyntaxError("NEAR isn't closed or is empty")
-        return Near(tuple(parts), distance), x[1:]
-    if kind == "word" and len(x) > 1 and x[1] == ("sign", ":") and field is None:
-        if text not in fields:
-            raise QuerySyntaxError(f"no such column: {text}")
-        return _leaf(x[2:], fields, text)
-    first = (kind, text) == ("sign", "^")
-    if first:
-        x = x[1:]
-        kind, text = x[0] if x else ("", "")
-    if kind not in ("word", "string") or (kind == "word" and text in ("AND", "OR", "NOT")):
-        raise QuerySyntaxError(f"unexpected {text!r}")
-    words = tuple(re.findall(r"[^\W_]+", fold_text(text.strip('"').replace('""', '"'))))
-    if not words:
-        raise QuerySyntaxError(f"{text!r} has no words")
-    x = x[1:]
-    prefix = bool(x) and x[0] == ("sign", "*")
-    return Phrase(words, prefix, field, first), x[1:] if prefix else x
+def _operand(t: _Tokens, fields: tuple) -> object:
+    chosen = _columns(t, fields)
+    if t.sign("("):
+        t.take()
+        tree = _operators(t, fields)
+        t.expect(")")
+        return restricted(tree, chosen)
+    tree = restricted(_group(t), chosen)
+    while t.name() or t.sign("^") or t.sign("-") or t.sign("{"):
+        chosen = _columns(t, fields)
+        tree = Op("and", tree, restricted(_group(t), chosen))
+    return tree
+
+
+def _columns(t: _Tokens, fields: tuple) -> tuple[str, ...] | None:
+    """The columns that a leading name: or {names}:, perhaps behind a minus, chooses; none if there is no such thing."""
+    without = t.sign("-")
+    if not (without or t.sign("{") or (t.name() and t.sign(":", 1))):
+        return None
+    t.at += without
+    names = []
+    if t.sign("{"):
+        t.take()
+        while t.name():
+            names.append(t.take())
+        t.expect("}")
+    elif t.name():
+        names.append(t.take())
+    if not names or not t.sign(":"):
+        raise t.unexpected()
+    t.take()
+    names = [n.strip('"').replace('""', '"').lower() for n in names]
+    unknown = set(names) - {f.lower() for f in fields}
+    if unknown:
+        raise QuerySyntaxError(f"no such column: {', '.join(sorted(unknown))}")
+    return tuple(f for f in fields if (f.lower() in names) != without)
+
+
+def restricted(tree: object, chosen: tuple[str, ...] | None) -> object:
+    """A tree whose phrases stand in the chosen columns only."""
+    if chosen is None:
+        return tree
+    if isinstance(tree, Phrase):
+        return replace(tree, fields=chosen if tree.fields is None else tuple(f for f in tree.fields if f in chosen))
+    if isinstance(tree, Near):
+        return Near(tuple(restricted(p, chosen) for p in tree.phrases), tree.distance)
+    return Op(tree.kind, restricted(tree.left, chosen), restricted(tree.right, chosen))
+
+
+def _group(t: _Tokens) -> object:
+    """A phrase, ^phrase, or NEAR(phrases, distance)."""
+    if t.sign("^"):
+        t.take()
+        return replace(_phrase(t), first=True)
+    if not (t.name() and t.sign("(", 1)):
+        return _phrase(t)
+    if t.ahead() != ("word", "NEAR"):
+        raise t.unexpected()
+    t.at += 2
+    parts, distance = [_phrase(t)], NEAR_DISTANCE
+    while t.name():
+        parts.append(_phrase(t))
+    if t.sign(","):
+        t.take()
+        if not t.name() or not t.ahead()[1].strip('"').isdigit():
+            raise QuerySyntaxError("NEAR takes a number after the comma")
+        distance = int(t.take().strip('"'))
+    t.expect(")")
+    return Near(tuple(parts), distance)
+
+
+def _phrase(t: _Tokens) -> Phrase:
+    """A word or string, more of them after plus signs, a star at the end."""
+    words: tuple[str, ...] = ()
+    while True:
+        if not t.name():
+            raise t.unexpected()
+        text = t.take()
+        more = tuple(re.findall(r"[^\W_]+", fold_text(text[1:-1].replace('""', '"') if text.startswith('"') else text)))
+        if not more:
+            raise QuerySyntaxError(f"{text!r} has no words")
+        words += more
+        star = t.sign("*")
+        t.at += star
+        if not t.sign("+"):
+            return Phrase(words, star)
+        if star:
+            raise QuerySyntaxError("a star ends a phrase")
+        t.take()
 
 
 def write_index(df: DataFrame, key: str, folder: str, fields: tuple[str, ...] = FIELDS) -> None:
@@ -196,7 +277,7 @@ def _is(phrase: Phrase, k: int, o: Column) -> Column:
     term = phrase.terms[k]
     last = k == len(phrase.terms) - 1
     found = F.startswith(o["term"], F.lit(term)) if phrase.prefix and last else o["term"] == term
-    found = found & (o["field"] == phrase.field) if phrase.field else found
+    found = found & (o["field"].isin(*phrase.fields) if phrase.fields else F.lit(False)) if phrase.fields is not None else found
     return found & (o["pos"] == k) if phrase.first else found
 
 
@@ -214,25 +295,24 @@ def _starts(phrase: Phrase, occurrences: Column) -> Column:
 
 
 def _near(phrases: tuple[Phrase, ...], distance: int, at: dict[Phrase, Column]) -> Column:
-    """Whether places of all the phrases stand in one field with so many other words between the first and the last at most.
+    """Whether places of all the phrases stand in one field with so many words between each one's end and the start of the last at most.
 
-    A sweep over all places from the end keeps the next one of each phrase: the shortest
-    window that begins at a place has the next of all others.
+    A sweep over all places keeps the latest of each phrase, which is the one nearest to
+    whatever begins at the place at hand.
     """
-    words = sum(len(p.terms) for p in phrases)
     of = lambda k: F.transform(at[phrases[k]], lambda o: F.struct(o["field"].alias("field"), o["pos"].alias("pos"), F.lit(k).alias("k")))
-    places = F.reverse(F.array_sort(F.concat(*[of(k) for k in range(len(phrases))])))
+    places = F.array_sort(F.concat(*[of(k) for k in range(len(phrases))]))
     blank = F.array(*[F.lit(None).cast("int") for _ in phrases])
-    start = F.struct(F.lit(None).cast("string").alias("field"), blank.alias("next"), F.lit(False).alias("met"))
+    start = F.struct(F.lit(None).cast("string").alias("field"), blank.alias("latest"), F.lit(False).alias("met"))
     sizes = F.array(*[F.lit(len(p.terms)) for p in phrases])
 
     def step(state: Column, o: Column) -> Column:
-        kept = F.when(state["field"].eqNullSafe(o["field"]), state["next"]).otherwise(blank)
-        following = F.transform(kept, lambda x, k: F.when(k == o["k"], o["pos"]).otherwise(x))
-        ends = F.zip_with(following, sizes, lambda x, n: x + n)
-        whole = ~F.exists(following, lambda x: x.isNull())
-        met = state["met"] | (whole & (F.array_max(ends) - o["pos"] - words <= distance))
-        return F.struct(o["field"].alias("field"), following.alias("next"), met.alias("met"))
+        kept = F.when(state["field"].eqNullSafe(o["field"]), state["latest"]).otherwise(blank)
+        latest = F.transform(kept, lambda x, k: F.when(k == o["k"], o["pos"]).otherwise(x))
+        ends = F.zip_with(latest, sizes, lambda x, n: x + n)
+        whole = ~F.exists(latest, lambda x: x.isNull())
+        met = state["met"] | (whole & (o["pos"] - F.array_min(ends) <= distance))
+        return F.struct(o["field"].alias("field"), latest.alias("latest"), met.alias("met"))
 
     return F.aggregate(places, start, step)["met"]
 
