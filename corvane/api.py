@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.operators import fulltext, pending, retrieval
 from corvane.operators.stats import throughput
 from corvane.operators.store import Store
+from corvane.operators.textindex import TextIndex
 from corvane.plans import ingest, reindex
 from corvane.plans.components import Profile, drop_models, load_profile
 from corvane.plans.residency import StageLog
@@ -56,18 +58,24 @@ class Conversations:
     def search_by_vector(self, query: list[float], limit: int = retrieval.DEFAULT_LIMIT, filters: dict | None = None) -> DataFrame:
         return retrieval.vector_search(self.store.read("vectors"), query, limit, self.store.read("messages").drop("created_at"), filters)
 
+    @property
+    def index(self) -> TextIndex:
+        return TextIndex(self.spark, f"{self.store.root}/_index")
+
     def search_by_text(self, query: str, limit: int = retrieval.DEFAULT_LIMIT, filters: dict | None = None) -> DataFrame:
+        """By the index, brought up to date first, if there is one; else by a scan of the messages."""
         messages = self.store.read("messages")
-        folder = self._index_folder()
-        index = fulltext.read_index(self.spark, folder) if self.store.has_folder(folder) else (fulltext.postings(messages, "id"), fulltext.lengths(messages, "id"))
-        return fulltext.text_search(*index, query, limit, retrieval.equality_filters(messages, filters))
-
-    def _index_folder(self) -> str:
-        return f"{self.store.root}/_index/{self.store.version('messages')}"
-
-    def rebuild_index(self) -> None:
-        """Writes the full-text index of the messages as they are; searches use it until the table changes."""
-        fulltext.write_index(self.store.read("messages"), "id", self._index_folder())
+        chosen = retrieval.equality_filters(messages, filters)
+        index = self.index
+        if index.manifest().number < 0:
+            return fulltext.text_search(fulltext.postings(messages, "id"), fulltext.lengths(messages, "id"), query, limit, chosen)
+        index.refresh(self.store)
+        found = index.search(query, limit, chosen.select(F.col("id").alias("doc")) if any((filters or {}).values()) else None)
+        return found.join(messages, found["doc"] == messages["id"]).orderBy("rank")
+
+    def rebuild_index(self) -> int:
+        """Makes the full-text index, or brings it up to date; returns how many messages it took in."""
+        return self.index.refresh(self.store)
 
     def search(self, query: str, limit: int = retrieval.CLI_LIMIT, mode: str = "vector", topic: str | None = None) -> DataFrame:
         """Results with snippets and labels; ..topic.. hints are moved to the end of the query."""

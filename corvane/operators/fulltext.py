@@ -246,16 +246,6 @@ def _phrase(t: _Tokens) -> Phrase:
         t.take()
 
 
-def write_index(df: DataFrame, key: str, folder: str, fields: tuple[str, ...] = FIELDS) -> None:
-    """Writes the index of a table: postings sorted by term, so that a search reads only the row groups of its terms, and lengths."""
-    postings(df, key, fields).repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{folder}/postings")
-    lengths(df, key, fields).write.mode("overwrite").parquet(f"{folder}/lengths")
-
-
-def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
-
-
 def _phrases(tree: object) -> list[Phrase]:
     """All phrases of a tree, in order, each once."""
     if isinstance(tree, Phrase):

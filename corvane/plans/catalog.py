@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +44,16 @@ def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
 DECORATED = f"(SELECT doc_id, {q.DECORATED} AS t FROM documents)"
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; on one machine alone, where none is set, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
+    return folder
+
+
 def rounded(c: Column | str) -> Column:
     return F.round(c, 6)
 
@@ -352,6 +364,46 @@ def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(spark, sf_dir, "NEAR(of thon, 3)")
 
 
+@query(_bm25_sql([_term("thon")], f"({_term('thon')}) EXCEPT (({_term('wher')}) INTERSECT ({_term('und')}))"))
+def not_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words side by side bind tighter than NOT."""
+    return _searched(spark, sf_dir, "thon NOT wher und")
+
+
+@query(_bm25_sql([_pair("of", "the")], f"({_pair('of', 'the')}) EXCEPT ({_term('und')})"))
+def plus_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase by a plus sign, in a set of columns."""
+    return _searched(spark, sf_dir, "{text}: of + the NOT und")
+
+
+def _changed_sql(sql: str) -> str:
+    """SQL over documents after a change: one of a hundred has more words, one of a hundred is gone."""
+    return sql.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN text || ' thon wher' ELSE text END AS text FROM documents WHERE doc_id % 100 <> 9)")
+
+
+def _indexed_search(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
+    """A search of an index of all documents after that change; keys have leading zeros, so that they sort as numbers."""
+    from corvane.operators.textindex import TextIndex
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("id"), "text")
+    index = TextIndex(spark, f"{_shared_folder(spark)}/corvane-indexes/{uuid.uuid4().hex}", ("text",))
+    index.add(rows)
+    index.add(rows.filter("doc_id % 100 = 7").withColumn("text", F.concat("text", F.lit(" thon wher"))), removed=rows.filter("doc_id % 100 = 9").select(F.col("id").alias("doc")))
+    found = index.search(words, 20)
+    return found.select(F.col("doc").cast("long").alias("doc_id"), rounded("bm25").alias("bm25"), "rank", rounded("score").alias("score"))
+
+
+@query(_changed_sql(_bm25_sql([_term("wher"), _term("thon")], f"({_term('wher')}) UNION ({_term('thon')})")))
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best hits by the blocks whose bounds reach them."""
+    return _indexed_search(spark, sf_dir, "wher OR thon")
+
+
+@query(_changed_sql(_bm25_sql([_pair("thon", "wher"), _term("of")], f"({_pair('thon', 'wher')}) INTERSECT ({_term('of')})")))
+def index_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed_search(spark, sf_dir, '"thon wher" of')
+
+
 #: Queries made from whole texts: a hint in front, behind, alone, two of them, none.
 _RAW = """CASE CAST((conv_id + turn) % 5 AS INT) WHEN 0 THEN '..' || role || '.. ' || text WHEN 1 THEN text || ' ..' || role || '..' WHEN 2 THEN '..' || role || '..' WHEN 3 THEN 'x ..' || role || '.. y ..b ' || turn || '.. ' || text ELSE text END"""
 _SPACED = "regexp_replace({}, '^ +| +$', '', 'g')"
@@ -710,17 +762,10 @@ def filtered_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _store(spark: SparkSession, sf_dir: str, profile: str) -> store.Store:
     """A store with the conversations ingested, below the session's shared folder."""
-    import tempfile
-    import uuid
-
     from corvane.plans.components import PROFILES
     from corvane.plans.ingest import ingest
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='corvane-')}"
+    folder = _shared_folder(spark)
     made = store.Store(spark, f"{folder}/corvane-stores/{uuid.uuid4().hex}")
     ingest(made, conversation_messages(spark, sf_dir), PROFILES[profile], NOW)
     return made
