@@ -11,6 +11,7 @@ from corvane.operators import fulltext, pending, retrieval
 from corvane.operators.stats import throughput
 from corvane.operators.store import Store
 from corvane.operators.textindex import TextIndex
+from corvane.operators.vectorindex import VectorIndex
 from corvane.plans import ingest, reindex
 from corvane.plans.components import Profile, drop_models, load_profile
 from corvane.plans.residency import StageLog
@@ -56,7 +57,16 @@ class Conversations:
         return list(made.first()["vector"])
 
     def search_by_vector(self, query: list[float], limit: int = retrieval.DEFAULT_LIMIT, filters: dict | None = None) -> DataFrame:
-        return retrieval.vector_search(self.store.read("vectors"), query, limit, self.store.read("messages").drop("created_at"), filters)
+        """By the vector index if there is one, else by a scan of all vectors; the results are the same."""
+        messages = self.store.read("messages").drop("created_at")
+        index = VectorIndex(self.spark, f"{self.store.root}/_vectors")
+        if self.store.has_folder(f"{index.root}/_builds"):
+            return index.search(self.store, query, limit, messages, filters)
+        return retrieval.vector_search(self.store.read("vectors").drop("created_at"), query, limit, messages, filters)
+
+    def index_vectors(self, centres: int | None = None) -> int:
+        """Makes the vector index anew; returns how many vectors it holds."""
+        return VectorIndex(self.spark, f"{self.store.root}/_vectors").build(self.store, centres)
 
     @property
     def index(self) -> TextIndex:

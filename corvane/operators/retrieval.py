@@ -37,7 +37,7 @@ def equality_filters(df: DataFrame, filters: dict[str, str] | None) -> DataFrame
     return df
 
 
-def _ranked(scored: DataFrame, limit: int, key: str) -> DataFrame:
+def ranked(scored: DataFrame, limit: int, key: str) -> DataFrame:
     """Top rows by falling score, the least key of equals first, numbered from 1.
 
     The sort and limit run as one TakeOrderedAndProject; only `limit` rows are numbered.
@@ -49,17 +49,23 @@ def _ranked(scored: DataFrame, limit: int, key: str) -> DataFrame:
 def vector_search(vectors: DataFrame, query: list[float], limit: int = DEFAULT_LIMIT, messages: DataFrame | None = None, filters: dict[str, str] | None = None, threshold: float | None = None, key: str = "entity_id", vector: str = "vector") -> DataFrame:
     """The nearest rows to a unit query vector, by inner product over all candidates.
 
-    Only vectors of the query's dimension are scored.  With messages, their rows of
-    entity_type 'message' are joined and the filters apply before ranking.
+    Only vectors of the query's dimension are scored.  With messages, vectors of
+    entity_type 'message' whose message passes the filters are; until the best are known a
+    message's id alone takes part, and then those messages' rows are fetched.
     """
-    found = vectors
+    found = vectors.filter(F.size(vector) == len(query))
     if messages is not None:
-        found = equality_filters(messages, filters).join(vectors.filter("entity_type = 'message'"), F.col("id") == F.col("entity_id"))
-    found = found.filter(F.size(vector) == len(query))
+        found = found.filter("entity_type = 'message'").join(equality_filters(messages, filters).select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
     scored = found.withColumn("score", dot(F.col(vector), F.array(*[F.lit(float(x)) for x in query])))
     if threshold is not None:
         scored = scored.filter(F.col("score") > threshold)
-    return _ranked(scored.drop(vector), limit, key).withColumn("matched_on", F.lit("vector"))
+    top = ranked(scored.drop(vector), limit, key).withColumn("matched_on", F.lit("vector"))
+    return top if messages is None else with_messages(top, messages)
+
+
+def with_messages(top: DataFrame, messages: DataFrame) -> DataFrame:
+    """Ranked rows (entity_id, rank, ...), few as they are, with their messages' columns."""
+    return messages.join(F.broadcast(top), messages["id"] == top["entity_id"]).orderBy("rank")  # a search's limit
 
 
 def batch_search(vectors: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, key: str = "entity_id", vector: str = "vector") -> DataFrame:
@@ -167,4 +173,4 @@ def reciprocal_fusion(rankings: list[DataFrame], limit: int = DEFAULT_LIMIT, k:
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return _ranked(whole.groupBy(key).agg(F.sum("part").alias("score")), limit, key)
+    return ranked(whole.groupBy(key).agg(F.sum("part").alias("score")), limit, key)

@@ -748,6 +748,30 @@ def filtered_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "rank", rounded("score").alias("score"), "label", F.md5("snippet").alias("snippet"))
 
 
+_WIDE = f"SELECT v.vec_id, v.label, sum(v.x * p.x) AS score FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) v JOIN (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) p ON v.i = p.i GROUP BY ALL"
+
+
+@query(
+    f"""WITH s AS (SELECT lpad(CAST(vec_id AS VARCHAR), 19, '0') AS id, score FROM ({_WIDE}) WHERE vec_id % 50 <> 3), f AS (SELECT s.id, score FROM s JOIN documents ON CAST(s.id AS BIGINT) = doc_id WHERE lang = 'en')
+    SELECT CAST(id AS BIGINT) AS vec_id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM f ORDER BY score DESC, id LIMIT 20"""
+)
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a store through its index, a fiftieth of them taken away since it was made, messages of one topic wanted; ids have leading zeros, so that they sort as numbers."""
+    from corvane.operators.vectorindex import VectorIndex
+
+    rows = embedding_vectors(spark, sf_dir)
+    name = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
+    made = store.Store(spark, f"{_shared_folder(spark)}/corvane-stores/{uuid.uuid4().hex}")
+    made.write("vectors", rows.select(name("vec_id").alias("entity_id"), F.lit("message").alias("entity_type"), "vector"))
+    messages = table(spark, sf_dir, "documents").select(name("doc_id").alias("id"), F.col("lang").alias("segment_topic"))
+    index = VectorIndex(spark, f"{made.root}/_vectors")
+    index.build(made)
+    made.upsert("vectors", rows.filter("vec_id % 50 = 3").select(name("vec_id").alias("entity_id"), F.lit("message").alias("entity_type"), F.lit(None).cast("array<float>").alias("vector")))
+    asked = rows.orderBy("vec_id").select("vector").first()["vector"]
+    found = index.search(made, list(asked), 20, messages, {"segment_topic": "en"})
+    return found.select(F.col("id").cast("long").alias("vec_id"), "rank", rounded("score").alias("score"))
+
+
 @query(_bm25_sql([_term("wher")], f"SELECT d.doc_id FROM ({_term('wher')}) d JOIN documents m ON d.doc_id = m.doc_id WHERE m.lang = 'en' AND m.source = 'src1'"))
 def filtered_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text search in the messages of one topic and conversation; scores come from all documents."""
