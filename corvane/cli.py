@@ -88,6 +88,7 @@ def main(args: list[str] | None = None) -> int:
         print(VERSION)
         return 0
     talks = Conversations(session(told.master), told.root, told.profile, StageLog() if told.log else None, told.buckets)
+    live = {"progress": print} if told.log else {}  # a line per batch
     store, now = talks.store, datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     match told.command:
         case "init":
@@ -102,18 +103,18 @@ def main(args: list[str] | None = None) -> int:
             for r in stats.topic_rollup(messages, limit=told.limit).collect():
                 print(f"{r['segment_topic']}: {r['messages']} messages, {r['conversations']} conversations, {r['span']}")
         case "reindex":
-            print(reindex.revectorize_outdated(store, talks.profile, now, limit=told.limit))
+            print(reindex.revectorize_outdated(store, talks.profile, now, limit=told.limit, **live))
         case "refine":
-            print(reindex.refine_pending(store, talks.profile, now, limit=told.limit))
+            print(reindex.refine_pending(store, talks.profile, now, limit=told.limit, **live))
         case "revectorize":
-            print(reindex.revectorize_dimension(store, talks.profile, now, told.limit))
+            print(reindex.revectorize_dimension(store, talks.profile, now, told.limit, **live))
         case "reindex-full":
             if told.status:
                 print(reindex_status(store.read("messages"), store.read("message_content"), store.read("vectors"), talks.profile.version).first().asDict())
             else:
-                print(reindex.reindex_all(store, talks.profile, now, force=told.force, after=told.after, limit=told.limit))
+                print(reindex.reindex_all(store, talks.profile, now, force=told.force, after=told.after, limit=told.limit, **live))
         case "rebuild":
-            print(reindex.rebuild(store, talks.profile, now, vectors_only=told.vectors_only, resume=told.resume))
+            print(reindex.rebuild(store, talks.profile, now, vectors_only=told.vectors_only, resume=told.resume, **live))
         case "segment":
             print(reindex.segment_pending(store, talks.profile.segment_threshold))
         case "migrate":

@@ -130,6 +130,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16, bucket_mb: float = 256):
         self.spark, self.root, self.buckets, self.bucket_mb = spark, root.rstrip("/"), buckets, bucket_mb
+        self.commits: dict[str, int] = {}  # versions that this object has made, by table
         self._jvm = spark.sparkContext._jvm
 
     def _fs(self, path: str):
@@ -243,6 +244,7 @@ class Store:
             raise
         out.write(bytearray(json.dumps({"buckets": new.buckets, "folders": new.folders, "sizes": new.sizes}).encode()))
         out.close()
+        self.commits[name] = self.commits.get(name, 0) + 1
         self._remove_old(name)
         return True
 

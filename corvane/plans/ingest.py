@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from corvane.functions import classify, embed, refine, text
 from corvane.operators.stats import throughput
 from corvane.operators.store import Store, chunk_rows, keep_last, vector_rows
 from corvane.plans.components import Profile, loader
-from corvane.plans.residency import StageLog
+from corvane.plans.residency import StageLog, counted
 from corvane.schema import MESSAGES, conform, require_valid
 
 PROMPT = "Resume la intención y los términos del texto:\n{text}"
@@ -66,9 +67,12 @@ def ingest(store: Store, messages: DataFrame, profile: Profile, now: str, source
     if "place" in messages.columns:
         messages = keep_last(messages, ["id"], "place")
     made = processed(messages, profile).withColumns({"vectorizer_version": F.lit(profile.version), "created_at": F.lit(now).cast("timestamp"), "content_hash": text.content_hash(F.col("content"))})
-    with store.staged(made) as rows:
-        with log.stage("process") as told:
-            told["rows"] = n = rows.count()
+    made, seen = counted(made, "ingest")
+    with log.stage("process") as told, ExitStack() as open_stages:
+        rows = open_stages.enter_context(store.staged(made))
+        told["rows"] = n = seen.get["rows"]
+        open_stages = open_stages.pop_all()
+    with open_stages:
         with log.stage("write"):
             store.upsert("messages", conform(rows, MESSAGES))
             store.upsert("vectors", vector_rows(rows, "id", "message", profile.version, now))
