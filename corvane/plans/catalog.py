@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,7 +195,7 @@ def topics_top5_short_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM conversations),
-    h AS (SELECT conv_id, turn, CAST(('0x' || left(md5(word), 8))::BIGINT % 64 AS INTEGER) AS i, CASE WHEN ('0x' || substr(md5(word), 9, 1))::INTEGER % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM w),
+    h AS (SELECT conv_id, turn, CAST(('0x' || left(md5(word), 8))::BIGINT % {width} AS INTEGER) AS i, CASE WHEN ('0x' || substr(md5(word), 9, 1))::INTEGER % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM w),
     v AS (SELECT conv_id, turn, i, sum(s) AS x FROM h GROUP BY ALL), n AS (SELECT conv_id, turn, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL)
     SELECT v.conv_id, v.turn, v.i, round(x / norm, 6) AS x FROM v JOIN n USING (conv_id, turn) WHERE x <> 0"""
 )
@@ -618,7 +621,7 @@ def refiner_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).withColumns({"entities": F.array_join("entities", ","), "refined_content": F.md5("refined_content"), "summary": F.md5("summary")})
 
 
-@query(f"SELECT conv_id, turn, md5(concat_ws(' ', intent, nullif(replace(replace(array_to_string(entities, ' '), '(', ' '), ')', ''), ''), nullif(summary, ''))) AS keywords FROM {_FIELDS}")
+@query(f"SELECT conv_id, turn, md5(concat_ws(' ', intent, nullif(array_to_string(list_transform(entities, lambda e: trim(translate(e, '()', '  '))), ' '), ''), nullif(summary, ''))) AS keywords FROM {_FIELDS}")
 def semantic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).select("conv_id", "turn", F.md5(refine.semantic_keywords(F.col("intent"), F.col("entities"), F.col("summary"))).alias("keywords"))
 
@@ -674,10 +677,10 @@ def metadata_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WHOLE = f"SELECT conv_id || '_' || turn AS id, CAST(conv_id AS VARCHAR) AS conversation_id, CASE WHEN lower(role) IN ('user', 'assistant', 'system', 'tool') THEN lower(role) ELSE 'system' END AS author_role, {q.normalize('text')} AS t, {q.vectorizable(q.normalize('text'))} AS v FROM conversations"
 
 
-def _embedded_sql(rows: str) -> str:
+def _embedded_sql(rows: str, width: int = 64) -> str:
     """CTEs to e (id, i, x): the hashing embedding of rows (id, v), without its zeros."""
     return f"""ew AS (SELECT id, unnest(regexp_extract_all(lower(v), '[\\p{{L}}\\p{{N}}]+')) AS word FROM {rows}),
-    eh AS (SELECT id, CAST(('0x' || left(md5(word), 8))::BIGINT % 64 AS INTEGER) AS i, CASE WHEN ('0x' || substr(md5(word), 9, 1))::INTEGER % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM ew),
+    eh AS (SELECT id, CAST(('0x' || left(md5(word), 8))::BIGINT % {width} AS INTEGER) AS i, CASE WHEN ('0x' || substr(md5(word), 9, 1))::INTEGER % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM ew),
     es AS (SELECT id, i, sum(s) AS x FROM eh GROUP BY ALL), en AS (SELECT id, sqrt(sum(x * x)) AS norm FROM es GROUP BY id), e AS (SELECT es.id, es.i, es.x / en.norm AS x FROM es JOIN en ON es.id = en.id WHERE es.x <> 0)"""
 
 
@@ -784,34 +787,40 @@ def filtered_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Incremental runs over a store ------------------------------------------------
 
 
-def _store(spark: SparkSession, sf_dir: str, profile: str) -> store.Store:
-    """A store with the conversations ingested, below the session's shared folder."""
+def _store(spark: SparkSession, sf_dir: str, profile: str, messages: DataFrame | None = None) -> store.Store:
+    """A store with messages ingested (default: the conversations), below the session's shared folder."""
     from corvane.plans.components import PROFILES
     from corvane.plans.ingest import ingest
 
     folder = _shared_folder(spark)
     made = store.Store(spark, f"{folder}/corvane-stores/{uuid.uuid4().hex}")
-    ingest(made, conversation_messages(spark, sf_dir), PROFILES[profile], NOW)
+    ingest(made, conversation_messages(spark, sf_dir) if messages is None else messages, PROFILES[profile], NOW)
     return made
 
 
 #: The stand-in refiner's answer to a text cut to 1,500 characters at a word's end.
-_ECHO = f"""c AS (SELECT *, string_split(CASE WHEN length(v) > 1500 THEN regexp_replace(left(v, 1500), ' [^ ]*$', '') || '...' ELSE v END, ' ') AS words FROM m),
+_ECHO = f"""c AS (SELECT *, list_filter(string_split(CASE WHEN length(v) > 1500 THEN regexp_replace(left(v, 1500), ' [^ ]*$', '') || '...' ELSE v END, ' '), lambda w: w <> '') AS words FROM m),
  a AS (SELECT *, list_sort(list_transform(list_distinct(list_filter(list_transform(words, lambda w: trim(w, ',.;')), lambda w: w <> '')), lambda w: [lpad(CAST(100000 - length(w) AS VARCHAR), 6, '0'), w])) AS found FROM c),
  r AS (SELECT *, trim(array_to_string(words[:3], ' '), '[]') AS intent, list_filter(list_transform(string_split(trim(array_to_string(list_transform(found[:3], lambda p: p[2]), ', '), '[]'), ','), lambda w: {q.strip("w")}), lambda w: w <> '') AS topics, {q.strip("array_to_string(words[:12], ' ')")} AS summary FROM a)"""
 
 
-@query(
-    f"""WITH m AS ({_WHOLE}), {_ECHO}, x AS (SELECT *, concat_ws(' | ', 'Intención: ' || nullif(intent, ''), 'Términos: ' || nullif(array_to_string(topics, ', '), ''), 'Resumen: ' || nullif(summary, '')) AS refined FROM r)
-    SELECT id, md5(CASE WHEN refined = '' THEN '' ELSE refined END) AS refined_content, md5(concat_ws(' ', nullif(intent, ''), nullif(replace(replace(array_to_string(topics, ' '), '(', ' '), ')', ' '), ''), nullif(summary, ''))) AS keywords,
+def _reindexed_sql(rows: str) -> str:
+    """What a full re-index with the stand-in refiner makes of rows (id, v)."""
+    return f"""WITH m AS ({rows}), {_ECHO}, x AS (SELECT *, concat_ws(' | ', 'Intención: ' || nullif(intent, ''), 'Términos: ' || nullif(array_to_string(topics, ', '), ''), 'Resumen: ' || nullif(summary, '')) AS refined FROM r)
+    SELECT id, md5(CASE WHEN refined = '' THEN '' ELSE refined END) AS refined_content, md5(concat_ws(' ', nullif(intent, ''), nullif(array_to_string(list_transform(topics, lambda e: trim(translate(e, '()', '  '))), ' '), ''), nullif(summary, ''))) AS keywords,
     CASE WHEN intent = '' THEN 'unknown' ELSE intent END AS intent, array_to_string(topics, ',') AS topics, false AS is_question, 64 AS vector_dim, 'hashing_dim64' AS model_version FROM x"""
-)
+
+
+@query(_reindexed_sql(_WHOLE))
 def reindex_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store after ingest and a full re-index: what all three tables hold."""
+    return _reindexed(_store(spark, sf_dir, "express"))
+
+
+def _reindexed(made: store.Store) -> DataFrame:
     from corvane.plans import reindex
     from corvane.plans.components import PROFILES
 
-    made = _store(spark, sf_dir, "express")
     reindex.reindex_all(made, PROFILES["express"], NOW)
     content = made.read("message_content").select(F.col("message_id").alias("id"), F.md5("refined_content").alias("refined_content"))
     vectors = made.read("vectors").select(F.col("entity_id").alias("id"), "vector_dim", "model_version")
@@ -837,6 +846,118 @@ def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("outdated", reindex.revectorize_outdated(made, lite, NOW), reindex.revectorize_outdated(made, lite, NOW, force=True), reindex.revectorize_outdated(made, lite, NOW)),
         ("refined", refined(), refined(force=True), refined()),
         ("dimension", sum(reindex.revectorize_dimension(made, other, NOW).values()), sum(reindex.revectorize_dimension(made, other, NOW).values()), 0),
-        ("rebuilt", reindex.rebuild(made, lite, NOW, segments=False)["classified"], reindex.rebuild(made, lite, NOW, vectors_only=True, segments=False)["vectors"], reindex.rebuild(made, lite, NOW, vectors_only=True, resume=True, segments=False)["vectors"]),
+        ("rebuilt", reindex.rebuild(made, lite, NOW, segments=False)["classified"], reindex.rebuild(made, lite, NOW, vectors_only=True, resume=False, segments=False)["vectors"], reindex.rebuild(made, lite, NOW, vectors_only=True, resume=True, segments=False)["vectors"]),
     ]
     return spark.createDataFrame(counted, "run string, first long, forced long, again long")
+
+
+#: Whole documents behind a long word in parentheses, as messages; many are over 4,000 characters, so they have chunks.
+_LONG_TEXT = "'(Incomprehensibilities' || doc_id % 7 || ') ' || text"
+_LONG = f"SELECT CAST(doc_id AS VARCHAR) AS id, {q.vectorizable(q.normalize(f'({_LONG_TEXT})'))} AS v FROM documents"
+_ENTITIES = f"""w AS ({_LONG}), m AS (SELECT id, 'message' AS entity_type, left(v, 8000) AS v FROM w
+    UNION ALL SELECT id || '_chunk' || k, 'chunk', substr(v, 3800 * (k - 1) + 1, 3800) FROM (SELECT id, v, unnest(range(1, (length(v) + 3799) // 3800 + 1)) AS k FROM w WHERE length(v) > 4000))"""
+
+
+def _long_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = balanced(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return rows.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("conversation_id"), F.lit("user").alias("author_role"), F.expr(_LONG_TEXT).alias("content"), F.lit("text").alias("content_type"), F.timestamp_seconds("doc_id").alias("timestamp"))
+
+
+@query(_reindexed_sql(_LONG))
+def reindex_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full re-index of long messages with parentheses among their terms."""
+    return _reindexed(_store(spark, sf_dir, "express", _long_messages(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {_ENTITIES}, {_ECHO}, x AS (SELECT *, concat_ws(' | ', 'Intención: ' || nullif(intent, ''), 'Términos: ' || nullif(array_to_string(topics, ', '), ''), 'Resumen: ' || nullif(summary, '')) AS refined FROM r)
+    SELECT id, entity_type, md5(CASE entity_type WHEN 'chunk' THEN left(refined, 4000) ELSE refined END) AS refined FROM x"""
+)
+def refine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refined texts of long messages and of their chunks."""
+    from corvane.plans import reindex
+    from corvane.plans.components import PROFILES
+
+    made = _store(spark, sf_dir, "express", _long_messages(spark, sf_dir))
+    reindex.refine_pending(made, PROFILES["express"], NOW, force=True)
+    messages = made.read("messages").select("id", F.lit("message").alias("entity_type"), F.md5("refined_content").alias("refined"))
+    return messages.unionByName(made.read("message_chunks").select(F.col("chunk_id").alias("id"), F.lit("chunk").alias("entity_type"), F.md5("refined_text").alias("refined")))
+
+
+@query(
+    f"""WITH {_ENTITIES}, {_embedded_sql("m", 32)}, x AS (SELECT id, sum((i + 1) * CAST(CAST(x AS FLOAT) AS DOUBLE)) AS total FROM e GROUP BY id)
+    SELECT m.id, entity_type, 32 AS vector_dim, 'hashing_dim32' AS model_version, round(coalesce(total, 0), 6) AS vector_sum FROM m LEFT JOIN x ON m.id = x.id"""
+)
+def dimension_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of long messages and of their chunks after a change of dimension, each as a weighted sum."""
+    from dataclasses import replace
+
+    from corvane.plans import reindex
+    from corvane.plans.components import PROFILES
+
+    made = _store(spark, sf_dir, "lite", _long_messages(spark, sf_dir))
+    reindex.revectorize_dimension(made, replace(PROFILES["lite"], dimension=32), NOW)
+    total = F.aggregate(F.transform("vector", lambda x, k: x.cast("double") * (k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return made.read("vectors").select(F.col("entity_id").alias("id"), "entity_type", "vector_dim", "model_version", rounded(total).alias("vector_sum"))
+
+
+# Archives as files --------------------------------------------------------------
+
+_PER_ARCHIVE = 10
+
+
+def _archive_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The conversations written as archives of ten: ZIP files, every fifth a plain JSON file, every fifth cut off before its end."""
+    from corvane.sources.stores import opened
+
+    talks = _export(spark, sf_dir).select((F.get_json_object("conversation", "$.conversation_id").cast("long")).alias("conv_id"), "conversation")
+    folder = f"{_shared_folder(spark)}/corvane-archives/{uuid.uuid4().hex}"
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        kind, store_, inside = number % 5, *opened(folder)
+        body = ("[" + ",\n".join(rows.sort_by("conv_id")["conversation"].to_pylist()) + "]").encode()
+        if kind == 1:
+            raw, name = body, f"talks-{number}.json"
+        else:
+            packed = io.BytesIO()
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(archive.MEMBER, body)
+                z.writestr("f0-x.png", b"")
+                z.writestr("f1.png", b"")
+            raw, name = packed.getvalue(), f"talks-{number}.zip"
+        if kind == 3:
+            raw = raw[: len(raw) // 2]
+        store_.create_dir(inside, recursive=True)
+        with store_.open_output_stream(f"{inside}/{name}") as out:  # a task that is tried again writes the same
+            out.write(raw)
+        return pa.table({"path": [f"{folder}/{name}"]})
+
+    written = talks.withColumn("archive", F.floor(F.col("conv_id") / _PER_ARCHIVE).cast("long")).groupBy("archive").applyInArrow(write, "path string")
+    return [r["path"] for r in written.collect()]  # a row per file
+
+
+_FILE_OF = f"CAST(floor(conv_id / {_PER_ARCHIVE}) AS BIGINT)"
+
+
+@query(
+    f"""SELECT conv_id || '_' || turn AS id, CAST(conv_id AS VARCHAR) AS conversation_id, role AS author_role, md5(text) AS content, '2023-11-14 22:13:' || lpad(CAST(20 + turn AS VARCHAR), 2, '0') AS at,
+    CASE WHEN {_FILE_OF} % 5 = 1 THEN NULL WHEN turn = 0 THEN 'f0-x.png' WHEN turn = 1 THEN 'f1.png' END AS attached FROM conversations WHERE turn NOT IN (5, 6, 7) AND trim(text) <> '' AND {_FILE_OF} % 5 <> 3"""
+)
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of written archives, packed and plain, read back by the data source; of those cut off nothing comes."""
+    found = archive.messages(archive.conversations(spark, _archive_files(spark, sf_dir)), NOW)
+    return found.select("id", "conversation_id", "author_role", F.md5("content").alias("content"), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), F.get("attachments", F.lit(0))["local_path"].alias("attached"))
+
+
+@query(
+    f"""SELECT 'talks-' || file || CASE WHEN file % 5 = 1 THEN '.json' ELSE '.zip' END AS file, CASE WHEN file % 5 = 3 THEN 0 ELSE n END AS conversations, file % 5 = 3 AS wrong,
+    CASE WHEN file % 5 <> 3 THEN 'chatgpt' END AS format, CASE file % 5 WHEN 3 THEN 0.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS confidence
+    FROM (SELECT {_FILE_OF} AS file, count(DISTINCT conv_id) AS n FROM conversations GROUP BY 1)"""
+)
+def archive_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the directories of the written archives tell, beside what reading them gives."""
+    paths = _archive_files(spark, sf_dir)
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    read = archive.conversations(spark, paths).groupBy(name).agg(F.count("conversation").alias("conversations"), (F.count("problem") > 0).alias("wrong"))
+    return read.join(archive.detect(spark, paths).select(name, "format", "confidence"), "file")

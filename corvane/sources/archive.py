@@ -332,7 +332,7 @@ def metadata(raw: DataFrame) -> DataFrame:
     return parsed(raw).agg(F.lit(FORMATS[0]).alias("format"), F.count("*").alias("total_conversations"), F.min(time).alias("first"), F.max(time).alias("last"), F.max("user_info").alias("user_info"))
 
 
-def detect(spark: SparkSession, path: str) -> DataFrame:
+def detect(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, format, confidence by a look at each file's directory: an archive with conversations.json is certain, a JSON file likely."""
     sure = F.col("problem").isNull()
     return scan(spark, path, "directory").select("path", F.when(sure, FORMATS[0]).alias("format"), F.when(sure & F.col("packed"), 1.0).when(sure, 0.5).otherwise(0.0).alias("confidence"))
