@@ -17,6 +17,15 @@ THRESHOLD = 0.5
 UNTITLED = "Untitled"
 
 
+def advance(total: np.ndarray | None, number: int, v: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """The sum of the running segment's vectors and its number once v has come: a new segment begins if v isn't near enough to the sum's direction."""
+    if total is None:
+        return v, number + 1
+    norm = np.linalg.norm(total)
+    closeness = float(np.clip(v @ (total / norm if norm > 0 else total), -1, 1))
+    return (v, number + 1) if closeness < threshold else (total + v, number)
+
+
 def segment_numbers(df: DataFrame, conversation: str, order: list[str], vector: str, threshold: float = THRESHOLD) -> DataFrame:
     """df with segment_sequence: a new segment begins where a message's similarity to the running centroid falls below the threshold.
 
@@ -38,13 +47,7 @@ def segment_numbers(df: DataFrame, conversation: str, order: list[str], vector:
                 if v is None:
                     out.append(None)
                     continue
-                v = np.asarray(v, np.float64)
-                if total is None:
-                    total, number = v, 1
-                else:
-                    norm = np.linalg.norm(total)
-                    closeness = float(np.clip(v @ (total / norm if norm > 0 else total), -1, 1))
-                    total, number = (v, number + 1) if closeness < threshold else (total + v, number)
+                total, number = advance(total, number, np.asarray(v, np.float64), threshold)
                 out.append(number)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(out, pa.int32())], [*(f.name for f in fields), "segment_sequence"])
 
@@ -71,16 +74,20 @@ def segment_topics(df: DataFrame, order: list[str], topics: str = "topics", text
     return opening.join(best, "segment_id", "left").select("segment_id", F.when(label != "", label).otherwise(UNTITLED).alias("segment_topic"))
 
 
-def segment_updates(messages: DataFrame, conversations: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """id, segment_id, segment_topic, segment_sequence of the messages (id, conversation_id, timestamp, vector, topics, vectorizable_content).
+def numbered(messages: DataFrame, conversations: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The messages (id, conversation_id, timestamp, vector, topics, vectorizable_content) with segment_sequence and segment_id, without their vectors.
 
-    Given conversations, only theirs, but then all their messages.
+    Given conversations, only theirs, but then all their messages.  It is to be written
+    before labelled() reads it, which would fold several times otherwise.
     """
     if conversations is not None:
         messages = messages.join(conversations, "conversation_id", "left_semi")
-    numbered = with_segment_ids(segment_numbers(messages, "conversation_id", ["timestamp", "id"], "vector", threshold), "conversation_id")
-    labelled = numbered.join(segment_topics(numbered, ["timestamp", "id"]), "segment_id")
-    return labelled.select("id", "segment_id", "segment_topic", "segment_sequence")
+    return with_segment_ids(segment_numbers(messages, "conversation_id", ["timestamp", "id"], "vector", threshold), "conversation_id").drop("vector")
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """id, segment_id, segment_topic, segment_sequence of numbered messages that have a segment."""
+    return found.join(segment_topics(found, ["timestamp", "id"]), "segment_id").select("id", "segment_id", "segment_topic", "segment_sequence")
 
 
 def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:

@@ -129,7 +129,7 @@ def segment_pending(store: Store, threshold: float = segment.THRESHOLD) -> int:
     talks = pending.needs_segmentation(messages, vectors)
     of_messages = vectors.filter("entity_type = 'message'").select(F.col("entity_id").alias("id"), "vector")
     rows = messages.select("id", "conversation_id", "timestamp", "topics", "vectorizable_content").join(of_messages, "id", "left")
-    with store.staged(segment.segment_updates(rows, talks, threshold)) as changes:
+    with store.staged(segment.numbered(rows, talks, threshold)) as found, store.staged(segment.labelled(found)) as changes:
         n = changes.count()
         if n:
             store.update("messages", changes, ["segment_id", "segment_topic", "segment_sequence"])
