@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import stored
+from corvane.llm.common import join_known, stored
 
 #: Schemas are a subset of JSON Schema: type, properties, required, additionalProperties, items, enum, minLength, minimum.
 _TYPES = {
@@ -119,7 +119,7 @@ def linked(messages: DataFrame) -> DataFrame:
     results = messages.filter("result_of is not null").select("conversation", F.col("result_of").alias("_id")).distinct()
     both = calls.hint("shuffle_hash").join(results, ["conversation", "_id"]).withColumn("_met", F.lit(True))
     own = F.coalesce("call_id", "result_of")
-    found = messages.withColumn("_id", own).join(both, ["conversation", "_id"], "left")
+    found = join_known(messages.withColumn("_id", own), both, ["conversation", "_id"])
     link = F.when(F.col("call_id").isNotNull(), F.when(F.col("_met"), "answered").otherwise("open")).when(F.col("result_of").isNotNull(), F.when(F.col("_met"), "result").otherwise("orphan"))
     return found.withColumn("link", link).drop("_id", "_met")
 
@@ -131,7 +131,7 @@ def depths(edges: DataFrame) -> DataFrame:
     depth.
     """
     known = edges.select(F.col("node").alias("parent"))
-    table = edges.join(known.withColumn("_there", F.lit(1)), "parent", "left").select("node", F.when(F.col("_there") == 1, F.col("parent")).alias("up"))
+    table = join_known(edges, known.withColumn("_there", F.lit(1)), ["parent"]).select("node", F.when(F.col("_there") == 1, F.col("parent")).alias("up"))
     table = stored(table.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long")), "depths")
     limit = table.count()
     reach = 1
@@ -162,9 +162,9 @@ def formatted(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     once = rows.filter("_before is null or _before != _row").withColumn("_head", F.col("message").isNotNull() & F.col("_before").isNull())
     table = stored(linked(once.drop("_row", "_before")).withColumn("node", F.monotonically_increasing_id()), "linked")  # node ids are fixed by the writing
     follows = table.filter("call_id is not null").groupBy("conversation", F.col("call_id").alias("result_of")).agg(F.min("message").alias("_call"))
-    table = table.join(follows, ["conversation", "result_of"], "left").withColumn("_up", F.coalesce("_call", "parent"))
+    table = join_known(table, follows, ["conversation", "result_of"]).withColumn("_up", F.coalesce("_call", "parent"))
     heads = table.filter("_head").select("conversation", F.col("message").alias("_up"), F.col("node").alias("up"))
-    table = stored(table.join(heads, ["conversation", "_up"], "left"), "nodes")
+    table = stored(join_known(table, heads, ["conversation", "_up"]), "nodes")
     order = depths(table.select("node", F.col("up").alias("parent")))
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,3 +120,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     if largest <= least:
         return met
     return met.select(*[c for c in rows.columns if not c.startswith("_hot_")], *[F.coalesce(c, f"_hot_{c}").alias(c) for c in others])
+
+
+def join_known(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """rows left-joined with other on keys; rows with a null key, which have no partner, are dealt out evenly instead of meeting in one task."""
+    lone = F.lit(False)
+    for key in keys:
+        lone = lone | F.col(key).isNull()
+    dealt = rows.withColumn("_deal", F.when(lone, F.monotonically_increasing_id() + 1).otherwise(F.lit(0)))
+    return dealt.join(other.withColumn("_deal", F.lit(0).cast("long")), [*keys, "_deal"], "left").drop("_deal")

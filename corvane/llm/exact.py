@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.bytespans import utf8
-from corvane.llm.common import open_store, scratch_path, shuffle_partitions, stored
+from corvane.llm.common import join_groups, open_store, scratch_path, shuffle_partitions, stored
 
 #: Bytes of text that one trie holds in memory.
 TRIE_BYTES = 48 << 20
+#: Bytes that a string takes beside its own: its leaf, value and branch.
+NODE_BYTES = 300
 #: Bytes of text in one batch that a task gives out.
 _OUT_BYTES = 4 << 20
 
@@ -98,7 +100,7 @@ class PatriciaTrie:
     def insert(self, key: bytes, value: tuple) -> None:
         node = self.root
         if node is None:
-            self.root, self.held = _Leaf(key, value), len(key)
+            self.root, self.held = _Leaf(key, value), len(key) + NODE_BYTES
             return
         while isinstance(node, _Branch):
             child = node.children.get(key[node.place] if node.place < len(key) else -1)
@@ -129,7 +131,7 @@ class PatriciaTrie:
                 self.root = branch
             else:
                 above.children[byte] = branch
-        self.held += len(key)
+        self.held += len(key) + NODE_BYTES
         while self.folder and self.held > self.budget and isinstance(self.root, _Branch):
             if not self._spill():
                 break
@@ -146,7 +148,7 @@ class PatriciaTrie:
 
     def _spill(self) -> bool:
         """Moves the root's child with the most bytes to a file."""
-        sizes = {b: sum(len(x.key) for x in self._leaves(c)) for b, c in self.root.children.items()}
+        sizes = {b: sum(len(x.key) + NODE_BYTES for x in self._leaves(c)) for b, c in self.root.children.items()}
         byte = max(sizes, key=sizes.__getitem__)
         if not sizes[byte]:
             return False
@@ -234,9 +236,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Texts are equal if their bytes are; null counts as empty, so null and empty texts
     are one group.  The largest doc_id of a group stays (a null one only if all are null);
     should several rows of a group have it, all are marked kept and `ties` counts them.
-    An empty table gives an empty one.
+    Texts of any length are read whole; other columns, whatever their names, aren't.  An
+    empty table gives an empty one.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    table = stored(owners(docs), "text-owners")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"))
-    return rows.join(table, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "ties")
+    return join_groups(rows, owners(docs), "text_sha256", "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "ties")

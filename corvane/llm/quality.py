@@ -168,7 +168,8 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = 0.02, doubt: float
     base rule; repeated rows are judged alike; a document's labels count as good if any
     of them is, and so do those of equal texts; without labels only the base rule rejects.
     With k strata a cutoff needs ln(5 k / doubt) / (risk / 5) good labelled texts at
-    least: 1,498 in each of four strata.
+    least: 1,498 in each of four strata.  Texts of any length are read whole; columns
+    beside doc_id, text and lang don't count; an empty table gives an empty one.
     """
     found = stored(features(docs), "quality-features")
     cuts = stored(thresholds(found, labels, risk, doubt), "quality-cutoffs")

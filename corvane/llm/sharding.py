@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import small, stored
+from corvane.llm.common import join_groups, small, stored
 
 #: Groups in a bucket, on average, and partial partitions in a run (`shards` sums each; the last run is the driver's).
 BUCKET_GROUPS, RUN_PARTS = 8192, 8192
@@ -97,13 +97,14 @@ def byte_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     size: the UTF-8 bytes of the text (null: none) plus 1; null and empty texts are one
-    group; repeated rows stay together.  slot counts the rows of a shard from 0 without
+    group; repeated rows stay together.  Texts of any length count whole; other columns,
+    whatever their names, don't.  slot counts the rows of a shard from 0 without
     gaps.  grown_shard is null under this law.  An empty table gives an empty one.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group"))
     rows = stored(rows, "sized-rows")
-    groups = stored(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "sized-groups")
+    groups = stored(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "sized-groups")
     buckets = max(1, -(-groups.count() // BUCKET_GROUPS))
 
     def difference(key: tuple, table: pa.Table) -> pa.Table:
@@ -113,11 +114,11 @@ def byte_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
         return table.append_column("place", pa.array([p[0] for p in places], pa.int32()))
 
     dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int"))
-    dealt = stored(dealt.groupBy("bucket").applyInArrow(difference, "group binary, bytes long, bucket int, place int"), "placed-groups")
+    dealt = stored(dealt.groupBy("bucket").applyInArrow(difference, "group binary, bytes long, n long, bucket int, place int"), "placed-groups")
     sums = dealt.groupBy("bucket", "place").agg(F.sum("bytes").alias("bytes"))
     where = _shard_of_places(sums, buckets, shards)
-    placed = dealt.join(small(where, buckets * shards), ["bucket", "place"]).select("group", "shard")
-    return numbered(rows.join(placed, "group").select("doc_id", "size", "text_crc32", "shard"))
+    placed = dealt.join(small(where, buckets * shards), ["bucket", "place"]).select("group", "shard", "n")
+    return numbered(join_groups(rows, placed, "group", "n").select("doc_id", "size", "text_crc32", "shard"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:

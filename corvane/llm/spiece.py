@@ -263,7 +263,8 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (of unsigned 32-bit ids), round_trip (decoding gives the text) of every row.
 
     U+2581 decodes to a space, so a text that holds it does not come back; null counts as
-    empty; repeated rows each give a row.
+    empty; repeated rows each give a row; texts of any length are encoded whole; other
+    columns, whatever their names, don't count; an empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

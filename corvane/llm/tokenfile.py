@@ -67,7 +67,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str) -> D
         yield pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32())]))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    order = ("doc_id", F.xxhash64("text"))  # rows of one doc_id, or of none, needn't be one task's
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     files = sorted(dealt.mapInArrow(write, "part int, name string, n_docs long, n_ids long, width int").collect())  # a row per task
     bases = [0, *accumulate(f.n_ids for f in files)]
     manifest = [(f.part, f.name, f.n_docs, f.n_ids, f.width, base) for f, base in zip(files, bases, strict=False)]
@@ -126,7 +127,12 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> DataFrame:
-    """Writes the files (to the shared scratch folder unless given one) and returns what stands in them."""
+    """Writes the files (to the shared scratch folder unless given one) and returns what stands in them.
+
+    Rows of one doc_id, or without one (they come first), are in order of their texts' hashes.
+    A null text is empty and has the end id alone; texts of any length are encoded whole;
+    other columns, whatever their names, don't count; an empty table gives an empty one.
+    """
     spark: SparkSession = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     return read_token_files(write_token_files(docs, path, end_id, folder), folder)

@@ -103,3 +103,22 @@ def test_every_text(spark):
         (1, 2): '{"content":null,"role":"system"}',
         (2, 0): '{"content":"","role":"assistant","tool_call_id":"call_-1"}',
     }
+
+
+def test_rows_without_a_partner_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.llm.common import join_known
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") - 1).alias("parent"))
+        known = spark.range(4000).select(F.col("id").alias("parent"), F.lit(1).alias("there"))
+        found = join_known(rows, known, ["parent"])
+        assert found.filter("there = 1").count() == 399 and found.count() == 4000
+        sizes = [r["n"] for r in found.filter("parent is null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == 4 and max(sizes) < 1200
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

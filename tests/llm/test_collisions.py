@@ -83,3 +83,19 @@ def test_tables_start_anew(monkeypatch):
     for block in bytespans.text_blocks(pa.array(texts), 60):
         assert code.counts(block).tolist() == [len(brute.encode(path, t)) for t in texts[block.first : block.first + block.rows]]
         assert code.units.n < 60
+
+
+def test_trie_counts_what_short_texts_take():
+    import random
+    import tracemalloc
+
+    from corvane.llm.exact import PatriciaTrie
+
+    r = random.Random(1)
+    tracemalloc.start()
+    trie = PatriciaTrie(budget=1 << 40)
+    for _ in range(50_000):
+        trie.insert(r.randbytes(12), (r.getrandbits(40), 1, 1))
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert 0.6 * taken < trie.held < 2 * taken
