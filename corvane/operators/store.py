@@ -130,6 +130,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16, bucket_mb: float = 256):
         self.spark, self.root, self.buckets, self.bucket_mb = spark, root.rstrip("/"), buckets, bucket_mb
+        self._kept: list[str] = []
         self.commits: dict[str, int] = {}  # versions that this object has made, by table
         self._jvm = spark.sparkContext._jvm
 
@@ -329,6 +330,19 @@ class Store:
             fs, folder = self._fs(path)
             fs.delete(folder, True)
 
+    def keep(self, df: DataFrame) -> str:
+        """df written to a staging folder that stays until clear_staged() is called; the folder."""
+        path = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self._kept.append(path)
+        return path
+
+    def clear_staged(self) -> None:
+        """Removes what keep() has written; frames that read it must have been written elsewhere by then."""
+        while self._kept:
+            fs, folder = self._fs(self._kept.pop())
+            fs.delete(folder, True)
+
     def has_file(self, file_hash: str) -> bool:
         return not self.find("source_files", [file_hash]).isEmpty()
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from contextlib import ExitStack
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import classify, embed, refine, text
 from corvane.operators.stats import throughput
 from corvane.operators.store import Store, chunk_rows, keep_last, vector_rows
+from corvane.plans import results
 from corvane.plans.components import Profile, loader
 from corvane.plans.residency import StageLog, counted
 from corvane.schema import MESSAGES, conform, require_valid
@@ -55,6 +57,40 @@ def processed(messages: DataFrame, profile: Profile) -> DataFrame:
     return embedded(refined(classified(normalized(require_valid(messages)), profile), profile), profile)
 
 
+def refined_once(store: Store, rows: DataFrame, profile: Profile, column: str = "vectorizable_content") -> DataFrame:
+    """rows with the struct `refined` and refined_content; a model named by a path gets distinct texts, and none twice."""
+    ask = lambda df: refine.refine_with(df, loader(profile, "refiner"), PROMPT, column)
+    if not results.is_kept(profile, "refiner"):
+        return refine.refine_with(rows, loader(profile, "refiner") if profile.refiner else lambda: refine.echo_model, PROMPT, column)
+    answered = (F.col("refined.confidence") != 0) | (F.col("refined.refined_content") == "")
+    found = results.once(store, rows, column, results.model_name(profile, "refiner", PROMPT), ask, "refined", answered)
+    return found.withColumn("refined_content", F.col("refined.refined_content"))
+
+
+def embedded_once(store: Store, rows: DataFrame, profile: Profile, column: str = "refined_content") -> DataFrame:
+    """rows with their vectors; a model named by a path gets distinct texts, and none twice."""
+    if not results.is_kept(profile, "embedder"):
+        return embedded(rows, profile, column)
+    return results.once(store, rows, column, results.model_name(profile, "embedder", profile.version), lambda df: embedded(df, profile, column), "vector", F.lit(True))
+
+
+@contextmanager
+def processed_once(store: Store, messages: DataFrame, profile: Profile) -> Iterator[DataFrame]:
+    """processed(), the results of models that are named by a path kept in the store."""
+    if not any(results.is_kept(profile, role) for role in ("refiner", "embedder")):
+        yield processed(messages, profile)
+        return
+    with ExitStack() as stages:
+        found = stages.enter_context(store.staged(classified(normalized(require_valid(messages)), profile)))
+        if profile.refiner:
+            found = refined_once(store, found, profile)
+            found = stages.enter_context(store.staged((classify.classify_from_refiner(found) if profile.classifier is None else found).drop("refined")))
+        else:
+            found = refined(found, profile)
+        yield embedded_once(store, found, profile)
+        store.clear_staged()
+
+
 def ingest(store: Store, messages: DataFrame, profile: Profile, now: str, source: DataFrame | None = None, log: StageLog | None = None) -> dict:
     """Upserts the processed messages with their vectors, contents and chunks; returns counts and speed.
 
@@ -66,13 +102,14 @@ def ingest(store: Store, messages: DataFrame, profile: Profile, now: str, source
     store.initialize()
     if "place" in messages.columns:
         messages = keep_last(messages, ["id"], "place")
-    made = processed(messages, profile).withColumns({"vectorizer_version": F.lit(profile.version), "created_at": F.lit(now).cast("timestamp"), "content_hash": text.content_hash(F.col("content"))})
-    made, seen = counted(made, "ingest")
-    with log.stage("process") as told, ExitStack() as open_stages:
-        rows = open_stages.enter_context(store.staged(made))
+    with log.stage("process") as told, ExitStack() as stages:
+        with processed_once(store, messages, profile) as found:
+            stamps = {"vectorizer_version": F.lit(profile.version), "created_at": F.lit(now).cast("timestamp"), "content_hash": text.content_hash(F.col("content"))}
+            made, seen = counted(found.withColumns(stamps), "ingest")
+            rows = stages.enter_context(store.staged(made))
         told["rows"] = n = seen.get["rows"]
-        open_stages = open_stages.pop_all()
-    with open_stages:
+        stages = stages.pop_all()
+    with stages:
         with log.stage("write"):
             store.upsert("messages", conform(rows, MESSAGES))
             store.upsert("vectors", vector_rows(rows, "id", "message", profile.version, now))

@@ -26,10 +26,11 @@ from corvane.schema import with_flags
 
 
 def _embed_into(store: Store, rows: DataFrame, key: str, column: str, kind: str, profile: Profile, now: str) -> int:
-    with store.staged(vector_rows(ingest.embedded(rows, profile, column), key, kind, profile.version, now)) as made:
+    with store.staged(rows.select(key, column)) as texts, store.staged(vector_rows(ingest.embedded_once(store, texts, profile, column), key, kind, profile.version, now)) as made:
         n = made.count()
         if n:
             store.upsert("vectors", made)
+    store.clear_staged()
     return n
 
 
@@ -60,8 +61,11 @@ def revectorize_outdated(store: Store, profile: Profile, now: str, *, force: boo
         return in_batches(store, ("messages", "vectors"), work, name=name, megabytes=batch_mb, progress=progress).get("processed", 0)
 
 
-def _refined(store: Store, rows: DataFrame, profile: Profile, text: str = "text") -> DataFrame:
-    return refine.refine_with(rows, loader(profile, "refiner") if profile.refiner else lambda: refine.echo_model, ingest.PROMPT, text)
+@contextmanager
+def _refined(store: Store, rows: DataFrame, profile: Profile, text: str = "text") -> Iterator[DataFrame]:
+    with store.staged(rows) as texts:
+        yield ingest.refined_once(store, texts, profile, text)
+    store.clear_staged()
 
 
 def refine_pending(store: Store, profile: Profile, now: str, *, force: bool = False, limit: int | None = None, chunks: bool = True, batch_mb: float = BATCH_MB, progress: Progress | None = None) -> dict[str, int]:
@@ -70,7 +74,7 @@ def refine_pending(store: Store, profile: Profile, now: str, *, force: bool = Fa
     def of_messages(group: Group) -> dict[str, int]:
         rows = chosen(pending.unrefined(store.read("messages", group), force=force))
         cut = rows.select("id", truncate(F.col("vectorizable_content"), refine.REFINE_CHARS, "...").alias("text"))
-        with store.staged(_refined(store, cut, profile).select("id", "refined_content")) as done:
+        with _refined(store, cut, profile) as found, store.staged(found.select("id", "refined_content")) as done:
             n = done.count()
             if n:
                 store.update("messages", done, ["refined_content"])
@@ -80,7 +84,7 @@ def refine_pending(store: Store, profile: Profile, now: str, *, force: bool = Fa
     def of_chunks(group: Group) -> dict[str, int]:
         open_chunks = store.read("message_chunks", group)
         open_chunks = (open_chunks if force else open_chunks.filter("refined_text is null")).select("chunk_id", truncate(F.col("chunk_text"), refine.REFINE_CHARS, "...").alias("text"))
-        with store.staged(_refined(store, open_chunks, profile).select("chunk_id", F.left("refined_content", F.lit(4000)).alias("refined_text"))) as done:
+        with _refined(store, open_chunks, profile) as found, store.staged(found.select("chunk_id", F.left("refined_content", F.lit(4000)).alias("refined_text"))) as done:
             n = done.count()
             if n:
                 store.update("message_chunks", done, ["refined_text"])
@@ -190,9 +194,9 @@ def reindex_all(store: Store, profile: Profile, now: str, *, force: bool = False
 
     def work(group: Group) -> dict[str, int]:
         rows = chosen(waiting(group)[0])
-        done = _refined(store, rows.select("message_id", "created_at", "vectorizable_content"), profile, "vectorizable_content")
         failed = (F.col("refined.confidence") == 0) & (F.col("refined_content") != "")
-        with store.staged(done.select("message_id", "created_at", "refined_content", "refined", failed.alias("failed"))) as found:
+        texts = rows.select("message_id", "created_at", "vectorizable_content")
+        with _refined(store, texts, profile, "vectorizable_content") as done, store.staged(done.select("message_id", "created_at", "refined_content", "refined", failed.alias("failed"))) as found:
             good = found.filter("not failed")
             told = found.agg(F.count_if(~F.col("failed")).alias("processed"), F.count_if("failed").alias("errors"), F.count_if(pending.old_format(F.col("refined_content")) & ~F.col("failed")).alias("left"), F.max(F.struct("created_at", "message_id")).alias("last")).first()
             if told["last"]:

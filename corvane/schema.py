@@ -43,6 +43,7 @@ MESSAGE_CONTENT = struct("message_id string, full_content string, clean_content
 MESSAGE_CHUNKS = struct("chunk_id string, message_id string, sequence int, chunk_text string, refined_text string, topic_inherited string, created_at timestamp")
 SOURCE_FILES = struct("file_hash string, file_path string, file_size long, processed_at timestamp, total_messages long, vectorizer_version string, metadata string")
 VECTORIZER_VERSIONS = struct("version_id string, model_name string, embedding_dim int, created_at timestamp, config string")
+MODEL_RESULTS = struct("key string, model string, result string")
 
 TABLES = {
     "messages": (MESSAGES, ["id"]),
@@ -51,6 +52,7 @@ TABLES = {
     "message_chunks": (MESSAGE_CHUNKS, ["chunk_id"]),
     "source_files": (SOURCE_FILES, ["file_hash"]),
     "vectorizer_versions": (VECTORIZER_VERSIONS, ["version_id"]),
+    "model_results": (MODEL_RESULTS, ["key"]),
 }
 
 

@@ -178,11 +178,11 @@ def counting(tmp_path):
 
 
 def test_models_of_a_profile(spark, folder, tmp_path, counting):
-    """Every model is called once a message, and a second run has nothing to do."""
+    """Refiner and embedder are called once a text, and a second run has nothing to do."""
     profile, calls = counting
     made = Conversations(spark, f"file://{tmp_path}/own", profile)
     told = made.import_archive(f"file://{folder}/export.zip", NOW)
-    assert told["processed"] == 5 and len(calls("embedder")) == len(calls("classifier")) == 5
+    assert told["processed"] == 5 and len(calls("classifier")) == 5 and len(calls("embedder")) == 2  # four refined texts are the same
     assert len(calls("refiner")) >= 5  # a call that fails is made again, one text at a time
     rows = {r["id"]: r for r in made.store.read("messages").collect()}
     assert rows["m7"]["intent"] == "command" and rows["m7"]["is_command"] and rows["m7"]["refined_content"].startswith("Intención: ask")
