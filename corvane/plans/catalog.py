@@ -961,3 +961,53 @@ def archive_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1).alias("file")
     read = archive.conversations(spark, paths).groupBy(name).agg(F.count("conversation").alias("conversations"), (F.count("problem") > 0).alias("wrong"))
     return read.join(archive.detect(spark, paths).select(name, "format", "confidence"), "file")
+
+
+# Segments of a store --------------------------------------------------------------
+
+_SEGMENTED = f"""{_FOLD}, c AS (SELECT label, seq, 't' || (vec_id % 3) AS topic, count(*) AS n, min(vec_id) AS first FROM f GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label, seq ORDER BY n DESC, first) AS place FROM c),
+    g AS (SELECT label, seq, max(CASE WHEN place = 1 THEN upper(topic) END) AS a, max(CASE WHEN place = 2 THEN upper(topic) END) AS b, max(place) AS m FROM r GROUP BY ALL)
+    SELECT vec_id, CAST(f.seq AS INTEGER) AS segment_sequence, f.label || '_seg' || f.seq AS segment_id, CASE m WHEN 1 THEN a WHEN 2 THEN a || ' & ' || b ELSE a || ' / ' || b END AS segment_topic FROM f JOIN g ON f.label = g.label AND f.seq = g.seq"""
+
+
+def _vector_store(spark: SparkSession, sf_dir: str) -> tuple[store.Store, DataFrame]:
+    """A store of the embeddings as messages with vectors, a label's being a conversation; and the messages with their vectors."""
+    made = store.Store(spark, f"{_shared_folder(spark)}/corvane-stores/{uuid.uuid4().hex}")
+    made.initialize()
+    rows = embedding_vectors(spark, sf_dir).select(
+        F.lpad(F.col("vec_id").cast("string"), 19, "0").alias("id"), F.col("label").cast("string").alias("conversation_id"), F.lit("user").alias("author_role"),
+        F.timestamp_seconds("vec_id").alias("timestamp"), F.array(F.concat(F.lit("t"), F.col("vec_id") % 3)).alias("topics"), F.lit("").alias("vectorizable_content"), "vector",
+    )
+    made.upsert("messages", rows.drop("vector"))
+    made.upsert("vectors", store.vector_rows(rows, "id", "message", "v", NOW))
+    return made, rows
+
+
+def _segments_of(made: store.Store) -> DataFrame:
+    return made.read("messages").select(F.col("id").cast("long").alias("vec_id"), "segment_sequence", "segment_id", "segment_topic")
+
+
+@query(_SEGMENTED)
+def segment_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that a run over the store gives to its messages."""
+    from corvane.plans import reindex
+
+    made, _ = _vector_store(spark, sf_dir)
+    reindex.segment_pending(made, 0.05)
+    return _segments_of(made)
+
+
+@query(_SEGMENTED)
+def segment_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same segments from a stream of the messages in two parts, one of fifty coming late."""
+    from corvane.streaming.segments import follow
+
+    made, rows = _vector_store(spark, sf_dir)
+    folder = f"{_shared_folder(spark)}/corvane-streams/{uuid.uuid4().hex}"
+    late = F.col("id").cast("long") % 50 == 3
+    for part in (~late, late):
+        rows.filter(part).select("conversation_id", "id", "timestamp", "vector").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("conversation_id string, id string, timestamp timestamp, vector array<float>").parquet(f"{folder}/in")
+        follow(made, stream, f"{folder}/seen", 0.05).awaitTermination()
+    return _segments_of(made)
