@@ -1011,3 +1011,23 @@ def segment_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema("conversation_id string, id string, timestamp timestamp, vector array<float>").parquet(f"{folder}/in")
         follow(made, stream, f"{folder}/seen", 0.05).awaitTermination()
     return _segments_of(made)
+
+
+# All code blocks of a text -----------------------------------------------------------
+
+_FENCED = "text || '\n```python\nprint(' || doc_id || ')\n```\nafter\n\n```\n' || text || '\n  ```' || CASE WHEN doc_id % 3 = 0 THEN '\n```sql\nselect 1\n```' ELSE '' END"
+_LINES = "length({0}) - length(replace({0}, chr(10), ''))"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_FENCED.replace(chr(10), "' || chr(10) || '")} AS t FROM documents),
+    m AS (SELECT doc_id, regexp_extract_all(t, '```(\\w+)?\\n(.*?)```', 0, 's') AS w, regexp_extract_all(t, '```(\\w+)?\\n(.*?)```', 1, 's') AS l, regexp_extract_all(t, '```(\\w+)?\\n(.*?)```', 2, 's') AS c, string_split_regex(t, '```(?:\\w+)?\\n(?:.*?)```', 's') AS b FROM d),
+    x AS (SELECT *, CAST(unnest(range(1, len(w) + 1)) AS INTEGER) AS block FROM m)
+    SELECT doc_id, block, coalesce(nullif(l[block], ''), 'text') AS language, md5({q.strip("c[block]")}) AS code,
+    CAST({_LINES.format("array_to_string(b[1:block], '')")} + {_LINES.format("coalesce(array_to_string(w[1:block - 1], ''), '')")} + 1 AS INTEGER) AS line FROM x"""
+)
+def code_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fenced block of whole texts, with its language and line."""
+    rows = balanced(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr(_FENCED).alias("t"))
+    found = rows.select("doc_id", F.posexplode(text.code_blocks(F.col("t"))).alias("k", "b"))
+    return found.select("doc_id", (F.col("k") + 1).alias("block"), F.col("b.language").alias("language"), F.md5("b.code").alias("code"), F.col("b.line").cast("int").alias("line"))
