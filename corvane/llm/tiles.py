@@ -13,7 +13,7 @@
    plus product of suffix norms bounds the cosine.  Where it stays below the threshold the
    comparison stops; the few pairs left take the next axes, and those that pass all
    are decided on their given components in double precision.
-5. For each pair of tiles only each node's number of links, and links that connect the same
+5. A task takes the pairs between two runs of up to 16 tiles.  Only each node's number of links, and links that connect the same
    nodes (a spanning forest), leave the task: no group is made into rows of pairs.
 
 The comparison is exact.  On data that fills all directions evenly the first axis rules out
@@ -39,6 +39,8 @@ from corvane.llm.components import roots
 
 #: Nodes of a tile, and rows and columns of the blocks that are in memory at once.
 TILE, BLOCK = 4096, 1024
+#: Tiles that a task takes of each side at most.
+MOST_TOGETHER = 16
 #: Nodes that the principal axes are fitted on.
 SAMPLE = 4096
 #: Bounds in 32 bits are raised by this; angles are widened by it.
@@ -125,13 +127,18 @@ def _regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _widest(threshold: float) -> float:
+    """The widest angle between two linked vectors."""
+    return math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+
+
 def tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
     """one, other (places of tiles of one size, one <= other): the pairs that may hold a link, of tiles (size, place, low, high) in order of angle.
 
     The tiles that begin within the widest angle of a tile's end follow it without a gap,
     so each tile names a range of places; a row per tile goes through the window.
     """
-    widest = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    widest = _widest(threshold)
     by_end = tiles.select("size", F.col("low").alias("at"), "place", F.lit(0).alias("is_end")).unionByName(tiles.select("size", (F.col("high") + widest).alias("at"), "place", F.lit(1).alias("is_end")))
     latest = F.max(F.when(F.col("is_end") == 0, F.col("place"))).over(Window.partitionBy("size").orderBy("at", "is_end").rowsBetween(Window.unboundedPreceding, 0))
     reach = by_end.withColumn("last", latest).filter("is_end = 1")
@@ -213,29 +220,45 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], counts: np.n
     return one, other
 
 
-def links(tiles: DataFrame, pairs: DataFrame, basis: np.ndarray | None, main: int, leading: int, threshold: float) -> DataFrame:
-    """node, other, n: rows with a null other tell how many rows a node is linked with in a pair of tiles, the others connect two nodes."""
+def links(tiles: DataFrame, pairs: DataFrame, basis: np.ndarray | None, main: int, leading: int, threshold: float, together: int = 1) -> DataFrame:
+    """node, other, n: rows with a null other tell how many rows a node is linked with in a task, the others connect two nodes.
+
+    A task takes the pairs between two runs of `together` tiles, so a tile travels once for each run that it meets.
+    """
+    widest = _widest(threshold)
 
     def meet(rows: pa.Table) -> pa.Table:
-        places = rows["place"].to_pylist()
-        sides = [0, 0] if len(places) == 1 else sorted((0, 1), key=places.__getitem__)
-        ids = [rows["ids"][k].values.to_numpy() for k in sides]
-        copies = [rows["copies"][k].values.to_numpy() for k in sides]
-        size = rows["size"][0].as_py()
-        values = [matrix(rows["bodies"][k].as_py(), len(own), size) for k, own in zip(sides, ids, strict=True)]
-        same = len(places) == 1
+        rows = rows.sort_by("place")
+        places, low, high = (rows[c].to_pylist() for c in ("place", "low", "high"))
+        size, run = rows["size"][0].as_py(), [p // together for p in places]
+        ids, copies = ([x.values.to_numpy() for x in rows[c]] for c in ("ids", "copies"))
+        first = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+        node, many = np.concatenate(ids), np.concatenate(copies)
+        values = [matrix(body.as_py(), len(own), size) for body, own in zip(rows["bodies"], ids, strict=True)]
         fitted = size == main and basis is not None
-        found = compare(values[0], values[1], basis if fitted else None, leading if fitted else max(1, size // 2), threshold, same=same)
-        shift = 0 if same else len(ids[0])
-        node, many = (np.concatenate(x[:1] if same else x) for x in (ids, copies))
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i in range(len(places)):
+                for j in range(i, len(places)):
+                    if low[j] <= high[i] + widest and (run[i], run[j]) == (run[0], run[-1]):
+                        for p, q in compare(values[i], values[j], basis if fitted else None, leading if fitted else max(1, size // 2), threshold, same=i == j):
+                            yield p + first[i], q + first[j]
+
         counts = np.zeros(len(node), np.int64)
-        one, other = _forest(len(node), ((p, q + shift) for p, q in found), counts, many)
+        one, other = _forest(len(node), found(), counts, many)
         hit = np.flatnonzero(counts)
         out = [(a, None, n) for a, n in zip(node[hit].tolist(), counts[hit].tolist(), strict=True)] + [(node[x].item(), node[y].item(), None) for x, y in zip(one, other, strict=True)]
         return pa.table({c: pa.array([row[k] for row in out], pa.int64()) for k, c in enumerate(("node", "other", "n"))})
 
-    named = pairs.select(F.col("one").alias("place"), "one", "other").unionByName(pairs.filter("one != other").select(F.col("other").alias("place"), "one", "other"))
-    return named.join(tiles.select("place", "size", "ids", "copies", "bodies"), "place").groupBy("one", "other").applyInArrow(meet, "node long, other long, n long")
+    runs = [F.floor(F.col(c) / together).cast("long").alias(f"{c}_run") for c in ("one", "other")]
+    named = pairs.select(F.col("one").alias("place"), *runs).union(pairs.select(F.col("other").alias("place"), *runs)).distinct()
+    held = tiles.select("place", "size", "low", "high", "ids", "copies", "bodies")
+    return named.join(held, "place").groupBy("size", "one_run", "other_run").applyInArrow(meet, "node long, other long, n long")
+
+
+def _together(n_tiles: int, size: int) -> int:
+    """Tiles of a run: as many as leave enough runs for many tasks and fit in a task's memory."""
+    return max(1, min(MOST_TOGETHER, n_tiles // 64, 1024 // size))
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -265,7 +288,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     places = packed.select("tile", "size", "low", "high", (F.row_number().over(Window.orderBy("size", "low", "tile")) - 1).cast("long").alias("place"))  # a row per tile
     places = stored(places, "tile-places")
     tiles = packed.join(places.select("tile", "place"), "tile")
-    found = stored(links(tiles, tile_pairs(places, threshold), basis, size, leading, threshold), "vector-links")
+    found = stored(links(tiles, tile_pairs(places, threshold), basis, size, leading, threshold, _together(places.count(), size)), "vector-links")
     counts = found.filter("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     edges = found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     rooted = roots(edges)

@@ -82,6 +82,14 @@ def test_many_small_tiles(spark, monkeypatch):
     held(spark, planted(2, 200))
 
 
+@pytest.mark.parametrize("together", [2, 5])
+def test_runs_of_tiles(spark, monkeypatch, together):
+    monkeypatch.setattr(tiles, "TILE", 16)
+    monkeypatch.setattr(tiles, "_together", lambda *_: together)
+    rows = planted(5, 150)
+    held(spark, rows + [(k + 10_000, v[:8]) for k, v in rows[:60]])
+
+
 def test_odd_rows(spark):
     rows = planted(3, 40, 8)
     rows += [(1, None), (2, [None] * 8), (3, [math.nan, *[1.0] * 7]), (4, [0.0] * 8), (5, [math.inf] * 8), (6, []), (None, rows[0][1]), (None, None)]
