@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import refine
 from corvane.operators import fulltext, pending, retrieval
 from corvane.operators.stats import throughput
 from corvane.operators.store import Store
 from corvane.operators.textindex import TextIndex
 from corvane.operators.vectorindex import VectorIndex
 from corvane.plans import ingest, reindex
-from corvane.plans.components import Profile, drop_models, load_profile
+from corvane.plans.components import Profile, drop_models, held_models, load_profile
 from corvane.plans.residency import StageLog
 from corvane.schema import MESSAGES, conform
 from corvane.sources import archive
@@ -107,6 +108,11 @@ class Conversations:
     def get_conversation_messages(self, conversation_id: str) -> DataFrame:
         return retrieval.conversation(self.store.read("messages"), conversation_id)
 
+    def models(self) -> list[dict]:
+        """What is known of the model files that the profile's options name as model_path, and whether this process holds their models."""
+        named = {role: (self.profile.options.get(role) or {}).get("model_path") for role in ("refiner", "classifier", "embedder")}
+        return [{"role": role} | refine.model_info(path, getattr(self.profile, role) in held_models()) for role, path in named.items() if path]
+
     def get_statistics(self) -> dict:
         return self.store.statistics()
 

@@ -1,4 +1,4 @@
-"""Commands: init, search, stats, topics, reindex, refine, revectorize, rebuild, segment, reindex-full, migrate, interactive, version."""
+"""Commands: init, index, search, stats, topics, reindex, refine, revectorize, rebuild, segment, reindex-full, migrate, interactive, version."""
 
 from __future__ import annotations
 
@@ -81,7 +81,7 @@ def main(args: list[str] | None = None) -> int:
     again = commands.add_parser("rebuild")
     again.add_argument("--vectors-only", action="store_true")
     again.add_argument("--resume", action=argparse.BooleanOptionalAction, default=True)
-    for name in ("stats", "segment", "migrate", "interactive", "version"):
+    for name in ("stats", "index", "segment", "migrate", "interactive", "version"):
         commands.add_parser(name)
     told = parser.parse_args(args)
     if told.command == "version":
@@ -97,6 +97,11 @@ def main(args: list[str] | None = None) -> int:
             _show(talks.search(told.query, told.limit, told.mode, told.topic).collect())
         case "stats":
             _report(talks.get_statistics())
+            for model in talks.models():
+                print(model)
+        case "index":
+            print(f"messages: {talks.rebuild_index()}")
+            print(f"vectors: {talks.index_vectors()}")
         case "topics":
             messages = store.read("messages")
             print(stats.topic_totals(messages).first().asDict())

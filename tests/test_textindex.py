@@ -107,3 +107,20 @@ def test_the_store_keeps_it_up_to_date(spark, tmp_path):
     talks.store.write("messages", talks.store.read("messages").filter("id <> 'm99'"))
     assert "m99" not in found("bread")
     assert set(talks.search_by_text("bread", 3).columns) >= set(MESSAGES.names)
+
+
+def test_the_index_command(spark, tmp_path, capsys):
+    from corvane.cli import main
+
+    root = f"file://{tmp_path}/s"
+    talks = Conversations(spark, root, "lite")
+    talks.initialize()
+    from corvane.plans import ingest
+
+    rows = spark.createDataFrame([(f"m{k}", "c", "user", f"bread number {k}", "text") for k in range(6)], "id string, conversation_id string, author_role string, content string, content_type string").withColumn("timestamp", F.current_timestamp())
+    ingest.ingest(talks.store, rows, talks.profile, "2024-06-01 00:00:00")
+    before = [(r["id"], round(r["score"], 6)) for r in talks.search("bread number 3", 3).collect()]
+    assert main(["--root", root, "--profile", "lite", "index"]) == 0
+    assert "messages: 6\nvectors: 6" in capsys.readouterr().out
+    assert [(r["id"], round(r["score"], 6)) for r in talks.search("bread number 3", 3).collect()] == before
+    assert talks.search("bread", 3, mode="text").count() == 3 and talks.models() == []
