@@ -4,13 +4,16 @@ A table is cut into buckets by a hash of its first key column; a version is a sm
 that names the folder of each bucket.  A write makes new folders for the buckets that it
 touches and then the file of the next version, which only one writer can make, so readers
 never see half a table, no writer undoes another's change, a repeated write is safe, and
-what a write doesn't touch stays where it is.  Everything here is also usable on plain DataFrames.
+what a write doesn't touch stays where it is.  Files are bucketed as Spark's own tables are, so
+tables joined by their keys meet bucket by bucket, without a shuffle, inside Store.aligned().
+Everything here is also usable on plain DataFrames.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,6 +32,15 @@ from corvane.schema import MESSAGE_CHUNKS, MESSAGE_CONTENT, MESSAGES, TABLES, VE
 LOOKED_UP = {"messages": ("conversation_id",), "message_chunks": ("message_id",)}
 #: How often a write is done again, how long a version's file may take to write, and how old an unnamed folder is before it is removed.
 TRIES, WRITING_SECONDS, LEFT_SECONDS = 8, 30.0, 86_400
+#: A read of at least this share of a table's buckets is aligned: an aligned scan has a task for every bucket, read or not.
+ALIGNED_SHARE = 1 / 8
+#: Partitions that one statement adds to a catalog's table.
+ADDED_AT_ONCE = 1000
+
+
+def bucket_of(key: Column | str, buckets: int) -> Column:
+    """The bucket of a first key, as Spark buckets its own tables."""
+    return F.pmod(F.hash(key), F.lit(buckets)).cast("int")
 
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -36,18 +48,25 @@ def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """existing with the rows of new in place of those with the same keys; the last of repeated new rows wins, by `order` or as they stand in new."""
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None, *, nulls: bool = True, buckets: int | None = None) -> DataFrame:
+    """existing with the rows of new in place of those with the same keys; the last of repeated new rows wins, by `order` or as they stand in new.
+
+    nulls: whether the first key may be null in new (null keys are equal).  buckets: existing
+    is bucketed by the first key; new is dealt likewise, so existing isn't shuffled.
+    """
     place = order or "_place"
     new = keep_last(new if order else new.withColumn(place, F.monotonically_increasing_id()), keys, place).drop(place)
-    match = functools.reduce(lambda a, b: a & b, [existing[k].eqNullSafe(new[k]) for k in keys])
+    if buckets:
+        new = new.repartition(buckets, keys[0])
+    first = existing[keys[0]].eqNullSafe(new[keys[0]]) if nulls else existing[keys[0]] == new[keys[0]]
+    match = functools.reduce(lambda a, b: a & b, [first, *[existing[k].eqNullSafe(new[k]) for k in keys[1:]]])
     return existing.join(new, match, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def update(existing: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """existing with the non-null values of changes in the given columns; other rows stay."""
+def update(existing: DataFrame, changes: DataFrame, keys: list[str], columns: list[str], *, buckets: int | None = None) -> DataFrame:
+    """existing with the non-null values of changes in the given columns; other rows stay.  buckets: as in upsert."""
     new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns if c in changes.columns])
-    joined = existing.join(new, keys, "left")
+    joined = existing.join(new.repartition(buckets, keys[0]) if buckets else new, keys, "left")
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if f"_new_{c}" in new.columns else F.col(c) for c in existing.columns])
 
 
@@ -96,18 +115,40 @@ def migration_report(content: DataFrame, chunk_table: DataFrame, vectors: DataFr
     return functools.reduce(DataFrame.union, [*counts, by_dim])
 
 
+_LOCK, _INSIDE = threading.Lock(), {"n": 0, "before": "true"}
+
+
+@contextmanager
+def _first_keys_suffice(spark: SparkSession) -> Iterator[None]:
+    """Joins by more keys than a table is bucketed by need no exchange of it; the session's setting comes back when the last of several threads leaves."""
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    with _LOCK:
+        if not _INSIDE["n"]:
+            _INSIDE["before"] = spark.conf.get(setting)
+            spark.conf.set(setting, "false")
+        _INSIDE["n"] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _INSIDE["n"] -= 1
+            if not _INSIDE["n"]:
+                spark.conf.set(setting, _INSIDE["before"])
+
+
 class ConflictError(OSError):
     """Other writers were faster each time a write was tried."""
 
 
 @dataclass(frozen=True)
 class State:
-    """One version of a table: its number (-1: there is none), the number of buckets, each bucket's folder, and the folders' bytes."""
+    """One version of a table: its number (-1: there is none), the number of buckets, each bucket's folder, the folders' bytes, and whether files are bucketed by Spark's hash."""
 
     number: int = -1
     buckets: int = 16
     folders: dict[int, str] = field(default_factory=dict)
     sizes: dict[int, int] = field(default_factory=dict)
+    spark_hash: bool = True
 
     def apart(self, other: State) -> set[int]:
         """The buckets whose rows differ."""
@@ -131,6 +172,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16, bucket_mb: float = 256):
         self.spark, self.root, self.buckets, self.bucket_mb = spark, root.rstrip("/"), buckets, bucket_mb
         self._kept: list[str] = []
+        self._aligned: dict[tuple, str] | None = None  # tables of the session's catalog, by what they read
         self.commits: dict[str, int] = {}  # versions that this object has made, by table
         self._jvm = spark.sparkContext._jvm
 
@@ -172,9 +214,19 @@ class Store:
             told = json.loads(str(raw))
         except (Py4JJavaError, ValueError):
             return None
-        return State(int(version[2:]), told["buckets"], *({int(k): v for k, v in told.get(c, {}).items()} for c in ("folders", "sizes")))
+        return State(int(version[2:]), told["buckets"], *({int(k): v for k, v in told.get(c, {}).items()} for c in ("folders", "sizes")), told.get("spark_hash", False))
 
     def state(self, name: str) -> State:
+        """The newest version; one from before Spark's hash was used is dealt anew first."""
+        while True:
+            found = self._newest(name)
+            if found.spark_hash:
+                return found
+            folders, sizes = self._write(name, self._plain(name, found.folders), found.buckets)
+            if not self._publish(name, found, State(0, found.buckets, folders, sizes)):
+                self._drop(name, folders)
+
+    def _newest(self, name: str) -> State:
         """The newest version.  A writer that died while it wrote a version's file doesn't count; one that is at it is waited for."""
         waited = 0.0
         while True:
@@ -189,12 +241,54 @@ class Store:
             time.sleep(0.1)
             waited += 0.1
 
-    def _scan(self, name: str, folders: dict[int, str]) -> DataFrame:
+    def _plain(self, name: str, folders: dict[int, str]) -> DataFrame:
         schema = TABLES[name][0]
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{f}" for _, f in sorted(folders.items())])
 
+    def _scan(self, name: str, folders: dict[int, str], buckets: int) -> DataFrame:
+        """The rows of some buckets; inside aligned(), as a bucketed table if they are a good share of all."""
+        if self._aligned is None or not folders or len(folders) < ALIGNED_SHARE * buckets:
+            return self._plain(name, folders)
+        what = (name, buckets, tuple(sorted(folders.items())))
+        if what not in self._aligned:
+            self._aligned[what] = self._registered(name, folders, buckets)
+        return self.spark.table(self._aligned[what]).drop("_bucket")
+
+    def _registered(self, name: str, folders: dict[int, str], buckets: int) -> str:
+        """A bucketed table of the session's catalog that has a partition per bucket, at the bucket's folder; nothing is copied."""
+        self._allow(buckets)
+        schema, keys = TABLES[name]
+        made = f"corvane_{name}_{uuid.uuid4().hex}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        quoted = lambda path: "'" + path.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        self.spark.sql(f"CREATE TABLE {made} ({columns}, _bucket INT) USING parquet PARTITIONED BY (_bucket) CLUSTERED BY (`{keys[0]}`) INTO {buckets} BUCKETS LOCATION {quoted(f'{self.root}/{name}/_none')}")
+        parts = [f"PARTITION (_bucket = {b}) LOCATION {quoted(f'{self.root}/{name}/{f}')}" for b, f in sorted(folders.items())]
+        for k in range(0, len(parts), ADDED_AT_ONCE):
+            self.spark.sql(f"ALTER TABLE {made} ADD {' '.join(parts[k : k + ADDED_AT_ONCE])}")
+        return made
+
+    @contextmanager
+    def aligned(self) -> Iterator[None]:
+        """Inside, tables are read as Spark's bucketed tables, so joins by their keys need no shuffle of them.
+
+        The tables stand in the session's catalog until the outermost block ends: frames
+        read inside must be done with by then.  Keys beside the first one don't keep
+        buckets apart (spark.sql.requireAllClusterKeysForCoPartition is off inside).
+        """
+        if self._aligned is not None:
+            yield
+            return
+        self._aligned = {}
+        try:
+            with _first_keys_suffice(self.spark):
+                yield
+        finally:
+            made, self._aligned = self._aligned, None
+            for table in made.values():
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")  # the files stay: the table didn't make them
+
     def read(self, name: str, group: tuple[int, set[int]] | None = None) -> DataFrame:
         """The newest version, with null columns where its files are older than the schema.
 
@@ -202,27 +296,38 @@ class Store:
         """
         if not self.exists(name):
             raise FileNotFoundError(f"{self.root}/{name}")
-        folders = self.state(name).folders
-        return self._scan(name, folders if group is None else {b: f for b, f in folders.items() if b % group[0] in group[1]})
+        now = self.state(name)
+        return self._scan(name, now.folders if group is None else {b: f for b, f in now.folders.items() if b % group[0] in group[1]}, now.buckets)
 
     def find(self, name: str, keys: list[str]) -> DataFrame:
         """The rows whose first key column is one of the keys, read from those keys' buckets."""
         now, key = self.state(name), TABLES[name][1][0]
-        places = self.spark.sql("SELECT transform(:keys, k -> pmod(xxhash64(k), :n)) AS b", {"keys": list(keys), "n": now.buckets}).first()["b"] if keys else []
-        return self._scan(name, {b: f for b, f in now.folders.items() if b in set(places)}).filter(F.col(key).isin(list(keys)))
+        places = self.spark.sql("SELECT transform(:keys, k -> pmod(hash(k), :n)) AS b", {"keys": list(keys), "n": now.buckets}).first()["b"] if keys else []
+        return self._plain(name, {b: f for b, f in now.folders.items() if b in set(places)}).filter(F.col(key).isin(list(keys)))
 
     @staticmethod
     def _bucket(name: str, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(TABLES[name][1][0])), F.lit(buckets)).cast("int")
+        return bucket_of(TABLES[name][1][0], buckets)
 
-    def _write(self, name: str, df: DataFrame, buckets: int) -> tuple[dict[int, str], dict[int, int]]:
-        """Writes df's rows, in order of their key, to new folders of their buckets; the folders, and their bytes."""
+    def _allow(self, buckets: int) -> None:
+        """Raises the session's limit of a table's buckets where it is lower."""
+        limit = "spark.sql.sources.bucketing.maxBuckets"
+        if int(self.spark.conf.get(limit)) < buckets:
+            self.spark.conf.set(limit, str(buckets))
+
+    def _write(self, name: str, df: DataFrame, buckets: int, dealt: bool = False) -> tuple[dict[int, str], dict[int, int]]:
+        """Writes df's rows, in order of their key, to new folders of their buckets; the folders, and their bytes.  dealt: the rows of a partition are of one bucket already."""
+        self._allow(buckets)
         data, key = f"data-{uuid.uuid4().hex}", TABLES[name][1]
-        rows = conform(df, TABLES[name][0]).withColumn("_bucket", self._bucket(name, buckets)).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *key)
-        writer = rows.write.partitionBy("_bucket")
+        rows = conform(df, TABLES[name][0]).withColumn("_bucket", self._bucket(name, buckets))
+        writer = (rows if dealt else rows.hint("rebalance", "_bucket")).write.partitionBy("_bucket").bucketBy(buckets, key[0]).sortBy(*key)
         for column in LOOKED_UP.get(name, ()):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-        writer.parquet(f"{self.root}/{name}/{data}")
+        made_as = f"corvane_{data.replace('-', '_')}"  # only tables are written in buckets; the catalog forgets it at once
+        try:
+            writer.format("parquet").option("path", f"{self.root}/{name}/{data}").saveAsTable(made_as)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {made_as}")
         fs, folder = self._fs(f"{self.root}/{name}/{data}")
         made = {int(s.getPath().getName().split("=")[1]): s.getPath() for s in fs.listStatus(folder) if s.isDirectory()}
         return {b: f"{data}/{p.getName()}" for b, p in made.items()}, {b: fs.getContentSummary(p).getLength() for b, p in made.items()}
@@ -233,7 +338,7 @@ class Store:
         taken = self._versions(name)
         number = base.number + 1
         if taken and int(taken[-1][2:]) > base.number:
-            if self._told(name, taken[-1]) is not None or self.state(name).number != base.number:
+            if self._told(name, taken[-1]) is not None or self._newest(name).number != base.number:
                 return False
             number = int(taken[-1][2:]) + 1  # behind a version whose writer died
         fs, file = self._fs(f"{where}/v={number:06d}")
@@ -243,7 +348,7 @@ class Store:
             if "AlreadyExists" in e.java_exception.getClass().getName():
                 return False
             raise
-        out.write(bytearray(json.dumps({"buckets": new.buckets, "folders": new.folders, "sizes": new.sizes}).encode()))
+        out.write(bytearray(json.dumps({"buckets": new.buckets, "folders": new.folders, "sizes": new.sizes, "spark_hash": new.spark_hash}).encode()))
         out.close()
         self.commits[name] = self.commits.get(name, 0) + 1
         self._remove_old(name)
@@ -278,12 +383,21 @@ class Store:
             self._drop(name, folders)
             raise ConflictError(f"{name}: another writer changed the table")
 
-    def _change(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Rewrites the buckets that some keys fall in by a function of their rows, and puts that together with what other writers did meanwhile."""
+    def _change(self, name: str, keys: DataFrame, change: Callable[[DataFrame, bool, int | None], DataFrame]) -> None:
+        """Rewrites the buckets that some keys fall in, and puts that together with what other writers did meanwhile.
+
+        change gets the buckets' rows, whether keys are null, and the number of buckets if the rows are read aligned.
+        """
+        key = TABLES[name][1][0]
         for _ in range(TRIES):
             base = self.state(name)
-            hit = {r["b"] for r in keys.select(self._bucket(name, base.buckets).alias("b")).distinct().collect()} if base.folders else set()  # a row per bucket
-            folders, sizes = self._write(name, change(self._scan(name, {b: f for b, f in base.folders.items() if b in hit})), base.buckets)
+            found = keys.groupBy(self._bucket(name, base.buckets).alias("b")).agg(F.count_if(F.col(key).isNull()).alias("nulls")).collect() if base.folders else []  # a row per bucket
+            hit, nulls = {r["b"] for r in found}, any(r["nulls"] for r in found)
+            touched = {b: f for b, f in base.folders.items() if b in hit}
+            with self.aligned():
+                dealt = bool(touched) and not nulls and len(touched) >= ALIGNED_SHARE * base.buckets
+                rows = self._scan(name, touched, base.buckets) if dealt else self._plain(name, touched)
+                folders, sizes = self._write(name, change(rows, nulls, base.buckets if dealt else None), base.buckets, dealt)
             hit |= folders.keys()
             while True:
                 keep = lambda d: {b: x for b, x in d.items() if b not in hit}  # noqa: E731, B023
@@ -313,11 +427,11 @@ class Store:
         """Rewrites the buckets that new rows fall in."""
         schema, keys = TABLES[name]
         new = conform(new, T.StructType([*schema.fields, *([T.StructField(order, new.schema[order].dataType)] if order else [])]))
-        self._change(name, new, lambda rows: upsert(rows, new, keys, order))
+        self._change(name, new, lambda rows, nulls, buckets: upsert(rows, new, keys, order, nulls=nulls, buckets=buckets))
 
     def update(self, name: str, changes: DataFrame, columns: list[str]) -> None:
         """Rewrites the buckets that changed rows stand in."""
-        self._change(name, changes, lambda rows: update(rows, changes, TABLES[name][1], columns))
+        self._change(name, changes, lambda rows, _, buckets: update(rows, changes, TABLES[name][1], columns, buckets=buckets))
 
     @contextmanager
     def staged(self, df: DataFrame) -> Iterator[DataFrame]:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.fulltext import FIELDS, K1, LEAST_IDF, B, Near, Op, Phrase, _fits, _phrases, _scored, _starts, idf, parse, tokens
-from corvane.operators.store import ConflictError, State, Store
+from corvane.operators.store import ConflictError, State, Store, bucket_of
 from corvane.schema import struct
 
 #: Documents of a range are 2**RANGE_BITS; documents for each folder of blocks, and most folders (numbers of folders are powers of two); segments of one size that are merged.
@@ -200,7 +200,7 @@ class TextIndex:
         if base.number >= 0 and not changed:
             return 0
         rows = store.read(table, (state.buckets, changed)).select(key, *self.fields)
-        there = self._live(base).filter(F.pmod(F.xxhash64("doc"), F.lit(state.buckets)).isin(list(changed))) if len(changed) < state.buckets else self._live(base)
+        there = self._live(base).filter(bucket_of("doc", state.buckets).isin(list(changed))) if len(changed) < state.buckets else self._live(base)
         there = there.select("doc", F.col("hash").alias("_hash"))
         fresh = rows.withColumn("doc", F.col(key).cast("string")).join(there, "doc", "left").filter(~F.col("_hash").eqNullSafe(self._hash())).drop("_hash", "doc")
         removed = there.select("doc").join(rows.select(F.col(key).cast("string").alias("doc")), "doc", "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.embed import dot
 from corvane.operators.retrieval import equality_filters, ranked, with_messages
-from corvane.operators.store import State, Store
+from corvane.operators.store import State, Store, bucket_of
 
 #: Rows that centres are fitted on, centres at most, and rounds of fitting.
 SAMPLE, MOST_CENTRES, ROUNDS = 20_000, 2048, 8
@@ -129,7 +129,7 @@ class VectorIndex:
         centres = np.array(told["centres"].get(str(size), [[0.0] * size]), np.float64).reshape(-1, size)
         rows = self.spark.read.schema(ROWS).parquet(f"{self.root}/{told['folder']}/rows").filter(F.col("size") == size)
         if changed:
-            rows = rows.filter(~F.pmod(F.xxhash64("entity_id"), F.lit(now.buckets)).isin(sorted(changed)))
+            rows = rows.filter(~bucket_of("entity_id", now.buckets).isin(sorted(changed)))
         fresh = store.read("vectors", (now.buckets, changed)).filter(F.size("vector") == size) if changed else None
         clusters = self.spark.read.schema("size int, cluster int, n long, radius double").parquet(f"{self.root}/{told['folder']}/clusters").filter(F.col("size") == size).collect()  # MOST_CENTRES at most
         near = centres @ asked

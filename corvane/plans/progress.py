@@ -79,7 +79,7 @@ def in_batches(store: Store, tables: tuple[str, ...], work: Callable[[Group], di
 
     name: batches without pending rows are remembered under it, and left out by later runs
     until they are written again; work's counts then must name rows that stay pending as
-    errors or left.  progress is called after each batch with the counts so far, the batches done and left, rows a second and seconds left.
+    errors or left.  Inside work the tables are read aligned, so it must be done with their frames when it returns.  progress is called after each batch with the counts so far, the batches done and left, rows a second and seconds left.
     """
     began, done_mb, total = time.time(), 0.0, {}
     states = {t: store.state(t) for t in tables}
@@ -91,7 +91,8 @@ def in_batches(store: Store, tables: tuple[str, ...], work: Callable[[Group], di
     batches = _batches(states, n, left, megabytes)
     for k, (groups, mb) in enumerate(batches):
         before, commits = {t: store.state(t) for t in tables}, dict(store.commits)
-        counts = work((n, groups))
+        with store.aligned():
+            counts = work((n, groups))
         for c, x in counts.items():
             total[c] = total.get(c, 0) + x
         after = {t: store.state(t) for t in tables}

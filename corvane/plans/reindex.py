@@ -128,18 +128,31 @@ def revectorize_dimension(store: Store, profile: Profile, now: str, limit: int |
 
 
 def segment_pending(store: Store, threshold: float = segment.THRESHOLD) -> int:
-    """Segments every conversation that has a message with a vector and no segment, as a whole."""
-    messages, vectors = store.read("messages"), store.read("vectors")
-    talks = pending.needs_segmentation(messages, vectors)
-    of_messages = vectors.filter("entity_type = 'message'").select(F.col("entity_id").alias("id"), "vector")
-    rows = messages.select("id", "conversation_id", "timestamp", "topics", "vectorizable_content").join(of_messages, "id", "left")
-    with store.staged(segment.numbered(rows, talks, threshold)) as found, store.staged(segment.labelled(found)) as changes:
-        n = changes.count()
-        if n:
-            store.update("messages", changes, ["segment_id", "segment_topic", "segment_sequence"])
+    """Segments every conversation that has a message with a vector and no segment, as a whole; a run that finds none is remembered until someone writes."""
+    seen = Seen(store, f"segments-{threshold}").load()
+    before = _names({t: store.state(t).folders for t in ("messages", "vectors")})
+    if seen.note.get("tables") == before:
+        return 0
+    with store.aligned():
+        messages, vectors = store.read("messages"), store.read("vectors")
+        talks = pending.needs_segmentation(messages, vectors)
+        of_messages = vectors.filter("entity_type = 'message'").select(F.col("entity_id").alias("id"), "vector")
+        rows = messages.select("id", "conversation_id", "timestamp", "topics", "vectorizable_content").join(of_messages, "id", "left")
+        with store.staged(segment.numbered(rows, talks, threshold)) as found, store.staged(segment.labelled(found)) as changes:
+            n = changes.count()
+            if n:
+                store.update("messages", changes, ["segment_id", "segment_topic", "segment_sequence"])
+    if not n:
+        seen.note = {"tables": before}
+        seen.save()
     return n
 
 
+def _names(folders: dict[str, dict[int, str]]) -> dict[str, list[str]]:
+    """Tables' folders in a form that JSON keeps."""
+    return {t: sorted(f.values()) for t, f in folders.items()}
+
+
 def rebuild(store: Store, profile: Profile, now: str, *, vectors_only: bool = False, resume: bool = True, segments: bool = True, batch_mb: float = BATCH_MB, progress: Progress | None = None) -> dict:
     """Classifies again (if a classifier is set), embeds again, segments again, in batches; returns the top topics too.
 
@@ -225,9 +238,10 @@ def reindex_all(store: Store, profile: Profile, now: str, *, force: bool = False
 def _status(store: Store, profile: Profile, tables: tuple[str, ...]) -> dict:
     """reindex_status, counted anew only if a table has changed since it was counted last."""
     seen = Seen(store, f"status-{profile.version}").load()
-    names = {t: sorted(store.state(t).folders.values()) for t in tables}
+    names = _names({t: store.state(t).folders for t in tables})
     if seen.note.get("tables") != names:
-        counts = pending.reindex_status(store.read("messages"), store.read("message_content"), store.read("vectors"), profile.version).first().asDict()
+        with store.aligned():
+            counts = pending.reindex_status(store.read("messages"), store.read("message_content"), store.read("vectors"), profile.version).first().asDict()
         seen.note = {"tables": names, "counts": counts}
         seen.save()
     return seen.note["counts"]
@@ -246,7 +260,7 @@ def migrate(store: Store, now: str) -> DataFrame:
         ("vectors", lambda: missing_vectors(messages, store.read("vectors"), now)),
         ("message_chunks", lambda: missing_chunks(messages, store.read("message_content"), store.read("message_chunks"), now)),
     ):
-        with store.staged(fresh()) as rows:
+        with store.aligned(), store.staged(fresh()) as rows:
             if not rows.isEmpty():
                 store.upsert(name, rows)
     return migration_report(store.read("message_content"), store.read("message_chunks"), store.read("vectors"))

@@ -80,7 +80,7 @@ def test_a_second_run_reads_no_data_file(spark, tmp_path, dying, monkeypatch):
     store = filled(spark, tmp_path, replace(profile, refiner=None), 40)
     reindex.reindex_all(store, profile, NOW)
     before, scanned, scan = len(asked()), [], Store._scan
-    monkeypatch.setattr(Store, "_scan", lambda self, name, folders: scanned.extend(folders.values()) or scan(self, name, folders))
+    monkeypatch.setattr(Store, "_scan", lambda self, name, folders, *more: scanned.extend(folders.values()) or scan(self, name, folders, *more))
     real = store.read
     monkeypatch.setattr(store, "read", lambda name, group=None: (_ for _ in ()).throw(AssertionError(name)) if group else real(name))
     report = reindex.reindex_all(store, profile, NOW)
