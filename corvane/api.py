@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import refine
 from corvane.operators import fulltext, pending, retrieval
+from corvane.operators.rollups import Rollups
 from corvane.operators.stats import throughput
 from corvane.operators.store import Store
 from corvane.operators.textindex import TextIndex
@@ -114,7 +115,13 @@ class Conversations:
         return [{"role": role} | refine.model_info(path, getattr(self.profile, role) in held_models()) for role, path in named.items() if path]
 
     def get_statistics(self) -> dict:
-        return self.store.statistics()
+        """Counts of messages and conversations, the tables' size, and by_intent; from the counts kept by bucket."""
+        counts = self.rollups.totals().first()
+        return counts.asDict() | {"by_intent": self.rollups.intents(), "storage_mb": self.store.size_mb()}
+
+    @property
+    def rollups(self) -> Rollups:
+        return Rollups(self.store)
 
     def reindex(self, now: str, step: Callable = reindex.reindex_all, **options) -> dict | int:
         return step(self.store, self.profile, now, **options)

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 
 from corvane.api import Conversations
-from corvane.operators import retrieval, stats
+from corvane.operators import retrieval
 from corvane.operators.pending import reindex_status
 from corvane.plans import reindex
 from corvane.plans.residency import StageLog
@@ -103,9 +103,8 @@ def main(args: list[str] | None = None) -> int:
             print(f"messages: {talks.rebuild_index()}")
             print(f"vectors: {talks.index_vectors()}")
         case "topics":
-            messages = store.read("messages")
-            print(stats.topic_totals(messages).first().asDict())
-            for r in stats.topic_rollup(messages, limit=told.limit).collect():
+            print(talks.rollups.topic_totals().first().asDict())
+            for r in talks.rollups.topic_rollup(told.limit).collect():
                 print(f"{r['segment_topic']}: {r['messages']} messages, {r['conversations']} conversations, {r['span']}")
         case "reindex":
             print(reindex.revectorize_outdated(store, talks.profile, now, limit=told.limit, **live))
@@ -115,7 +114,8 @@ def main(args: list[str] | None = None) -> int:
             print(reindex.revectorize_dimension(store, talks.profile, now, told.limit, **live))
         case "reindex-full":
             if told.status:
-                print(reindex_status(store.read("messages"), store.read("message_content"), store.read("vectors"), talks.profile.version).first().asDict())
+                with store.aligned():
+                    print(reindex_status(store.read("messages"), store.read("message_content"), store.read("vectors"), talks.profile.version).first().asDict())
             else:
                 print(reindex.reindex_all(store, talks.profile, now, force=told.force, after=told.after, limit=told.limit, **live))
         case "rebuild":

@@ -901,6 +901,50 @@ def dimension_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.read("vectors").select(F.col("entity_id").alias("id"), "entity_type", "vector_dim", "model_version", rounded(total).alias("vector_sum"))
 
 
+# Counts kept by bucket ----------------------------------------------------------
+
+#: Documents as messages: three to a conversation, their language the topic; one of fifty loses its topic later on.
+_COUNTED = "SELECT doc_id, 'c' || CAST(floor(doc_id / 3) AS BIGINT) AS talk, CASE WHEN doc_id % 50 <> 3 THEN lang END AS topic, CASE WHEN doc_id % 50 = 3 THEN 'command' ELSE source END AS intent FROM documents"
+
+
+def _counted(spark: SparkSession, sf_dir: str):
+    """Counts of a store that was written to after they were made."""
+    from corvane.operators.rollups import Rollups
+
+    made = store.Store(spark, f"{_shared_folder(spark)}/corvane-stores/{uuid.uuid4().hex}")
+    made.initialize()
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("c"), F.floor(F.col("doc_id") / 3)).alias("conversation_id"), F.col("lang").alias("segment_topic"), F.col("source").alias("intent"), F.timestamp_seconds("doc_id").alias("timestamp"))
+    made.write("messages", rows)
+    made.write("vectors", store.vector_rows(embedding_vectors(spark, sf_dir), "vec_id", "message", "v", NOW))
+    counts = Rollups(made)
+    counts.refresh("messages")
+    counts.refresh("vectors")
+    late = rows.filter("doc_id % 50 = 3")
+    made.upsert("messages", late.withColumns({"segment_topic": F.lit(None).cast("string"), "intent": F.lit("command")}))
+    return counts
+
+
+@query(
+    f"""SELECT topic AS segment_topic, count(*) AS messages, count(DISTINCT talk) AS conversations, min(doc_id) AS first, max(doc_id) AS last FROM ({_COUNTED}) WHERE topic IS NOT NULL GROUP BY topic"""
+)
+def rollup_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic roll-up from counts kept by bucket, after a change."""
+    found = _counted(spark, sf_dir).topic_rollup()
+    return found.select("segment_topic", "messages", "conversations", F.unix_seconds("first").alias("first"), F.unix_seconds("last").alias("last"))
+
+
+@query(
+    f"""WITH d AS ({_COUNTED}) SELECT 'intent' AS kind, intent AS value, count(*) AS n FROM d GROUP BY intent UNION ALL SELECT 'total', 'messages', count(*) FROM d UNION ALL SELECT 'total', 'conversations', count(DISTINCT talk) FROM d
+    UNION ALL SELECT 'topics', 'topics', count(DISTINCT topic) FROM d UNION ALL SELECT 'topics', 'messages', count(topic) FROM d UNION ALL SELECT 'dimension', CAST(len(embedding) AS VARCHAR), count(*) FROM embeddings GROUP BY ALL"""
+)
+def rollup_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, intents and dimensions from counts kept by bucket, after a change."""
+    counts = _counted(spark, sf_dir)
+    pairs = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.inline(F.array(*[F.struct(F.lit(c.removeprefix("total_")).alias("value"), F.col(c).alias("n")) for c in df.columns])))
+    of = lambda df, kind: df.toDF("value", "n").select(F.lit(kind).alias("kind"), F.col("value").cast("string").alias("value"), "n")
+    return of(counts.intents(), "intent").union(pairs(counts.totals(), "total")).union(pairs(counts.topic_totals(), "topics")).union(of(counts.dimensions(), "dimension"))
+
+
 # Archives as files --------------------------------------------------------------
 
 _PER_ARCHIVE = 10
