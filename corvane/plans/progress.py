@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from corvane.operators.stats import throughput
@@ -74,6 +75,26 @@ def _batches(states: dict[str, State], n: int, left: list[int], megabytes: float
     return out
 
 
+def _alone(store: Store, before: dict[str, State], after: dict[str, State], commits: dict[str, int]) -> bool:
+    """Whether all versions since `before` are this object's own."""
+    return all(after[t].number - before[t].number == store.commits.get(t, 0) - commits.get(t, 0) for t in before)
+
+
+@contextmanager
+def unaffected(store: Store, name: str | None, tables: tuple[str, ...]) -> Iterator[None]:
+    """What is written inside gives the run `name` nothing to do: its finished batches stay so, unless another writer wrote too."""
+    if name is None:
+        yield
+        return
+    before, commits, seen = {t: store.state(t) for t in tables}, dict(store.commits), Seen(store, name).load()
+    done = [g for g, folders in seen.groups.items() if folders == _folders(before, seen.n, int(g))]
+    yield
+    after = {t: store.state(t) for t in tables}
+    if done and _alone(store, before, after, commits) and seen.n == min(s.buckets for s in after.values()):
+        seen.groups |= {g: _folders(after, seen.n, int(g)) for g in done}
+        seen.save()
+
+
 def in_batches(store: Store, tables: tuple[str, ...], work: Callable[[Group], dict[str, int]], *, name: str | None = None, megabytes: float = BATCH_MB, progress: Progress | None = None) -> dict[str, int]:
     """Calls work(group) for the tables' groups in batches and adds up the counts that it returns.
 
@@ -96,8 +117,7 @@ def in_batches(store: Store, tables: tuple[str, ...], work: Callable[[Group], di
         for c, x in counts.items():
             total[c] = total.get(c, 0) + x
         after = {t: store.state(t) for t in tables}
-        alone = all(after[t].number - before[t].number == store.commits.get(t, 0) - commits.get(t, 0) for t in tables)
-        if seen and alone and not counts.get("errors") and not counts.get("left") and n == min(s.buckets for s in after.values()):
+        if seen and _alone(store, before, after, commits) and not counts.get("errors") and not counts.get("left") and n == min(s.buckets for s in after.values()):
             seen.groups |= {str(g): _folders(after, n, g) for g in groups}
             seen.save()
         done_mb += mb

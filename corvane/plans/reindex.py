@@ -21,17 +21,18 @@ from corvane.operators.stats import throughput, top_topics
 from corvane.operators.store import Store, migration_report, missing_chunks, missing_content, missing_vectors, vector_rows
 from corvane.plans import ingest
 from corvane.plans.components import Profile, loader
-from corvane.plans.progress import BATCH_MB, Group, Progress, Seen, in_batches
+from corvane.plans.progress import BATCH_MB, Group, Progress, Seen, in_batches, unaffected
 from corvane.schema import with_flags
 
 
-def _embed_into(store: Store, rows: DataFrame, key: str, column: str, kind: str, profile: Profile, now: str) -> int:
+def _embed_into(store: Store, rows: DataFrame, key: str, column: str, kind: str, profile: Profile, now: str) -> tuple[int, int]:
+    """Embeds rows and stores their vectors; how many, and how many of them have no vector of the profile's dimension even so and stay pending."""
     with store.staged(rows.select(key, column)) as texts, store.staged(vector_rows(ingest.embedded_once(store, texts, profile, column), key, kind, profile.version, now)) as made:
-        n = made.count()
-        if n:
+        told = made.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("vector_dim") == profile.width, F.lit(False)) | F.col("vector").isNull()).alias("left")).first()
+        if told["n"]:
             store.upsert("vectors", made)
     store.clear_staged()
-    return n
+    return told["n"], told["left"]
 
 
 @contextmanager
@@ -51,7 +52,7 @@ def revectorize_outdated(store: Store, profile: Profile, now: str, *, force: boo
     def work(group: Group) -> dict[str, int]:
         rows = chosen(pending.outdated(store.read("messages", group), wanted))
         with store.staged(rows.select("id", F.coalesce("refined_content", "vectorizable_content").alias("text"))) as changed:
-            n = _embed_into(store, changed, "id", "text", "message", profile, now)
+            n, _ = _embed_into(store, changed, "id", "text", "message", profile, now)
             if n:
                 store.update("messages", changed.select("id", F.lit(profile.version).alias("vectorizer_version")), ["vectorizer_version"])
         return {"processed": n}
@@ -69,61 +70,79 @@ def _refined(store: Store, rows: DataFrame, profile: Profile, text: str = "text"
 
 
 def refine_pending(store: Store, profile: Profile, now: str, *, force: bool = False, limit: int | None = None, chunks: bool = True, batch_mb: float = BATCH_MB, progress: Progress | None = None) -> dict[str, int]:
-    """Refines messages and chunks that lack it and embeds what has no vector or a stale one, batch by batch."""
+    """Refines messages and chunks that lack it and embeds what has no vector or a stale one, batch by batch.
+
+    Batches that have nothing pending any more aren't read again until someone writes there.
+    """
+    name = None if force or limit is not None else f"refine-{profile.version}"
+    chunk_name, message_tables, chunk_tables = name and f"{name}-chunks", ("messages", "vectors"), ("message_chunks", "vectors")
+
+    def refine_into(table: str, key: str, column: str, done: DataFrame) -> tuple[int, int]:
+        """Stores the refined texts; how many rows were asked for, and how many have no text even so."""
+        told = done.agg(F.count("*").alias("n"), F.count_if(F.col(column).isNull()).alias("left")).first()
+        if told["n"]:
+            store.update(table, done, [column])
+        return told["n"], told["left"]
 
     def of_messages(group: Group) -> dict[str, int]:
         rows = chosen(pending.unrefined(store.read("messages", group), force=force))
         cut = rows.select("id", truncate(F.col("vectorizable_content"), refine.REFINE_CHARS, "...").alias("text"))
         with _refined(store, cut, profile) as found, store.staged(found.select("id", "refined_content")) as done:
-            n = done.count()
-            if n:
-                store.update("messages", done, ["refined_content"])
+            n, left = refine_into("messages", "id", "refined_content", done)
         stale = pending.stale_vectors(store.read("messages", group), "id", store.read("vectors", group), "message", profile.version).withColumn("text", F.coalesce("refined_content", "vectorizable_content"))
-        return {"messages": n, "message_vectors": _embed_into(store, stale, "id", "text", "message", profile, now)}
+        vectors, without = _embed_into(store, stale, "id", "text", "message", profile, now)
+        return {"messages": n, "message_vectors": vectors, "left": left + without}
 
     def of_chunks(group: Group) -> dict[str, int]:
         open_chunks = store.read("message_chunks", group)
         open_chunks = (open_chunks if force else open_chunks.filter("refined_text is null")).select("chunk_id", truncate(F.col("chunk_text"), refine.REFINE_CHARS, "...").alias("text"))
         with _refined(store, open_chunks, profile) as found, store.staged(found.select("chunk_id", F.left("refined_content", F.lit(4000)).alias("refined_text"))) as done:
-            n = done.count()
-            if n:
-                store.update("message_chunks", done, ["refined_text"])
+            n, left = refine_into("message_chunks", "chunk_id", "refined_text", done)
         stale = pending.stale_vectors(store.read("message_chunks", group), "chunk_id", store.read("vectors", group), "chunk", profile.version).withColumn("text", F.coalesce("refined_text", "chunk_text"))
-        return {"chunks": n, "chunk_vectors": _embed_into(store, stale, "chunk_id", "text", "chunk", profile, now)}
+        vectors, without = _embed_into(store, stale, "chunk_id", "text", "chunk", profile, now)
+        return {"chunks": n, "chunk_vectors": vectors, "left": left + without}
 
-    with _picked(store, pending.newest_first(pending.unrefined(store.read("messages"), force=force), limit), "id", limit is not None) as chosen:
-        n = {"messages": 0, "message_vectors": 0} | in_batches(store, ("messages", "vectors"), of_messages, megabytes=batch_mb, progress=progress)
+    with _picked(store, pending.newest_first(pending.unrefined(store.read("messages"), force=force), limit), "id", limit is not None) as chosen, unaffected(store, chunk_name, chunk_tables):
+        n = {"messages": 0, "message_vectors": 0} | in_batches(store, message_tables, of_messages, name=name, megabytes=batch_mb, progress=progress)
     if chunks:
-        n |= {"chunks": 0, "chunk_vectors": 0} | in_batches(store, ("message_chunks", "vectors"), of_chunks, megabytes=batch_mb, progress=progress)
+        with unaffected(store, name, message_tables):
+            n |= {"chunks": 0, "chunk_vectors": 0} | in_batches(store, chunk_tables, of_chunks, name=chunk_name, megabytes=batch_mb, progress=progress)
+    n.pop("left", None)
     return n
 
 
 def revectorize_dimension(store: Store, profile: Profile, now: str, limit: int | None = None, batch_mb: float = BATCH_MB, progress: Progress | None = None) -> dict[str, int]:
-    """Embeds messages whose vector has another dimension, and chunks without a vector, in batches; messages take the limit first."""
+    """Embeds messages whose vector has another dimension, and chunks without a vector, in batches; messages take the limit first.
+
+    Batches that have nothing pending any more aren't read again until someone writes there.
+    """
+    name = f"dimension-{profile.version}-{profile.width}" if limit is None else None
+    chunk_name, message_tables, chunk_tables = name and f"{name}-chunks", ("message_content", "vectors"), ("message_chunks", "vectors")
 
     def wrong(group: Group | None = None) -> DataFrame:
         return pending.wrong_dimension(store.read("vectors", group).filter("entity_type = 'message'"), profile.width).select(F.col("entity_id").alias("message_id"))
 
     def of_messages(group: Group) -> dict[str, int]:
         texts = chosen(wrong(group)).join(store.read("message_content", group), "message_id").select("message_id", truncate(F.coalesce("refined_content", "vectorizable_content"), refine.REVECTORIZE_CHARS).alias("text"))
-        return {"messages": _embed_into(store, texts, "message_id", "text", "message", profile, now)}
+        return dict(zip(("messages", "left"), _embed_into(store, texts, "message_id", "text", "message", profile, now), strict=True))
 
     def lone(group: Group | None = None) -> DataFrame:
         found = pending.without_vector(store.read("message_chunks", group), "chunk_id", store.read("vectors", group), "chunk")
         return found.select("chunk_id", truncate(F.coalesce("refined_text", "chunk_text"), refine.REVECTORIZE_CHARS).alias("text"))
 
     def of_chunks(group: Group) -> dict[str, int]:
-        return {"chunks": _embed_into(store, chosen(lone(group)), "chunk_id", "text", "chunk", profile, now)}
+        return dict(zip(("chunks", "left"), _embed_into(store, chosen(lone(group)), "chunk_id", "text", "chunk", profile, now), strict=True))
 
     limited = lambda rows, key, most: rows if most is None else rows.orderBy(key).limit(most)
     with_content = lambda: wrong().join(store.read("message_content").select("message_id"), "message_id", "left_semi")
-    with _picked(store, limited(with_content(), "message_id", limit), "message_id", limit is not None) as chosen:
-        n = {"messages": 0} | in_batches(store, ("message_content", "vectors"), of_messages, megabytes=batch_mb, progress=progress)
+    with _picked(store, limited(with_content(), "message_id", limit), "message_id", limit is not None) as chosen, unaffected(store, chunk_name, chunk_tables):
+        n = {"messages": 0} | in_batches(store, message_tables, of_messages, name=name, megabytes=batch_mb, progress=progress)
     left = None if limit is None else limit - n["messages"]
     n["chunks"] = 0
     if left != 0:
-        with _picked(store, limited(lone(), "chunk_id", left), "chunk_id", left is not None) as chosen:
-            n |= in_batches(store, ("message_chunks", "vectors"), of_chunks, megabytes=batch_mb, progress=progress)
+        with _picked(store, limited(lone(), "chunk_id", left), "chunk_id", left is not None) as chosen, unaffected(store, name, message_tables):
+            n |= in_batches(store, chunk_tables, of_chunks, name=chunk_name, megabytes=batch_mb, progress=progress)
+    n.pop("left", None)
     return n
 
 
@@ -175,11 +194,12 @@ def rebuild(store: Store, profile: Profile, now: str, *, vectors_only: bool = Fa
         if resume:
             had = store.read("vectors", group).filter("entity_type = 'message'").select(F.col("entity_id").alias("id"), "vector")
             rows = pending.without_dimension(rows.join(had, "id", "left"), profile.width).drop("vector")
-        return {"vectors": _embed_into(store, rows, "id", "text", "message", profile, now)}
+        return dict(zip(("vectors", "left"), _embed_into(store, rows, "id", "text", "message", profile, now), strict=True))
 
     if not vectors_only and profile.classifier:
         report |= {"classified": 0} | in_batches(store, ("messages",), classify, megabytes=batch_mb, progress=progress)
-    report |= {"vectors": 0} | in_batches(store, ("messages", "vectors"), embed, megabytes=batch_mb, progress=progress)
+    report |= {"vectors": 0} | in_batches(store, ("messages", "vectors"), embed, name=f"rebuild-{profile.version}-{profile.width}" if resume else None, megabytes=batch_mb, progress=progress)
+    report.pop("left", None)
     if segments:
         report["segmented"] = segment_pending(store, profile.segment_threshold)
         report["top_topics"] = [(r["segment_topic"], r["n"]) for r in top_topics(store.read("messages")).collect()]
