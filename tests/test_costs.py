@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corvane.functions import embed, refine
+from corvane.functions import classify, embed, refine
 
 
 def test_an_answer_is_folded_once(spark):
@@ -17,3 +17,12 @@ def test_embedding_walks_over_the_words_once(spark):
     rows = spark.createDataFrame([(None,), ("",), ("one two two",)], "t string")
     assert [r["v"] for r in rows.select(made.alias("v")).collect()] == [[None] * 6, [0.0] * 6, [0.0, 0.0, 0.0, -1.0, 0.0, 0.0]]
 
+
+def test_topics_shuffle_no_words(spark):
+    """Words are counted within their row; rows that share a key are still counted together."""
+    rows = spark.createDataFrame([(1, "beta alpha beta"), (2, "this alpha x1abcd"), (None, "gamma")], "k long, t string")
+    found = classify.topics_of(rows, "k", "t")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: r["topics"] for r in found.collect()} == {1: ["beta", "alpha"], 2: ["alpha"], None: []}
+    more = rows.union(spark.createDataFrame([(1, "alpha alpha"), (None, "delta"), (3, None)], "k long, t string"))
+    assert {r["k"]: r["topics"] for r in classify.topics_of(more, "k", "t").collect()} == {1: ["alpha", "beta"], 2: ["alpha"], 3: [], None: []}
