@@ -29,12 +29,15 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.embed import let
 from corvane.operators.fulltext import FIELDS, K1, LEAST_IDF, B, Near, Op, Phrase, _fits, _phrases, _scored, _starts, idf, parse, tokens
 from corvane.operators.store import ConflictError, State, Store, bucket_of
 from corvane.schema import struct
 
 #: Documents of a range are 2**RANGE_BITS; documents for each folder of blocks, and most folders (numbers of folders are powers of two); segments of one size that are merged.
 RANGE_BITS, FOLDER_DOCS, MOST_FOLDERS, MERGE_AT = 9, 10_000, 4096, 8
+#: Words whose postings a task puts together.
+TASK_WORDS = 4_000_000
 #: Ranges that a search scores first, and hits whose keys are looked up by their numbers.
 FIRST_RANGES, FEW = 4, 4096
 
@@ -143,17 +146,29 @@ class TextIndex:
         return self.spark.read.parquet(path)
 
     def _write_blocks(self, postings: DataFrame, name: str, n_docs: int) -> None:
-        """Blocks of postings (id, length, term, places), which are together by range."""
-        folders = _folders(n_docs)
-        ranged = postings.select(F.shiftright("id", RANGE_BITS).alias("range"), F.col("id").bitwiseAND((1 << RANGE_BITS) - 1).cast("int").alias("ord"), "length", "term", "places")
-        p = F.array_sort(F.collect_list(F.struct("ord", "length", F.size("places").alias("tf"), "places")))
-        blocks = ranged.groupBy("range", "term").agg(p.alias("p"), F.max(F.size("places")).alias("best"), F.min("length").alias("least"))
-        out = blocks.select(
-            "term", "range", F.size("p").alias("n"), "best", "least",
-            F.col("p.ord").alias("ords"), F.col("p.length").alias("lens"), F.col("p.tf").alias("tfs"), F.col("p.places").alias("places"), F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int").alias("bucket"),
-        )
-        # a bucket is a folder; a rebalance splits a bucket that a frequent term makes large
-        out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range").write.option("parquet.writer.version", "v2").option("compression", "zstd").partitionBy("bucket").parquet(self._folder(name, "blocks"))
+        """Blocks of postings (range, id, length, term, places as numbers), which are together by range."""
+        folders, fields = _folders(n_docs), F.array(*[F.lit(f) for f in sorted(self.fields)])
+        ranged = postings.select("range", F.col("id").bitwiseAND((1 << RANGE_BITS) - 1).cast("int").alias("ord"), F.col("length").cast("int"), "term", "places")
+        p = F.sort_array(F.collect_list(F.struct("ord", "length", "places")))
+        blocks = ranged.groupBy("range", "term").agg(p.alias("p"), F.max(F.size("places")).alias("best"), F.min("length").cast("long").alias("least"))
+        out = blocks.select("term", "range", "best", "least", F.col("p.ord").alias("ords"), F.col("p.length").alias("lens"), F.col("p.places").alias("places"), F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int").alias("bucket"))
+        # a bucket is a folder; a rebalance splits a bucket that a frequent term makes large; places travel as numbers
+        sorted_out = out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range")
+        place = lambda x: F.struct(F.get(fields, F.shiftright(x, 32).cast("int")).alias("field"), x.bitwiseAND((1 << 32) - 1).cast("int").alias("pos"))
+        told = sorted_out.select("term", "range", F.size("ords").alias("n"), "best", "least", "ords", F.col("lens").cast("array<long>").alias("lens"), F.transform("places", F.size).alias("tfs"), F.transform("places", lambda d: F.transform(d, place)).alias("places"), "bucket")
+        told.write.option("parquet.writer.version", "v2").option("compression", "zstd").partitionBy("bucket").parquet(self._folder(name, "blocks"))
+
+    def _places(self) -> Column:
+        """Of a row's parts an array of its distinct terms, each with its places as numbers: sorted within the row, and cut where the term changes."""
+        numbers = F.create_map(*[x for k, f in enumerate(sorted(self.fields)) for x in (F.lit(f), F.lit(k << 32))])
+        words = F.flatten(F.transform("parts", lambda p: F.transform(p["terms"], lambda t, i: F.struct(t.alias("term"), (numbers[p["field"]] + i).alias("at")))))
+
+        def cut(s: Column) -> Column:
+            borders = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+            run = lambda b: F.transform(b, lambda at, k: F.struct(F.get(s, at)["term"].alias("term"), F.transform(F.slice(s, at + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - at), lambda x: x["at"]).alias("places")))
+            return F.when(F.size(s) > 0, let(borders, run))
+
+        return let(F.sort_array(words), cut)
 
     def add(self, rows: DataFrame, key: str = "id", removed: DataFrame | None = None) -> None:
         """Takes rows (one a key, the fields' columns; others don't count) in place of those of the same keys, and takes away the keys of `removed` (doc)."""
@@ -168,19 +183,26 @@ class TextIndex:
         made = self._numbered(ordered.select("doc", self._hash().alias("hash"), parts.alias("parts")), name)
         words = F.flatten(F.transform("parts", lambda p: p["terms"]))
         made.select("id", "doc", "length", "hash", F.array_distinct(words).alias("terms")).write.parquet(self._folder(name, "docs"))
-        dealt = made.withColumn("range", F.shiftright("id", RANGE_BITS)).repartition("range")  # the one shuffle of the postings: what follows groups within ranges
-        each = dealt.select("range", "id", "length", F.explode("parts").alias("part")).select("range", "id", "length", F.col("part.field").alias("field"), F.posexplode("part.terms").alias("pos", "term"))
-        of_doc = each.groupBy("range", "id", "term").agg(F.first("length").alias("length"), F.array_sort(F.collect_list(F.struct("field", "pos"))).alias("places"))
-        self._write_blocks(of_doc, name, self._table([name], "docs").count())
+        told = self._table([name], "docs").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
+        parts_n = max(self.spark.sparkContext.defaultParallelism, -(-told["words"] // TASK_WORDS))
+        dealt = made.withColumn("range", F.shiftright("id", RANGE_BITS)).repartition(parts_n, "range")  # the one shuffle of the postings: what follows groups within ranges, some millions of words a task
+        of_doc = dealt.select("range", "id", "length", F.explode(self._places()).alias("t")).select("range", "id", "length", "t.term", "t.places")
+        self._write_blocks(of_doc, name, told["n"])
         keys = made.select("doc") if removed is None else made.select("doc").union(removed.select(F.col("doc").cast("string")))
-        lost = self._live(base).join(keys.distinct(), "doc", "left_semi")
-        self._write_gone(lost.select(F.col("segment").alias("of"), "id", "length", "terms"), name)
+        self._write_gone(self._lost(base, keys, name).select(F.col("segment").alias("of"), "id", "length", "terms"), name)
         self._drop(f"{self.root}/_work/{name}")
         new, out = (self._table([name], t).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("w")).first() for t in ("docs", "gone"))
         segments = base.segments | {name: new["n"]}
         self._publish(base, Manifest(0, segments, base.n_docs + new["n"] - out["n"], base.words + new["w"] - out["w"], [], **(seen or {"seen_buckets": base.seen_buckets, "seen": base.seen})))
         self._merge_full()
 
+    def _lost(self, base: Manifest, keys: DataFrame, name: str) -> DataFrame:
+        """The documents of the keys that count until now; their numbers are found first, so the others' terms aren't moved to find them."""
+        path = f"{self.root}/_work/{name}/numbers"
+        self._live(base).select("segment", "id", "doc").join(keys.distinct(), "doc", "left_semi").select("segment", "id").write.parquet(path)
+        numbers = self.spark.read.schema(struct("segment string, id long")).parquet(path)
+        return self._table(list(base.segments), "docs").join(numbers, ["segment", "id"], "left_semi")
+
     def _write_gone(self, lost: DataFrame, name: str) -> None:
         path = f"{self.root}/_work/{name}/lost"
         lost.write.parquet(path)
@@ -238,7 +260,9 @@ class TextIndex:
         one = self._table(names, "blocks").select("segment", "term", "range", F.explode(F.arrays_zip("ords", "places")).alias("p"))
         old = one.select(F.col("segment").alias("old_segment"), (F.shiftleft("range", RANGE_BITS) + F.col("p.ords")).alias("old_id"), "term", F.col("p.places").alias("places"))
         n = made.count()
-        self._write_blocks(old.join(made.select("old_segment", "old_id", "id", "length"), ["old_segment", "old_id"]), name, n)
+        numbers = F.create_map(*[x for k, f in enumerate(sorted(self.fields)) for x in (F.lit(f), F.lit(k << 32))])
+        old = old.withColumn("places", F.transform("places", lambda o: numbers[o["field"]] + o["pos"]))
+        self._write_blocks(old.join(made.select("old_segment", "old_id", "id", "length"), ["old_segment", "old_id"]).withColumn("range", F.shiftright("id", RANGE_BITS)), name, n)
         for table in ("gone", "gone_terms"):
             self._table(names, table).filter(F.col("of").isin(others)).drop("segment").write.parquet(self._folder(name, table))
         self._drop(f"{self.root}/_work/{name}")

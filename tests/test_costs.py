@@ -26,3 +26,22 @@ def test_topics_shuffle_no_words(spark):
     assert {r["k"]: r["topics"] for r in found.collect()} == {1: ["beta", "alpha"], 2: ["alpha"], None: []}
     more = rows.union(spark.createDataFrame([(1, "alpha alpha"), (None, "delta"), (3, None)], "k long, t string"))
     assert {r["k"]: r["topics"] for r in classify.topics_of(more, "k", "t").collect()} == {1: ["alpha", "beta"], 2: ["alpha"], 3: [], None: []}
+
+
+def test_postings_are_dealt_once(spark, tmp_path, monkeypatch):
+    """Blocks are put together where the ranges were dealt to: the group by range and term moves no posting again."""
+    from corvane.operators.textindex import TextIndex
+
+    moved, write = [], TextIndex._write_blocks
+
+    def seen(self, postings, name, n):
+        moved.append(postings.groupBy("range", "term").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        write(self, postings, name, n)
+
+    monkeypatch.setattr(TextIndex, "_write_blocks", seen)
+    index = TextIndex(spark, f"file://{tmp_path}/i", ("title", "body"))
+    index.add(spark.createDataFrame([("a", "x", "x y x"), ("b", "y", "x")], "id string, title string, body string"))
+    assert moved == [1]
+    block = index._table(list(index.manifest().segments), "blocks").filter("term = 'x'").first()
+    found = dict(zip(block["ords"], [[tuple(o) for o in d] for d in block["places"]], strict=True))
+    assert sorted(found.values()) == [[("body", 0)], [("body", 0), ("body", 2), ("title", 0)]]
