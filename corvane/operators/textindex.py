@@ -139,29 +139,40 @@ class TextIndex:
         return F.xxhash64(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in self.fields])
 
     def _numbered(self, rows: DataFrame, name: str) -> DataFrame:
-        """rows (doc, hash, parts: field and terms of each column) with length and id, written to the segment's folder."""
-        length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.size(p["terms"]))
+        """rows (doc, hash, terms: an array for each column) with length and id, and the terms joined by spaces, written to the segment's folder."""
+        length = F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + F.size(t))
         path = f"{self.root}/_work/{name}/parts"
-        rows.select("doc", "hash", "parts", length.alias("length"), F.monotonically_increasing_id().alias("id")).write.parquet(path)
+        words = F.transform("terms", lambda t: F.array_join(t, " "))  # strings are read and moved at half the size of arrays
+        rows.select("doc", "hash", words.alias("words"), length.alias("length"), F.monotonically_increasing_id().alias("id")).write.option("compression", "zstd").parquet(path)
         return self.spark.read.parquet(path)
 
     def _write_blocks(self, postings: DataFrame, name: str, n_docs: int) -> None:
         """Blocks of postings (range, id, length, term, places as numbers), which are together by range."""
-        folders, fields = _folders(n_docs), F.array(*[F.lit(f) for f in sorted(self.fields)])
-        ranged = postings.select("range", F.col("id").bitwiseAND((1 << RANGE_BITS) - 1).cast("int").alias("ord"), F.col("length").cast("int"), "term", "places")
+        folders, fields, n = _folders(n_docs), F.array(*[F.lit(f) for f in sorted(self.fields)]), len(self.fields)
+        ranged = postings.select("range", F.col("id").bitwiseAND((1 << RANGE_BITS) - 1).cast("short").alias("ord"), F.col("length").cast("int"), "term", "places")
         p = F.sort_array(F.collect_list(F.struct("ord", "length", "places")))
         blocks = ranged.groupBy("range", "term").agg(p.alias("p"), F.max(F.size("places")).alias("best"), F.min("length").cast("long").alias("least"))
-        out = blocks.select("term", "range", "best", "least", F.col("p.ord").alias("ords"), F.col("p.length").alias("lens"), F.col("p.places").alias("places"), F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int").alias("bucket"))
-        # a bucket is a folder; a rebalance splits a bucket that a frequent term makes large; places travel as numbers
-        sorted_out = out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range")
-        place = lambda x: F.struct(F.get(fields, F.shiftright(x, 32).cast("int")).alias("field"), x.bitwiseAND((1 << 32) - 1).cast("int").alias("pos"))
-        told = sorted_out.select("term", "range", F.size("ords").alias("n"), "best", "least", "ords", F.col("lens").cast("array<long>").alias("lens"), F.transform("places", F.size).alias("tfs"), F.transform("places", lambda d: F.transform(d, place)).alias("places"), "bucket")
+        # what travels is narrow: lengths less the least one, and the places of all documents in one array, a document's first one as its complement; shorts where they suffice
+        place = lambda x: x.bitwiseAND((1 << 32) - 1) * n + F.shiftright(x, 32)
+        run = F.flatten(F.transform("p.places", lambda d: F.transform(d, lambda x, i: F.when(i == 0, F.bitwise_not(place(x))).otherwise(place(x)))))
+        flat = blocks.select("term", "range", "best", "least", F.col("p.ord").alias("ords"), F.transform("p.length", lambda x: x - F.col("least")).alias("more"), run.alias("run"), F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int").alias("bucket"))
+        small = lambda c: (F.array_max(c) < 1 << 15) & (F.array_min(c) >= -(1 << 15))
+        narrow = [x for c in ("more", "run") for x in (F.when(small(c), F.col(c).cast("array<smallint>")).alias(c), F.when(~small(c), F.col(c)).alias(f"{c}_wide"))]
+        # a bucket is a folder; a rebalance splits a bucket that a frequent term makes large
+        sorted_out = flat.select("term", "range", "best", "least", "ords", *narrow, "bucket").hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range")
+        wide = sorted_out.select("term", "range", "best", "least", "ords", "bucket", *[F.coalesce(F.col(c).cast("array<bigint>"), f"{c}_wide").alias(c) for c in ("more", "run")])
+        number = lambda x: F.when(x < 0, F.bitwise_not(x)).otherwise(x)
+        told_place = lambda x: F.struct(F.get(fields, (x % n).cast("int")).alias("field"), F.floor(x / n).cast("int").alias("pos")) if n > 1 else F.struct(fields[0].alias("field"), x.cast("int").alias("pos"))
+        of_docs = lambda b: F.transform(b, lambda at, k: F.transform(F.slice("run", at + 1, F.coalesce(F.get(b, k + 1), F.size("run")) - at), lambda x: told_place(number(x))))
+        places = let(F.filter(F.sequence(F.lit(0), F.size("run") - 1), lambda i: F.get("run", i) < 0), of_docs)
+        cut = wide.select("term", "range", "best", "least", F.col("ords").cast("array<int>").alias("ords"), F.transform("more", lambda x: x + F.col("least")).alias("lens"), places.alias("places"), "bucket")
+        told = cut.select("term", "range", F.size("ords").alias("n"), "best", "least", "ords", "lens", F.transform("places", F.size).alias("tfs"), "places", "bucket")
         told.write.option("parquet.writer.version", "v2").option("compression", "zstd").partitionBy("bucket").parquet(self._folder(name, "blocks"))
 
     def _places(self) -> Column:
-        """Of a row's parts an array of its distinct terms, each with its places as numbers: sorted within the row, and cut where the term changes."""
-        numbers = F.create_map(*[x for k, f in enumerate(sorted(self.fields)) for x in (F.lit(f), F.lit(k << 32))])
-        words = F.flatten(F.transform("parts", lambda p: F.transform(p["terms"], lambda t, i: F.struct(t.alias("term"), (numbers[p["field"]] + i).alias("at")))))
+        """Of a row's words an array of its distinct terms, each with its places as numbers: sorted within the row, and cut where the term changes."""
+        numbers = F.array(*[F.lit(sorted(self.fields).index(f) << 32).cast("long") for f in self.fields])
+        words = F.flatten(F.transform("words", lambda w, k: F.transform(_split(w), lambda t, i: F.struct(t.alias("term"), (F.get(numbers, k) + i).alias("at")))))
 
         def cut(s: Column) -> Column:
             borders = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
@@ -176,16 +187,16 @@ class TextIndex:
 
     def _add(self, rows: DataFrame, key: str, removed: DataFrame | None, base: Manifest, seen: dict) -> None:
         name = f"seg-{uuid.uuid4().hex}"
-        parts = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")).alias("terms")) for f in self.fields])
+        terms = F.array(*[F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")) for f in self.fields])
         told = functools.reduce(lambda a, b: a + b, [F.coalesce(F.length(F.col(f).cast("string")), F.lit(0)) for f in self.fields])
         given = rows.select(F.col(key).cast("string").alias("doc"), *[F.col(f).cast("string") for f in self.fields], told.alias("told"))
         ordered = given.repartitionByRange("told", "doc").sortWithinPartitions("told", "doc")
-        made = self._numbered(ordered.select("doc", self._hash().alias("hash"), parts.alias("parts")), name)
-        words = F.flatten(F.transform("parts", lambda p: p["terms"]))
-        made.select("id", "doc", "length", "hash", F.array_distinct(words).alias("terms")).write.parquet(self._folder(name, "docs"))
+        made = self._numbered(ordered.select("doc", self._hash().alias("hash"), terms.alias("terms")), name)
+        distinct = F.array_distinct(F.flatten(F.transform("words", _split)))
+        made.select("id", "doc", "length", "hash", distinct.alias("terms")).write.option("compression", "zstd").parquet(self._folder(name, "docs"))
         told = self._table([name], "docs").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
         parts_n = max(self.spark.sparkContext.defaultParallelism, -(-told["words"] // TASK_WORDS))
-        dealt = made.withColumn("range", F.shiftright("id", RANGE_BITS)).repartition(parts_n, "range")  # the one shuffle of the postings: what follows groups within ranges, some millions of words a task
+        dealt = made.select("id", "length", "words").withColumn("range", F.shiftright("id", RANGE_BITS)).repartition(parts_n, "range")  # the one shuffle of the postings: what follows groups within ranges, some millions of words a task
         of_doc = dealt.select("range", "id", "length", F.explode(self._places()).alias("t")).select("range", "id", "length", "t.term", "t.places")
         self._write_blocks(of_doc, name, told["n"])
         keys = made.select("doc") if removed is None else made.select("doc").union(removed.select(F.col("doc").cast("string")))
@@ -260,7 +271,7 @@ class TextIndex:
         one = self._table(names, "blocks").select("segment", "term", "range", F.explode(F.arrays_zip("ords", "places")).alias("p"))
         old = one.select(F.col("segment").alias("old_segment"), (F.shiftleft("range", RANGE_BITS) + F.col("p.ords")).alias("old_id"), "term", F.col("p.places").alias("places"))
         n = made.count()
-        numbers = F.create_map(*[x for k, f in enumerate(sorted(self.fields)) for x in (F.lit(f), F.lit(k << 32))])
+        numbers = F.create_map(*[x for k, f in enumerate(sorted(self.fields)) for x in (F.lit(f), F.lit(k << 32).cast("long"))])
         old = old.withColumn("places", F.transform("places", lambda o: numbers[o["field"]] + o["pos"]))
         self._write_blocks(old.join(made.select("old_segment", "old_id", "id", "length"), ["old_segment", "old_id"]).withColumn("range", F.shiftright("id", RANGE_BITS)), name, n)
         for table in ("gone", "gone_terms"):
@@ -373,6 +384,11 @@ class TextIndex:
         return self._named(scores, now, only).select("doc", "bm25")
 
 
+def _split(words: Column) -> Column:
+    """The terms of a string that joins them by spaces; terms are letters and digits."""
+    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
+
+
 def _folders(n_docs: int) -> int:
     """The number of folders of a segment's blocks."""
     return min(MOST_FOLDERS, 1 << max(0, math.ceil(math.log2(max(1, n_docs / FOLDER_DOCS)))))

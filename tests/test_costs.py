@@ -45,3 +45,27 @@ def test_postings_are_dealt_once(spark, tmp_path, monkeypatch):
     block = index._table(list(index.manifest().segments), "blocks").filter("term = 'x'").first()
     found = dict(zip(block["ords"], [[tuple(o) for o in d] for d in block["places"]], strict=True))
     assert sorted(found.values()) == [[("body", 0)], [("body", 0), ("body", 2), ("title", 0)]]
+
+
+def test_postings_travel_narrow_and_come_back_whole(spark, tmp_path, monkeypatch):
+    """Places and lengths move as shorts where they fit, and as longs where they don't; blocks hold the same either way."""
+    from corvane.operators.textindex import TextIndex
+
+    frames = type(spark.range(0))
+    moved, hint = [], frames.hint
+
+    def seen(self, *a):
+        moved.append(dict(self.dtypes))
+        return hint(self, *a)
+
+    monkeypatch.setattr(frames, "hint", seen)
+    index = TextIndex(spark, f"file://{tmp_path}/i", ("title", "body"))
+    far = "a " * 20_000
+    index.add(spark.createDataFrame([("a", "x", far + "x"), ("b", "", "x y"), ("c", None, "")], "id string, title string, body string"))
+    assert moved[0]["ords"] == moved[0]["run"] == moved[0]["more"] == "array<smallint>"
+    blocks = {r["term"]: r for r in index._table(list(index.manifest().segments), "blocks").collect()}
+    found = lambda t: sorted(zip(blocks[t]["lens"], blocks[t]["tfs"], [[tuple(o) for o in d] for d in blocks[t]["places"]], strict=True))
+    assert found("x") == [(2, 1, [("body", 0)]), (20_002, 2, [("body", 20_000), ("title", 0)])]
+    assert found("y") == [(2, 1, [("body", 1)])]
+    assert blocks["a"]["tfs"] == [20_000] and [o["pos"] for o in blocks["a"]["places"][0]] == list(range(20_000))
+    assert index.manifest().n_docs == 3 and index.manifest().words == 20_004
