@@ -69,3 +69,22 @@ def test_postings_travel_narrow_and_come_back_whole(spark, tmp_path, monkeypatch
     assert found("y") == [(2, 1, [("body", 1)])]
     assert blocks["a"]["tfs"] == [20_000] and [o["pos"] for o in blocks["a"]["places"][0]] == list(range(20_000))
     assert index.manifest().n_docs == 3 and index.manifest().words == 20_004
+
+
+def test_distinct_rows_are_written_without_a_search_for_repeated_ones(spark, tmp_path, monkeypatch):
+    """An upsert of distinct keys has no window over its rows; repeated keys still keep the last one; an empty table gets its buckets at once."""
+    from corvane.operators import store as module
+    from corvane.operators.store import Store
+
+    searched, keep_last = [], module.keep_last
+    monkeypatch.setattr(module, "keep_last", lambda *a: searched.append(1) or keep_last(*a))
+    store = Store(spark, f"file://{tmp_path}/s", buckets=2, bucket_mb=1)
+    store.initialize()
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "message_id string, full_content string")
+    held = lambda: {r["message_id"]: r["full_content"] for r in store.read("message_content").collect()}
+    store.upsert("message_content", rows(("a", "1"), ("b", "1"), (None, "1")), megabytes=3.5)
+    assert not searched and store.state("message_content").buckets == 4 and store.state("message_content").number == 1
+    store.upsert("message_content", rows(("b", "2"), (None, "2")))
+    assert not searched and held() == {"a": "1", "b": "2", None: "2"}
+    store.upsert("message_content", rows(("a", "3"), (None, "3"), ("c", "3"), (None, "4")).coalesce(1))
+    assert searched and held() == {"a": "3", "b": "2", "c": "3", None: "4"} and store.read("message_content").count() == 4
