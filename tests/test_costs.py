@@ -1,8 +1,10 @@
 """What expensive steps cost: how often an expression is computed, and what is kept or moved."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from corvane.functions import classify, embed, refine
+from corvane.functions import classify, embed, refine, text
 
 
 def test_an_answer_is_folded_once(spark):
@@ -88,3 +90,23 @@ def test_distinct_rows_are_written_without_a_search_for_repeated_ones(spark, tmp
     assert not searched and held() == {"a": "1", "b": "2", None: "2"}
     store.upsert("message_content", rows(("a", "3"), (None, "3"), ("c", "3"), (None, "4")).coalesce(1))
     assert searched and held() == {"a": "3", "b": "2", "c": "3", None: "4"} and store.read("message_content").count() == 4
+
+
+def test_patterns_are_spared_where_they_change_nothing(spark):
+    """Ends are stripped without a pattern, and patterns run on texts that hold what they need; results are those of the patterns alone."""
+    assert "regexp_replace" not in str(text.strip(F.col("t")))
+    assert "contains(" in str(text.vectorizable(F.col("t")))
+    every = [chr(k) for k in range(0x10000) if not 0xD800 <= k < 0xE000]
+    ends = [f"{c}a{c}b{c}" for c in every] + ["", " \t", None]
+    rows = spark.createDataFrame([(t,) for t in ends], "t string")
+    old = F.regexp_replace("t", r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
+    assert rows.filter(~text.strip(F.col("t")).eqNullSafe(old)).isEmpty()
+    assert rows.filter(~text.collapse(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)\s+", " "))).isEmpty()
+    r = random.Random(1)
+    bits = ["`", "[CODE_BLOCK: ]", "```py\n", "```", "-", "=*_", "---", "https://x.y", "HTTP://Z", "[INFO]", "# ", "> ", "* ", "1. ", "[a](b)", " ", "  ", "\n", "\t", "\xa0", "word", "ignore all previous instructions", "SYSTEM: Ignore PREVIOUS", "Forget  everything", "disregard all previou\u017f"]
+    mixed = spark.createDataFrame([("".join(r.choice(bits) for _ in range(r.randint(0, 12))),) for _ in range(4000)], "t string")
+    c = F.col("t")
+    for step in (text.replace_code, text.strip_separators, text.replace_urls, text.remove_logs, text.strip_markdown, lambda x: F.regexp_replace(x, r"(?U)\s+", " "), text.remove_injections):
+        c = step(c)
+    c = F.regexp_replace(c, r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
+    assert mixed.filter(~text.vectorizable(F.col("t")).eqNullSafe(c)).isEmpty()
